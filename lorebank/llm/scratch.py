@@ -1,0 +1,25 @@
+"""Written intermediate tables in the shared folder that the session names in ``spark.checkpoint.dir``."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only where none is set, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="lorebank-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/lorebank/{uuid.uuid4().hex}-{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
