@@ -14,6 +14,7 @@ import heapq
 import json
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import Any
@@ -55,7 +56,7 @@ class Model:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.spec = spec
+        self.spec, self.key = spec, uuid.uuid4().hex
         vocab, self.suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
@@ -259,7 +260,7 @@ _LIVE: dict[str, Any] = {}
 
 def live(kind: str, make, shipped) -> Any:
     """One object a worker process for what was shipped, so words stay known from task to task."""
-    key = f"{kind}-{shipped.id}"
+    key = f"{kind}-{shipped.value.key}"
     if key not in _LIVE:
         _LIVE.clear()
         _LIVE[key] = make(shipped.value)
