@@ -1 +1,249 @@
-"""Queries."""
+"""Queries over questions: screening, batch reports, the metric family, keyed state and the loop."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.wordlists import HISTORICAL
+from ..operators import loop, mcq
+from ..sources import domain as D
+from ..streaming import limits
+from .registry import query
+from .text_queries import lit
+
+Q, FB, RL = D.episode_mcqs, D.feedback, D.run_log
+
+
+def q(name: str, body: str, *tables: str):
+    return query(name, D.sql(body, *(tables or ("mcqs",))))
+
+
+def agg(name: str, oracle: str, *columns) -> None:
+    @q(name, oracle)
+    def run(s, d):
+        return Q(s, d).agg(*columns)
+
+
+OPTIONS = r""", o AS (SELECT mcq_id, fact_id, 'option ' || (fact_id % 7) AS a, 'option ' || (fact_id % 5) AS b, 'quite another ' || difficulty AS c, 'something else ' || fact_id AS d FROM mcqs)
+"""
+
+
+@q("format_score", OPTIONS + r""", f AS (SELECT *, 'Question about ' || fact_id AS question, len(list_distinct([a, b, c, d])) < 4 AS dup FROM o),
+ w AS (SELECT *, (SELECT count(*) FROM (SELECT unnest([b, c, d]) AS x) WHERE len(list_filter(range(1, greatest(length(x), length(a)) + 1), lambda i: rpad(x, greatest(length(x), length(a))::INT, ' ')[i] <> rpad(a, greatest(length(x), length(a))::INT, ' ')[i])) > 3) < 2 AS weak FROM f)
+SELECT mcq_id, round((1::DOUBLE - 0.2::DOUBLE - CASE WHEN dup THEN 0.25::DOUBLE ELSE 0::DOUBLE END - CASE WHEN weak THEN 0.2::DOUBLE ELSE 0::DOUBLE END) * 1000) / 1000 AS score, CASE WHEN dup THEN 'DUPLICATE_OPTIONS,' ELSE '' END || 'FORMAT_ERROR' || CASE WHEN weak THEN ',WEAK_DISTRACTORS' ELSE '' END AS codes FROM w""")
+def format_score(s, d):
+    n = F.col("fact_id")
+    options = F.create_map(F.lit("ক"), F.concat(F.lit("option "), n % 7), F.lit("খ"), F.concat(F.lit("option "), n % 5), F.lit("গ"), F.concat(F.lit("quite another "), "difficulty"), F.lit("ঘ"), F.concat(F.lit("something else "), n))
+    x = Q(s, d).select("mcq_id", mcq.format_score(F.concat(F.lit("Question about "), n), options, F.lit("ক")).alias("x"))
+    return x.select("mcq_id", "x.score", F.array_join("x.codes", ",").alias("codes"))
+
+
+@q("mcq_composite", "SELECT mcq_id, round(quality * 1e6) / 1e6 AS quality FROM mcqs")
+def mcq_composite(s, d):
+    x = mcq.composite(F.col("format"), F.col("grounding"), F.col("clarity"), F.col("distractor"))
+    return Q(s, d).select("mcq_id", T.rnd(x, 6).alias("quality"))
+
+
+GRADED = ", g AS (SELECT *, round(quality * 1e9) / 1e9 >= 0.70 AND grounding >= 0.80 AS passed FROM mcqs)\n"
+
+
+def graded(s, d):
+    x = Q(s, d).withColumn("codes", mcq.codes(F.col("grounding"), F.col("distractor")))
+    return x.withColumn("passed", mcq.passed(T.rnd(F.col("quality"), 9), F.col("grounding"), F.col("codes")))
+
+
+@q("mcq_pass", GRADED + "SELECT mcq_id, passed FROM g")
+def mcq_pass(s, d):
+    return graded(s, d).select("mcq_id", "passed")
+
+
+@q("batch_quality_report", GRADED + "SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(avg(quality) * 1e9) / 1e9 AS avg_composite, round(avg(grounding) * 1e9) / 1e9 AS avg_grounding, round(avg(distractor) * 1e9) / 1e9 AS avg_distractor, round(avg(CAST(passed AS INT)) * 1e3) / 1e3 AS pass_rate FROM g")
+def batch_quality_report(s, d):
+    a = lambda c: T.rnd(F.avg(c), 9).alias(f"avg_{'composite' if c == 'quality' else c}")
+    return graded(s, d).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), a("quality"), a("grounding"), a("distractor"), T.rnd(F.avg(F.col("passed").cast("int")), 3).alias("pass_rate"))
+
+
+@q("difficulty_pass_rate", GRADED + "SELECT difficulty, round(avg(CAST(passed AS INT)) * 1e3) / 1e3 AS pass_rate FROM g GROUP BY difficulty")
+def difficulty_pass_rate(s, d):
+    return graded(s, d).groupBy("difficulty").agg(T.rnd(F.avg(F.col("passed").cast("int")), 3).alias("pass_rate"))
+
+
+@q("topic_pass_rate", GRADED + "SELECT topic, round(avg(CAST(passed AS INT)) * 1e3) / 1e3 AS pass_rate FROM g JOIN episodes USING (episode_id) GROUP BY topic", "episodes", "mcqs")
+def topic_pass_rate(s, d):
+    return graded(s, d).join(D.episodes(s, d), "episode_id").groupBy("topic").agg(T.rnd(F.avg(F.col("passed").cast("int")), 3).alias("pass_rate"))
+
+
+@q("failed_fact_ids", GRADED + "SELECT fact_id, count(*) AS n FROM g WHERE NOT passed GROUP BY fact_id")
+def failed_fact_ids(s, d):
+    return graded(s, d).where("not passed").groupBy("fact_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fact_id")
+
+
+@q("reasoner_judge_join", ", a AS (SELECT mcq_id, max(difficulty) AS answer, max(clarity) AS confidence FROM mcqs WHERE difficulty <> 'easy' GROUP BY mcq_id) SELECT mcq_id, coalesce(answer, 'N/A') AS answer, coalesce(confidence, 0) AS confidence FROM (SELECT DISTINCT mcq_id FROM mcqs) LEFT JOIN a USING (mcq_id)")
+def reasoner_judge_join(s, d):
+    a = Q(s, d)
+    answers = a.where("difficulty <> 'easy'").groupBy("mcq_id").agg(F.max("difficulty").alias("answer"), F.max("clarity").alias("confidence"))
+    return a.select("mcq_id").distinct().join(answers, "mcq_id", "left").select("mcq_id", F.coalesce("answer", F.lit("N/A")).alias("answer"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+@q("facts_for_batch", "SELECT p_partkey AS fact_id FROM part WHERE p_partkey IN (SELECT fact_id FROM mcqs WHERE episode_id < 1000)")
+def facts_for_batch(s, d):
+    return D.table(s, d, "part").select(F.col("p_partkey").alias("fact_id")).join(Q(s, d).where("episode_id < 1000").select("fact_id"), "fact_id", "left_semi")
+
+
+@q("pending_facts", GRADED + "SELECT p_partkey AS fact_id FROM part WHERE p_partkey NOT IN (SELECT fact_id FROM g WHERE passed AND episode_id < 300)")
+def pending_facts(s, d):
+    done = graded(s, d).where("passed and episode_id < 300").select("fact_id")
+    return D.table(s, d, "part").select(F.col("p_partkey").alias("fact_id")).join(done, "fact_id", "left_anti")
+
+
+# metrics: one aggregate each; an empty denominator gives null unless the metric says 0
+def ratio(a, b, n: int = 4):
+    return T.rnd(a / F.nullif(b, F.lit(0)), n).alias("value")
+
+
+METRICS = {
+    "m_msv": ("round(coalesce(avg(CAST(format >= 0.5 AS INT)), 0) * 1e4) / 1e4", T.rnd(F.coalesce(F.avg((F.col("format") >= 0.5).cast("int")), F.lit(0.0)), 4)),
+    "m_ga": ("round(coalesce(avg(CAST(grounding >= 0.95 AS INT)), 0) * 1e4) / 1e4", T.rnd(F.coalesce(F.avg((F.col("grounding") >= 0.95).cast("int")), F.lit(0.0)), 4)),
+    "m_dqs": ("round(avg(distractor) * 1e9) / 1e9", T.rnd(F.avg("distractor"), 9)),
+    "m_cs": ("round(avg(clarity) * 1e9) / 1e9", T.rnd(F.avg("clarity"), 9)),
+}
+for _name, (_sql, _col) in METRICS.items():
+    agg(_name, f"SELECT {_sql} AS value FROM mcqs", _col.alias("value"))
+
+
+def levels(name: str, target: dict[str, float]) -> None:
+    want = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in target.items())
+
+    @q(name, f", w(difficulty, t) AS (VALUES {want}), o AS (SELECT difficulty, count(*) / (SELECT count(*) FROM mcqs)::DOUBLE AS share FROM mcqs GROUP BY difficulty) SELECT round(avg(abs(coalesce(t, 0) - coalesce(share, 0))) * 1e4) / 1e4 AS value FROM w FULL JOIN o USING (difficulty)")
+    def run(s, d):
+        w = s.createDataFrame(list(target.items()), "difficulty string, t double")
+        o = Q(s, d).groupBy("difficulty").agg(F.count("*").alias("n"))
+        total = o.agg(F.sum("n").alias("total"))
+        share = o.crossJoin(F.broadcast(total)).select("difficulty", (F.col("n") / F.col("total")).alias("share"))
+        return w.join(share, "difficulty", "full").agg(T.rnd(F.avg(F.abs(F.coalesce("t", F.lit(0.0)) - F.coalesce("share", F.lit(0.0)))), 4).alias("value"))
+
+
+levels("m_dce", {"easy": 0.33, "medium": 0.34, "hard": 0.33})
+levels("m_ddms", {"easy": 0.25, "medium": 0.50, "hard": 0.25})
+
+#: Ratios over the run log: numerator and denominator as SQL conditions on stage and seconds.
+RATIOS = {
+    "m_mus": ("stage = 'view'", "true"), "m_les": ("stage = 'purchase'", "true"), "m_rir": ("stage = 'click' AND seconds > 50", "stage = 'click'"), "m_fe": ("stage = 'error' AND seconds > 20", "stage = 'error'"),
+    "m_sce": ("stage = 'error' AND seconds > 40", "stage = 'error'"), "m_aes": ("stage = 'purchase'", "stage <> 'error'"), "m_feu": ("stage = 'click' AND seconds > 80", "stage = 'click'"), "m_eesr": ("stage <> 'error'", "true"),
+}
+for _name, (_a, _b) in RATIOS.items():
+
+    @q(_name, f"SELECT round(count(*) FILTER ({_a}) / nullif(count(*) FILTER ({_b}), 0)::DOUBLE * 1e4) / 1e4 AS value FROM run_log", "run_log")
+    def _ratio(s, d, a=_a, b=_b):
+        return RL(s, d).agg(ratio(F.count_if(F.expr(a)), F.count_if(F.expr(b))))
+
+
+PAID = "stage = 'purchase'"
+
+
+@q("m_cam", f"SELECT round(sum(seconds) / nullif(count(*) FILTER ({PAID}), 0) * 1e3) / 1e3 AS value FROM run_log", "run_log")
+def m_cam(s, d):
+    return RL(s, d).agg(ratio(F.sum("seconds"), F.count_if(F.expr(PAID)), 3))
+
+
+@q("m_lso", f"SELECT round(sum(seconds) / nullif(count(*) FILTER ({PAID}), 0) * 100) / 100 AS value FROM run_log", "run_log")
+def m_lso(s, d):
+    return RL(s, d).agg(ratio(F.sum("seconds"), F.count_if(F.expr(PAID)), 2))
+
+
+@q("m_as", "SELECT nullif(count(DISTINCT stage), 0) AS value FROM run_log", "run_log")
+def m_as(s, d):
+    return RL(s, d).select("stage").distinct().agg(F.nullif(F.count("*"), F.lit(0)).alias("value"))
+
+
+@q("m_ggle", ", g AS (SELECT count(*) FILTER (grounding >= 0.95) AS ok, avg(CAST(grounding >= 0.95 AS INT)) AS ga FROM mcqs), c AS (SELECT sum(seconds) AS cost FROM run_log) SELECT CASE WHEN cost > 0 THEN round(ok * ga / (cost * 3) * 1e6) / 1e6 END AS value FROM g, c", "mcqs", "run_log")
+def m_ggle(s, d):
+    ok = F.col("grounding") >= 0.95
+    g = Q(s, d).agg(F.count_if(ok).alias("ok"), F.avg(ok.cast("int")).alias("ga")).crossJoin(RL(s, d).agg(F.sum("seconds").alias("cost")))
+    return g.select(F.when(F.col("cost") > 0, T.rnd(F.col("ok") * F.col("ga") / (F.col("cost") * 3), 6)).alias("value"))
+
+
+@query("m_jas", "SELECT round(avg(CAST((quality = 1) = (n_chars > 1000) AS INT)) * 1e4) / 1e4 AS value FROM labels JOIN documents USING (doc_id)")
+def m_jas(s, d):
+    x = D.table(s, d, "labels").join(D.table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return x.agg(T.rnd(F.avg(((F.col("quality") == 1) == (F.col("n_chars") > 1000)).cast("int")), 4).alias("value"))
+
+
+@q("m_tas", ", b AS (SELECT unnest(['1-urgent', '2-high', 'other']) AS t) SELECT round(avg(CAST(t IN (SELECT lower(topic) FROM episodes) AS INT)) * 1e4) / 1e4 AS value FROM b", "episodes")
+def m_tas(s, d):
+    b = s.createDataFrame([("1-urgent",), ("2-high",), ("other",)], "t string")
+    have = D.episodes(s, d).select(F.lower("topic").alias("t")).distinct().withColumn("have", F.lit(1))
+    return b.join(have, "t", "left").agg(T.rnd(F.avg(F.coalesce("have", F.lit(0))), 4).alias("value"))
+
+
+@query("m_chp", "SELECT round((" + " + ".join(f"CAST(bool_or(regexp_matches(lower(text), {lit(rx)})) AS INT)" for _, rx in HISTORICAL) + ") / 7::DOUBLE * 1e4) / 1e4 AS value FROM conversations")
+def m_chp(s, d):
+    low = F.lower("text")
+    found = sum((F.bool_or(low.rlike(rx)).cast("int") for _, rx in HISTORICAL), F.lit(0))
+    return D.table(s, d, "conversations").agg(T.rnd(found / 7.0, 4).alias("value"))
+
+
+@query("full_report")
+def full_report(s, d):
+    """(metric, value) of the whole family."""
+    from .registry import QUERIES
+
+    out = None
+    for name in sorted(n for n in QUERIES if n.startswith("m_")):
+        row = QUERIES[name](s, d).select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# keyed state
+def calls(s, d):
+    e = D.table(s, d, "events")
+    zone = F.when(F.col("event_type") == "purchase", "generate").when(F.col("event_type") == "click", "feedback").otherwise("default")
+    return e.select(F.col("event_id").alias("call_id"), F.col("user_id").cast("string").alias("key"), zone.alias("zone"), F.col("ts").cast("timestamp").cast("double").alias("at"))
+
+
+@query("api_rate_limit")
+def api_rate_limit(s, d):
+    return limits.rate_limit(calls(s, d), 5 * 86400.0)
+
+
+@query("rate_range_count", "SELECT event_id AS call_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
+def rate_range_count(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy("us").rangeBetween(-86_400_000_000, 0)
+    e = D.table(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return e.select(F.col("event_id").alias("call_id"), F.count("*").over(w).alias("n"))
+
+
+@query("ttl_cache")
+def ttl_cache(s, d):
+    log = RL(s, d).select(F.col("stage").alias("cache"), "seq", F.col("ts").cast("timestamp").cast("double").alias("at"), F.col("run_id").cast("string").alias("key"))
+    return limits.replay_cache(log, 64, 86400.0)
+
+
+@query("json_repair")
+def json_repair(s, d):
+    e = D.table(s, d, "events")
+    broken = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
+    return e.select("event_id", loop.json_repair(broken).alias("json"))
+
+
+# the loop
+def topk(s, d):
+    return D.facts(s, d).where("topic = 'en'").select("fact_id", "text")
+
+
+def no_seen(s):
+    return s.createDataFrame([], "h string")
+
+
+@query("crj_round")
+def crj_round(s, d):
+    return loop.one_round(topk(s, d), no_seen(s), 1).select("mcq_id", "fact_id", "quality", "passed")
+
+
+@query("crj_loop")
+def crj_loop(s, d):
+    return loop.run_loop(topk(s, d), no_seen(s)).select("mcq_id", "fact_id", "round", "quality")
