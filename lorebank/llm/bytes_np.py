@@ -30,7 +30,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_POWERS.get("up", ())):
+    if n > len(_POWERS.get("up", ())) or not _POWERS:
         size = 1 << max(20, (n - 1).bit_length())
         for k, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
             p = np.full(size, base, U)

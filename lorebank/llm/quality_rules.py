@@ -63,7 +63,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     blank = "[ \\t-\\r]"
-    words = F.split(F.regexp_replace("text", f"^{blank}+|{blank}+$", ""), f"{blank}+", -1)
+    words = F.split(F.regexp_replace("text", f"^{blank}+|{blank}+\\z", ""), f"{blank}+", -1)
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
     upper = F.length(F.regexp_replace("text", "[^\\p{Lu}]+", ""))
     rows = rows.select(
