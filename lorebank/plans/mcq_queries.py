@@ -19,10 +19,10 @@ def q(name: str, body: str, *tables: str):
     return query(name, D.sql(body, *(tables or ("mcqs",))))
 
 
-def agg(name: str, oracle: str, *columns) -> None:
+def agg(name: str, oracle: str, of) -> None:
     @q(name, oracle)
     def run(s, d):
-        return Q(s, d).agg(*columns)
+        return Q(s, d).agg(of().alias("value"))
 
 
 OPTIONS = r""", o AS (SELECT mcq_id, fact_id, 'option ' || (fact_id % 7) AS a, 'option ' || (fact_id % 5) AS b, 'quite another ' || difficulty AS c, 'something else ' || fact_id AS d FROM mcqs)
@@ -103,13 +103,13 @@ def ratio(a, b, n: int = 4):
 
 
 METRICS = {
-    "m_msv": ("round(coalesce(avg(CAST(format >= 0.5 AS INT)), 0) * 1e4) / 1e4", T.rnd(F.coalesce(F.avg((F.col("format") >= 0.5).cast("int")), F.lit(0.0)), 4)),
-    "m_ga": ("round(coalesce(avg(CAST(grounding >= 0.95 AS INT)), 0) * 1e4) / 1e4", T.rnd(F.coalesce(F.avg((F.col("grounding") >= 0.95).cast("int")), F.lit(0.0)), 4)),
-    "m_dqs": ("round(avg(distractor) * 1e9) / 1e9", T.rnd(F.avg("distractor"), 9)),
-    "m_cs": ("round(avg(clarity) * 1e9) / 1e9", T.rnd(F.avg("clarity"), 9)),
+    "m_msv": ("round(coalesce(avg(CAST(format >= 0.5 AS INT)), 0) * 1e4) / 1e4", lambda: T.rnd(F.coalesce(F.avg((F.col("format") >= 0.5).cast("int")), F.lit(0.0)), 4)),
+    "m_ga": ("round(coalesce(avg(CAST(grounding >= 0.95 AS INT)), 0) * 1e4) / 1e4", lambda: T.rnd(F.coalesce(F.avg((F.col("grounding") >= 0.95).cast("int")), F.lit(0.0)), 4)),
+    "m_dqs": ("round(avg(distractor) * 1e9) / 1e9", lambda: T.rnd(F.avg("distractor"), 9)),
+    "m_cs": ("round(avg(clarity) * 1e9) / 1e9", lambda: T.rnd(F.avg("clarity"), 9)),
 }
-for _name, (_sql, _col) in METRICS.items():
-    agg(_name, f"SELECT {_sql} AS value FROM mcqs", _col.alias("value"))
+for _name, (_sql, _of) in METRICS.items():
+    agg(_name, f"SELECT {_sql} AS value FROM mcqs", _of)
 
 
 def levels(name: str, target: dict[str, float]) -> None:

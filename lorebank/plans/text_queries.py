@@ -10,9 +10,6 @@ from ..sources import domain as D
 from ..sources import html
 from .registry import query
 
-t = F.col("text")
-
-
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -31,28 +28,28 @@ tok AS (SELECT *, lower(text) AS low, ' ' || array_to_string(regexp_extract_all(
 YEAR = r"len(list_filter(cased, lambda x: regexp_matches(x, '^[0-9]{4}$'))) > 0"
 
 
-def over_facts(name: str, column, oracle: str, out: str = "value") -> None:
-    """A query (fact_id, value) of one expression over all sentences."""
+def over_facts(name: str, of, oracle: str, out: str = "value") -> None:
+    """A query (fact_id, value) of ``of``, a function of the text column, over all sentences."""
 
     @query(name, D.sql(TOK + f"SELECT fact_id, {oracle} AS {out} FROM tok", "parts"))
     def run(spark, sf_dir):
-        return D.facts(spark, sf_dir).select("fact_id", column.alias(out))
+        return D.facts(spark, sf_dir).select("fact_id", of(F.col("text")).alias(out))
 
 
 # 2.7 normalisation
-over_facts("strip_control", T.strip_control(t), r"regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '\p{C}', '', 'g')")
-over_facts("punct_map", T.punct_map(t), "translate(text, '" + L.PUNCTUATION_FROM + "', '" + L.PUNCTUATION_TO.replace("'", "''") + "')")
-over_facts("bn_digits", T.bn_digits(t), f"translate(text, '{L.BANGLA_DIGITS}', '0123456789')")
-over_facts("nfc", T.nfc(t), "nfc_normalize(text)")
+over_facts("strip_control", T.strip_control, r"regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '\p{C}', '', 'g')")
+over_facts("punct_map", T.punct_map, "translate(text, '" + L.PUNCTUATION_FROM + "', '" + L.PUNCTUATION_TO.replace("'", "''") + "')")
+over_facts("bn_digits", T.bn_digits, f"translate(text, '{L.BANGLA_DIGITS}', '0123456789')")
+over_facts("nfc", T.nfc, "nfc_normalize(text)")
 FILLER = "|".join(L.FILLERS)
-over_facts("trim_fillers", T.trim_fillers(t), rf"regexp_replace(regexp_replace(text, '^(?:(?:{FILLER})[.,!?]*(?:\s+|$))+', ''), '(?:(?:^|\s+)(?:{FILLER})[.,!?]*)+$', '')")
-over_facts("terminal_punct", T.terminal_punct(t), "CASE WHEN text <> '' AND NOT regexp_matches(text, '[.?!।]$') THEN text || '?' ELSE text END")
+over_facts("trim_fillers", T.trim_fillers, rf"regexp_replace(regexp_replace(text, '^(?:(?:{FILLER})[.,!?]*(?:\s+|$))+', ''), '(?:(?:^|\s+)(?:{FILLER})[.,!?]*)+$', '')")
+over_facts("terminal_punct", T.terminal_punct, "CASE WHEN text <> '' AND NOT regexp_matches(text, '[.?!।]$') THEN text || '?' ELSE text END")
 BN, EN = r"length(regexp_replace(text, '[^\x{0980}-\x{09FF}]', '', 'g'))", "length(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 SCRIPT = f"CASE WHEN {BN} + {EN} = 0 THEN 'unknown' WHEN {BN} >= 0.8 * ({BN} + {EN}) THEN 'bangla' WHEN {BN} <= 0.2 * ({BN} + {EN}) THEN 'english' ELSE 'mixed' END"
-over_facts("detect_script", T.detect_script(t), SCRIPT)
-over_facts("detect_language", T.detect_language(T.detect_script(t)), f"CASE {SCRIPT} WHEN 'bangla' THEN 'bn' WHEN 'english' THEN 'en' WHEN 'mixed' THEN 'mixed' ELSE 'unknown' END")
+over_facts("detect_script", T.detect_script, SCRIPT)
+over_facts("detect_language", lambda t: T.detect_language(T.detect_script(t)), f"CASE {SCRIPT} WHEN 'bangla' THEN 'bn' WHEN 'english' THEN 'en' WHEN 'mixed' THEN 'mixed' ELSE 'unknown' END")
 MARKER = f"(contains(text, '?') OR {words(L.WH_WORDS)} OR {parts(L.QUESTION_MARKERS, 'text')})"
-over_facts("question_marker", T.question_marker(t), MARKER)
+over_facts("question_marker", T.question_marker, MARKER)
 NORMAL = (
     rf"trim(regexp_replace(regexp_replace(trim(regexp_replace(translate(translate(regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '\p{{C}}', '', 'g'), '{L.PUNCTUATION_FROM}', "
     + "'" + L.PUNCTUATION_TO.replace("'", "''") + "'"
@@ -62,20 +59,20 @@ NORMAL = (
 
 @query("normalize_text", D.sql(TOK + f", n AS (SELECT fact_id, {NORMAL} AS x FROM facts) SELECT fact_id, CASE WHEN x <> '' AND NOT regexp_matches(x, '[.?!।]$') THEN x || '?' ELSE x END AS value FROM n", "parts"))
 def normalize_text(spark, sf_dir):
-    return D.facts(spark, sf_dir).select("fact_id", T.normalize_text(t).alias("value"))
+    return D.facts(spark, sf_dir).select("fact_id", T.normalize_text(F.col("text")).alias("value"))
 
 
 # intent
 QTYPE = "CASE " + " ".join(f"WHEN {words(ws)}{' OR ' + YEAR if n == 'when_question' else ''} THEN '{n}'" for n, ws in L.QUESTION_TYPES) + " ELSE 'what_question' END"
-over_facts("question_type", T.question_type(t), QTYPE)
+over_facts("question_type", T.question_type, QTYPE)
 COUNTS = [f"struct_pack(n := {' + '.join(f'CAST(contains(low, {lit(w.lower())}) AS INT)' for w in ws)}, r := {-i}, t := '{k}')" for i, (k, ws) in enumerate(L.TOPICS.items())]
 TOPIC = f"(SELECT CASE WHEN b.n > 0 THEN b.t ELSE 'General' END FROM (SELECT list_max([{', '.join(COUNTS)}]) AS b))"
-over_facts("topic_classify", T.topic_classify(t), TOPIC)
+over_facts("topic_classify", T.topic_classify, TOPIC)
 INTENT = f"CASE ({QTYPE}) WHEN 'why_how_question' THEN 'explanation' WHEN 'numeric_ranking' THEN 'enumeration' ELSE CASE WHEN {parts(('তুলনা', 'পার্থক্য', 'compare'))} THEN 'comparison' WHEN {parts(('কি', 'কী', 'what is'))} THEN 'definition' ELSE 'factual_recall' END END"
-over_facts("intent_classify", T.intent_classify(t, T.question_type(t)), INTENT)
+over_facts("intent_classify", lambda t: T.intent_classify(t, T.question_type(t)), INTENT)
 MONTHS = f"list_filter([{', '.join(map(lit, L.MONTHS))}], lambda m: contains(low, m))"
 HINTS = f"list_filter(cased, lambda x: regexp_matches(x, '^(1[89][0-9]{{2}}|2[01][0-9]{{2}})$'))"
-over_facts("extract_time_hints", F.array_join(T.extract_time_hints(t), "|"), f"coalesce(array_to_string(list_concat(list_sort(list_distinct({HINTS})), {MONTHS})[1:5], '|'), '')")
+over_facts("extract_time_hints", lambda t: F.array_join(T.extract_time_hints(t), "|"), f"coalesce(array_to_string(list_concat(list_sort(list_distinct({HINTS})), {MONTHS})[1:5], '|'), '')")
 
 # entities: runs of capitalised Latin tokens that are parted by blanks alone
 RUNS = r""",
@@ -90,7 +87,7 @@ ents AS (SELECT fact_id, string_agg(e, '|' ORDER BY n) AS value FROM kept WHERE
 
 @query("extract_entities", D.sql(RUNS + "SELECT f.fact_id, coalesce(regexp_replace(value, '\\s+', ' ', 'g'), '') AS value FROM facts f LEFT JOIN ents USING (fact_id)", "parts"))
 def extract_entities(spark, sf_dir):
-    return D.facts(spark, sf_dir).select("fact_id", F.regexp_replace(F.array_join(T.extract_entities(t), "|"), r"\s+", " ").alias("value"))
+    return D.facts(spark, sf_dir).select("fact_id", F.regexp_replace(F.array_join(T.extract_entities(F.col("text")), "|"), r"\s+", " ").alias("value"))
 
 
 STOPS = ", ".join(map(lit, L.KEYWORD_STOPS))
@@ -103,14 +100,14 @@ SELECT fact_id, array_to_string(list_concat(l, list_filter(w, lambda x, i: list_
 
 @query("extract_keywords", D.sql(TOK + RUNS + KEYS, "parts"))
 def extract_keywords(spark, sf_dir):
-    rows = D.facts(spark, sf_dir).select("fact_id", "text", T.extract_entities(t).alias("e"), T.extract_time_hints(t).alias("h"))
-    return rows.select("fact_id", F.regexp_replace(F.array_join(T.extract_keywords(t, F.col("e"), F.col("h")), "|"), r"\s+", " ").alias("value"))
+    rows = D.facts(spark, sf_dir).select("fact_id", "text", T.extract_entities(F.col("text")).alias("e"), T.extract_time_hints(F.col("text")).alias("h"))
+    return rows.select("fact_id", F.regexp_replace(F.array_join(T.extract_keywords(F.col("text"), F.col("e"), F.col("h")), "|"), r"\s+", " ").alias("value"))
 
 
 def blueprints(spark, sf_dir):
     """fact_id with the fields of a rule-based blueprint."""
-    rows = D.facts(spark, sf_dir).select("fact_id", "text", T.question_type(t).alias("question_type"), T.topic_classify(t).alias("topic"), T.extract_entities(t).alias("entities"), T.extract_time_hints(t).alias("hints"))
-    rows = rows.withColumns({"intent": T.intent_classify(t, F.col("question_type")), "sub_topic": T.sub_topic(t, F.col("topic")), "keywords": T.extract_keywords(t, F.col("entities"), F.col("hints")), "confidence": F.lit(0.75)})
+    rows = D.facts(spark, sf_dir).select("fact_id", "text", T.question_type(F.col("text")).alias("question_type"), T.topic_classify(F.col("text")).alias("topic"), T.extract_entities(F.col("text")).alias("entities"), T.extract_time_hints(F.col("text")).alias("hints"))
+    rows = rows.withColumns({"intent": T.intent_classify(F.col("text"), F.col("question_type")), "sub_topic": T.sub_topic(F.col("text"), F.col("topic")), "keywords": T.extract_keywords(F.col("text"), F.col("entities"), F.col("hints")), "confidence": F.lit(0.75)})
     return rows.withColumns({
         "bangla_query": F.concat(F.regexp_replace(F.trim("text"), "[?.।]+$", ""), F.lit(" বাংলাদেশ")),
         "english_query": F.concat(F.array_join(F.slice("keywords", 1, 5), " "), F.lit(" Bangladesh")),
@@ -178,8 +175,8 @@ for key, col in (("linguistic_clarity", "clarity"), ("factual_structure", "struc
 scored("fact_verdict", lambda s: s.select("fact_id", "verdict"), "SELECT fact_id, verdict FROM scored")
 scored("mcq_tags", lambda s: s.select("fact_id", F.array_join("tags", ",").alias("tags")), "SELECT fact_id, array_to_string(tags, ',') AS tags FROM scored")
 scored("mcq_readiness", lambda s: s.select("fact_id", "readiness"), "SELECT fact_id, readiness FROM scored")
-over_facts("date_primary", T.date_primary(t), DATEP)
-over_facts("location_primary", T.location_primary(t), f"{parts(L.PLACE)} AND {DATEP}")
+over_facts("date_primary", T.date_primary, DATEP)
+over_facts("location_primary", T.location_primary, f"{parts(L.PLACE)} AND {DATEP}")
 
 
 @query("temporal_freshness", """SELECT event_id, CASE WHEN d < 0 THEN 1::DOUBLE ELSE least(1::DOUBLE, round(exp(-0.693::DOUBLE * (d / 365.25::DOUBLE) / 3::DOUBLE) * 10000) / 10000) END AS value
@@ -201,15 +198,15 @@ refined AS (SELECT fact_id, text, CASE WHEN regexp_matches(j, '^\p{Ll}') THEN up
 
 @query("refine_text", D.sql(REFINED + "SELECT fact_id, value, CASE WHEN value <> text THEN 'REFINED' ELSE 'UNCHANGED' END AS status FROM refined", "parts"))
 def refine_text(spark, sf_dir):
-    rows = D.facts(spark, sf_dir).select("fact_id", "text", T.refine_text(t).alias("value"))
+    rows = D.facts(spark, sf_dir).select("fact_id", "text", T.refine_text(F.col("text")).alias("value"))
     return rows.select("fact_id", "value", F.when(F.col("value") != F.col("text"), "REFINED").otherwise("UNCHANGED").alias("status"))
 
 
 # tokens, ids
-over_facts("tokenize_word", F.array_join(T.tokens(t), " "), "array_to_string(regexp_extract_all(low, '[\\p{L}\\p{N}_]+'), ' ')")
-over_facts("tokenize_space", F.size(T.space_tokens(t)).cast("bigint"), "len(list_distinct(list_filter(regexp_split_to_array(low, '[\\s\\p{P}\\p{S}]+'), lambda x: x <> '')))")
-over_facts("tokenize_mixed", F.size(T.mixed_tokens(t)).cast("bigint"), "len(list_distinct(regexp_extract_all(low, '[\\x{0980}-\\x{09FF}\\p{L}\\p{N}_]+')))")
-over_facts("fingerprint", T.fingerprint(t), "sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')))")
+over_facts("tokenize_word", lambda t: F.array_join(T.tokens(t), " "), "array_to_string(regexp_extract_all(low, '[\\p{L}\\p{N}_]+'), ' ')")
+over_facts("tokenize_space", lambda t: F.size(T.space_tokens(t)).cast("bigint"), "len(list_distinct(list_filter(regexp_split_to_array(low, '[\\s\\p{P}\\p{S}]+'), lambda x: x <> '')))")
+over_facts("tokenize_mixed", lambda t: F.size(T.mixed_tokens(t)).cast("bigint"), "len(list_distinct(regexp_extract_all(low, '[\\x{0980}-\\x{09FF}\\p{L}\\p{N}_]+')))")
+over_facts("fingerprint", T.fingerprint, "sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')))")
 
 
 @query("name_to_id", "SELECT c_custkey, 'ENTITY_' || replace(trim(c_name), ' ', '_') AS entity_id, 'TOPIC_' || upper(replace(trim(c_mktsegment), ' ', '_')) AS topic_id FROM customer")
