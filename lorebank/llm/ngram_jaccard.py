@@ -38,6 +38,8 @@ PROBES = 8
 HELD = 4096
 #: Sets in a block of a hot group.
 BLOCK = 1024
+#: Digests that may be shared by different sets: about 500 are at 10**11 sets. Each is sent to all tasks.
+SHARED = 1_000_000
 #: Texts already seen in a task, by their sets, whose signatures are not sent again.
 SEEN = 200_000
 
@@ -111,11 +113,27 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return total[end] - total[end - size]
 
 
-def _nodes(sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two digests of each set: the node (63 bits, above 0; 0 for the empty set), and a check of the other half."""
-    a = mix(_sums(mix(sets ^ _K[4]), n) + n.astype(U) * _K[5])
-    b = mix(_sums(mix(sets ^ _K[6]), n) + n.astype(U) * _K[1])
-    return np.where(n > 0, (a >> U(1)) | U(1), U(0)).astype(np.int64), b.view(np.int64)
+class Names:
+    """Digests of sets: the node (above 0 and odd; 0 for the empty set), and a check of 64 other bits.
+
+    Nodes of ``bits`` bits suffice until different sets share one. Those few (``shared``, known once all sets were seen)
+    are named anew by node and check together.
+    """
+
+    def __init__(self, bits: int = 63):
+        self.bits, self.shared = bits, np.empty(0, np.int64)
+
+    def of(self, sets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = mix(_sums(mix(sets ^ _K[4]), n) + n.astype(U) * _K[5])
+        b = mix(_sums(mix(sets ^ _K[6]), n) + n.astype(U) * _K[1])
+        node = np.where(n > 0, (a >> U(64 - self.bits)) | U(1), U(0)).astype(np.int64)
+        return self.renamed(node, b.view(np.int64)), b.view(np.int64)
+
+    def renamed(self, node: np.ndarray, check: np.ndarray) -> np.ndarray:
+        if not len(self.shared):
+            return node
+        other = (mix(node.view(U) * _K[3] ^ mix(check.view(U))) >> U(1)) | U(1)
+        return np.where(np.isin(node, self.shared), other.view(np.int64), node)
 
 
 def _width(n: np.ndarray) -> np.ndarray:
@@ -201,25 +219,34 @@ def signatures(sets: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _set_rows(width: int):
+def _set_rows(width: int, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in slices(batch.column(1)):
                 sets, n = shingles(t, width)
-                node, check = _nodes(sets, n)
+                node, check = names.of(sets, n)
                 ids = batch.column(0).slice(t.first, len(t))
                 yield pa.record_batch([ids, pa.array(n), pa.array(node), pa.array(check)], ["doc_id", "n_shingles", "node", "check"])
 
     return run
 
 
-def _signature_rows(width: int, bands: Bands):
+def _renamed_rows(names: Names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, check = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names.renamed(node, check)), batch.column(3)], ["doc_id", "n_shingles", "node", "check"])
+
+    return run
+
+
+def _signature_rows(width: int, names: Names, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for t in slices(batch.column(0), SLICE // 4):
                 sets, n = shingles(t, width)
-                node, _ = _nodes(sets, n)
+                node, _ = names.of(sets, n)
                 new = np.zeros(len(n), bool)
                 for i, x in enumerate(node.tolist()):
                     if x and x not in seen:
@@ -293,17 +320,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(held_sig, held)
 
 
-def _sketch_rows(width: int, with_set: bool):
+def _sketch_rows(width: int, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in slices(batch.column(1)):
                 sets, n = shingles(t, width)
                 at = np.append(0, np.cumsum(n))
                 parts = [sets[at[i] : at[i + 1]] for i in range(len(n))]
-                out = [pa.array(_nodes(sets, n)[0]), pa.array(n), pa.array([sketch(s) for s in parts], pa.binary())]
-                if with_set:
-                    out.append(pa.array([s.tobytes() for s in parts], pa.large_binary()))
-                yield pa.record_batch(out, ["node", "n", "sketch", "items"][: 3 + with_set])
+                out = [pa.array(names.of(sets, n)[0]), pa.array(n), pa.array([sketch(s) for s in parts], pa.binary()), pa.array([s.tobytes() for s in parts], pa.large_binary())]
+                yield pa.record_batch(out, ["node", "n", "sketch", "items"])
 
     return run
 
@@ -395,31 +420,40 @@ def _joined(pairs: DataFrame, about: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, bits: int = 63) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``; component_id is the least id reachable by links.
 
     Words are runs of non-blank characters with A-Z lower-cased; a set is the distinct ``width``-word shingles, the whole
     sequence if it is shorter, and empty for a null or blank text. Two sets link when 100 * |intersection| >= percent *
     |union|; an empty set links with nothing, and its component is its own id. Rows that share an id count as one
     document. A row with a null id keeps its size; its component is that of an equal or linked set with an id, else null.
-    Columns besides the two named are not read, so they may have any name.
+    Columns besides the two named are not read, so they may have any name. Sets are told apart by digests of ``bits``
+    and 64 further bits; fewer bits only make shared digests, and so the second naming, likelier.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    rows = written(docs.mapInArrow(_set_rows(width), "doc_id long, n_shingles long, node long, check long"), "sets")
-    full = rows.where("node <> 0")
-    nodes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), (F.min("check") != F.max("check")).alias("clash"))
-    sizes = nodes.groupBy("n").agg(F.count("*").alias("k"), F.max("clash").alias("clash")).where("n > 0")
-    longest, clash = sizes.agg(F.max("n"), F.max("clash")).first()
+    names, layout = Names(bits), "doc_id long, n_shingles long, node long, check long"
+    rows = written(docs.mapInArrow(_set_rows(width, names), layout), "sets")
+    while True:
+        full = rows.where("node <> 0")
+        nodes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"), (F.min("check") != F.max("check")).alias("clash"))
+        sizes = nodes.groupBy("n").agg(F.count("*").alias("k"), F.max("clash").alias("clash")).where("n > 0")
+        longest, clash = sizes.agg(F.max("n"), F.max("clash")).first()
+        if not clash:
+            break
+        if len(names.shared):
+            raise RuntimeError("different sets share a digest of 127 bits")
+        names.shared = np.array([r.node for r in nodes.where("clash").select("node").limit(SHARED + 1).collect()], np.int64)
+        if len(names.shared) > SHARED:
+            raise RuntimeError(f"more than {SHARED} digests of {bits} bits are shared by different sets")
+        rows = written(rows.mapInArrow(_renamed_rows(names), layout), "sets")
     links = spark.createDataFrame([], "a long, b long")
-    if clash:
-        raise RuntimeError("two different sets share a 63-bit digest; run with another shingle width or salt")
     if longest:
         plain = Bands(percent, longest)
         ends = F.array(*[F.lit(int(x)) for x in plain.hi])
         band = F.size(F.filter(ends, lambda e: e < F.col("n")))
         bands = Bands(percent, longest, {r.b: r.k for r in sizes.groupBy(band.alias("b")).agg(F.sum("k").alias("k")).collect()})
-        links = _links(docs, nodes, width, percent, bands)
+        links = _links(docs, nodes, width, percent, names, bands)
     found = components(links)
     named = nodes.join(found, "node", "left").withColumns({"root": F.coalesce("root", "node")})
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -436,17 +470,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(placed, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, bands: Bands) -> DataFrame:
-    sig = docs.select("text").mapInArrow(_signature_rows(width, bands), "sig long, node long")
+def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, names: Names, bands: Bands) -> DataFrame:
+    sig = docs.select("text").mapInArrow(_signature_rows(width, names, bands), "sig long, node long")
     shuffled = sig.repartition("sig").sortWithinPartitions("sig", "node")
     found = written(shuffled.mapInArrow(_candidates, "grp long, a long, b long").distinct(), "candidates")
     pairs, hot = found.where("grp is null").select("a", "b"), found.where("grp is not null").select("grp", F.col("a").alias("node"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
     ids = nodes.join(wanted, "node").where("least is not null").select(F.col("least").alias("doc_id"))
-    texts = docs.join(ids.distinct(), "doc_id", "left_semi")
-    sets = written(
-        texts.mapInArrow(_sketch_rows(width, True), "node long, n long, sketch binary, items binary").dropDuplicates(["node"]), "items"
-    )
+    texts = docs.join(ids.distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    sets = written(texts.mapInArrow(_sketch_rows(width, names), "node long, n long, sketch binary, items binary").dropDuplicates(["node"]), "items")
     near = _joined(pairs, sets.select("node", "n", "sketch"), "n", "sketch").mapInArrow(_near_pairs(percent), "a long, b long")
     near = written(near, "near")
     links = _joined(near, sets.select("node", "items"), "items").mapInArrow(_true_pairs(percent), "a long, b long")

@@ -53,8 +53,8 @@ def brute_components(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("k, percent", [(4, 85), (2, 60)])
-def test_jaccard(spark, k, percent, monkeypatch):
+@pytest.mark.parametrize("k, percent, bits", [(4, 85, 63), (2, 60, 63), (4, 85, 10)])
+def test_jaccard(spark, k, percent, bits, monkeypatch):
     r = random.Random(k)
     base = [[f"w{r.randint(0, 400)}" for _ in range(r.choice((3, 6, 9, 14, 40, 120, 300)))] for _ in range(25)]
     rows = []
@@ -64,10 +64,17 @@ def test_jaccard(spark, k, percent, monkeypatch):
             w[r.randrange(len(w))] = f"x{r.randint(0, 60)}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 20)
-    out = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=k, percent=percent)
+    out = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=k, percent=percent, bits=bits)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == brute_components(rows, k, percent)
 
 
+def test_jaccard_through_a_row_without_id(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(5, " ".join(w)), (None, " ".join(w[3:])), (2, " ".join(w[6:])), (None, " ".join(w[:-2]))]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=96)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(94, 2), (97, 2), (98, 2), (100, 2)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (60, 61)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -157,6 +164,10 @@ def test_pii(spark, docs, odd):
     assert [found[10][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1] and "x@y.zz" not in found[10].redacted
     spans = list(pii.all_spans(["call me: phone (555) 123-4567, bye", "mail jo.doe (at) example (dot) org now", "we stood at home. there", "order 2020-01-02 12"], pii.trained()))
     assert [len(s) for _, s in spans] == [1, 1, 0, 0]
+    beside = "so +1 (269) 555-3296 4524132264652843 it, 4524132264652843 27.65.93.188 was, order 1234567890123456"
+    base, every = next(pii.all_spans([beside], pii.trained()))
+    assert [beside[s.start : s.end] for s in base] == ["27.65.93.188"]
+    assert [beside[s.start : s.end] for s in every] == ["+1 (269) 555-3296", "4524132264652843", "4524132264652843", "27.65.93.188"]
 
 
 def test_quality(spark, docs, odd):
