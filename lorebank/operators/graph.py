@@ -32,6 +32,24 @@ def build(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def add_questions(nodes: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, type, seq, unmapped) and edges of questions (question_id, topic, fact_ids, parent_id, refines).
+
+    A question is ABOUT its topic and ASKS_FOR those of its facts that exist; it is unmapped if none does. It REFINES its
+    parent or is DERIVED_FROM it; a null parent gives no edge.
+    """
+    q = questions.withColumn("node", F.concat(F.lit("QUESTION_"), "question_id"))
+    edge = lambda df, dst, relation: df.select(F.col("node").alias("src"), dst.alias("dst"), relation.alias("relation"), F.col("question_id").alias("seq"))
+    about = edge(q, F.concat(F.lit("TOPIC_"), F.upper(T.name_to_id(F.col("topic")))), F.lit("ABOUT"))
+    facts = nodes.where("type = 'FACT'").select(F.col("node_id").alias("dst"))
+    asked = q.select("node", "question_id", F.explode(F.array_distinct("fact_ids")).alias("f")).withColumn("dst", F.concat(F.lit("FACT_"), "f"))
+    asks = edge(asked.join(facts, "dst", "left_semi"), F.col("dst"), F.lit("ASKS_FOR"))
+    parent = edge(q.where("parent_id is not null"), F.concat(F.lit("QUESTION_"), "parent_id"), F.when(F.col("refines"), "REFINES").otherwise("DERIVED_FROM"))
+    mapped = asks.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
+    found = q.join(mapped, "node", "left").select(F.col("node").alias("node_id"), F.lit("QUESTION").alias("type"), F.col("question_id").alias("seq"), F.col("k").isNull().alias("unmapped"))
+    return found, about.unionByName(asks).unionByName(parent)
+
+
 def one_hop(nodes: DataFrame, edges: DataFrame, topic: str, kind: str = "FACT") -> DataFrame:
     """Nodes of a type that are ABOUT a topic, whatever its case."""
     into = edges.where((F.col("relation") == "ABOUT") & (F.upper("dst") == f"TOPIC_{topic.upper()}")).select(F.col("src").alias("node_id"))

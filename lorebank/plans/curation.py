@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import similarity as S
+from ..sources import bank
 from ..sources import domain as D
 from .registry import query
-from .text_queries import RUNS, SCORED
+from .text_queries import REFINED, RUNS, SCORED
 
 FS = D.scored_facts
 GOOD = "verdict IN ('ACCEPT', 'REFINE', 'SALVAGEABLE')"
@@ -108,6 +111,29 @@ def one_hop(s, d):
     return G.one_hop(*graph(s, d), "De").select("node_id")
 
 
+@query("scan_json_bank", "SELECT conv_id || '-' || turn AS id, text, coalesce(nullif(role, ''), 'General') AS topic FROM conversations WHERE text <> ''")
+def scan_json_bank(s, d):
+    """The bank's entries, here of one file for each turn."""
+    c = D.table(s, d, "conversations")
+    entry = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"), F.col("role").alias("topic"))
+    return bank.entries(c.select(F.to_json(F.struct(F.array(entry).alias("questions"))).alias("value"))).select("id", "text", "topic")
+
+
+@g("add_questions", """, qs AS (SELECT conv_id * 1000 + turn AS question_id, role, conv_id, turn FROM conversations),
+asks AS (SELECT DISTINCT question_id, fact_id FROM (SELECT question_id, unnest([conv_id * 100 + 1, conv_id * 100 + turn + 1]) AS fact_id FROM qs) WHERE fact_id IN (SELECT fact_id FROM facts))
+SELECT 'ABOUT' AS relation, count(*) AS n FROM qs UNION ALL SELECT 'ASKS_FOR', count(*) FROM asks UNION ALL SELECT CASE WHEN role = 'user' THEN 'REFINES' ELSE 'DERIVED_FROM' END, count(*) FROM qs WHERE turn > 0 GROUP BY 1
+UNION ALL SELECT 'unmapped', count(*) FROM qs WHERE question_id NOT IN (SELECT question_id FROM asks)""")
+def add_questions(s, d):
+    """Edges of questions by relation, and questions of which no fact exists; here turns, which ask for facts of the document with their number."""
+    c = D.table(s, d, "conversations")
+    ask = F.array(F.col("conv_id") * 100 + 1, F.col("conv_id") * 100 + F.col("turn") + 1)
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    questions = c.select(number.alias("question_id"), F.col("role").alias("topic"), ask.alias("fact_ids"), F.when(F.col("turn") > 0, number - 1).alias("parent_id"), (F.col("role") == "user").alias("refines"))
+    nodes, edges = G.add_questions(graph(s, d)[0], questions)
+    lost = nodes.agg(F.count_if("unmapped").alias("n")).select(F.lit("unmapped").alias("relation"), "n")
+    return edges.groupBy("relation").agg(F.count("*").alias("n")).unionByName(lost)
+
+
 @g("remove_fact", "SELECT relation, count(*) AS n FROM edges WHERE src NOT IN (SELECT 'FACT_' || fact_id FROM scored WHERE verdict = 'REJECT') AND dst NOT IN (SELECT 'FACT_' || fact_id FROM scored WHERE verdict = 'REJECT') GROUP BY relation")
 def remove_fact(s, d):
     gone = FS(s, d).where("verdict = 'REJECT'").select(F.concat(F.lit("FACT_"), "fact_id").alias("node_id"))
@@ -140,8 +166,12 @@ def fact_source_lookup(s, d):
     return src.join(first, "src").select("fact_id", "source_url", "publisher")
 
 
-ACT = r""", act AS (SELECT fact_id, verdict, CASE verdict WHEN 'ACCEPT' THEN 'ACCEPT' WHEN 'REJECT' THEN 'REJECT' ELSE CASE WHEN r.value = r.text THEN 'SALVAGEABLE_ACCEPT' ELSE 'CHANGED' END END AS action FROM scored JOIN refined r USING (fact_id))
+#: What becomes of each fact: the refined text is scored once more, by the same expressions over other tables.
+AGAIN = ", factsb AS (SELECT fact_id, value AS text, topic, publisher, source_url FROM refined JOIN facts USING (fact_id))" + re.sub(r"\b(facts|tok2?|s[12]|scored)\b", r"\1b", SCORED)
+ACT = REFINED + AGAIN + """, act AS (SELECT s.fact_id, s.verdict, s.tags, CASE WHEN s.verdict IN ('ACCEPT', 'REJECT') THEN s.verdict WHEN r.value = r.text THEN 'SALVAGEABLE_ACCEPT' WHEN b.composite >= 0.40 THEN 'REFINED_ACCEPT' ELSE 'REJECT_AFTER_REFINE' END AS action
+FROM scored s JOIN refined r USING (fact_id) JOIN scoredb b USING (fact_id))
 """
+TAG_NAMES = ("who_question", "when_question", "where_question", "numeric_ranking", "poor_candidate")
 
 
 def acted(s, d):
@@ -152,15 +182,15 @@ def acted(s, d):
     return f.withColumn("action", action)
 
 
-@query("fact_action")
+@q("fact_action", ACT + "SELECT fact_id, verdict, action FROM act")
 def fact_action(s, d):
     return acted(s, d).select("fact_id", "verdict", "action")
 
 
-@query("quality_pipeline_summary")
+@q("quality_pipeline_summary", ACT + "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (contains(action, '{x}')) AS {x.lower()}" for x in ("ACCEPT", "REJECT", "REFINE")) + "".join(f", count(*) FILTER (list_contains(tags, '{x}')) AS {x}" for x in TAG_NAMES) + " FROM act")
 def quality_pipeline_summary(s, d):
     a, tag = acted(s, d), lambda t: F.count_if(F.array_contains("tags", t)).alias(t)
-    return a.agg(F.count("*").alias("total"), *[F.count_if(F.col("action").contains(x)).alias(x.lower()) for x in ("ACCEPT", "REJECT", "REFINE")], *[tag(t) for t in ("who_question", "when_question", "where_question", "numeric_ranking", "poor_candidate")])
+    return a.agg(F.count("*").alias("total"), *[F.count_if(F.col("action").contains(x)).alias(x.lower()) for x in ("ACCEPT", "REJECT", "REFINE")], *[tag(t) for t in TAG_NAMES])
 
 
 @q("quality_report_groups", "SELECT verdict, tag, count(*) AS n FROM (SELECT verdict, unnest(tags) AS tag FROM scored) GROUP BY ALL")

@@ -14,13 +14,17 @@ def scan_json_bank(spark: SparkSession, path: str) -> DataFrame:
     The text is the first non-empty of fact_text, text, fact, question_bn, question; entries without one are dropped. A
     missing topic is General. A file that cannot be parsed gives no row.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    return entries(spark.read.option("wholetext", True).text(path))
+
+
+def entries(raw: DataFrame) -> DataFrame:
+    """The entries of whole files (value), as in ``scan_json_bank``."""
     as_list = F.from_json("value", f"array<{ENTRY}>", {"mode": "PERMISSIVE"})
     as_dict = F.from_json("value", f"struct<questions:array<{ENTRY}>,facts:array<{ENTRY}>>")
     alone = F.array(F.from_json("value", ENTRY))
     listed = F.col("value").rlike(r"^\s*\[")
-    entries = F.when(listed, as_list).otherwise(F.coalesce(as_dict["questions"], as_dict["facts"], alone))
-    rows = raw.select(F.explode(entries).alias("e"))
+    every = F.when(listed, as_list).otherwise(F.coalesce(as_dict["questions"], as_dict["facts"], alone))
+    rows = raw.select(F.explode(every).alias("e"))
     some = lambda c: F.nullif(F.col(f"e.{c}"), F.lit(""))
     text = F.coalesce(*[some(c) for c in ("fact_text", "text", "fact", "question_bn", "question")])
     return rows.select(F.col("e.id").alias("id"), text.alias("text"), F.coalesce(some("topic"), F.lit("General")).alias("topic"), "e.options", "e.correct_answer").where("text is not null")
