@@ -234,6 +234,36 @@ def test_odd_and_empty_tables(spark, odd):
     assert got[0].component_id == 0 and got[0].n_shingles == 0 and got[9].component_id == 8 and got[None].n_shingles == 1
 
 
+def test_odd_tables_of_the_other_operators(spark, odd):
+    """Extra columns with clashing names, a null id, repeated ids and no rows: every row comes back, null texts as empty ones."""
+    path = public_tokenizers.path
+    odd = odd.withColumns({"toxic": F.lit("x"), "score": F.lit(0), "grams": F.lit(1), "ids": F.lit(1), "host": F.lit(1), "rule": F.lit(1), "html": F.col("text"), "url": F.col("text"), "page_id": F.col("doc_id")})
+    labels = spark.createDataFrame([(3, 1, "a"), (3, 0, "b"), (4, None, "c"), (None, 1, "d"), (5, 7, "e")], "doc_id long, toxic int, text string")
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, action string")
+    for df, n in ((odd, 13), (odd.limit(0), 0)):
+        counts = token_counts.token_counts(df, path("byte_bpe_50k.json"), 512).collect()
+        coded = bpe.encode(df, path("word_bpe_49k.json"), texts=False).collect()
+        pages = html_extract.extract(df).collect()
+        judged = url_filters.judge(df, rules).collect()
+        scored = toxicity.score(df, toxicity.train(df, labels)).collect()
+        assert {len(x) for x in (counts, coded, pages, judged, scored)} == {n}
+        assert all(r.n_tokens == 0 for x in (counts, coded) for r in x if r.doc_id in (0, 1))
+        assert all(r.text == "" and r.n_chars == 0 for r in pages if r.page_id in (0, 1)) and all(r.verdict == "allow" for r in judged)
+        assert all(0 <= r.score <= 1 for r in scored)
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    for df in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, DIR)
+            assert out.count() <= df.count()
+            assert name == "bpe" or out.columns == list(corpus_pipeline.COLUMNS)
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, odd, DIR).collect()}
+    assert {0, 1, 2, 8} <= kept and 9 not in kept
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
