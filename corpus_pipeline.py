@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the nearest centroid knows; a null or letterless text goes."""
+    """Documents whose language the nearest centroid knows; noise and texts of other languages go, as far as their length tells, and null or letterless ones."""
     model = language_id.train(docs, ~held_out())
     return language_id.predict(docs, model, COLUMNS).where("not rejected").select(*COLUMNS)
 

@@ -2,8 +2,8 @@
 
 A text is a vector over hashed letter n-grams: 1 + log of the counts, times the idf of the training sample, made to
 length one. Each language has several centroids, from spherical k-means over its training vectors. The cosine to the
-nearest centroid names the language; a text whose best cosine lies far below those of short training snippets is
-rejected, as is a text without letters.
+nearest centroid names the language. A text is rejected if that cosine is less than nearly all training texts of the
+language have, cut to about its length, with centroids that were fitted without them; so is a text without letters.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from .bytes_np import LOWER, Texts, slices
 DIM = 4096
 CENTROIDS = 3
 SAMPLE = 500
-#: A text is rejected below this share of the least cosine of training snippets of SNIPPET bytes.
-REJECT = 0.5
-SNIPPET = 48
+#: Least bytes of each length class, and the share of training texts, cut to these, that rejection may lose.
+LENGTHS = (4, 16, 64, 256, 1024)
+REJECT = 0.01
+#: Parts of the training texts, each of which is scored by centroids of the others.
+FOLDS = 4
 #: Languages that are learned, at most; a table with more is refused.
 LANGUAGES = 500
 
@@ -98,30 +100,53 @@ def has_letter(data: np.ndarray) -> bool:
     return any(c.isalpha() for c in data.tobytes().decode("utf-8", "ignore"))
 
 
-def _sampled(snippet: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in slices(batch.column(1), 1 << 18):
-                short = Texts(t.data, t.lo, np.minimum(t.hi, t.lo + snippet), 0)
-                cut = np.concatenate([np.arange(a, b) for a, b in zip(short.lo, short.hi, strict=True)]) if len(t) else np.empty(0, np.int64)
-                size = short.hi - short.lo
-                short = Texts(t.data[cut], np.cumsum(size) - size, np.cumsum(size), 0)
-                rows = [(lambda v: (pa.scalar(np.flatnonzero(v).astype(np.int32).tobytes()), pa.scalar(v[v > 0].tobytes())))(v) for v in (*counts(t), *counts(short))]
-                k = len(t)
-                lang = batch.column(0).slice(t.first, k)
-                columns = [lang, *[pa.array([rows[i + at][c].as_py() for i in range(k)], pa.binary()) for at in (0, k) for c in (0, 1)]]
-                yield pa.record_batch(columns, ["lang", "at", "tf", "short_at", "short_tf"])
+def _cut(t: Texts, most: int) -> Texts:
+    """The texts of at least ``most`` bytes, cut to so many."""
+    lo = t.lo[t.hi - t.lo >= most]
+    return Texts(t.data[(lo[:, None] + np.arange(most)).ravel()], np.arange(len(lo)) * most, np.arange(1, len(lo) + 1) * most, 0)
 
-    return run
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text the places and values of its counts, then those of it cut to each of LENGTHS that it has."""
+    for batch in batches:
+        for t in slices(batch.column(1), 1 << 18):
+            found = [[v] for v in counts(t)]
+            for most in LENGTHS:
+                long = np.flatnonzero(t.hi - t.lo >= most)
+                for i, v in zip(long, counts(_cut(t, most)), strict=True):
+                    found[i].append(v)
+            at = [[np.flatnonzero(v).astype(np.int32).tobytes() for v in x] for x in found]
+            tf = [[v[v > 0].tobytes() for v in x] for x in found]
+            kind = pa.list_(pa.binary())
+            yield pa.record_batch([batch.column(0).slice(t.first, len(t)), pa.array(at, kind), pa.array(tf, kind)], ["lang", "at", "tf"])
 
 
-def _dense(rows: list, at: str, tf: str) -> np.ndarray:
+def _dense(rows: list, k: int = 0) -> np.ndarray:
     out = np.zeros((len(rows), DIM), np.float32)
     for i, r in enumerate(rows):
-        out[i, np.frombuffer(r[at], np.int32)] = np.frombuffer(r[tf], np.float32)
+        out[i, np.frombuffer(r["at"][k], np.int32)] = np.frombuffer(r["tf"][k], np.float32)
     return out
 
 
+def thresholds(rows: list, v: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The least cosine for each length class of a language with these sampled rows, whose vectors are ``v``.
+
+    A class that no text reaches has the threshold of the class below it; a language of one text rejects nothing.
+    """
+    cosine: list[list[float]] = [[] for _ in LENGTHS]
+    for fold in range(min(FOLDS, len(rows)) if len(rows) > 1 else 0):
+        out = np.arange(len(rows)) % FOLDS == fold
+        c = clustered(v[~out], CENTROIDS)
+        for k in range(len(LENGTHS)):
+            long = [r for r, x in zip(rows, out, strict=True) if x and len(r["at"]) > k + 1]
+            if long:
+                cosine[k] += (vectors(_dense(long, k + 1), idf) @ c.T).max(1).tolist()
+    least = [0.0]
+    for x in cosine:
+        least.append(float(np.quantile(x, REJECT)) if x else least[-1])
+    return np.array(least[1:])
+
+
 def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> dict[str, Any]:
     """A model from the text and non-null lang of rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds.
 
@@ -133,11 +158,11 @@ def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
-        return {"languages": [], "idf": np.ones(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "of": np.zeros(0, np.int64), "reject": 0.0}
+        return {"languages": [], "idf": np.ones(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "of": np.zeros(0, np.int64), "reject": np.zeros((0, len(LENGTHS)))}
     share = F.element_at(F.create_map(*[F.lit(y) for k, n in sizes.items() for y in (k, min(1.0, sample / n))]), F.col("lang").cast("string"))
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0 < share)
     found = chosen.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string")).mapInArrow(
-        _sampled(SNIPPET), "lang string, at binary, tf binary, short_at binary, short_tf binary"
+        _sampled, "lang string, at array<binary>, tf array<binary>"
     )
     by: dict[str, list] = {}
     for r in found.collect():  # bounded by the sample
@@ -146,13 +171,16 @@ def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -
     for rows_ in by.values():
         rows_.sort(key=lambda r: (r["at"], r["tf"]))
     languages = sorted(by)
-    seen = sum(((_dense(by[k], "at", "tf") > 0).sum(0) for k in languages), np.zeros(DIM))
+    seen = sum(((_dense(by[k]) > 0).sum(0) for k in languages), np.zeros(DIM))
     idf = (np.log((1 + sum(map(len, by.values()))) / (1 + seen)) + 1).astype(np.float32)
-    centroids = [clustered(vectors(_dense(by[k], "at", "tf"), idf), CENTROIDS) for k in languages]
+    centroids, reject = [], []
+    for k in languages:
+        v = vectors(_dense(by[k]), idf)
+        centroids.append(clustered(v, CENTROIDS))
+        reject.append(thresholds(by[k], v, idf))
     of = np.repeat(np.arange(len(languages)), [len(c) for c in centroids])
     all_of = np.concatenate(centroids).astype(np.float32)
-    near = np.concatenate([(vectors(_dense(by[k], "short_at", "short_tf"), idf) @ all_of.T).max(1) for k in languages])
-    return {"languages": languages, "idf": idf, "centroids": all_of, "of": of, "reject": REJECT * float(near[near > 0].min(initial=1.0))}
+    return {"languages": languages, "idf": idf, "centroids": all_of, "of": of, "reject": np.array(reject)}
 
 
 def _predicted(shipped):
@@ -166,11 +194,13 @@ def _predicted(shipped):
                 best = cosine.argmax(1)
                 score = np.clip(cosine[np.arange(len(t)), best].astype(np.float64), 0, 1)
                 lang = model["of"][best] if len(model["of"]) else np.zeros(len(t), np.int64)
+                size = np.maximum(np.searchsorted(LENGTHS, t.hi - t.lo, "right") - 1, 0)
+                least = model["reject"][lang, size] if len(model["of"]) else np.zeros(len(t))
                 letters = np.array([has_letter(t.data[a:b]) for a, b in zip(t.lo, t.hi, strict=True)], bool)
                 lang = np.where(letters, lang, len(names) - 1)
                 score = np.where(letters, score, 0.0)
                 out = [batch.column(i).slice(t.first, len(t)) for i in keep]
-                out += [pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array((score < model["reject"]) | ~letters)]
+                out += [pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array((score < least) | ~letters)]
                 yield pa.RecordBatch.from_arrays(out, names=[*[batch.schema.names[i] for i in keep], "lang_pred", "score", "rejected"])
 
     return run
@@ -179,7 +209,8 @@ def _predicted(shipped):
 def predict(docs: DataFrame, model: dict[str, Any], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of each row of ``docs``, with lang_pred, score (the cosine, 0 to 1) and rejected.
 
-    A null text, or one without any letter, is und with score 0 and rejected. Only text is an input. Rows are kept as
+    A null text, or one without any letter, is und with score 0 and rejected; a text below the threshold of the language
+    it is nearest to is rejected with its score. Only text is an input. Rows are kept as
     they are. The model, of a size bounded by LANGUAGES, is sent to the executors.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -145,6 +145,22 @@ def test_language(spark, docs, odd):
     assert {r.lang_pred for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_rejects_noise_and_unlearned_languages(spark):
+    import base64
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("text is not null and length(text) >= 64")
+    r = random.Random(4)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (100, 400, 2000) for _ in range(20)]
+    noise += [base64.b64encode(r.randbytes(300)).decode() for _ in range(20)]
+    noise += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。"]
+    model = language_id.train(docs, ~held_out())
+    assert all(x.rejected for x in language_id.predict(spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string"), model).collect())
+    clean = [x.rejected for x in language_id.predict(docs.where(held_out()), model).collect()]
+    assert sum(clean) <= 0.02 * len(clean)
+    other = [x.rejected for x in language_id.predict(docs.where("lang = 'es'"), language_id.train(docs.where("lang <> 'es'"))).collect()]
+    assert sum(other) >= 0.9 * len(other)
+
+
 def reference_spans(t):
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
