@@ -226,21 +226,21 @@ def near_dup_pairs(s, d):
     return S.near_pairs(doc_rows(s, d))
 
 
-def merged(s, d):
-    scores = doc_rows(s, d).select("id", T.linguistic_clarity(F.col("text")).alias("score"))
-    return S.greedy_merge(near_dup_pairs(s, d), scores)
+def clarity(s, d):
+    return doc_rows(s, d).select("id", T.linguistic_clarity(F.col("text")).alias("score"))
 
 
 @query("dedup_near")
 def dedup_near(s, d):
-    return merged(s, d)
+    return S.merge_classes(*S.near_classes(doc_rows(s, d)), clarity(s, d))
 
 
 @query("m_rrr")
 def m_rrr(s, d):
     """Merged pairs over found pairs; 1 if none is found."""
-    found = near_dup_pairs(s, d).agg(F.count("*").alias("f"))
-    return merged(s, d).agg(F.count("*").alias("m")).crossJoin(found).select(F.when(F.col("f") == 0, 1.0).otherwise(T.rnd(F.col("m") / F.nullif("f", F.lit(0)), 4)).alias("value"))
+    members, near = S.near_classes(doc_rows(s, d))
+    found = S.count_pairs(members, near)
+    return S.merge_classes(members, near, clarity(s, d)).agg(F.count("*").alias("m")).crossJoin(found).select(F.when(F.col("f") == 0, 1.0).otherwise(T.rnd(F.col("m") / F.nullif("f", F.lit(0)), 4)).alias("value"))
 
 
 BEST = r"""WITH q AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\s\p{P}\p{S}]+'), lambda x: x <> '')) AS w FROM documents),

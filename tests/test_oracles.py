@@ -60,6 +60,32 @@ def test_greedy_merge_equals_the_walk(spark):
     assert {(x.kept, x.removed) for x in out.collect()} == want
 
 
+def test_merge_of_many_copies(spark):
+    """More copies than the walk once had rounds, with equal and with other scores, beside near ones."""
+    import random
+
+    from lorebank.operators import similarity as S
+
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(r.sample(words, 40)) for _ in range(240)] + [" ".join(words[k:] + [f"x{k}"]) for k in range(8)] + ["", None, "alone"]
+    r.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = sorted((x.i, x.j) for x in S.near_pairs(rows).collect())
+    members, near = S.near_classes(rows)
+    assert S.count_pairs(members, near).first().f == len(pairs) > 240 * 239 // 2
+    for score in ({i: 1.0 for i in range(len(texts))}, {i: float(r.randint(0, 3)) for i in range(len(texts))}):
+        gone, want = set(), set()
+        for i, j in pairs:
+            if i not in gone and j not in gone:
+                x = i if score[j] > score[i] else j
+                gone.add(x)
+                want.add((i + j - x, x))
+        scores = spark.createDataFrame(list(score.items()), "id long, score double")
+        assert {(x.kept, x.removed) for x in S.merge_classes(members, near, scores).collect()} == want
+    assert S.greedy_merge(spark.createDataFrame(pairs, "i long, j long"), scores).count() == len(want)
+
+
 def test_bank(spark, tmp_path):
     from lorebank.sources.bank import scan_json_bank
 
