@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from .bytes_np import ALNUM, LOWER, U, hash_words, slices
 from .scratch import written
 
-#: Most bytes of test texts that one part of the query may hold, and so send to each executor.
+#: Most bytes of test texts that one part of the query holds, and so sends to each executor; a longer text is a part of its own.
 PART = 8 << 20
 #: Words of a shard, at least, as long as its Arrow batch has more.
 SHARD = 1 << 17
 
 _SPLIT = bytes(b if ALNUM[b] else 0x20 for b in range(256))
 INDEX = "doc_ids array<long>, n_words array<long>, terms array<long>, ends array<int>, places array<int>"
+#: A shard with what the parts so far have found: its words as bits, and for each document the ids and the nearness.
+CARRIED = f"{INDEX}, bits binary, found array<array<string>>, near array<boolean>"
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -149,7 +151,8 @@ def _near(lists: dict[int, np.ndarray], codes: list[int], order: list[int], doc:
     return at
 
 
-def _match(windows: Windows, rarity: dict[int, int], slop: int | None):
+def _match(windows: Windows, rarity: dict[int, int], slop: int | None, last: bool = True):
+    """Adds the hits of these windows to what a shard carries; the last part gives a row for each document."""
     orders = [sorted(range(len(c)), key=lambda k, c=c: (rarity.get(c[k], 0), k)) for c in windows.codes]
     by_rarest: dict[int, list[int]] = {}
     for w, (c, o) in enumerate(zip(windows.codes, orders, strict=True)):
@@ -176,8 +179,18 @@ def _match(windows: Windows, rarity: dict[int, int], slop: int | None):
                                 items.setdefault(d, set()).update(windows.items[w])
                         if slop is not None:
                             near[doc[_near(lists, windows.codes[w], orders[w], doc, slop)]] = True
-                n_hit = np.bincount(doc, weights=np.cumsum(hit[:-1]) > 0, minlength=len(n)).astype(np.int64)
+                inside = np.cumsum(hit[:-1]) > 0
                 found = [sorted(windows.ids[k] for k in items[d]) if d in items else [] for d in range(len(n))]
+                if batch.num_columns > 5:
+                    bits, before, was = (batch.column(c)[row].as_py() for c in (5, 6, 7))
+                    inside |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(doc)).astype(bool)
+                    found = [sorted(a + b) if b else a for a, b in zip(before, found, strict=True)]
+                    near |= np.array(was, bool)
+                if not last:
+                    carried = [pa.array([np.packbits(inside).tobytes()]), pa.array([found], pa.list_(pa.list_(pa.string()))), pa.array([near.tolist()], pa.list_(pa.bool_()))]
+                    yield pa.record_batch([*(batch.column(c).slice(row, 1) for c in range(5)), *carried], ["doc_ids", "n_words", "terms", "ends", "places", "bits", "found", "near"])
+                    continue
+                n_hit = np.bincount(doc, weights=inside, minlength=len(n)).astype(np.int64)
                 yield pa.record_batch(
                     [ids, pa.array(n), pa.array(n_hit), pa.array(found, pa.list_(pa.string())), pa.array(near)], ["doc_id", "n_words", "n_hit", "items", "near"]
                 )
@@ -185,6 +198,19 @@ def _match(windows: Windows, rarity: dict[int, int], slop: int | None):
     return run
 
 
+def _parts(items: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
+    """The items in parts of at most PART bytes of text; a longer text is alone."""
+    part, size = [], 0
+    for r in items.toLocalIterator():
+        n = len((r.text or "").encode())
+        if part and size + n > PART:
+            yield part
+            part, size = [], 0
+        part.append((r.item_id, r.text))
+        size += n
+    yield part
+
+
 def find(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, items, near) for each row of ``docs`` (doc_id, text), against ``items`` (item_id, text).
 
@@ -193,17 +219,27 @@ def find(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int | None
     of a window whose words are near each other in any order. A null or empty text has no words: no hits, and as an item
     no windows. Items that share an id count once. Rows are kept as they are, so repeated rows repeat in the result.
 
-    The test texts are read on the driver in parts of at most PART bytes, whose size is checked: each part is one pass
-    over the documents, and the parts' hits are joined on the row.
+    Test texts of more than PART bytes are taken in parts: the index holds the terms of all, each part is one pass over
+    it that adds its hits to what the shards carry, and documents are counted after the last.
     """
     items = items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > PART:
-        raise ValueError(f"the test texts have {size} bytes, more than the {PART} that are sent to each executor: call find() for parts of them and add up")
-    windows = Windows([(r.item_id, r.text) for r in items.collect()], width)
-    index = build_index(docs, windows.terms)
-    rarity = {r.term: r.n for r in frequencies(index).collect()}  # at most a row for each test term
-    return index.mapInArrow(_match(windows, rarity, slop), "doc_id long, n_words long, n_hit long, items array<string>, near boolean")
+    out = "doc_id long, n_words long, n_hit long, items array<string>, near boolean"
+    if size <= PART:
+        windows = Windows([(r.item_id, r.text) for r in items.collect()], width)
+        index = build_index(docs, windows.terms)
+        rarity = {r.term: r.n for r in frequencies(index).collect()}  # at most a row for each test term
+        return index.mapInArrow(_match(windows, rarity, slop), out)
+    items = written(items, "items")
+    terms = np.empty(0, np.int64)
+    for part in _parts(items):
+        terms = np.union1d(terms, hash_words(sorted({x for _, text in part for x in item_words(text)})).view(np.int64))
+    shards = build_index(docs, terms)
+    rarity = {r.term: r.n for r in frequencies(shards).collect()}
+    for part in _parts(items):
+        windows = Windows(part, width)
+        shards = written(shards.mapInArrow(_match(windows, {t: rarity[t] for t in windows.terms.tolist() if t in rarity}, slop, last=False), CARRIED), "part")
+    return shards.mapInArrow(_match(Windows([], width), {}, slop), out)
 
 
 def digest(ids: list[str]) -> str:

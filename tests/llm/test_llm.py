@@ -239,6 +239,18 @@ def test_decontamination(spark, docs, odd):
     assert {r.doc_id: (r.near, r.n_hit) for r in near} == {1: (True, 0), 2: (False, 0)}
 
 
+def test_decontamination_in_parts(spark, docs, odd, monkeypatch):
+    """Windows of two parts that overlap in a document, an id in both, and a text longer than a part: as in one part."""
+    mine = [(900, "a b c"), (901, None), (902, "b c d e"), (900, "d e f g"), (903, "z " * 3000)]
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame(mine, "item_id long, text string"))
+    texts = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(77, "x a b c d e f g y"), (78, "z " * 12)], "doc_id long, text string"))
+    rows = lambda: sorted(map(repr, decontamination.find(texts, items, slop=2).collect()))
+    whole = rows()
+    assert any("doc_id=77, n_words=9, n_hit=7, items=['900', '900', '902']" in x for x in whole)
+    monkeypatch.setattr(decontamination, "PART", 400)
+    assert rows() == whole
+
+
 def test_odd_and_empty_tables(spark, odd):
     for df, n in ((odd, 13), (odd.limit(0), 0)):
         assert ngram_jaccard.jaccard_components(df).count() == n
