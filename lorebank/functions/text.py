@@ -298,11 +298,12 @@ def mcq_readiness(composite: Column, tags: Column) -> Column:
 # web
 
 
-def sentences(text: Column, least: int = 6, most: int = 80, cap: int = 15) -> Column:
-    """Sentences of so many words with a letter, none with a pipe or tab, with a final mark; the first ``cap``."""
+def sentences(text: Column, least: int = 6, most: int = 80, cap: int | None = None) -> Column:
+    """Sentences of so many words with a letter, none with a pipe or tab, with a final mark; all, or the first ``cap``."""
     parts = F.transform(F.split(text, r"(?<=[.।!?])\s+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     kept = F.filter(parts, lambda p: (p != "") & ~p.rlike(r"[|\t]") & F.size(F.split(p, r"\s+")).between(least, most) & p.rlike(r"[a-zA-Zঀ-৿]"))
-    return F.slice(F.transform(kept, lambda p: F.when(p.rlike("[.।!?]$"), p).otherwise(F.concat(p, F.lit(".")))), 1, cap)
+    closed = F.transform(kept, lambda p: F.when(p.rlike("[.।!?]$"), p).otherwise(F.concat(p, F.lit("."))))
+    return closed if cap is None else F.slice(closed, 1, cap)
 
 
 def host(url: Column) -> Column:

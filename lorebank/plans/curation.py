@@ -42,9 +42,9 @@ def unmapped_facts(s, d):
     return D.facts(s, d).where("source_url = ''").select("fact_id")
 
 
-@q("fact_lookup", "SELECT fact_id, text, verdict FROM scored WHERE fact_id = 101")
+@q("fact_lookup", "SELECT fact_id, text, verdict FROM scored WHERE fact_id = 200000001")
 def fact_lookup(s, d):
-    return FS(s, d).where("fact_id = 101").select("fact_id", "text", "verdict")
+    return FS(s, d).where("fact_id = 200000001").select("fact_id", "text", "verdict")
 
 
 @q("web_quality_gate", "SELECT fact_id, round(composite * 1e6) / 1e6 AS composite FROM scored WHERE composite >= 0.5")
@@ -75,7 +75,7 @@ def topic_density(s, d):
     return n.select("topic", F.explode(rows).alias("x")).select("topic", "x.*")
 
 
-GRAPH = SCORED + RUNS.replace("FROM facts)),", "FROM facts)),", 1) + """,
+GRAPH = SCORED + RUNS + """,
 ent AS (SELECT DISTINCT fact_id, 'ENTITY_' || regexp_replace(trim(e), '\\s', '_', 'g') AS ename, regexp_replace(trim(e), '\\s', '_', 'g') AS x FROM kept WHERE n <= 8),
 nodes AS (SELECT 'FACT_' || fact_id AS node_id, 'FACT' AS type FROM facts UNION SELECT 'TOPIC_' || upper(topic), 'TOPIC' FROM facts UNION SELECT 'SOURCE_' || sha256(source_url)[1:12], 'SOURCE' FROM facts UNION SELECT ename, 'ENTITY' FROM ent),
 edges AS (SELECT 'FACT_' || fact_id AS src, 'TOPIC_' || upper(topic) AS dst, 'ABOUT' AS relation, fact_id AS seq FROM facts UNION ALL SELECT 'FACT_' || fact_id, 'SOURCE_' || sha256(source_url)[1:12], 'SUPPORTED_BY', fact_id FROM facts UNION ALL SELECT ename, 'FACT_' || fact_id, 'SUBJECT_OF', fact_id FROM ent)
@@ -120,13 +120,13 @@ def scan_json_bank(s, d):
 
 
 @g("add_questions", """, qs AS (SELECT conv_id * 1000 + turn AS question_id, role, conv_id, turn FROM conversations),
-asks AS (SELECT DISTINCT question_id, fact_id FROM (SELECT question_id, unnest([conv_id * 100 + 1, conv_id * 100 + turn + 1]) AS fact_id FROM qs) WHERE fact_id IN (SELECT fact_id FROM facts))
+asks AS (SELECT DISTINCT question_id, fact_id FROM (SELECT question_id, unnest([conv_id * 200000000 + 1, conv_id * 200000000 + turn + 1]) AS fact_id FROM qs) WHERE fact_id IN (SELECT fact_id FROM facts))
 SELECT 'ABOUT' AS relation, count(*) AS n FROM qs UNION ALL SELECT 'ASKS_FOR', count(*) FROM asks UNION ALL SELECT CASE WHEN role = 'user' THEN 'REFINES' ELSE 'DERIVED_FROM' END, count(*) FROM qs WHERE turn > 0 GROUP BY 1
 UNION ALL SELECT 'unmapped', count(*) FROM qs WHERE question_id NOT IN (SELECT question_id FROM asks)""")
 def add_questions(s, d):
     """Edges of questions by relation, and questions of which no fact exists; here turns, which ask for facts of the document with their number."""
     c = D.table(s, d, "conversations")
-    ask = F.array(F.col("conv_id") * 100 + 1, F.col("conv_id") * 100 + F.col("turn") + 1)
+    ask = F.array(F.col("conv_id") * D.ROOM + 1, F.col("conv_id") * D.ROOM + F.col("turn") + 1)
     number = F.col("conv_id") * 1000 + F.col("turn")
     questions = c.select(number.alias("question_id"), F.col("role").alias("topic"), ask.alias("fact_ids"), F.when(F.col("turn") > 0, number - 1).alias("parent_id"), (F.col("role") == "user").alias("refines"))
     nodes, edges = G.add_questions(graph(s, d)[0], questions)
@@ -280,9 +280,9 @@ def m_tcs(s, d):
     return targets.join(n, "topic", "left").agg(T.rnd(F.avg((F.coalesce("n", F.lit(0)) >= 3).cast("int")), 4).alias("value"))
 
 
-@q("m_fus", "SELECT round(avg(CAST(fact_id % 100 <= 2 AS INT)) * 1e4) / 1e4 AS value FROM scored WHERE verdict <> 'REJECT'")
+@q("m_fus", "SELECT round(avg(CAST(fact_id % 200000000 <= 2 AS INT)) * 1e4) / 1e4 AS value FROM scored WHERE verdict <> 'REJECT'")
 def m_fus(s, d):
     """Share of usable facts that are used; here the first two sentences of each document are."""
     f = FS(s, d)
-    used = f.where("fact_id % 100 <= 2").select("fact_id", F.lit(1).alias("used"))
+    used = f.where(F.col("fact_id") % D.ROOM <= 2).select("fact_id", F.lit(1).alias("used"))
     return f.where("verdict <> 'REJECT'").join(used, "fact_id", "left").agg(T.rnd(F.avg(F.coalesce("used", F.lit(0))), 4).alias("value"))

@@ -124,12 +124,11 @@ def export_dataset(s, d):
 
 
 @q("episode_detail", ("episodes", "episode_facts", "mcqs"), """SELECT e.episode_id, e.topic, coalesce((SELECT string_agg(fact_id, ',' ORDER BY fact_id) FROM episode_facts f WHERE f.episode_id = e.episode_id), '') AS fact_ids,
- coalesce((SELECT string_agg(mcq_id, ',' ORDER BY mcq_id) FROM mcqs m WHERE m.episode_id = e.episode_id), '') AS mcq_ids FROM episodes e WHERE e.episode_id < 500""")
+ coalesce((SELECT string_agg(mcq_id, ',' ORDER BY mcq_id) FROM mcqs m WHERE m.episode_id = e.episode_id), '') AS mcq_ids FROM episodes e""")
 def episode_detail(s, d):
-    some = "episode_id < 500"  # the ids asked for
-    f = EF(s, d).where(some).groupBy("episode_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("fact_id")), lambda x: x.cast("string")), ",").alias("fact_ids"))
-    m = Q(s, d).where(some).groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_list("mcq_id")), ",").alias("mcq_ids"))
-    return E(s, d).where(some).join(f, "episode_id", "left").join(m, "episode_id", "left").select("episode_id", "topic", F.coalesce("fact_ids", F.lit("")).alias("fact_ids"), F.coalesce("mcq_ids", F.lit("")).alias("mcq_ids"))
+    f = EF(s, d).groupBy("episode_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("fact_id")), lambda x: x.cast("string")), ",").alias("fact_ids"))
+    m = Q(s, d).groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_list("mcq_id")), ",").alias("mcq_ids"))
+    return E(s, d).join(f, "episode_id", "left").join(m, "episode_id", "left").select("episode_id", "topic", F.coalesce("fact_ids", F.lit("")).alias("fact_ids"), F.coalesce("mcq_ids", F.lit("")).alias("mcq_ids"))
 
 
 @q("feedback_stats", ("feedback",), "SELECT 'total' AS kind, 'all' AS key, count(*) AS n, coalesce(round(avg(rating) * 100) / 100, 0) AS avg_rating FROM feedback UNION ALL SELECT 'rating', CAST(rating AS VARCHAR), count(*), NULL FROM feedback GROUP BY rating UNION ALL SELECT 'category', category, count(*), NULL FROM feedback WHERE category IS NOT NULL GROUP BY category")

@@ -8,26 +8,38 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Room for the sentences of one document in a fact_id: a string has less than 2**31 bytes and a sentence at least 12.
+ROOM = 200_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table with fewer files than the session has cores, dealt over these; a larger table as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fact_id, text, topic, publisher, source_url: the sentences of documents."""
-    docs = table(spark, sf_dir, "documents")
+    """fact_id, text, topic, publisher, source_url: all sentences of documents. A null doc_id gives a null fact_id."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     n = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     site = F.when(n < 5, ".gov.bd/").when(n < 10, ".edu/").when(n < 15, ".wikipedia.org/")
     url = F.coalesce(F.concat(F.lit("https://"), F.col("source"), site), F.lit(""))
     rows = docs.select("doc_id", "lang", "source", url.alias("source_url"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "text"))
-    return rows.select((F.col("doc_id") * 100 + F.col("pos") + 1).alias("fact_id"), "text", F.col("lang").alias("topic"), F.col("source").alias("publisher"), "source_url")
+    return rows.select((F.col("doc_id") * ROOM + F.col("pos") + 1).alias("fact_id"), "text", F.col("lang").alias("topic"), F.col("source").alias("publisher"), "source_url")
 
 
 def scored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facts with the parts of their quality, composite, verdict, tags and readiness."""
     t = F.col("text")
-    parts = facts(spark, sf_dir).select(
-        "*", T.linguistic_clarity(t).alias("clarity"), T.factual_structure(t).alias("structure"), T.source_reliability(F.col("source_url"), F.col("publisher")).alias("reliability"), F.lit(0.7).alias("freshness")
+    part = F.struct(
+        T.linguistic_clarity(t).alias("clarity"), T.factual_structure(t).alias("structure"), T.source_reliability(F.col("source_url"), F.col("publisher")).alias("reliability"), F.lit(0.7).alias("freshness")
     )
+    # a generator of one row keeps filters on the scores from being pushed below them, where each use would compute them anew
+    parts = facts(spark, sf_dir).select("*", F.inline(F.array(part)))
     scored = parts.withColumn("composite", T.fact_composite(F.col("clarity"), F.col("structure"), F.col("reliability"), F.col("freshness")))
     tagged = scored.withColumns({"verdict": T.fact_verdict(F.col("composite")), "tags": T.mcq_tags(t)})
     return tagged.withColumn("readiness", T.mcq_readiness(F.col("composite"), F.col("tags")))
@@ -73,9 +85,9 @@ CTE = {
     "parts": r"""parts AS (SELECT doc_id, lang, source, unnest(string_split(regexp_replace(text, '([.।!?])\s+', '\1' || chr(30), 'g'), chr(30))) AS raw, generate_subscripts(string_split(regexp_replace(text, '([.।!?])\s+', '\1' || chr(30), 'g'), chr(30)), 1) AS n FROM documents),
 good AS (SELECT doc_id, lang, source, n, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS p FROM parts),
 fine AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos FROM good WHERE p <> '' AND NOT regexp_matches(p, '[|\t]') AND len(regexp_extract_all(p, '\S+')) BETWEEN 6 AND 80 AND regexp_matches(p, '[a-zA-Z\x{0980}-\x{09FF}]')),
-facts AS (SELECT doc_id * 100 + pos AS fact_id, CASE WHEN regexp_matches(p, '[.।!?]$') THEN p ELSE p || '.' END AS text, lang AS topic, source AS publisher,
+facts AS (SELECT doc_id * 200000000 + pos AS fact_id, CASE WHEN regexp_matches(p, '[.।!?]$') THEN p ELSE p || '.' END AS text, lang AS topic, source AS publisher,
   CASE WHEN CAST(regexp_extract(source, '[0-9]+') AS INT) < 5 THEN 'https://' || source || '.gov.bd/' WHEN CAST(regexp_extract(source, '[0-9]+') AS INT) < 10 THEN 'https://' || source || '.edu/'
-       WHEN CAST(regexp_extract(source, '[0-9]+') AS INT) < 15 THEN 'https://' || source || '.wikipedia.org/' ELSE '' END AS source_url FROM fine WHERE pos <= 15)""",
+       WHEN CAST(regexp_extract(source, '[0-9]+') AS INT) < 15 THEN 'https://' || source || '.wikipedia.org/' ELSE '' END AS source_url FROM fine)""",
     "episodes": "episodes AS (SELECT o_orderkey AS episode_id, o_orderpriority AS topic, o_orderdate AS ts, o_totalprice / 500000.0::DOUBLE AS score, CAST(o_orderstatus = 'F' AS INT) AS accepted, o_custkey AS asker FROM orders)",
     "episode_facts": "episode_facts AS (SELECT l_orderkey AS episode_id, l_partkey AS fact_id FROM lineitem)",
     "mcqs": "mcqs AS (SELECT l_orderkey || '-' || l_linenumber AS mcq_id, l_orderkey AS episode_id, l_partkey AS fact_id, 1::DOUBLE AS format, 1 - l_discount AS grounding, l_quantity / 50::DOUBLE AS clarity, 1 - l_tax AS distractor, CASE l_returnflag WHEN 'A' THEN 'easy' WHEN 'N' THEN 'medium' ELSE 'hard' END AS difficulty, 0.20::DOUBLE * 1::DOUBLE + 0.35::DOUBLE * (1 - l_discount) + 0.25::DOUBLE * (l_quantity / 50::DOUBLE) + 0.20::DOUBLE * (1 - l_tax) AS quality FROM lineitem)",

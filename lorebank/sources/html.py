@@ -66,9 +66,13 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.pandas_udf(_text, "string")("html").alias("text"))
 
 
+#: Fixed value: sentences taken of one page, a feature of the fetch step.
+PER_PAGE = 15
+
+
 def page_sentences(pages: DataFrame) -> DataFrame:
-    """page_id, pos, sentence, hash: sentences of pages on hosts that are not blocked; the first of equal ones stays."""
-    rows = page_text(pages).where(~T.blocked(F.col("url"))).select("page_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    """page_id, pos, sentence, hash: the first sentences of pages on hosts that are not blocked; the first of equal ones stays."""
+    rows = page_text(pages).where(~T.blocked(F.col("url"))).select("page_id", F.posexplode(T.sentences(F.col("text"), cap=PER_PAGE)).alias("pos", "sentence"))
     rows = rows.withColumn("hash", F.substring(F.md5("sentence"), 1, 12))
     first = Window.partitionBy("hash").orderBy("page_id", "pos")
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
