@@ -48,14 +48,14 @@ PLACE = ("রাজধানী", "সদর দপ্তর", "অবস্থ
 
 BLOCKED_DOMAINS = ("facebook.com", "twitter.com", "instagram.com", "youtube.com", "reddit.com", "tiktok.com", "pinterest.com")
 PUBLISHERS = (("en.wikipedia.org", "Wikipedia (EN)"), ("bn.wikipedia.org", "Wikipedia (BN)"), ("banglapedia.org", "Banglapedia"), ("bbs.gov.bd", "Bangladesh Bureau of Statistics"), ("thedailystar.net", "The Daily Star"), ("prothomalo.com", "Prothom Alo"), ("bdnews24.com", "bdnews24.com"), ("bbc.com", "BBC"))
-#: Families of question patterns, case-insensitive.
+#: Families of question patterns, case-insensitive. A Bengali word that ends in a vowel sign has its word end only before a letter.
 HISTORICAL = (
-    ("dates", r"(^|[^\p{L}\p{N}_])[0-9]{4}([^\p{L}\p{N}_]|$)|সালে|সনে"),
+    ("dates", r"(^|[^\p{L}\p{N}_])\p{Nd}{4}([^\p{L}\p{N}_]|$)|সালে|সনে"),
     ("treaties", r"চুক্তি|treaty|accord|agreement"),
     ("appointments", r"নিযুক্ত|appoint|elected|chairman|director"),
     ("rankings", r"rank|largest|smallest|first|প্রথম|বৃহত্তম"),
     ("organizations", r"un|unesco|who|imf|saarc|oic|wto|ngo|সংস্থা|organization"),
     ("locations", r"কোথায়|located|capital|district|division|city|নদী|পর্বত"),
-    ("one_fact_recall", r"(^|[^\p{L}\p{N}_])(who|what|when)([^\p{L}\p{N}_]|$)"),
+    ("one_fact_recall", r"(^|[^\p{L}\p{N}_])((who|what|when|কখন)([^\p{L}\p{N}_]|$)|(কে|কী)[\p{L}\p{N}_])"),
 )
 OPTION_KEYS = ("ক", "খ", "গ", "ঘ")

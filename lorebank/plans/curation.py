@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import metrics
 from ..operators import similarity as S
 from ..sources import bank
 from ..sources import domain as D
@@ -270,19 +271,24 @@ def m_qss(s, d):
 
 @q("m_fqs", "SELECT round(avg(composite) * 1e4) / 1e4 AS value FROM scored")
 def m_fqs(s, d):
-    return FS(s, d).agg(T.rnd(F.avg("composite"), 4).alias("value"))
+    return metrics.mean(FS(s, d), "composite")
+
+
+def targets(s):
+    return s.createDataFrame([(t,) for t in ("en", "fr", "de", "es", "xx")], "topic string")
+
+
+def used(facts):
+    """The facts of accepted questions: here the first two sentences of each document."""
+    return facts.where(F.col("fact_id") % D.ROOM <= 2).select("fact_id")
 
 
 @q("m_tcs", ", n AS (SELECT topic, count(*) AS n FROM scored WHERE verdict <> 'REJECT' GROUP BY topic), t AS (SELECT unnest(['en', 'fr', 'de', 'es', 'xx']) AS topic) SELECT round(avg(CAST(coalesce(n, 0) >= 3 AS INT)) * 1e4) / 1e4 AS value FROM t LEFT JOIN n USING (topic)")
 def m_tcs(s, d):
-    targets = s.createDataFrame([(t,) for t in ("en", "fr", "de", "es", "xx")], "topic string")
-    n = FS(s, d).where("verdict <> 'REJECT'").groupBy("topic").agg(F.count("*").alias("n"))
-    return targets.join(n, "topic", "left").agg(T.rnd(F.avg((F.coalesce("n", F.lit(0)) >= 3).cast("int")), 4).alias("value"))
+    return metrics.topic_coverage(FS(s, d), targets(s))
 
 
 @q("m_fus", "SELECT round(avg(CAST(fact_id % 200000000 <= 2 AS INT)) * 1e4) / 1e4 AS value FROM scored WHERE verdict <> 'REJECT'")
 def m_fus(s, d):
-    """Share of usable facts that are used; here the first two sentences of each document are."""
     f = FS(s, d)
-    used = f.where(F.col("fact_id") % D.ROOM <= 2).select("fact_id", F.lit(1).alias("used"))
-    return f.where("verdict <> 'REJECT'").join(used, "fact_id", "left").agg(T.rnd(F.avg(F.coalesce("used", F.lit(0))), 4).alias("value"))
+    return metrics.fact_utilisation(f, used(f))

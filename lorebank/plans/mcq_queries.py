@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.wordlists import HISTORICAL
-from ..operators import loop, mcq
+from ..operators import loop, mcq, metrics
 from ..sources import domain as D
+from ..sources.scratch import written
 from ..streaming import limits
 from .registry import query
-from .text_queries import lit
+from .text_queries import SCORED, lit
 
 Q, FB, RL = D.episode_mcqs, D.feedback, D.run_log
 
@@ -20,9 +21,11 @@ def q(name: str, body: str, *tables: str):
 
 
 def agg(name: str, oracle: str, of) -> None:
+    """A metric of all questions."""
+
     @q(name, oracle)
     def run(s, d):
-        return Q(s, d).agg(of().alias("value"))
+        return of(Q(s, d))
 
 
 OPTIONS = r""", o AS (SELECT mcq_id, fact_id, 'option ' || (fact_id % 7) AS a, 'option ' || (fact_id % 5) AS b, 'quite another ' || difficulty AS c, 'something else ' || fact_id AS d FROM mcqs)
@@ -86,13 +89,13 @@ def reasoner_judge_join(s, d):
     return a.select("mcq_id").distinct().join(answers, "mcq_id", "left").select("mcq_id", F.coalesce("answer", F.lit("N/A")).alias("answer"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-BATCHED = GRADED + ", b AS (SELECT strftime(ts, '%Y-%m') AS batch, fact_id, passed FROM g JOIN episodes USING (episode_id))\n"
+BATCHED = GRADED + ", b AS (SELECT strftime(ts, '%Y-%m') AS batch, fact_id, passed AND accepted = 1 AS passed FROM g JOIN episodes USING (episode_id))\n"
 
 
 def batched(s, d):
-    """Graded questions with their batch, here the month of their episode."""
-    month = D.episodes(s, d).select("episode_id", F.date_format("ts", "yyyy-MM").alias("batch"))
-    return graded(s, d).join(month, "episode_id").select("batch", "fact_id", "passed")
+    """Graded questions with their batch, here the month of their episode, which has to be accepted as well."""
+    month = D.episodes(s, d).select("episode_id", F.date_format("ts", "yyyy-MM").alias("batch"), "accepted")
+    return graded(s, d).join(month, "episode_id").select("batch", "fact_id", (F.col("passed") & (F.col("accepted") == 1)).alias("passed"))
 
 
 @q("facts_for_batch", BATCHED + "SELECT DISTINCT batch, fact_id FROM b WHERE fact_id IN (SELECT p_partkey FROM part)", "episodes", "mcqs")
@@ -109,19 +112,11 @@ def pending_facts(s, d):
     return covered.where("not done").select("batch", "fact_id")
 
 
-# metrics: one aggregate each; an empty denominator gives null unless the metric says 0
-def ratio(a, b, n: int = 4):
-    return T.rnd(a / F.nullif(b, F.lit(0)), n).alias("value")
-
-
-METRICS = {
-    "m_msv": ("round(coalesce(avg(CAST(format >= 0.5 AS INT)), 0) * 1e4) / 1e4", lambda: T.rnd(F.coalesce(F.avg((F.col("format") >= 0.5).cast("int")), F.lit(0.0)), 4)),
-    "m_ga": ("round(coalesce(avg(CAST(grounding >= 0.80 AS INT)), 0) * 1e4) / 1e4", lambda: T.rnd(F.coalesce(F.avg((F.col("grounding") >= 0.80).cast("int")), F.lit(0.0)), 4)),
-    "m_dqs": ("round(avg(distractor) * 1e9) / 1e9", lambda: T.rnd(F.avg("distractor"), 9)),
-    "m_cs": ("round(avg(clarity) * 1e9) / 1e9", lambda: T.rnd(F.avg("clarity"), 9)),
-}
-for _name, (_sql, _of) in METRICS.items():
-    agg(_name, f"SELECT {_sql} AS value FROM mcqs", _of)
+# metrics
+agg("m_msv", "SELECT round(coalesce(avg(CAST(format >= 0.5 AS INT)), 0) * 1e4) / 1e4 AS value FROM mcqs", metrics.structural_validity)
+agg("m_ga", "SELECT round(coalesce(avg(CAST(grounding >= 0.80 AS INT)), 0) * 1e4) / 1e4 AS value FROM mcqs", metrics.grounding_accuracy)
+agg("m_dqs", "SELECT round(avg(distractor) * 1e9) / 1e9 AS value FROM mcqs", lambda x: metrics.mean(x, "distractor", 9))
+agg("m_cs", "SELECT round(avg(clarity) * 1e9) / 1e9 AS value FROM mcqs", lambda x: metrics.mean(x, "clarity", 9))
 
 
 def levels(name: str, target: dict[str, float]) -> None:
@@ -139,47 +134,35 @@ def levels(name: str, target: dict[str, float]) -> None:
 levels("m_dce", {"easy": 0.33, "medium": 0.34, "hard": 0.33})
 levels("m_ddms", {"easy": 0.25, "medium": 0.50, "hard": 0.25})
 
-#: Ratios over the run log: numerator and denominator as SQL conditions on stage and seconds.
-RATIOS = {
-    "m_mus": ("stage = 'view'", "true"), "m_les": ("stage = 'purchase'", "true"), "m_rir": ("stage = 'click' AND seconds > 50", "stage = 'click'"), "m_fe": ("stage = 'error' AND seconds > 20", "stage = 'error'"),
-    "m_sce": ("stage = 'error' AND seconds > 40", "stage = 'error'"), "m_aes": ("stage = 'purchase'", "stage <> 'error'"), "m_feu": ("stage = 'click' AND seconds > 80", "stage = 'click'"), "m_eesr": ("stage <> 'error'", "true"),
-}
-for _name, (_a, _b) in RATIOS.items():
-
-    @q(_name, f"SELECT round(count(*) FILTER ({_a}) / nullif(count(*) FILTER ({_b}), 0)::DOUBLE * 1e4) / 1e4 AS value FROM run_log", "run_log")
-    def _ratio(s, d, a=_a, b=_b):
-        return RL(s, d).agg(ratio(F.count_if(F.expr(a)), F.count_if(F.expr(b))))
-
-
-PAID = "stage = 'purchase'"
+for _name, (_over, _under, _n) in metrics.RATIOS.items():
 
+    @q(_name, f"SELECT round(sum({_over}) / nullif(sum({_under}), 0)::DOUBLE * 1e{_n}) / 1e{_n} AS value FROM telemetry", "telemetry")
+    def _ratio(s, d, name=_name):
+        return metrics.ratio(D.telemetry(s, d), name)
 
-@q("m_cam", f"SELECT round(sum(seconds) / nullif(count(*) FILTER ({PAID}), 0) * 1e3) / 1e3 AS value FROM run_log", "run_log")
-def m_cam(s, d):
-    return RL(s, d).agg(ratio(F.sum("seconds"), F.count_if(F.expr(PAID)), 3))
 
-
-@q("m_lso", f"SELECT round(sum(seconds) / nullif(count(*) FILTER ({PAID}), 0) * 100) / 100 AS value FROM run_log", "run_log")
-def m_lso(s, d):
-    return RL(s, d).agg(ratio(F.sum("seconds"), F.count_if(F.expr(PAID)), 2))
-
-
-@q("m_as", "SELECT nullif(count(DISTINCT stage), 0) AS value FROM run_log", "run_log")
+@q("m_as", "SELECT CAST(nullif(max(iterations_to_target), 0) AS BIGINT) AS value FROM telemetry", "telemetry")
 def m_as(s, d):
-    return RL(s, d).select("stage").distinct().agg(F.nullif(F.count("*"), F.lit(0)).alias("value"))
+    return metrics.adaptation_speed(D.telemetry(s, d))
 
 
-@q("m_ggle", ", g AS (SELECT count(*) FILTER (grounding >= 0.95) AS ok, avg(CAST(grounding >= 0.95 AS INT)) AS ga FROM mcqs), c AS (SELECT sum(seconds) AS cost FROM run_log) SELECT CASE WHEN cost > 0 THEN round(ok * ga / (cost * 3) * 1e6) / 1e6 END AS value FROM g, c", "mcqs", "run_log")
+@q("m_ggle", """, g AS (SELECT round(avg(CAST(grounding >= 0.80 AS INT)) * 1e4) / 1e4 AS ga FROM mcqs), t AS (SELECT sum(accepted_mcqs) AS k, sum(cost_usd) AS cost, greatest(max(iterations_to_target), 1) AS rounds FROM telemetry)
+SELECT CASE WHEN cost > 0 THEN round(k * ga / (cost * rounds) * 1e6) / 1e6 END AS value FROM g, t""", "mcqs", "telemetry")
 def m_ggle(s, d):
-    ok = F.col("grounding") >= 0.95
-    g = Q(s, d).agg(F.count_if(ok).alias("ok"), F.avg(ok.cast("int")).alias("ga")).crossJoin(RL(s, d).agg(F.sum("seconds").alias("cost")))
-    return g.select(F.when(F.col("cost") > 0, T.rnd(F.col("ok") * F.col("ga") / (F.col("cost") * 3), 6)).alias("value"))
+    return metrics.graph_grounded_efficiency(Q(s, d), D.telemetry(s, d))
 
 
-@query("m_jas", "SELECT round(avg(CAST((quality = 1) = (n_chars > 1000) AS INT)) * 1e4) / 1e4 AS value FROM labels JOIN documents USING (doc_id)")
+@query("m_jas", D.sql(SCORED + """, machine AS (SELECT CAST(floor(fact_id / 200000000) AS BIGINT) AS doc_id, round(avg(composite) * 1e6) / 1e6 >= 0.55 AS yes FROM scored GROUP BY 1)
+SELECT round(avg(CAST((quality = 1) = yes AS INT)) * 1e4) / 1e4 AS value FROM labels JOIN machine USING (doc_id)""", "parts"))
 def m_jas(s, d):
-    x = D.table(s, d, "labels").join(D.table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return x.agg(T.rnd(F.avg(((F.col("quality") == 1) == (F.col("n_chars") > 1000)).cast("int")), 4).alias("value"))
+    """The labels of documents against the mean composite of their sentences, which accepts or refines from .55 on."""
+    human = D.table(s, d, "labels").select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("yes"))
+    return metrics.judge_agreement(human, machine_verdicts(D.scored_facts(s, d)))
+
+
+def machine_verdicts(scored):
+    mean = scored.groupBy(F.expr(f"fact_id div {D.ROOM}").alias("case_id")).agg(T.rnd(F.avg("composite"), 6).alias("x"))
+    return mean.select("case_id", T.fact_verdict(F.col("x")).isin("ACCEPT", "REFINE").alias("yes"))
 
 
 @q("m_tas", ", b AS (SELECT unnest(['1-urgent', '2-high', 'other']) AS t) SELECT round(avg(CAST(t IN (SELECT lower(topic) FROM episodes) AS INT)) * 1e4) / 1e4 AS value FROM b", "episodes")
@@ -191,19 +174,27 @@ def m_tas(s, d):
 
 @query("m_chp", "SELECT round((" + " + ".join(f"CAST(bool_or(regexp_matches(lower(text), {lit(rx)})) AS INT)" for _, rx in HISTORICAL) + ") / 7::DOUBLE * 1e4) / 1e4 AS value FROM conversations")
 def m_chp(s, d):
-    low = F.lower("text")
-    found = sum((F.bool_or(low.rlike(rx)).cast("int") for _, rx in HISTORICAL), F.lit(0))
-    return D.table(s, d, "conversations").agg(T.rnd(found / 7.0, 4).alias("value"))
+    return metrics.historical_patterns(D.table(s, d, "conversations"))
 
 
 @query("full_report")
 def full_report(s, d):
-    """(metric, value) of the whole family."""
+    """(metric, value) of the whole family; what several metrics read is scored or counted once and written."""
+    from . import curation as C
     from .registry import QUERIES
 
+    scored = written(D.scored_facts(s, d).select("fact_id", "topic", "composite", "verdict"))
+    told = written(D.telemetry(s, d))
+    asked = Q(s, d)
+    human = D.table(s, d, "labels").select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("yes"))
+    given = {
+        "m_fqs": metrics.mean(scored, "composite"), "m_tcs": metrics.topic_coverage(scored, C.targets(s)), "m_fus": metrics.fact_utilisation(scored, C.used(scored)),
+        "m_jas": metrics.judge_agreement(human, machine_verdicts(scored)), "m_as": metrics.adaptation_speed(told), "m_ggle": metrics.graph_grounded_efficiency(asked, told),
+        **{name: metrics.ratio(told, name) for name in metrics.RATIOS},
+    }
     out = None
     for name in sorted(n for n in QUERIES if n.startswith("m_")):
-        row = QUERIES[name](s, d).select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        row = (given.get(name) or QUERIES[name](s, d)).select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -80,6 +80,20 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"), "ts", F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
 
 
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each run, here a user's events of one day, with the columns of operators.metrics.TELEMETRY."""
+    n = lambda c: F.count_if(F.expr(c))
+    runs = run_log(spark, sf_dir).groupBy("run_id", F.to_date("ts").alias("day"))
+    return runs.agg(
+        F.lit(1).alias("pipeline_runs"), F.bool_and(F.col("stage") != "error").cast("int").alias("successful_runs"), (F.sum("seconds") / 1000.0).alias("cost_usd"), F.sum("seconds").alias("processing_seconds"),
+        F.count("*").alias("agent_interactions"), n("stage = 'signup'").alias("episodes_assisted"), n("stage <> 'error'").alias("generations"), n("stage = 'purchase'").alias("accepted_mcqs"),
+        n("stage = 'click'").alias("regenerated_mcqs"), n("stage = 'click' and seconds > 50").alias("improved_after_regen"), n("stage = 'error'").alias("initial_failures"),
+        n("stage = 'error' and seconds > 40").alias("corrected_failures"), n("stage = 'click' and seconds < 200").alias("regen_with_feedback"),
+        n("stage = 'click' and seconds > 80 and seconds < 200").alias("regen_improved_with_feedback"), n("stage = 'error' and seconds < 100").alias("low_quality_identified"),
+        n("stage = 'error' and seconds < 30").alias("low_quality_removed"), F.size(F.collect_set("stage")).alias("iterations_to_target"),
+    )
+
+
 #: The same tables as DuckDB common table expressions.
 CTE = {
     "parts": r"""parts AS (SELECT doc_id, lang, source, unnest(string_split(regexp_replace(text, '([.।!?])\s+', '\1' || chr(30), 'g'), chr(30))) AS raw, generate_subscripts(string_split(regexp_replace(text, '([.।!?])\s+', '\1' || chr(30), 'g'), chr(30)), 1) AS n FROM documents),
@@ -93,6 +107,12 @@ facts AS (SELECT doc_id * 200000000 + pos AS fact_id, CASE WHEN regexp_matches(p
     "mcqs": "mcqs AS (SELECT l_orderkey || '-' || l_linenumber AS mcq_id, l_orderkey AS episode_id, l_partkey AS fact_id, 1::DOUBLE AS format, 1 - l_discount AS grounding, l_quantity / 50::DOUBLE AS clarity, 1 - l_tax AS distractor, CASE l_returnflag WHEN 'A' THEN 'easy' WHEN 'N' THEN 'medium' ELSE 'hard' END AS difficulty, 0.20::DOUBLE * 1::DOUBLE + 0.35::DOUBLE * (1 - l_discount) + 0.25::DOUBLE * (l_quantity / 50::DOUBLE) + 0.20::DOUBLE * (1 - l_tax) AS quality FROM lineitem)",
     "feedback": "feedback AS (SELECT event_id AS id, user_id AS episode_id, CAST(floor(value) % 5 + 1 AS INT) AS rating, event_type AS category, ts AS created_at, CAST(json_extract_string(props, '$.k') AS BIGINT) AS fact_id FROM events)",
     "run_log": "run_log AS (SELECT event_id AS seq, user_id AS run_id, ts, event_type AS stage, value AS seconds FROM events)",
+    "telemetry": """telemetry AS (SELECT 1 AS pipeline_runs, CAST(bool_and(event_type <> 'error') AS INT) AS successful_runs, sum(value) / 1000 AS cost_usd, sum(value) AS processing_seconds, count(*) AS agent_interactions,
+  count(*) FILTER (event_type = 'signup') AS episodes_assisted, count(*) FILTER (event_type <> 'error') AS generations, count(*) FILTER (event_type = 'purchase') AS accepted_mcqs, count(*) FILTER (event_type = 'click') AS regenerated_mcqs,
+  count(*) FILTER (event_type = 'click' AND value > 50) AS improved_after_regen, count(*) FILTER (event_type = 'error') AS initial_failures, count(*) FILTER (event_type = 'error' AND value > 40) AS corrected_failures,
+  count(*) FILTER (event_type = 'click' AND value < 200) AS regen_with_feedback, count(*) FILTER (event_type = 'click' AND value > 80 AND value < 200) AS regen_improved_with_feedback,
+  count(*) FILTER (event_type = 'error' AND value < 100) AS low_quality_identified, count(*) FILTER (event_type = 'error' AND value < 30) AS low_quality_removed, count(DISTINCT event_type) AS iterations_to_target
+FROM events GROUP BY user_id, CAST(ts AS DATE))""",
 }
 
 
