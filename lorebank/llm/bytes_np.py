@@ -1,11 +1,13 @@
 """Vectorised work on the UTF-8 bytes of an Arrow string column: words, their hashes, and slices of bounded size.
 
-A polynomial hash modulo 2**64 with a random value per byte gives all words of a slice in a few passes over its
-bytes: the prefix sums P satisfy hash(word) = (P[end] - P[start]) * p**-start, as p is odd.
+A word is hashed eight bytes at a time, each taken in by a mixing step that starts from the seed and the length; the few
+longer than LONG get a keyed BLAKE2b. Unlike a polynomial, no kind of word collides by its form, whatever the seed. Where
+a result must not rest on hashes at all, ``Texts.same_words`` and ``Vocabulary.find`` compare the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +16,13 @@ import pyarrow as pa
 #: Bytes of text handled at once; one longer text makes a slice of its own.
 SLICE = 1 << 20
 
+#: Bytes of a word that are hashed in steps of eight; longer words are hashed one by one.
+LONG = 64
+
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
+_STEP = U(0x9E3779B97F4A7C15)
+#: Masks of the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,18 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_POWERS.get("up", ())) or not _POWERS:
-        size = 1 << max(20, (n - 1).bit_length())
-        for k, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            p = np.full(size, base, U)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=U)
-    return _POWERS["up"][:n], _POWERS["down"]
+def ragged(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of these sizes: the group of each element, and its index within the group."""
+    group = np.repeat(np.arange(len(size)), size)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
 
 
 def table(members: bytes | list[int], invert: bool = False) -> np.ndarray:
@@ -80,23 +79,83 @@ class Texts:
         """For each text the first and the past-the-last index of its words."""
         return np.searchsorted(starts, self.lo), np.searchsorted(starts, self.hi)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = LOWER, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word, with A-Z as a-z unless fold is None."""
-        up, down = _powers(len(self.data))
-        prefix = np.empty(len(self.data) + 1, U)
-        prefix[0] = 0
-        np.cumsum((_BYTE if fold is None else _BYTE[fold])[self.data] * up, out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
+        data = np.append(self.data if fold is None else fold[self.data], np.zeros(8, np.uint8))
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        size = ends - starts
+        h = mix(size.astype(U) * _STEP ^ U(seed))
+        short = size <= LONG
+        live = np.flatnonzero(short & (size > 0))
+        for at in range(0, LONG, 8):
+            if not len(live):
+                break
+            chunk = eight[starts[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]
+            h[live] = mix((h[live] ^ chunk) + _STEP)
+            live = live[size[live] > at + 8]
+        key = int(seed).to_bytes(8, "little")
+        for i in np.flatnonzero(~short).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+        return h
+
+    def same_words(self, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> bool:
+        """Whether all words with the same hash are the same, A-Z being a-z."""
+        by = np.argsort(h, kind="stable")
+        a, b = by[:-1], by[1:]
+        twin = h[a] == h[b]
+        a, b = a[twin], b[twin]
+        size = ends[a] - starts[a]
+        if (size != ends[b] - starts[b]).any():
+            return False
+        pair, i = ragged(size)
+        return bool((LOWER[self.data[starts[a][pair] + i]] == LOWER[self.data[starts[b][pair] + i]]).all())
+
+
+def hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
     """The hashes that Texts.hashes gives for these words, as they are."""
     if not words:
         return np.empty(0, U)
     size = np.fromiter(map(len, words), np.int64, len(words))
     hi = np.cumsum(size)
     t = Texts(np.frombuffer(b"".join(words), np.uint8), hi - size, hi, 0)
-    return t.hashes(hi - size, hi, None)
+    return t.hashes(hi - size, hi, None, seed)
+
+
+class Vocabulary:
+    """Different lower-cased words by their hashes, under the first seed that gives each its own."""
+
+    def __init__(self, words: list[bytes]):
+        words, self.seed = sorted(set(words)), 0
+        while True:
+            h = hash_words(words, self.seed)
+            if len(np.unique(h)) == len(words):
+                break
+            self.seed += 1
+        by = np.argsort(h)
+        words = [words[i] for i in by.tolist()]
+        self.codes = h[by]
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The places of words that are in the vocabulary."""
+        return np.searchsorted(self.codes, hash_words(words, self.seed))
+
+    def find(self, t: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, word): which of the words of ``t`` are in the vocabulary, and where; bytes decide, hashes only look up."""
+        if not len(self.codes) or not len(starts):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        h = t.hashes(starts, ends, seed=self.seed)
+        at = np.minimum(np.searchsorted(self.codes, h), len(self.codes) - 1)
+        place = np.flatnonzero((self.codes[at] == h) & (self.size[at] == ends - starts))
+        word = at[place]
+        item, i = ragged(self.size[word])
+        wrong = LOWER[t.data[starts[place][item] + i]] != self.data[self.first[word][item] + i]
+        if wrong.any():
+            good = np.bincount(item[wrong], minlength=len(place)) == 0
+            place, word = place[good], word[good]
+        return place, word
 
 
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[Texts]:

@@ -2,16 +2,20 @@
 
 Index: each shard (some consecutive documents of a partition) stores, for every test term that occurs in it, the list of
 the term's places, which number the words of the shard's documents one after the other. Only terms of the test texts
-have postings; no query could ask for others. Corpus frequencies of the terms are summed over all shards.
+have postings; no query could ask for others. A word is looked up by its hash and taken by its bytes, so postings, and
+all that follows from them, are exact. Corpus frequencies of the terms are summed over all shards.
 
 Query: a window is a sequence of terms. In a shard its lists are intersected from the rarest term on: the places of the
 rarest term, less its offset in the window, are candidate starts; each further list, less its own offset, keeps those
-it also holds. What remains are exact phrase matches. For proximity, windows match in any order within a span.
+it also holds. What remains are exact phrase matches. A proximity match is a span of document words, at most ``slop``
+longer than the window, that holds the window's terms in any order, each as often as the window does; around the places
+of the rarest term that have all others near, the shortest such span is sought.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_np import ALNUM, LOWER, U, hash_words, slices
+from .bytes_np import ALNUM, LOWER, Vocabulary, slices
 from .scratch import written
 
 #: Most bytes of test texts that one part of the query holds, and so sends to each executor; a longer text is a part of its own.
@@ -28,9 +32,12 @@ PART = 8 << 20
 SHARD = 1 << 17
 
 _SPLIT = bytes(b if ALNUM[b] else 0x20 for b in range(256))
-INDEX = "doc_ids array<long>, n_words array<long>, terms array<long>, ends array<int>, places array<int>"
+INDEX = "doc_ids array<long>, n_words array<long>, terms array<int>, ends array<int>, places array<int>"
+#: A proximity match: the item, the first word of the span in the document, and its words.
+NEAR = "array<struct<item:string,start:long,length:long>>"
+_NEAR = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 #: A shard with what the parts so far have found: its words as bits, and for each document the ids and the nearness.
-CARRIED = f"{INDEX}, bits binary, found array<array<string>>, near array<boolean>"
+CARRIED = f"{INDEX}, bits binary, found array<array<string>>, near array<{NEAR}>"
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -39,27 +46,34 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some items, and for each the numbers of the items that hold it."""
+    """The distinct windows of some items as numbers of words, and for each the numbers of the items that hold it.
+
+    An item without an id has windows too, but is no item in a result.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], width: int):
         at: dict[tuple[bytes, ...], set[int]] = {}
-        self.ids = [str(i) for i, _ in items]
+        self.ids = [None if i is None else str(i) for i, _ in items]
         for k, (_, text) in enumerate(items):
             w = item_words(text)
             for s in range(max(len(w) - width + 1, min(len(w), 1))):
                 at.setdefault(tuple(w[s : s + width]), set()).add(k)
-        self.words, self.items = list(at), [sorted(x) for x in at.values()]
-        vocabulary = sorted({x for w in self.words for x in w})
-        self.terms = hash_words(vocabulary).view(np.int64)
-        code = dict(zip(vocabulary, self.terms.tolist(), strict=True))
+        self.words, self.items = list(at), [sorted(k for k in x if self.ids[k] is not None) for x in at.values()]
+        self.terms = sorted({x for w in self.words for x in w})
+        self.codes: list[list[int]] = []
+
+    def numbered(self, vocabulary: Vocabulary) -> Windows:
+        """Sets ``codes``, the words of each window as places in the vocabulary, which has all of them."""
+        code = dict(zip(self.terms, vocabulary.numbers(self.terms).tolist(), strict=True))
         self.codes = [[code[x] for x in w] for w in self.words]
+        return self
 
 
-def _index(terms: np.ndarray):
-    """Postings of these terms, in shards."""
-    order = np.sort(terms.view(U))
+def _index(shipped):
+    """Postings of the words of a vocabulary, in shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shipped.value
         for batch in batches:
             ids, words, hits, where, base = [], [], [], [], 0
 
@@ -70,8 +84,8 @@ def _index(terms: np.ndarray):
                 first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
                 ends = np.append(first[1:], len(code)) if len(code) else first
                 doc = pa.concat_arrays([x.cast(pa.int64()) for x in ids])
-                row = [doc, np.concatenate(words), order[code[first]].view(np.int64), ends.astype(np.int32), place.astype(np.int32)]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                row = [doc, np.concatenate(words), code[first].astype(np.int32), ends.astype(np.int32), place.astype(np.int32)]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t)) for x, t in zip(row, types, strict=True)]
                 return pa.record_batch(lists, ["doc_ids", "n_words", "terms", "ends", "places"])
 
@@ -80,15 +94,9 @@ def _index(terms: np.ndarray):
                 lo, hi = t.bounds(starts)
                 ids.append(batch.column(0).slice(t.first, len(t)))
                 words.append(hi - lo)
-                if len(order):
-                    h = t.hashes(starts, ends)
-                    at = np.minimum(np.searchsorted(order, h), len(order) - 1)
-                    found = np.flatnonzero(order[at] == h)
-                    hits.append(at[found])
-                    where.append(found + base)
-                else:
-                    hits.append(np.empty(0, np.int64))
-                    where.append(np.empty(0, np.int64))
+                found, at = vocabulary.find(t, starts, ends)
+                hits.append(at)
+                where.append(found + base)
                 base += len(starts)
                 if base >= SHARD:
                     yield shard()
@@ -99,9 +107,10 @@ def _index(terms: np.ndarray):
     return run
 
 
-def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """The positional index of ``docs`` (doc_id, text) for these term hashes, one row a shard, written in the shared folder."""
-    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index(terms), INDEX), "index")
+def build_index(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The positional index of ``docs`` (doc_id, text) for the words of a vocabulary, one row a shard, written in the shared folder."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the different words of the test texts
+    return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index(shipped), INDEX), "index")
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -131,43 +140,66 @@ def _starts(lists: dict[int, np.ndarray], codes: list[int], order: list[int], do
     return at[(doc[at] == doc[last]) & (at + len(codes) <= len(doc))]
 
 
-def _near(lists: dict[int, np.ndarray], codes: list[int], order: list[int], doc: np.ndarray, slop: int) -> np.ndarray:
-    """Places of the rarest term from which every other term of the window is less than its length and ``slop`` away."""
-    at, reach = None, len(codes) + slop - 1
-    for k in order:
-        places = lists.get(codes[k])
+def _close(lists: dict[int, np.ndarray], need: list[tuple[int, int]], doc: np.ndarray, reach: int) -> np.ndarray:
+    """Places of the first (rarest) term that have every other one in less than ``reach`` words of their document."""
+    at = lists.get(need[0][0])
+    if at is None:
+        return np.empty(0, np.int64)
+    for term, _ in need[1:]:
+        places = lists.get(term)
         if places is None:
             return np.empty(0, np.int64)
-        if at is None:
-            at = places
-            continue
         i = np.searchsorted(places, at)
-        below = places[np.maximum(i - 1, 0)]
-        above = places[np.minimum(i, len(places) - 1)]
         ok = np.zeros(len(at), bool)
-        for p in (below, above):
-            ok |= (np.abs(p - at) <= reach) & (doc[p] == doc[at])
+        for p in (places[np.maximum(i - 1, 0)], places[np.minimum(i, len(places) - 1)]):
+            ok |= (np.abs(p - at) < reach) & (doc[p] == doc[at])
         at = at[ok]
+        if not len(at):
+            return at
     return at
 
 
-def _match(windows: Windows, rarity: dict[int, int], slop: int | None, last: bool = True):
-    """Adds the hits of these windows to what a shard carries; the last part gives a row for each document."""
-    orders = [sorted(range(len(c)), key=lambda k, c=c: (rarity.get(c[k], 0), k)) for c in windows.codes]
-    by_rarest: dict[int, list[int]] = {}
-    for w, (c, o) in enumerate(zip(windows.codes, orders, strict=True)):
-        if o and all(x in rarity for x in c):
-            by_rarest.setdefault(c[o[0]], []).append(w)
+def _spans(lists: dict[int, np.ndarray], need: list[tuple[int, int]], doc: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of spans of at most ``reach`` words of one document that hold each term as often as needed: for each end the latest start."""
+    for p in _close(lists, need, doc, reach).tolist():
+        around = []
+        for term, _ in need:
+            places = lists[term]
+            lo, hi = np.searchsorted(places, [p - reach + 1, p + reach])
+            around += [(x, term) for x in places[lo:hi].tolist() if doc[x] == doc[p]]
+        around.sort()
+        left, have, lacking = 0, dict.fromkeys((t for t, _ in need), 0), len(need)
+        want = dict(need)
+        for x, term in around:
+            have[term] += 1
+            lacking -= have[term] == want[term]
+            while not lacking and have[around[left][1]] > want[around[left][1]]:
+                have[around[left][1]] -= 1
+                left += 1
+            if not lacking and x - around[left][0] < reach:
+                yield around[left][0], x - around[left][0] + 1
+
+
+def _match(shipped, last: bool = True):
+    """Adds the hits of the shipped (windows, frequencies, slop) to what a shard carries; the last part gives a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, rarity, slop = shipped.value
+        orders = [sorted(range(len(c)), key=lambda k, c=c: (rarity.get(c[k], 0), k)) for c in windows.codes]
+        by_rarest: dict[int, list[int]] = {}
+        for w, (c, o) in enumerate(zip(windows.codes, orders, strict=True)):
+            if o and all(x in rarity for x in c):
+                by_rarest.setdefault(c[o[0]], []).append(w)
+        needs = [sorted(Counter(c).items(), key=lambda x: (rarity.get(x[0], 0), x[0])) for c in windows.codes]
         for batch in batches:
             for row in range(len(batch)):
                 ids, n, terms, ends, places = (batch.column(c)[row].values for c in range(5))
                 n, terms, ends, places = n.to_numpy(), terms.to_numpy().tolist(), ends.to_numpy(), places.to_numpy().astype(np.int64)
                 lists = {t: places[a:b] for t, a, b in zip(terms, np.append(0, ends[:-1]).tolist() if len(ends) else [], ends.tolist(), strict=True)}
                 doc = np.repeat(np.arange(len(n)), n)
+                first = np.cumsum(n) - n
                 hit = np.zeros(len(doc) + 1, np.int32)
-                near = np.zeros(len(n), bool)
+                near: dict[int, dict[str, tuple[int, int]]] = {}
                 items: dict[int, set[int]] = {}
                 for t in terms:
                     for w in by_rarest.get(t, ()):
@@ -177,27 +209,36 @@ def _match(windows: Windows, rarity: dict[int, int], slop: int | None, last: boo
                             np.add.at(hit, at + len(windows.codes[w]), -1)
                             for d in np.unique(doc[at]).tolist():
                                 items.setdefault(d, set()).update(windows.items[w])
-                        if slop is not None:
-                            near[doc[_near(lists, windows.codes[w], orders[w], doc, slop)]] = True
+                        if slop is not None and windows.items[w]:
+                            for start, length in _spans(lists, needs[w], doc, len(windows.codes[w]) + slop):
+                                d = int(doc[start])
+                                for k in windows.items[w]:
+                                    _shorter(near.setdefault(d, {}), windows.ids[k], length, start - int(first[d]))
                 inside = np.cumsum(hit[:-1]) > 0
                 found = [sorted(windows.ids[k] for k in items[d]) if d in items else [] for d in range(len(n))]
                 if batch.num_columns > 5:
                     bits, before, was = (batch.column(c)[row].as_py() for c in (5, 6, 7))
                     inside |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(doc)).astype(bool)
                     found = [sorted(a + b) if b else a for a, b in zip(before, found, strict=True)]
-                    near |= np.array(was, bool)
+                    for d, old in enumerate(was):
+                        for x in old:
+                            _shorter(near.setdefault(d, {}), x["item"], x["length"], x["start"])
+                spans = [[{"item": k, "start": s, "length": m} for k, (m, s) in sorted(near.get(d, {}).items())] for d in range(len(n))]
                 if not last:
-                    carried = [pa.array([np.packbits(inside).tobytes()]), pa.array([found], pa.list_(pa.list_(pa.string()))), pa.array([near.tolist()], pa.list_(pa.bool_()))]
+                    carried = [pa.array([np.packbits(inside).tobytes()]), pa.array([found], pa.list_(pa.list_(pa.string()))), pa.array([spans], pa.list_(_NEAR))]
                     yield pa.record_batch([*(batch.column(c).slice(row, 1) for c in range(5)), *carried], ["doc_ids", "n_words", "terms", "ends", "places", "bits", "found", "near"])
                     continue
                 n_hit = np.bincount(doc, weights=inside, minlength=len(n)).astype(np.int64)
-                yield pa.record_batch(
-                    [ids, pa.array(n), pa.array(n_hit), pa.array(found, pa.list_(pa.string())), pa.array(near)], ["doc_id", "n_words", "n_hit", "items", "near"]
-                )
+                yield pa.record_batch([ids, pa.array(n), pa.array(n_hit), pa.array(found, pa.list_(pa.string())), pa.array(spans, _NEAR)], ["doc_id", "n_words", "n_hit", "items", "near"])
 
     return run
 
 
+def _shorter(of: dict[str, tuple[int, int]], item: str, length: int, start: int) -> None:
+    if item not in of or (length, start) < of[item]:
+        of[item] = length, start
+
+
 def _parts(items: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
     """The items in parts of at most PART bytes of text; a longer text is alone."""
     part, size = [], 0
@@ -215,40 +256,52 @@ def find(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int | None
     """(doc_id, n_words, n_hit, items, near) for each row of ``docs`` (doc_id, text), against ``items`` (item_id, text).
 
     n_hit counts the words inside any occurrence of a window of ``width`` consecutive item words (a shorter item is one
-    window); items are the ids, sorted as strings, of the items with an occurring window. near, only with ``slop``, tells
-    of a window whose words are near each other in any order. A null or empty text has no words: no hits, and as an item
-    no windows. Items that share an id count once. Rows are kept as they are, so repeated rows repeat in the result.
+    window); items are the ids, sorted as strings, of the items with an occurring window. near, empty without ``slop``,
+    has for each item the shortest span, of equal ones the first, that holds all words of one of its windows in any order
+    and is at most ``slop`` words longer than the window; start counts the document's words from 0.
+
+    A null or empty text has no words: no hits, and as an item no windows. Items that share an id count once; one without
+    an id has hits, but is in no list. Rows are kept as they are, so repeated rows, or rows without an id, are in the
+    result as often. Very long texts are read whole.
 
-    Test texts of more than PART bytes are taken in parts: the index holds the terms of all, each part is one pass over
-    it that adds its hits to what the shards carry, and documents are counted after the last.
+    Test texts of more than PART bytes are taken in parts: the index holds the words of all, each part is one pass over
+    it that adds its hits to what the shards carry, and documents are counted after the last. The different words of all
+    test texts are held by the driver and sent to the executors, with their frequencies.
     """
-    items = items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    context = docs.sparkSession.sparkContext
+    items = items.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    out = "doc_id long, n_words long, n_hit long, items array<string>, near boolean"
+    out = f"doc_id long, n_words long, n_hit long, items array<string>, near {NEAR}"
     if size <= PART:
         windows = Windows([(r.item_id, r.text) for r in items.collect()], width)
-        index = build_index(docs, windows.terms)
+        vocabulary = Vocabulary(windows.terms)
+        index = build_index(docs, vocabulary)
         rarity = {r.term: r.n for r in frequencies(index).collect()}  # at most a row for each test term
-        return index.mapInArrow(_match(windows, rarity, slop), out)
+        return index.mapInArrow(_match(context.broadcast((windows.numbered(vocabulary), rarity, slop))), out)
     items = written(items, "items")
-    terms = np.empty(0, np.int64)
+    words: set[bytes] = set()
     for part in _parts(items):
-        terms = np.union1d(terms, hash_words(sorted({x for _, text in part for x in item_words(text)})).view(np.int64))
-    shards = build_index(docs, terms)
+        words.update(x for _, text in part for x in item_words(text))
+    vocabulary = Vocabulary(list(words))
+    shards = build_index(docs, vocabulary)
     rarity = {r.term: r.n for r in frequencies(shards).collect()}
     for part in _parts(items):
-        windows = Windows(part, width)
-        shards = written(shards.mapInArrow(_match(windows, {t: rarity[t] for t in windows.terms.tolist() if t in rarity}, slop, last=False), CARRIED), "part")
-    return shards.mapInArrow(_match(Windows([], width), {}, slop), out)
+        windows = Windows(part, width).numbered(vocabulary)
+        mine = {t: rarity[t] for w in windows.codes for t in w if t in rarity}
+        shards = written(shards.mapInArrow(_match(context.broadcast((windows, mine, slop)), last=False), CARRIED), "part")
+    return shards.mapInArrow(_match(context.broadcast((Windows([], width), {}, None))), out)
 
 
 def digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """The digest columns of find(): n_items, the sha256 of the comma-joined item ids, and contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2) -> DataFrame:
+    """The digest columns of find(): n_items, the sha256 of the comma-joined item ids, contaminated, and the proximity
+    matches as comma-joined item:start:length."""
     ids = F.array_distinct("items")
-    return find(docs, items, width=width).select(
-        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
+    spans = F.array_join(F.transform("near", lambda x: F.concat_ws(":", x["item"], x["start"], x["length"])), ",")
+    return find(docs, items, width=width, slop=slop).select(
+        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), spans.alias("near"),
+    )

@@ -7,11 +7,12 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lorebank.llm import bpe, decontamination, html_extract, language_id, ngram_jaccard, pii, quality_rules, token_counts, toxicity, url_filters
+from lorebank.llm import bpe, bytes_np, decontamination, html_extract, language_id, ngram_jaccard, pii, quality_rules, token_counts, toxicity, url_filters
 from lorebank.llm.components import components
 from lorebank.llm.queries import held_out, op3_url_filters, queries
 
@@ -68,6 +69,56 @@ def test_jaccard(spark, k, percent, bits, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("limits", [{"HELD": 16, "PROBES": 3}, {"HELD": 9, "PROBES": 0, "PIVOTED": 20}, {"SAMPLED": 1, "LEAST": 4, "SHARE": 10**9, "PIVOTED": 30}, {"PROBES": 1, "PIVOTED": 10, "BLOCK": 5}])
+def test_jaccard_of_long_buckets_and_wide_signatures(spark, limits, monkeypatch):
+    """The ways for large tables, at limits low enough for a small one."""
+    r = random.Random(8)
+    base = [[f"w{r.randint(0, 400)}" for _ in range(r.choice((3, 6, 9, 14, 40, 120)))] for _ in range(8)]
+    rows = []
+    for i in range(300):
+        w = list(base[min(int(r.expovariate(0.5)), 7)])
+        for _ in range(r.choice((0, 0, 1, 1, 2, 3))):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 60)}"
+        rows.append((i, " ".join(w)))
+    for name, value in {"BLOCK": 20, **limits}.items():
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    out = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=60)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == brute_components(rows, 2, 60)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_make_no_hot_group(percent):
+    """Segments that unrelated sets lack by chance make long buckets, which give nothing as none or few probe them."""
+    r = np.random.default_rng(5)
+    k, n = 20_000, 100
+    sets = np.sort(r.integers(0, 1 << 63, (k, n), np.uint64) * np.uint64(2), axis=1).ravel()
+    bands = ngram_jaccard.Bands(percent, n, {int(ngram_jaccard.Bands(percent, n).of(np.array([n]))[0]): k})
+    which, key, probe = ngram_jaccard.signatures(sets, np.full(k, n), bands)
+    node = 2 * which + 1 - probe
+    order = np.lexsort((node, node & 1, key.view(np.int64)))
+    key, node = key.view(np.int64)[order], node[order]
+    assert np.unique(key, return_counts=True)[1].max() > 256
+    batches = [pa.record_batch([pa.array(key[i : i + 10_000]), pa.nulls(len(key[i : i + 10_000]), pa.int64()), pa.array(node[i : i + 10_000])], ["sig", "grp", "node"]) for i in range(0, len(key), 10_000)]
+    found = list(ngram_jaccard._candidates(256, ngram_jaccard.PROBES)(batches))
+    assert sum(len(b) - b.column(0).null_count for b in found) == 0
+    assert sum(map(len, found)) < k
+
+
+def test_long_buckets_in_parts():
+    """However its rows are cut into batches, a long bucket gives every pair with a probe, or all its members once it is hot."""
+    for probes, total in ((0, 900), (3, 900), (9, 900)):
+        node = np.concatenate([np.arange(1, total + 1) * 2 + 1 - (np.arange(total) < probes), [7001, 7003]])
+        sig = np.concatenate([np.full(total, 5), [6, 6]])
+        for cut in (1, 7, 1000):
+            batches = [pa.record_batch([pa.array(sig[i : i + cut]), pa.nulls(len(sig[i : i + cut]), pa.int64()), pa.array(node[i : i + cut])], ["sig", "grp", "node"]) for i in range(0, len(sig), cut)]
+            rows = [r for b in ngram_jaccard._candidates(50, 8)(batches) for r in b.to_pylist()]
+            if probes == 9:
+                assert {(r["a"], r["probe"]) for r in rows if r["grp"] is not None} == {(int(x) | 1, not x & 1) for x in node[:total]}
+            else:
+                ids = (node[:total] | 1).tolist()
+                assert {(r["a"], r["b"]) for r in rows} == {(min(p, q), max(p, q)) for p in ids[:probes] for q in ids if p != q}
+
+
 def test_jaccard_through_a_row_without_id(spark):
     w = [f"w{i}" for i in range(100)]
     rows = [(5, " ".join(w)), (None, " ".join(w[3:])), (2, " ".join(w[6:])), (None, " ".join(w[:-2]))]
@@ -236,7 +287,75 @@ def test_decontamination(spark, docs, odd):
     got = decontamination.contamination(both, items).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == want
     near = decontamination.find(spark.createDataFrame([(1, "c x a y b"), (2, "a b z z z z z z z z z z c")], "doc_id long, text string"), items.where("item_id = 900"), slop=2).collect()
-    assert {r.doc_id: (r.near, r.n_hit) for r in near} == {1: (True, 0), 2: (False, 0)}
+    assert {r.doc_id: ([tuple(x) for x in r.near], r.n_hit) for r in near} == {1: ([("900", 0, 5)], 0), 2: ([], 0)}
+
+
+@pytest.mark.parametrize("part", [8 << 20, 40])
+def test_proximity(spark, part, monkeypatch):
+    """Spans that hold the words of a window in any order, each as often, and hits of items without an id, against brute force."""
+    r = random.Random(3)
+    some = lambda lo, hi: " ".join(r.choice("abcdefgh") for _ in range(r.randint(lo, hi)))
+    docs = [(i, some(0, 30)) for i in range(300)]
+    items = [(k, some(1, 7)) for k in range(12)] + [(None, "a b c d e"), (3, "h h h")]
+    monkeypatch.setattr(decontamination, "PART", part)
+    want = {}
+    for i, text in docs:
+        w, best, found, hit = text.split(), {}, set(), set()
+        for k, x in ((k, t.split()) for k, t in items):
+            for win in (x[s : s + 5] for s in range(max(len(x) - 4, 1))):
+                need = collections.Counter(win)
+                for a in range(len(w)):
+                    if w[a : a + len(win)] == win:
+                        hit |= set(range(a, a + len(win)))
+                        found |= {str(k)} - {"None"}
+                    ends = [b for b in range(a + len(win), min(len(w), a + len(win) + 2) + 1) if not need - collections.Counter(w[a:b])]
+                    if ends and k is not None:
+                        best[str(k)] = min(best.get(str(k), (99, 0)), (ends[0] - a, a))
+        want[i] = (len(w), len(hit), sorted(found), sorted((k, s, m) for k, (m, s) in best.items()))
+    out = decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=5, slop=2)
+    assert {x.doc_id: (x.n_words, x.n_hit, sorted(set(x["items"])), sorted(map(tuple, x.near))) for x in out.collect()} == want
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_collide_by_their_form(spark, n):
+    """Words that every polynomial hash modulo 2 ** 64 takes for the same are different to both operators."""
+    a = thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b} c"), (4, f"{b} {a} c"), (5, a.upper())], "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame([(9, a)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.contaminated, r.n_near) for r in got} == {1: (1, True, 1), 2: (0, False, 0), 3: (1, True, 1), 4: (1, True, 1), 5: (1, True, 1)}
+    groups = ngram_jaccard.jaccard_components(docs, width=2, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_words_decide_where_hashes_collide(monkeypatch):
+    """Texts whose words all share one hash are still told apart: by their bytes in the vocabulary, as words in the sets."""
+    texts = ["a b c d e f", "a b c d e g", "x y z u v w", "A B C D E F h", "", "a b"]
+    col = pa.array(texts)
+    monkeypatch.setattr(bytes_np.Texts, "hashes", lambda self, s, e, fold=None, seed=0: (np.zeros(len(s), np.uint64) if seed < 3 else (self.data[s] | 32).astype(np.uint64) * np.uint64(2**40)))
+    vocabulary = bytes_np.Vocabulary([b"a", b"x", b"w", b"h"])
+    t = next(bytes_np.slices(col))
+    starts, ends = t.words(bytes_np.NOT_BLANK)
+    place, word = vocabulary.find(t, starts, ends)
+    assert vocabulary.seed == 3 and [chr(t.data[starts[p]] | 32) for p in place] == list("aaxwaha")
+    assert len(word) == len(place)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    batch = pa.record_batch([pa.array([i for i, _ in pairs]), pa.array([j for _, j in pairs]), pa.array([texts[i] for i, _ in pairs]), pa.array([texts[j] for _, j in pairs])], ["a", "b", "x", "y"])
+    sets = [shingles(x, 1) for x in texts]
+    linked = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j])}
+    assert not ngram_jaccard.Shingles(t, 1, 0).told_apart()
+    got = [tuple(r.values()) for out in ngram_jaccard._true_pairs(70, 1, 0)([batch]) for r in out.to_pylist()]
+    assert set(got) == linked == {(1, 0), (3, 0)}
+    table = pa.table({"node": pa.array([*range(6), 0]), "text": pa.array([*texts, texts[0]])})
+    edges = ngram_jaccard._block_links(70, 1, 0)(table).to_pylist()
+    assert len(edges) == 2 and all((max(e.values()), min(e.values())) in linked for e in edges)
 
 
 def test_decontamination_in_parts(spark, docs, odd, monkeypatch):
@@ -292,6 +411,21 @@ def test_pipeline_stages_on_odd_tables(spark, odd):
     assert {0, 1, 2, 8} <= kept and 9 not in kept
 
 
+def test_pipeline_judges_rows_one_by_one(spark):
+    """Rows without an id, and rows that share one, go for what they are themselves."""
+    import corpus_pipeline
+
+    item = next(r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() if len(re.findall(r"\w+", r.text)) >= 10)
+    mine = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, f"before {item} after"), (1, f"see {item}"), (1, "nothing of it"), (2, "nothing of it either"), (None, mine), (7, mine), (5, mine + " more"), (None, mine), (5, "another text"), (None, "x y z"), (None, "X Y Z"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted((repr(r.doc_id), repr(r.text)) for r in df.collect())
+    clean = [(i, t) for i, t in rows if not t or item not in t]
+    assert left(corpus_pipeline.drop_contaminated(spark, docs, DIR)) == sorted((repr(i), repr(t)) for i, t in clean)
+    kept = collections.Counter((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, DIR).collect())
+    assert kept == {(1, f"see {item}".lower()): 1, (1, "nothing of it"): 1, (2, "nothing of it either"): 1, (5, mine + " more"): 1, (5, "another text"): 1, (None, "x y z"): 1, (None, ""): 2}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
