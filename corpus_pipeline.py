@@ -67,7 +67,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows stay as they are, repeated or not, with or without an id. A null text stays null, with no characters; overlapping
     spans are replaced as one. Very long texts are read whole; an empty table stays empty.
     """
-    found = pii.find(docs, ("doc_id", "lang", "source"))
+    found = pii.find(docs, ("doc_id", "lang", "source"), pii.train(docs))
     text = F.col("redacted")
     return found.select("doc_id", text.alias("text"), "lang", "source", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
 

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import LOWER, Texts, slices
+from .samples import least_hashed
 
-#: Dimensions of a vector, centroids of a language, and (a bound) the training texts of a language.
+#: Dimensions of a vector, centroids of a language, and (a bound) the different training texts of a language.
 DIM = 4096
 CENTROIDS = 3
 SAMPLE = 500
@@ -150,24 +151,18 @@ def thresholds(rows: list, v: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> dict[str, Any]:
     """A model from the text and non-null lang of rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds.
 
-    At most about ``sample`` texts of a language, chosen by a hash of their text, are read by the driver, as hashed
-    counts. Without any labelled text the model knows no language, and calls every text und.
+    Of each language the ``sample`` different texts with the least hashes are read by the driver, as hashed counts, so
+    copies count once and every run learns the same. More than LANGUAGES languages are refused. Texts labelled with two
+    languages are examples of both. Without any labelled text the model knows no language, and calls every text und.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if usable is None else usable))
-    sizes = {r.lang: r.n for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return {"languages": [], "idf": np.ones(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "of": np.zeros(0, np.int64), "reject": np.zeros((0, len(LENGTHS)))}
-    share = F.element_at(F.create_map(*[F.lit(y) for k, n in sizes.items() for y in (k, min(1.0, sample / n))]), F.col("lang").cast("string"))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0 < share)
-    found = chosen.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string")).mapInArrow(
-        _sampled, "lang string, at array<binary>, tf array<binary>"
-    )
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    chosen = least_hashed(rows, "lang", "hash", sample, LANGUAGES)
     by: dict[str, list] = {}
-    for r in found.collect():  # bounded by the sample
-        if len(by.setdefault(r.lang, [])) < 2 * sample:
-            by[r.lang].append(r)
+    for r in chosen.select("lang", "text").mapInArrow(_sampled, "lang string, at array<binary>, tf array<binary>").collect():  # at most LANGUAGES * sample
+        by.setdefault(r.lang, []).append(r)
+    if not by:
+        return {"languages": [], "idf": np.ones(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "of": np.zeros(0, np.int64), "reject": np.zeros((0, len(LENGTHS)))}
     for rows_ in by.values():
         rows_.sort(key=lambda r: (r["at"], r["tf"]))
     languages = sorted(by)
@@ -210,8 +205,10 @@ def predict(docs: DataFrame, model: dict[str, Any], keep: tuple[str, ...] = ("do
     """The columns ``keep`` of each row of ``docs``, with lang_pred, score (the cosine, 0 to 1) and rejected.
 
     A null text, or one without any letter, is und with score 0 and rejected; a text below the threshold of the language
-    it is nearest to is rejected with its score. Only text is an input. Rows are kept as
-    they are. The model, of a size bounded by LANGUAGES, is sent to the executors.
+    it is nearest to is rejected with its score. Of equally near languages it is the first in order, so also where no
+    n-gram of the text is known (a text of one letter): that one, with score 0. Only text is an input, read whole however
+    long. Rows are kept as they are, repeated or not; an empty table gives none. The model, of a size bounded by
+    LANGUAGES, is sent to the executors.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))

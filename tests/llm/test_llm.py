@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +17,7 @@ from tokenizers import Tokenizer
 from lorebank.llm import bpe, bytes_np, decontamination, html_extract, language_id, ngram_jaccard, pii, quality_rules, token_counts, toxicity, url_filters
 from lorebank.llm.components import components
 from lorebank.llm.queries import held_out, op3_url_filters, queries
+from lorebank.llm.samples import least_hashed
 
 DIR = "/root/testdata/sf0.001"
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -166,26 +169,6 @@ def test_url_filters(spark):
     assert op3_url_filters(spark, DIR).count() == spark.read.parquet(f"{DIR}/pages.parquet").count()
 
 
-def test_html():
-    w = html_extract.learned()
-    page = (
-        "<html><head><title>t</title></head><body><div class='cookie-notice'>We use cookies here ok</div><nav><a>Home</a></nav><div class='post-body'><h1>Title &amp; more</h1>"
-        "<p>First  para with <b>bold</b> words<br>and a break.</p><aside>Related stuff here</aside><p>Second one&nbsp;here it is.</p></div>"
-        "<form>Sign up now for it</form><div id='comments'><p>A reader says many words about this and more</p></div><footer>(c) us</footer></body></html>"
-    )
-    assert html_extract.main_text(page, w) == "Title & more\nFirst para with bold words and a break.\nSecond one here it is."
-    assert html_extract.main_text(None, w) == html_extract.main_text("", w) == html_extract.main_text("<nav>a b c</nav>", w) == ""
-
-
-def test_html_pages(spark):
-    import html as entities
-
-    for r in spark.read.parquet(f"{DIR}/pages.parquet").collect():
-        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        blocks = (" ".join(entities.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
-        assert html_extract.main_text(r.html, html_extract.learned()) == "\n".join(b for b in blocks if b)
-
-
 def test_language(spark, docs, odd):
     model = language_id.train(docs, ~held_out())
     out = language_id.predict(docs, model, ("doc_id", "lang")).where(held_out()).collect()
@@ -212,6 +195,64 @@ def test_language_rejects_noise_and_unlearned_languages(spark):
     assert sum(other) >= 0.9 * len(other)
 
 
+def brute_language(model, text):
+    """Score and language from plain counts, without the operator's slices and matrices."""
+    small = (text or "").encode()
+    x = [int(language_id.folded(bytes_np.Texts(np.frombuffer(small, np.uint8), np.array([0]), np.array([len(small)]), 0))[i]) for i in range(len(small))]
+    tf = collections.Counter()
+    for n in (2, 3):
+        for i in range(len(x) - n + 1):
+            gram = 0
+            for c in x[i : i + n]:
+                gram = gram * 256 + c
+            if gram:
+                tf[(((gram * 2654435761 + n * 40503) & 0xFFFFFFFF) >> 20)] += 1
+    v = {k: np.log1p(c) * float(model["idf"][k]) for k, c in tf.items()}
+    size = sum(w * w for w in v.values()) ** 0.5
+    cosine = [sum(w / size * float(c[k]) for k, w in v.items()) if size else 0.0 for c in model["centroids"]]
+    best = int(np.argmax(np.round(cosine, 5)))
+    return model["languages"][model["of"][best]], cosine[best]
+
+
+def test_language_query_on_held_out_rows(spark):
+    """The registered query: most held-out languages right, and every score that of a brute-force version."""
+    size = "/root/testdata/sf0.1"
+    truth = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{size}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries()["op5_language_id"](spark, size).collect()}
+    assert set(got) == set(truth) and all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    asked = [r for i, r in got.items() if r.held_out and truth[i][0]]
+    assert sum(r.lang_pred == truth[r.doc_id][0] for r in asked) >= 0.97 * len(asked)
+    assert sum(r.rejected for r in asked) <= 0.02 * len(asked) and all(0 <= r.score <= 1 for r in got.values())
+    docs = spark.read.parquet(f"{size}/documents.parquet")
+    model = language_id.train(docs, ~held_out())
+    for i in sorted(truth)[::250]:
+        if got[i].lang_pred != "und":
+            lang, score = brute_language(model, truth[i][1])
+            assert abs(got[i].score - score) < 1e-4 and (got[i].lang_pred == lang or len(truth[i][1]) < 20)
+
+
+def test_language_sample_is_bounded_and_the_same(spark):
+    """Copies count once, however many, and the sample does not depend on how the table is cut."""
+    rows = [(i, f"the text number {i} of many in this language", "en") for i in range(400)] + [(1000 + i, "the same text again and again", "en") for i in range(3000)] + [(5000, "un texte", "fr"), (5001, None, "fr"), (5002, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marked = docs.withColumn("hash", F.xxhash64("text")).where("lang is not null and text is not null")
+    some = least_hashed(marked, "lang", "hash", 50, 5).collect()
+    want = sorted({r.hash for r in marked.where("lang = 'en'").collect()})[:50]
+    assert sorted(r.hash for r in some if r.lang == "en") == want and sum(r.lang == "fr" for r in some) == 1
+    a, b = (language_id.train(df, sample=50) for df in (docs, docs.repartition(13)))
+    assert all(np.array_equal(a[k], b[k]) for k in ("idf", "centroids", "reject"))
+    with pytest.raises(ValueError):
+        least_hashed(marked, "text", "hash", 5, 3)
+    assert least_hashed(marked.limit(0), "lang", "hash", 5, 3).count() == 0
+
+
+def test_language_ties_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "aba aba aba", "b"), (2, "aba aba aba", "a"), (3, "xyx xyx", "c")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "aba"), (2, "q"), (3, "aba " * 300_000), (3, "aba " * 300_000), (4, "12 34")], "doc_id long, text string")
+    got = [(r.doc_id, r.lang_pred) for r in language_id.predict(asked, language_id.train(docs)).collect()]
+    assert sorted(got) == [(1, "a"), (2, "a"), (3, "a"), (3, "a"), (4, "und")]
+
+
 def reference_spans(t):
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
@@ -237,6 +278,53 @@ def test_pii(spark, docs, odd):
     assert [beside[s.start : s.end] for s in every] == ["+1 (269) 555-3296", "4524132264652843", "4524132264652843", "27.65.93.188"]
 
 
+def test_pii_query(spark, docs):
+    """The registered query on the whole table: digests of the base spans of a plain scan, all of them among the spans."""
+    got = {r.doc_id: r for r in queries()["op7_pii"](spark, DIR).collect()}
+    for r in docs.collect():
+        base = reference_spans(r.text or "")
+        names = [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in base]
+        row = got[r.doc_id]
+        assert row.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest() and set(names) <= set(filter(None, row.spans.split(",")))
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(k == x[2] for x in base) for k in range(4)]
+
+
+def test_pii_recall_on_texts_that_were_not_learned(spark):
+    """Base spans of other texts, written another way, are found in their own surroundings; other texts get next to no spans."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.train(docs.where("doc_id % 2 = 0"))
+    r, hit, asked = random.Random(9), collections.Counter(), collections.Counter()
+    texts = [x.text or "" for x in docs.where("doc_id % 2 = 1").collect()]
+    for text in texts:
+        for kind, personal, before, body, after in pii.surroundings(text):
+            other = pii.written_otherwise(kind, body, r) if personal else None
+            if other:
+                asked[kind] += 1
+                spans = next(pii.all_spans([before + other + after], model))[1]
+                hit[kind] += any(s.start < len(before) + len(other) and len(before) < s.end for s in spans)
+    assert all(asked[k] >= 20 and hit[k] >= 0.9 * asked[k] for k in range(4)), (hit, asked)
+    added = sum(len(every) - len(base) for base, every in pii.all_spans(texts, model))
+    assert added <= 0.005 * len(texts)
+
+
+def test_pii_sample_is_the_same_and_may_be_empty(spark, docs):
+    a, b = (pii.train(df) for df in (docs, docs.repartition(7)))
+    assert a[1] == b[1] and a[0].trees == b[0].trees
+    assert pii.train(docs.limit(0)) is pii.plain() and pii.train(spark.createDataFrame([(1, None), (2, "no digits")], "doc_id long, text string")) is pii.plain()
+
+
+def test_pii_in_a_text_of_many_numbers():
+    """Overlaps are looked up in order: time grows with the number of spans, not with its square."""
+    text = " ".join(f"+1 (269) 555-{i:04d}, {i:03d}-555-{i:04d} tel" for i in range(20_000))
+    began = time.time()
+    base, every = next(pii.all_spans([text], pii.plain()))
+    assert len(base) >= 19_000 and time.time() - began < 20
+    got = pii.Covered([(5, 9), (1, 3), (2, 4), (20, 30)])
+    assert [got.meets(a, b) for a, b in ((0, 1), (3, 4), (4, 5), (8, 12), (9, 20), (19, 21), (30, 31))] == [False, True, False, True, False, True, False]
+    got.add(9, 12)
+    assert got.meets(11, 12) and not got.meets(12, 20)
+
+
 def test_quality(spark, docs, odd):
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 10_000_000))
     got = {r.doc_id: r for r in quality_rules.apply_policy(quality_rules.ledger(both)).collect()}
@@ -265,6 +353,42 @@ def test_toxicity(spark):
     assert all(x.score < 0.3 for x in toxicity.score(docs, flat).collect())
 
 
+def test_toxicity_query_on_held_out_rows(spark):
+    """The registered query at its threshold, and every score that of a brute-force version."""
+    size = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in queries()["op9_toxicity"](spark, size).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{size}/labels.parquet").collect()}
+    asked = [(labels[i], r.predicted) for i, r in got.items() if r.held_out and labels.get(i) is not None]
+    caught, told = sum(y and p for y, p in asked), sum(p for _, p in asked)
+    assert caught >= 0.9 * sum(y for y, _ in asked) and caught >= 0.85 * told, (caught, told, sum(y for y, _ in asked))
+    assert all(r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    docs = spark.read.parquet(f"{size}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{size}/labels.parquet"), ~held_out())
+    again = {r.doc_id: r.score for r in toxicity.score(docs.repartition(5), model).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+    for r in docs.where("doc_id % 200 = 0").collect():
+        raw = (r.text or "").encode()
+        x = language_id.folded(bytes_np.Texts(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), 0)).tolist()
+        grams = set()
+        for n in toxicity.SIZES:
+            for i in range(len(x) - n + 1):
+                g = 0
+                for c in x[i : i + n]:
+                    g = g << 8 | c
+                grams.add((((g * 0x9E3779B97F4A7C15 + n) & (2**64 - 1)) * 0xD6E8FEB86659FD93 & (2**64 - 1)) >> (64 - toxicity.BITS))
+        total = sum(float(model["weights"][g]) for g in grams) + model["bias"]
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(total, -50, 50)))) < 1e-4
+
+
+def test_toxicity_of_long_texts_ties_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, f"{'zorgle frib' if i % 2 else 'apple tree'} number {i}") for i in range(60)] + [(1, "apple tree again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    asked = spark.createDataFrame([(1, "zorgle frib " * 100_000), (2, "apple tree " * 100_000), (3, "apple tree"), (3, "apple tree"), (None, "zorgle frib")], "doc_id long, text string")
+    got = [(r.doc_id, r.score) for r in toxicity.score(asked, model).collect()]
+    assert len(got) == 5 and got[0][1] > 0.5 > got[1][1] and got[2] == got[3] and got[4][1] > 0.5
+
+
 def test_decontamination(spark, docs, odd):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(900, "a b c"), (901, None), (902, "")], "item_id long, text string"))
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 10_000_000))
