@@ -599,7 +599,8 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, names: N
     shuffled = sig.repartition("sig").sortWithinPartitions("sig", F.col("node").bitwiseAND(F.lit(1)), "node")
     found = written(shuffled.mapInArrow(_candidates(HELD, PROBES), FOUND).distinct(), "candidates")
     pairs = found.where("grp is null").select("a", "b")
-    hot = found.where("grp is not null").groupBy("grp", F.col("a").alias("node")).agg(F.max("probe").alias("probe"))
+    # written before it is joined by group, so that the join may deal the rows of one group over many tasks
+    hot = written(found.where("grp is not null").groupBy("grp", F.col("a").alias("node")).agg(F.max("probe").alias("probe")), "members")
     # a group is worth comparing if something in it probes, and something else is there
     size = hot.groupBy("grp").agg(F.count("*").alias("k"), F.count_if("probe").alias("p")).where("p > 0 and k > 1")
     hot = written(hot.join(size, "grp"), "hot")
