@@ -6,8 +6,9 @@ stack of rules active from there on is known: the rules of that host and of its
 sorted together, and a sweep carries the last stack to each url; of the stack, the longest rule whose path the url's
 path starts with decides.
 
-The sweep runs apart for each first label and salt: boundaries are repeated for every salt, urls have one, so one hot
-label or host is spread over SALTS tasks.
+The sweep runs apart for each first label. A label with many urls is cut into salts, so a hot label or host is spread
+over many tasks: a url has one salt, the boundaries of the label are repeated for each. A salt has at least as many urls
+as the label has boundaries, so these repeats never outnumber the urls.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+#: Urls of a salt: one part in SHARES of all, or PER where that is less.
+SHARES, PER = 256, 1_000_000
 #: Above every character of a key.
 TOP = "\U0010ffff"
 
 
 def host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z as a-z; empty for null or no ``://``."""
-    raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lowered(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def lowered(h: Column) -> Column:
+    """A-Z as a-z, all else as it is."""
+    return F.translate(h, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path(url: Column) -> Column:
@@ -41,7 +47,7 @@ def _first(key: Column) -> Column:
 
 def boundaries(rules: DataFrame) -> DataFrame:
     """(key, stack) where a host interval of the rules (host, path, action) starts or ends; stack: the rules active from there on."""
-    keyed = rules.where("host is not null and path is not null").select(host_key(F.lower("host")).alias("key"), F.struct("host", "path", "action").alias("rule")).distinct()
+    keyed = rules.where("host is not null and path is not null").select(host_key(lowered(F.col("host"))).alias("key"), F.struct("host", "path", "action").alias("rule")).distinct()
     per_host = keyed.groupBy("key").agg(F.collect_list("rule").alias("own"))
     # a host's ancestors are the prefixes of its key that end at a dot
     labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.", -1)
@@ -60,15 +66,23 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     together, then the path, then the text itself) wins; equal rules with both actions block. rule is its host and path,
     null if none fits, and then the verdict is ``default``. A null url, or one without ``://``, has an empty host and
     path, which no rule with a host fits. Rules with a null host or path are left out. Repeated rows stay repeated.
-    Other columns are not read.
+    Hosts are compared with A-Z as a-z and all else as it is. Very long urls are read whole; an empty table gives no rows;
+    without rules every url has the default. Other columns are not read.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"))
-    rows = rows.withColumns({"key": host_key(F.col("host")), "salt": F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SALTS)).cast("int")})
-    marks = boundaries(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = marks.select(F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", "salt", "stack", F.lit(0).alias("kind"))
+    rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("label", _first(F.col("key")))
+    marks = boundaries(rules).withColumn("label", _first(F.col("key")))
+    # labels with more urls than a salt should have: at most SHARES of them, or one for each PER urls
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).join(marks.groupBy("label").agg(F.count("*").alias("b")), "label", "left")
+    total = rows.agg(F.count("*").alias("total"))
+    per = F.greatest(F.coalesce("b", F.lit(0)), F.least(F.lit(PER), F.ceil(F.col("total") / SHARES)))
+    hot = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("n") > per).select("label", F.ceil(F.col("n") / per).cast("int").alias("salts")))
+    rows = rows.join(hot, "label", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "host", "path"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    marks = marks.join(hot, "label", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    both = marks.select(F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", "label", "salt", "stack", F.lit(0).alias("kind"))
     both = both.unionByName(rows.withColumns({"stack": F.lit(None).cast(both.schema["stack"].dataType), "kind": F.lit(1)}))
-    sweep = Window.partitionBy(_first(F.col("key")), "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = Window.partitionBy("label", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     fits = F.filter(F.col("active"), lambda r: F.col("path").startswith(r["path"]))
     rank = F.transform(

@@ -166,9 +166,31 @@ def test_url_filters(spark):
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(0, urls[0], 1)], "page_id long, url string, host int")
     got = sorted((r.page_id, r.host, r.rule, r.verdict) for r in url_filters.judge(pages, rules.where("host <> ''")).collect() if r.page_id not in (4, 5, 6, 7))
     assert got == [(0, "x.com", "x.com/a/b", "allow"), (0, "x.com", "x.com/a/b", "allow"), (1, "y.x.com", "x.com/", "block"), (2, "com", "com/a", "block"), (3, "ax.com", "com/a", "block"), (8, "b:", None, "allow")]
+    lone = spark.createDataFrame([("ÉX.com", "/", "block"), ("Ex.Com", "/", "block")], "host string, path string, action string")
+    asked = spark.createDataFrame([(1, "http://a.ÉX.com/"), (2, "http://éx.com/"), (3, "http://EX.cOM/"), (4, None)], "page_id long, url string")
+    assert [(r.page_id, r.host, r.rule) for r in url_filters.judge(asked, lone).orderBy("page_id").collect()] == [(1, "a.Éx.com", "ÉX.com/"), (2, "éx.com", None), (3, "ex.com", "Ex.Com/"), (4, "", None)]
+    assert {r.verdict for r in url_filters.judge(asked, lone.limit(0)).collect()} == {"allow"} and url_filters.judge(asked.limit(0), lone).count() == 0
     assert op3_url_filters(spark, DIR).count() == spark.read.parquet(f"{DIR}/pages.parquet").count()
 
 
+@pytest.mark.parametrize("shares, per", [(1, 10**6), (256, 10**6), (4, 20)])
+def test_url_filters_of_hot_hosts(spark, shares, per, monkeypatch):
+    """Against brute force, with one host in most urls, equal urls, and more rules than a salt should have urls."""
+    monkeypatch.setattr(url_filters, "SHARES", shares)
+    monkeypatch.setattr(url_filters, "PER", per)
+    r = random.Random(4)
+    rules = sorted({(".".join(r.choice(("a", "b", "c")) for _ in range(r.randint(1, 3))), "/" + "".join(r.choice("xy") for _ in range(r.randint(0, 3)))) for _ in range(40)})
+    rules = [(h, p, r.choice(("allow", "block"))) for h, p in rules]
+    urls = [f"http://{'a.b.c' if r.random() < 0.7 else '.'.join(r.choice('abcd') for _ in range(r.randint(1, 4)))}/{''.join(r.choice('xy') for _ in range(r.randint(0, 4)))}" for _ in range(600)]
+    out = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string"))
+    want = {}
+    for i, u in enumerate(urls):
+        h, _, p = u[7:].partition("/")
+        fit = [(len(rh) + len(rp), len(rp), rh + rp, act) for rh, rp, act in rules if (h == rh or h.endswith("." + rh)) and f"/{p}".startswith(rp)]
+        want[i] = max(fit)[2:] if fit else (None, "allow")
+    assert {x.page_id: (x.rule, x.verdict) for x in out.collect()} == want
+
+
 def test_language(spark, docs, odd):
     model = language_id.train(docs, ~held_out())
     out = language_id.predict(docs, model, ("doc_id", "lang")).where(held_out()).collect()
