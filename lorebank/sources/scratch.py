@@ -1,19 +1,37 @@
-"""Tables written in the shared folder that the session names, to cut lineage between rounds."""
+"""Written intermediate tables in the shared folder that the session names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, a local session gets one of its own; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lorebank-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/lorebank/{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def _mine(spark: SparkSession) -> str:
+    return f"{folder(spark)}/lorebank/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{_mine(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_mine(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
