@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorebank.llm import bpe, decontamination, language_id, ngram_jaccard, pii
 from lorebank.llm.queries import held_out
-from lorebank.llm.scratch import folder, written
+from lorebank.sources.scratch import folder, written
 
 #: SQL cannot express the stages; tests hold them against brute-force versions. The driver's contract reads this name.
 ORACLE_SQL = None
