@@ -213,7 +213,7 @@ def dedup_fingerprint(s, d):
 
 
 def doc_rows(s, d):
-    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return D.spread(D.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 PAIRS = r"""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents),

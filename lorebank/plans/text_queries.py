@@ -119,9 +119,15 @@ def intent_blueprint(spark, sf_dir):
     return blueprints(spark, sf_dir).select("fact_id", "question_type", "topic", "intent", "confidence")
 
 
-@query("build_blueprint", D.sql(TOK + f"SELECT ({QTYPE}) AS question_type, ({TOPIC}) AS topic, count(*) AS n FROM tok GROUP BY ALL", "parts"))
+BUILT = KEYS.replace("SELECT fact_id, array_to_string(", ", keys AS (SELECT fact_id, array_to_string(").rstrip() + f"""),
+shown AS (SELECT fact_id, regexp_replace(regexp_replace(array_to_string(string_split(value, '|')[1:5], ' '), '\\s+', ' ', 'g'), '^ $', '') || ' Bangladesh' AS english_query FROM keys)
+SELECT t.fact_id, {QTYPE} AS question_type, {TOPIC} AS topic, {INTENT} AS intent, regexp_replace(trim(t.text), '[?.।]+$', '') || ' বাংলাদেশ' AS bangla_query, english_query FROM tok t JOIN shown USING (fact_id)"""
+
+
+@query("build_blueprint", D.sql(TOK + RUNS + BUILT, "parts"))
 def build_blueprint(spark, sf_dir):
-    return blueprints(spark, sf_dir).groupBy("question_type", "topic").agg(F.count("*").alias("n"))
+    shown = F.regexp_replace("english_query", r"\s+", " ").alias("english_query")
+    return blueprints(spark, sf_dir).select("fact_id", "question_type", "topic", "intent", "bangla_query", shown)
 
 
 @query("web_queries")
@@ -204,8 +210,8 @@ def refine_text(spark, sf_dir):
 
 # tokens, ids
 over_facts("tokenize_word", lambda t: F.array_join(T.tokens(t), " "), "array_to_string(regexp_extract_all(low, '[\\p{L}\\p{N}_]+'), ' ')")
-over_facts("tokenize_space", lambda t: F.size(T.space_tokens(t)).cast("bigint"), "len(list_distinct(list_filter(regexp_split_to_array(low, '[\\s\\p{P}\\p{S}]+'), lambda x: x <> '')))")
-over_facts("tokenize_mixed", lambda t: F.size(T.mixed_tokens(t)).cast("bigint"), "len(list_distinct(regexp_extract_all(low, '[\\x{0980}-\\x{09FF}\\p{L}\\p{N}_]+')))")
+over_facts("tokenize_space", lambda t: F.array_join(F.array_sort(T.space_tokens(t)), " "), "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(low, '[\\s\\p{P}\\p{S}]+'), lambda x: x <> ''))), ' ')")
+over_facts("tokenize_mixed", lambda t: F.array_join(F.array_sort(T.mixed_tokens(t)), " "), "array_to_string(list_sort(list_distinct(regexp_extract_all(low, '[\\x{0980}-\\x{09FF}\\p{L}\\p{N}_]+'))), ' ')")
 over_facts("fingerprint", T.fingerprint, "sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')))")
 
 
@@ -256,9 +262,12 @@ def as_fact_rows(spark, sf_dir):
     return D.facts(spark, sf_dir).select("fact_id", F.col("text").alias("fact_text"), F.when(bn, "bn").otherwise("en").alias("lang"), "source_url", "publisher")
 
 
-@query("scan_html", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)(</article>|<footer>|$)', 1, 's'), '<[^>]*>', ' ', 'g'), '\s+', '', 'g')) > 0 AS found FROM pages")
+ARTICLE = r"regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g')"
+
+
+@query("scan_html", rf"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace({ARTICLE}, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def scan_html(spark, sf_dir):
-    return html.page_text(D.table(spark, sf_dir, "pages")).select("page_id", (F.length(F.regexp_replace("text", r"\s+", "")) > 0).alias("found"))
+    return html.page_text(D.spread(D.table(spark, sf_dir, "pages"))).select("page_id", "text")
 
 
 @query("scan_urls")
