@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import memory as M
 from ..sources import domain as D
+from ..sources import scratch
+from ..sources.store import Store
 from .registry import query
 
 E, EF, Q, FB, RL = D.episodes, D.episode_facts, D.episode_mcqs, D.feedback, D.run_log
@@ -44,19 +46,41 @@ def scan_run_log(s, d):
 
 @q("write_episode", ("episodes", "episode_facts", "mcqs"), "SELECT e.episode_id, (SELECT count(*) FROM episode_facts f WHERE f.episode_id = e.episode_id) AS n_facts, (SELECT count(*) FROM mcqs m WHERE m.episode_id = e.episode_id) AS n_mcqs FROM episodes e")
 def write_episode(s, d):
-    f = EF(s, d).groupBy("episode_id").agg(F.count("*").alias("n_facts"))
-    m = Q(s, d).groupBy("episode_id").agg(F.count("*").alias("n_mcqs"))
+    """The episodes of a memory that all of them are written to, with what hangs on each."""
+    memory = remembered(s, d)
+    f = memory.read("episode_facts").groupBy("episode_id").agg(F.count("*").alias("n_facts"))
+    m = memory.read("episode_mcqs").groupBy("episode_id").agg(F.count("*").alias("n_mcqs"))
     none = F.lit(0).cast("long")
-    return E(s, d).select("episode_id").join(f, "episode_id", "left").join(m, "episode_id", "left").select("episode_id", F.coalesce("n_facts", none).alias("n_facts"), F.coalesce("n_mcqs", none).alias("n_mcqs"))
+    rows = memory.read("episodes").select("episode_id").join(f, "episode_id", "left").join(m, "episode_id", "left")
+    return rows.select(F.col("episode_id").cast("long").alias("episode_id"), F.coalesce("n_facts", none).alias("n_facts"), F.coalesce("n_mcqs", none).alias("n_mcqs"))
+
+
+def remembered(s, d) -> Store:
+    """A new memory on disk with all episodes, their facts and their questions."""
+    memory = Store(s, scratch.place(s, "memory"))
+    memory.create()
+    asked = E(s, d).select("episode_id", F.col("topic").alias("input_question"), "topic", F.col("ts").alias("timestamp"), F.col("score").alias("overall_score"), "accepted")
+    made = Q(s, d).select("mcq_id", "episode_id", "difficulty", F.col("quality").alias("quality_score"), F.col("format").alias("format_score"), F.col("grounding").alias("grounding_score"), F.col("clarity").alias("clarity_score"), F.col("distractor").alias("distractor_score"))
+    memory.write_episodes(asked, EF(s, d), made)
+    return memory
+
+
+def last(s, d):
+    """The time of the latest episode, by which all are aged."""
+    return F.lit(E(s, d).agg(F.max("ts")).first()[0]).cast("timestamp")
 
 
 @q("update_episode", ("episodes", "feedback"), """, u AS (SELECT episode_id, min(rating) / 5::DOUBLE AS score FROM feedback GROUP BY 1), e AS (SELECT episode_id, topic, ts, accepted, coalesce(u.score, e.score) AS score FROM episodes e LEFT JOIN u USING (episode_id)),
  n AS (SELECT *, floor(date_diff('microsecond', ts, (SELECT max(ts) FROM e)) / 86400000000::DOUBLE) AS age FROM e)
 SELECT episode_id, round(score * 1e6) / 1e6 AS score, round(least(1::DOUBLE, greatest(0::DOUBLE, exp(-0.05::DOUBLE * age) * CASE WHEN accepted = 0 THEN 0.6::DOUBLE ELSE 1::DOUBLE END * CASE WHEN score < 0.5 THEN 0.7::DOUBLE ELSE 1::DOUBLE END)) * 1e6) / 1e6 AS decay FROM n""")
 def update_episode(s, d):
-    u = FB(s, d).groupBy("episode_id").agg((F.min("rating") / 5.0).alias("new"))
-    e = E(s, d).join(u, "episode_id", "left").withColumn("score", F.coalesce("new", "score")).drop("new")
-    return M.with_decay(e).select("episode_id", T.rnd(F.col("score"), 6).alias("score"), "decay")
+    """Every episode changed to the lowest rating it got, if any, and aged anew."""
+    memory = remembered(s, d)
+    rated = FB(s, d).groupBy("episode_id").agg((F.min("rating") / 5.0).alias("overall_score"))
+    none = {"accepted": F.lit(None).cast("int"), "regeneration_round": F.lit(None).cast("int"), "rejection_reason": F.lit(None).cast("string"), "judge_feedback": F.lit(None).cast("string")}
+    changes = E(s, d).select("episode_id").join(rated, "episode_id", "left").withColumn("episode_id", F.col("episode_id").cast("string")).withColumns(none)
+    memory.update_episodes(changes, last(s, d))
+    return memory.read("episodes").select(F.col("episode_id").cast("long").alias("episode_id"), T.rnd(F.col("overall_score"), 6).alias("score"), F.col("decay_score").alias("decay"))
 
 
 @q("decay_score", ("episodes",), DEC + "SELECT episode_id, CAST(age AS BIGINT) AS age_days, decay FROM decayed")
@@ -66,14 +90,22 @@ def decay_score(s, d):
 
 @q("forget_old_episodes", ("episodes", "episode_facts", "mcqs"), DEC + "SELECT 'episodes' AS part, count(*) AS n FROM episodes WHERE episode_id NOT IN (SELECT episode_id FROM doomed) UNION ALL SELECT 'episode_facts', count(*) FROM episode_facts WHERE episode_id NOT IN (SELECT episode_id FROM doomed) UNION ALL SELECT 'mcqs', count(*) FROM mcqs WHERE episode_id NOT IN (SELECT episode_id FROM doomed)")
 def forget_old_episodes(s, d):
-    gone = M.doomed(E(s, d)).select("episode_id")
-    left = lambda df, name: df.join(gone, "episode_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-    return left(E(s, d), "episodes").unionByName(left(EF(s, d), "episode_facts")).unionByName(left(Q(s, d), "mcqs"))
+    """What is left of a memory that is aged and then forgets."""
+    memory = remembered(s, d)
+    as_they_are = {c: F.lit(None).cast(kind) for c, kind in (("accepted", "int"), ("overall_score", "double"), ("regeneration_round", "int"), ("rejection_reason", "string"), ("judge_feedback", "string"))}
+    memory.update_episodes(memory.read("episodes").select("episode_id").withColumns(as_they_are), last(s, d))
+    memory.forget(last(s, d))
+    count = lambda name, part: memory.read(name).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return count("episodes", "episodes").unionByName(count("episode_facts", "episode_facts")).unionByName(count("episode_mcqs", "mcqs"))
 
 
 @q("write_feedback", ("feedback",), "SELECT id, episode_id, rating, category FROM feedback WHERE rating BETWEEN 1 AND 5")
 def write_feedback(s, d):
-    return FB(s, d).where("rating between 1 and 5").select("id", "episode_id", "rating", "category")
+    """The ratings that a memory takes; the row's number stands for the question's id."""
+    memory = Store(s, scratch.place(s, "memory"))
+    memory.create()
+    memory.write_feedback(FB(s, d).select("episode_id", F.col("id").alias("mcq_id"), "rating", "category", "created_at"))
+    return memory.read("feedback").select(F.col("mcq_id").cast("long").alias("id"), F.col("episode_id").cast("long").alias("episode_id"), "rating", "category")
 
 
 @q("feedback_penalty", ("feedback",), "SELECT fact_id, round(greatest(0::DOUBLE, 0.5::DOUBLE - 0.1::DOUBLE * sum(3 - rating)) * 1e6) / 1e6 AS composite, max(3 - rating) AS user_feedback_low FROM feedback WHERE rating <= 2 AND fact_id IS NOT NULL GROUP BY fact_id")

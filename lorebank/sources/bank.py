@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTRY = "struct<id:string,fact_text:string,text:string,fact:string,question_bn:string,question:string,topic:string,correct_answer:string,explanation:string,options:map<string,string>,difficulty:string>"
@@ -38,7 +38,24 @@ def scan_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Adds lines. Where ``execution_time_ms`` is null it becomes the time since the run's first line among ``rows``, 0 for the start."""
+    first = F.min("timestamp").over(Window.partitionBy("pipeline_run_id"))
+    elapsed = F.unix_millis("timestamp") - F.unix_millis(first)
+    rows.withColumn("execution_time_ms", F.coalesce("execution_time_ms", elapsed)).write.mode("append").json(path)
+
+
+def run_lines(runs: DataFrame, stage: str, failure: str = "none") -> DataFrame:
+    """Lines of the log for ``stage`` (start, a stage's name, complete) of runs (pipeline_run_id, timestamp, and of input, output, metrics, failure_mode those that there are)."""
+    have = set(runs.columns)
+    maps = {c: F.coalesce(F.col(c), F.create_map()).cast("map<string,string>") if c in have else F.create_map().cast("map<string,string>") for c in ("input", "output", "metrics")}
+    mode = F.coalesce(F.col("failure_mode"), F.lit(failure)) if "failure_mode" in have else F.lit(failure)
+    took = F.lit(0 if stage == "start" else None).cast("bigint")
+    return runs.select("pipeline_run_id", "timestamp", F.lit(stage).alias("stage"), *[x.alias(c) for c, x in maps.items()], mode.alias("failure_mode"), took.alias("execution_time_ms"))
+
+
+def clear_run_log(spark: SparkSession, path: str) -> None:
+    """The log without any line."""
+    spark.createDataFrame([], RUN_LOG).write.mode("overwrite").json(path)
 
 
 def export_json(rows: DataFrame, path: str) -> None:
@@ -46,9 +63,9 @@ def export_json(rows: DataFrame, path: str) -> None:
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; nested columns as JSON text."""
+    """CSV with a header, quotes doubled; nested columns as JSON text."""
     flat = [F.to_json(c).alias(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in rows.dtypes]
-    rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str, month: str) -> None:

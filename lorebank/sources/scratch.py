@@ -23,10 +23,15 @@ def _mine(spark: SparkSession) -> str:
     return f"{folder(spark)}/lorebank/{spark.sparkContext.applicationId}"
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_mine(spark)}/{uuid.uuid4().hex}-{name}"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{_mine(spark)}/{uuid.uuid4().hex}-{name}"
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
