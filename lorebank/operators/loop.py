@@ -1,10 +1,15 @@
-"""Generate, answer, judge: the iterative loop, with the language model as a pluggable function."""
+"""Generate, answer, judge: the iterative loop over chunks of facts, with the language model as a function.
+
+A challenger makes questions of the facts of a chunk, a reasoner answers them blind, a judge scores both. Each is called
+once for a chunk, on the executors. What is fed back to the next round is small: the reasons of failures, from a fixed
+list, and up to SHOWN accepted questions.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,10 +17,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import written
+from .model import Caller, cache_key, number, parsed
 
-#: Rounds over facts that have no accepted question yet.
-ROUNDS = 3
-Model = Callable[[DataFrame, int], DataFrame]
+#: Rounds over facts that have no accepted question yet, facts of a chunk, facts taken by default, questions
+#: made of a fact, accepted questions shown to the challenger, and the shares of the types of questions.
+ROUNDS, CHUNK, FACTS, EACH, SHOWN = 3, 10, 5, 2, 20
+SHARES = {"numeric_or_analytical": 0.75, "who": 0.15, "when_or_where": 0.10}
+#: Score from which a judged question passes, with grounding of at least .80; the score of a question that nobody judged.
+PASS, GROUNDED, UNJUDGED = 0.70, 0.80, 0.80
+REASONS = ("WRONG_GROUNDING", "AMBIGUOUS_QUESTION", "WEAK_DISTRACTORS", "FORMAT_ERROR", "REASONER_WRONG", "DUPLICATE_OPTIONS", "UNKNOWN")
+LEVELS = ("easy", "medium", "hard")
 
 
 def repair(raw: str | None) -> str | None:
@@ -55,56 +66,200 @@ def json_repair(column):
     return F.pandas_udf(lambda s: s.map(repair).astype("object"), "string")(column)
 
 
-def stub_challenge(facts: DataFrame, round_no: int) -> DataFrame:
-    """Two questions of each fact, made from its text: a stand-in for the model, the same in every run."""
-    return facts.select("fact_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "text").select(
-        F.concat_ws("-", "fact_id", F.lit(round_no), "k").alias("mcq_id"), "fact_id", F.concat(F.lit("Q"), "k", F.lit(": "), F.col("text")).alias("question")
+class Round(NamedTuple):
+    """What a chunk is asked with: the round from 0, the level asked for, the reasons so far, and questions not to repeat."""
+
+    no: int = 0
+    difficulty: str = "medium"
+    reasons: tuple[str, ...] = ()
+    shown: tuple[str, ...] = ()
+
+
+def quota(facts: int) -> dict[str, int]:
+    """How many questions of each type a chunk of so many facts is asked for."""
+    n = facts * EACH
+    return {"numeric_or_analytical": max(1, round(n * SHARES["numeric_or_analytical"])), "who": max(1, round(n * SHARES["who"])), "when_or_where": round(n * SHARES["when_or_where"])}
+
+
+def challenge_prompt(facts: list[Any], asked: Round) -> str:
+    """The request for the questions of a chunk."""
+    lines = [f"{i}. [{f.fact_id}] {f.text}" for i, f in enumerate(facts, 1)]
+    types = ", ".join(f"{n} {kind}" for kind, n in quota(len(facts)).items())
+    parts = [f"Make {EACH} questions of each fact, each on another aspect ({types}), level {asked.difficulty}:", *lines]
+    if asked.no > 0 and asked.reasons:
+        parts.append(f"Earlier questions failed (round {asked.no}) for: {'; '.join(asked.reasons)}. Avoid that.")
+    if asked.shown:
+        parts += ["Do not repeat:", *(f"- {q}" for q in asked.shown[:SHOWN])]
+    parts.append('Give JSON: {"mcqs": [{"fact_id", "question", "options", "correct_answer", "difficulty", "question_type", "explanation"}]}')
+    return "\n".join(parts)
+
+
+def made_of(reply: str, asked: Round) -> list[tuple]:
+    """Questions of a challenger's reply; one without fact, question or answer is left out, and the level is the one asked for."""
+    out = []
+    for x in parsed(reply, "mcqs") or []:
+        if all(isinstance(x.get(k), (str, int)) for k in ("fact_id", "question", "correct_answer")):
+            options = x.get("options") if isinstance(x.get("options"), dict) else {}
+            options = {str(k): str(v) for k, v in options.items()}
+            out.append((str(x["fact_id"]), str(x["question"]), options, str(x["correct_answer"]), asked.difficulty, str(x.get("question_type") or "factual"), str(x.get("explanation") or "")))
+    return out
+
+
+MADE = "chunk long, fact_id string, question string, options map<string,string>, correct_answer string, difficulty string, question_type string, explanation string"
+JUDGED = "chunk long, mcq_id string, answer string, quality double, format double, grounding double, clarity double, distractor double, passed boolean, reasons array<string>"
+
+
+def challenge(facts: DataFrame, asked: Round, caller: Caller) -> DataFrame:
+    """Questions of facts (chunk, fact_id, text), each chunk in one call; a chunk whose call fails has none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split(" ")[0] for c in MADE.split(", ")]
+        try:
+            rows = made_of(caller("You write exam questions from facts alone.", challenge_prompt(list(pdf.itertuples()), asked), 0.7), asked)
+        except Exception:
+            rows = []
+        return pd.DataFrame([(pdf["chunk"].iloc[0], *r) for r in rows], columns=names)
+
+    return facts.select("chunk", F.col("fact_id").cast("string").alias("fact_id"), "text").groupBy("chunk").applyInPandas(run, MADE)
+
+
+def _facts_of(pdf: pd.DataFrame) -> str:
+    return "\n".join(sorted({f"- [{r.fact_id}] {r.text}" for r in pdf.itertuples()}))
+
+
+def answer_prompt(pdf: pd.DataFrame) -> str:
+    """Facts and questions, without the right answers."""
+    asked = [f"[{r.mcq_id}] {r.question} " + "  ".join(f"{k}) {v}" for k, v in (r.options or {}).items()) for r in pdf.itertuples()]
+    return f"Answer from these facts alone.\nFacts:\n{_facts_of(pdf)}\nQuestions:\n" + "\n".join(asked) + '\nGive JSON: {"answers": [{"mcq_id", "chosen_answer", "confidence", "reasoning"}]}'
+
+
+def judge_prompt(pdf: pd.DataFrame, answers: dict[str, dict]) -> str:
+    """Facts, questions with their right answers, and what the reasoner said, N/A where it said nothing."""
+    rows = []
+    for r in pdf.itertuples():
+        said = answers.get(r.mcq_id, {})
+        rows.append({"mcq_id": r.mcq_id, "fact_id": r.fact_id, "question": r.question, "options": dict(r.options or {}), "correct_answer": r.correct_answer, "explanation": r.explanation,
+                     "reasoner_answer": said.get("chosen_answer", "N/A"), "reasoner_confidence": said.get("confidence", 0.0), "reasoner_reasoning": said.get("reasoning", "")})
+    return (
+        f"Judge these questions by the facts.\nFacts:\n{_facts_of(pdf)}\nQuestions:\n{json.dumps(rows, ensure_ascii=False)}\n"
+        f"Pass: overall of at least {PASS} and grounding of at least {GROUNDED}. Reasons: {' | '.join(REASONS[:-1])}.\n"
+        'Give JSON: {"evaluations": [{"mcq_id", "passed", "dimension_scores", "overall_score", "failure_reasons"}]}'
     )
 
 
-def stub_judge(questions: DataFrame, round_no: int) -> DataFrame:
-    """Scores from a hash of the question; later rounds are judged more kindly, as the reasons were taken in."""
-    score = F.pmod(F.xxhash64("question"), F.lit(1000)) / 1000.0
-    total = F.least(F.lit(1.0), score + 0.15 * (round_no - 1))
-    return questions.select("mcq_id", F.lit("A").alias("answer"), total.alias("quality"), (total >= 0.7).alias("passed"))
+def judge(questions: DataFrame, caller: Caller) -> DataFrame:
+    """Answers and judgements of questions with their facts, each chunk in two calls.
+
+    Without any answer the judge is not asked. A question that was not judged, or whose chunk failed, is not in the result.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, rows = [c.split(" ")[0] for c in JUDGED.split(", ")], []
+        try:
+            said = {str(a.get("mcq_id")): a for a in parsed(caller("You answer exam questions.", answer_prompt(pdf), 0.2), "answers") or []}
+            found = parsed(caller("You judge exam questions.", judge_prompt(pdf, said), 0.2), "evaluations") if said else []
+        except Exception:
+            found = []
+        for e in found or []:
+            dim = e.get("dimension_scores") if isinstance(e.get("dimension_scores"), dict) else {}
+            scores = [number(dim.get(f"{k}_score")) for k in ("format", "grounding", "clarity", "distractor")]
+            reasons = [r if r in REASONS else "UNKNOWN" for r in e.get("failure_reasons", ["UNKNOWN"]) or []]
+            key = str(e.get("mcq_id"))
+            rows.append((pdf["chunk"].iloc[0], key, str(said.get(key, {}).get("chosen_answer", "N/A")), number(e.get("overall_score")), *scores, bool(e.get("passed", False)), reasons))
+        return pd.DataFrame(rows, columns=names)
+
+    return questions.groupBy("chunk").applyInPandas(run, JUDGED)
+
+
+def chunked(facts: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Facts with the number of their chunk, at most ``size`` consecutive rows of a partition, written so that it stays."""
+    row = F.monotonically_increasing_id()
+    part = F.shiftright(row, 33)
+    return written(facts.withColumn("chunk", F.shiftleft(part, 33) + F.floor((row - F.shiftleft(part, 33)) / size)), "facts")
+
 
+def one_round(facts: DataFrame, seen: DataFrame, asked: Round, caller: Caller) -> DataFrame:
+    """The new questions of a round with the judge's word; ``passed`` is null where there is none.
 
-def one_round(facts: DataFrame, seen: DataFrame, round_no: int, challenge: Model = stub_challenge, judge: Model = stub_judge) -> DataFrame:
-    """New questions of a round with the judge's word; those whose fingerprint was seen are left out, and so are repeats within the round."""
-    made = challenge(facts, round_no).withColumn("h", T.fingerprint(F.col("question")))
-    first = made.groupBy("h").agg(F.min("mcq_id").alias("mcq_id"))
-    fresh = made.join(first, ["h", "mcq_id"]).join(seen, "h", "left_anti")
-    judged = judge(fresh, round_no)
-    out = fresh.join(judged, "mcq_id", "left")
-    return out.select("mcq_id", "fact_id", "h", F.lit(round_no).alias("round"), F.coalesce("answer", F.lit("N/A")).alias("answer"), F.coalesce("quality", F.lit(0.0)).alias("quality"), "passed")
+    Questions whose fingerprint was seen are left out, and so are repeats within the round. In a chunk without any
+    judgement all questions pass with a score of UNJUDGED; where others of the chunk were judged, those that were not
+    stay without a word. ``facts`` have their chunks.
+    """
+    made = written(challenge(facts, asked, caller).withColumn("h", T.fingerprint(F.col("question"))), "made")
+    columns = ("chunk", "fact_id", "question", "options", "correct_answer", "difficulty", "question_type", "explanation")
+    rank = F.min_by(F.struct(*columns), F.struct("chunk", "fact_id", "question", F.to_json("options"), *columns[4:]))
+    first = made.groupBy("h").agg(rank.alias("x")).select("h", "x.*").join(seen.select("h"), "h", "left_anti")
+    name = F.concat(F.lit("MCQ_"), F.substring(F.sha2(F.concat_ws("|", "h", F.lit(str(asked.no)), "difficulty"), 256), 1, 16))
+    fresh = written(first.withColumn("mcq_id", name), "fresh")
+    known = facts.select("chunk", F.col("fact_id").cast("string").alias("fact_id"), "text")
+    judged = written(judge(fresh.join(known, ["chunk", "fact_id"], "left"), caller).dropDuplicates(["mcq_id"]), "judged")
+    some = judged.select("chunk").distinct().withColumn("some", F.lit(True))
+    out = fresh.join(judged.drop("chunk"), "mcq_id", "left").join(some, "chunk", "left")
+    nobody = F.col("some").isNull()
+    return out.select(
+        "mcq_id", "fact_id", "h", "question", "options", "correct_answer", "difficulty", "question_type", "explanation", F.lit(asked.no).alias("round"), F.coalesce("answer", F.lit("N/A")).alias("answer"),
+        F.when(nobody, UNJUDGED).otherwise(F.coalesce("quality", F.lit(0.0))).alias("quality"), "format", "grounding", "clarity", "distractor",
+        F.when(nobody, True).otherwise(F.col("passed")).alias("passed"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"),
+    )
 
 
-def run_loop(facts: DataFrame, seen: DataFrame, rounds: int = ROUNDS, challenge: Model = stub_challenge, judge: Model = stub_judge) -> DataFrame:
-    """Accepted questions. Each round takes the facts without one; a question that no judge answered is dropped, and if none was judged all pass at .80."""
+def run_loop(facts: DataFrame, seen: DataFrame, caller: Caller, difficulty: str = "medium", rounds: int = ROUNDS, size: int = CHUNK) -> DataFrame:
+    """Accepted questions of facts (fact_id, text). Each round takes the facts that have none yet, in chunks, and the reasons so far."""
     accepted: DataFrame | None = None
-    pending = written(facts)
-    for k in range(1, rounds + 1):
-        made = written(one_round(pending, seen, k, challenge, judge))
-        if made.where("passed is not null").limit(1).count():
-            good = made.where("passed")
-        else:
-            good = made.withColumn("quality", F.lit(0.80))
+    pending, reasons = chunked(facts, size), set()
+    for k in range(rounds):
+        shown = tuple(sorted(r.question for r in accepted.select("question").limit(SHOWN).collect())) if accepted is not None else ()
+        made = written(one_round(pending, seen, Round(k, difficulty, tuple(sorted(reasons)), shown), caller), "round")
+        good = made.where("passed")
         accepted = good if accepted is None else accepted.unionByName(good)
         seen = seen.select("h").unionByName(good.select("h"))
-        pending = written(pending.join(good.select("fact_id").distinct(), "fact_id", "left_anti"))
+        reasons |= {r.x for r in made.where("not passed").select(F.explode("reasons").alias("x")).distinct().collect()}  # of a fixed list
+        covered = good.select(F.col("fact_id").alias("done")).distinct()
+        pending = written(pending.join(covered, F.col("fact_id").cast("string") == F.col("done"), "left_anti"), "pending")
         if not pending.limit(1).count():
             break
     return accepted
 
 
-def from_pandas(model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Model:
-    """A model as a function over Arrow batches of questions, to be called on the executors."""
+def generate(facts: DataFrame, seen: DataFrame, caller: Caller, difficulty: str = "medium", most: int = FACTS, **options) -> DataFrame:
+    """run_loop over the ``most`` facts with the highest composite (fact_id, text, composite), of equal ones the first ids."""
+    return run_loop(facts.orderBy(F.desc("composite"), "fact_id").limit(most), seen, caller, difficulty, **options)
+
+
+def all_difficulties(facts: DataFrame, seen: DataFrame, caller: Caller, **options) -> DataFrame:
+    """generate() for every level; what one level has accepted, the next does not repeat."""
+    out: DataFrame | None = None
+    for level in LEVELS:
+        made = written(generate(facts, seen, caller, level, **options), level)
+        seen = seen.select("h").unionByName(made.select("h"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def in_batches(facts: DataFrame, seen: DataFrame, caller: Caller, difficulty: str = "medium", **options) -> DataFrame:
+    """run_loop over all facts, in batches that are chunks; a batch whose calls fail has no questions and stops no other."""
+    return run_loop(facts, seen, caller, difficulty, size=CHUNK, **options)
 
-    def call(df: DataFrame, round_no: int) -> DataFrame:
-        def run(frames):
-            for frame in frames:
-                yield model(frame)
 
-        return df.mapInPandas(run, schema)
+def by_rule(system: str, user: str, temperature: float) -> str:
+    """A stand-in for the model that answers by rule, the same in every run.
 
-    return call
+    It makes EACH questions of every fact, answers every question, and judges by a hash, more kindly after failures.
+    """
+    if "write" in system:
+        facts = re.findall(r"^\d+\. \[([^\]]*)\] (.*)$", user, re.M)
+        level = re.search(r"level (\w+):", user)[1]
+        kinder = int((re.search(r"\(round (\d+)\)", user) or [0, 0])[1])
+        made = [{"fact_id": i, "question": f"Q{k + kinder * EACH}: {t}", "options": {"A": t[:20], "B": "none", "C": "all", "D": level}, "correct_answer": "A", "question_type": "factual"} for i, t in facts for k in range(1, EACH + 1)]
+        return json.dumps({"mcqs": made})
+    if "answer" in system:
+        return json.dumps({"answers": [{"mcq_id": i, "chosen_answer": "A", "confidence": 0.9} for i in re.findall(r"^\[(MCQ_\w+)\]", user, re.M)]})
+    rows = json.loads(re.search(r"^\[.*\]$", user, re.M)[0])
+    out = []
+    for r in rows:
+        x = int(cache_key(r["question"])[:8], 16) % 1000 / 1000
+        total = round(min(1.0, x + 0.15 * ((int(r["question"][1 : r["question"].index(":")]) - 1) // EACH)), 3)
+        good = total >= PASS
+        scores = {f"{k}_score": total for k in ("format", "clarity", "distractor")} | {"grounding_score": max(total, GROUNDED) if good else total}
+        out.append({"mcq_id": r["mcq_id"], "passed": good, "overall_score": total, "dimension_scores": scores, "failure_reasons": [] if good else ["WEAK_DISTRACTORS"]})
+    return json.dumps({"evaluations": out})

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.wordlists import HISTORICAL
-from ..operators import loop, mcq, metrics
+from ..operators import loop, mcq, metrics, model
+from ..operators.model import Caller, Throttle
 from ..sources import domain as D
 from ..sources.scratch import written
 from ..streaming import limits
@@ -233,20 +234,45 @@ def json_repair(s, d):
     return e.select("event_id", loop.json_repair(broken).alias("json"))
 
 
-# the loop
+# the loop, with a stand-in for the model
 def topk(s, d):
-    return D.facts(s, d).where("topic = 'en'").select("fact_id", "text")
+    """Facts that are ready for questions, of all topics."""
+    return D.scored_facts(s, d).where("verdict in ('ACCEPT', 'REFINE')").select("fact_id", "text", "composite")
 
 
 def no_seen(s):
     return s.createDataFrame([], "h string")
 
 
+def caller():
+    return Caller(loop.by_rule, throttle=Throttle(calls=1 << 30))
+
+
 @query("crj_round")
 def crj_round(s, d):
-    return loop.one_round(topk(s, d), no_seen(s), 1).select("mcq_id", "fact_id", "quality", "passed")
+    facts = loop.chunked(topk(s, d))
+    return loop.one_round(facts, no_seen(s), loop.Round(), caller()).select("mcq_id", "fact_id", "question", "quality", "passed")
 
 
 @query("crj_loop")
 def crj_loop(s, d):
-    return loop.run_loop(topk(s, d), no_seen(s)).select("mcq_id", "fact_id", "round", "quality")
+    return loop.in_batches(topk(s, d), no_seen(s), caller()).select("mcq_id", "fact_id", "round", "quality")
+
+
+@query("all_difficulties")
+def all_difficulties(s, d):
+    """The five best facts of all, for each level."""
+    return loop.all_difficulties(topk(s, d), no_seen(s), caller()).select("mcq_id", "fact_id", "difficulty", "round", "quality")
+
+
+@query("model_scores")
+def model_scores(s, d):
+    """Scores of turns as questions; the stand-in answers only even ones, the others fail as a broken reply does."""
+    c = D.table(s, d, "conversations")
+    asked = c.select(F.concat_ws("-", "conv_id", "turn").alias("mcq_id"), F.col("text").alias("question"), F.create_map(F.lit("A"), F.lit("x")).alias("options"), F.lit("A").alias("correct_answer"), F.col("turn").cast("string").alias("fact"))
+    return model.score_questions(asked, Caller(graded_by_rule, throttle=Throttle(calls=1 << 30), tries=1))
+
+
+def graded_by_rule(system: str, user: str, temperature: float) -> str:
+    even = int(user.rsplit("Fact: ", 1)[1].split("\n")[0]) % 2 == 0
+    return '{"grounding_score": 0.9, "clarity_score": "0.8", "distractor_score": 0.7, "failure_codes": []}' if even else "no JSON"
