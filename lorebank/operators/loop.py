@@ -83,7 +83,7 @@ def quota(facts: int) -> dict[str, int]:
 
 def challenge_prompt(facts: list[Any], asked: Round) -> str:
     """The request for the questions of a chunk."""
-    lines = [f"{i}. [{f.fact_id}] {f.text}" for i, f in enumerate(facts, 1)]
+    lines = [f"{i}. [{f.fact_id}] {' '.join(f.text.split())}" for i, f in enumerate(facts, 1)]
     types = ", ".join(f"{n} {kind}" for kind, n in quota(len(facts)).items())
     parts = [f"Make {EACH} questions of each fact, each on another aspect ({types}), level {asked.difficulty}:", *lines]
     if asked.no > 0 and asked.reasons:
@@ -124,7 +124,7 @@ def challenge(facts: DataFrame, asked: Round, caller: Caller) -> DataFrame:
 
 
 def _facts_of(pdf: pd.DataFrame) -> str:
-    return "\n".join(sorted({f"- [{r.fact_id}] {r.text}" for r in pdf.itertuples()}))
+    return "\n".join(sorted({f"- [{r.fact_id}] {' '.join(str(r.text).split())}" for r in pdf.itertuples()}))
 
 
 def answer_prompt(pdf: pd.DataFrame) -> str:

@@ -111,7 +111,7 @@ def walk(facts, seen, rounds=3):
         made = {}
         for i, text in pending:
             for e in (1, 2):
-                q = f"Q{e + kinder * 2}: {text}"
+                q = f"Q{e + kinder * 2}: {' '.join(text.split())}"
                 made.setdefault(fingerprint(q), (str(i), q, e + kinder * 2))
         failed = False
         for h, (i, q, e) in made.items():
