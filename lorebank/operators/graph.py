@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def first_wins(nodes: DataFrame) -> DataFrame:
-    """One node of each id, the first by seq."""
-    n = F.row_number().over(Window.partitionBy("node_id").orderBy("seq"))
-    return nodes.withColumn("n", n).where("n = 1").drop("n")
-
-
 def build(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of scored facts: a FACT, its TOPIC, SOURCE and ENTITY nodes; ABOUT, SUPPORTED_BY, SUBJECT_OF."""
     f = facts.withColumn("node", F.concat(F.lit("FACT_"), "fact_id"))
@@ -21,12 +15,10 @@ def build(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = F.concat(F.lit("SOURCE_"), F.substring(F.sha2("source_url", 256), 1, 12))
     entities = f.select("node", "fact_id", F.explode(F.array_distinct(T.extract_entities(F.col("text")))).alias("name"))
     entity = F.concat(F.lit("ENTITY_"), F.regexp_replace(F.trim("name"), r"\s", "_"))
-    nodes = (
-        f.select(F.col("node").alias("node_id"), F.lit("FACT").alias("type"), F.col("fact_id").alias("seq"))
-        .unionByName(f.groupBy(topic.alias("node_id")).agg(F.min("fact_id").alias("seq")).withColumn("type", F.lit("TOPIC")))
-        .unionByName(f.groupBy(source.alias("node_id")).agg(F.min("fact_id").alias("seq")).withColumn("type", F.lit("SOURCE")))
-        .unionByName(entities.groupBy(entity.alias("node_id")).agg(F.min("fact_id").alias("seq")).withColumn("type", F.lit("ENTITY")))
-    )
+    node = lambda df, of, kind: df.select(of.alias("node_id"), F.lit(kind).alias("type"), F.col("fact_id").alias("seq"))
+    every = node(f, F.col("node"), "FACT").unionByName(node(f, topic, "TOPIC")).unionByName(node(f, source, "SOURCE")).unionByName(node(entities, entity, "ENTITY"))
+    # of writers of the same id the first wins, of the same fact's the first kind by name
+    nodes = every.groupBy("node_id").agg(F.min_by("type", F.struct("seq", "type")).alias("type"), F.min("seq").alias("seq"))
     edge = lambda df, src, dst, relation: df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), F.col("fact_id").alias("seq"))
     edges = edge(f, F.col("node"), topic, "ABOUT").unionByName(edge(f, F.col("node"), source, "SUPPORTED_BY")).unionByName(edge(entities, entity, F.col("node"), "SUBJECT_OF"))
     return nodes, edges

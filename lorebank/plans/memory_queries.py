@@ -10,6 +10,7 @@ from ..operators import memory as M
 from ..sources import domain as D
 from ..sources import scratch
 from ..sources.store import Store
+from ..streaming import limits
 from .registry import query
 
 E, EF, Q, FB, RL = D.episodes, D.episode_facts, D.episode_mcqs, D.feedback, D.run_log
@@ -174,7 +175,11 @@ def feedback_stats(s, d):
 
 @q("feedback_stream", ("feedback",), "SELECT rating, count(*) AS n FROM feedback GROUP BY rating")
 def feedback_stream(s, d):
-    return FB(s, d).groupBy("rating").agg(F.count("*").alias("n"))
+    """Counts of ratings as a stream over files of them."""
+    path, rows = scratch.place(s, "ratings"), FB(s, d).select("id", "rating")
+    rows.repartition(3).write.parquet(path)
+    counts = limits.ratings_stream(s, path, "id long, rating int")
+    return limits.finished(counts, "ratings_" + path.rpartition("/")[2].partition("-")[0])
 
 
 @q("memory_summary", ("episodes", "episode_facts", "mcqs", "feedback"), "SELECT (SELECT count(*) FROM episodes) AS episodes, (SELECT count(*) FROM episode_facts) AS facts, (SELECT count(*) FROM mcqs) AS mcqs, (SELECT count(*) FROM feedback) AS feedback, (SELECT CAST(sum(accepted) AS BIGINT) FROM episodes) AS accepted, (SELECT round(avg(score) * 1e4) / 1e4 FROM episodes) AS avg_score")

@@ -30,16 +30,34 @@ def decide(times: list[float], kept: list[float], limit: int, window: float) ->
     return ok, retry, kept
 
 
+def _in_order(rows: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
+    """``step(state, frame)`` over the rows of each key, which come sorted, a batch at a time; state starts as None for each key.
+
+    Only the state of one key and one batch of rows are held, however long the log of a key is. What a step decides
+    depends on all rows of the key before it, so those of one key stay in one task.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            for key, part in frame.groupby(keys, sort=False, dropna=False):
+                if key != now:
+                    now, state = key, None
+                state, out = step(state, key, part)
+                yield out
+
+    order = [k for k in ("at", "call_id", "seq") if k in rows.columns]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def rate_limit(calls: DataFrame, window: float = 60.0, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """(call_id, allowed, retry_after) of calls (call_id, key, zone, at), at in seconds. State is one log for each key and zone."""
+    """(call_id, allowed, retry_after) of calls (call_id, key, zone, at), at in seconds. State is one log for each key and zone, of at most its limit."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "call_id"])
-        zone = pdf["zone"].iloc[0]
-        ok, retry, _ = decide(pdf["at"].tolist(), [], limits.get(zone, limits["default"]), window)
-        return pd.DataFrame({"call_id": pdf["call_id"].to_numpy(), "allowed": ok, "retry_after": retry})
+    def step(kept, key, pdf):
+        ok, retry, kept = decide(pdf["at"].tolist(), kept or [], limits.get(key[1], limits["default"]), window)
+        return kept, pd.DataFrame({"call_id": pdf["call_id"].to_numpy(), "allowed": ok, "retry_after": retry})
 
-    return calls.groupBy("key", "zone").applyInPandas(run, "call_id long, allowed boolean, retry_after int")
+    return _in_order(calls.select("call_id", "key", "zone", "at"), ["key", "zone"], step, "call_id long, allowed boolean, retry_after int")
 
 
 def rate_limit_stream(calls: DataFrame, window: float = 60.0, limits: dict[str, int] = LIMITS) -> DataFrame:
@@ -56,11 +74,11 @@ def rate_limit_stream(calls: DataFrame, window: float = 60.0, limits: dict[str,
 
 
 def replay_cache(log: DataFrame, size: int, ttl: float) -> DataFrame:
-    """(seq, hit) of gets in an access log (cache, seq, at, key): a hit is neither expired nor pushed out, first in first out; a miss sets."""
+    """(seq, hit) of gets in an access log (cache, seq, at, key): a hit is neither expired nor pushed out, first in first out; a miss sets.
+    State is what one cache holds, at most ``size`` keys."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        held: OrderedDict = OrderedDict()
+    def step(held, _, pdf):
+        held = OrderedDict() if held is None else held
         hits = []
         for key, now in zip(pdf["key"], pdf["at"], strict=True):
             hit = key in held and now < held[key]
@@ -73,9 +91,9 @@ def replay_cache(log: DataFrame, size: int, ttl: float) -> DataFrame:
                     while len(held) >= size:
                         held.popitem(last=False)
                 held[key] = now + ttl
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "hit": hits})
+        return held, pd.DataFrame({"seq": pdf["seq"].to_numpy(), "hit": hits})
 
-    return log.groupBy("cache").applyInPandas(run, "seq long, hit boolean")
+    return _in_order(log.select("cache", "seq", "at", "key"), ["cache"], step, "seq long, hit boolean")
 
 
 def ratings_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -87,3 +105,10 @@ def latency_stream(spark: SparkSession, path: str, schema: str, lateness: str =
     """Runs and seconds by stage and window from a growing folder of the run log; rows later than ``lateness`` are dropped."""
     rows = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.withWatermark("ts", lateness).groupBy(F.window("ts", span), "stage").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"))
+
+
+def finished(counts: DataFrame, name: str) -> DataFrame:
+    """The table of a streaming count after all that is there now has been read: a row for each key, held by the driver."""
+    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counts.sparkSession.table(name)
