@@ -209,13 +209,8 @@ class Encoder:
         self.find = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.quick = re.compile(rf"[{QUICK}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{QUICK}]+").findall
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
         # a special string is kept as it stands, which no word can be, as words hold no letters next to signs
-        self.marks = {s: self.packed([i]) for s, i in model.special.items()}
-
-    def packed(self, ids: list[int]) -> tuple[bytes, bytes]:
-        tokens = self.model.tokens
-        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(tokens[i] for i in ids).encode()
+        self.marks = {s: i.to_bytes(4, "little") for s, i in model.special.items()}
 
     def words(self, text: str) -> list[str]:
         special = self.special
@@ -235,24 +230,21 @@ class Encoder:
         fresh = list(words.difference(self.ids))
         if len(self.ids) + len(fresh) > REMEMBERED:
             self.ids.clear()
-            self.text.clear()
             fresh = list(words)
         flat, count = self.model.merge_many([w.encode() for w in fresh])
         end = np.cumsum(count)
         first, last = (end - count).tolist(), end.tolist()
-        raw, names = flat.astype("<u4").tobytes(), list(map(self.model.tokens.__getitem__, flat.tolist()))
+        raw = flat.astype("<u4").tobytes()
         self.ids.update(zip(fresh, [raw[4 * i : 4 * j] for i, j in zip(first, last, strict=True)], strict=True))
-        self.text.update(zip(fresh, [" ".join(names[i:j]).encode() for i, j in zip(first, last, strict=True)], strict=True))
-        for mark, (ids, text) in self.marks.items():
-            self.ids[mark], self.text[mark] = ids, text
+        self.ids.update(self.marks)
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text the ids as little-endian 32-bit integers, and the decoded text: tokens joined by blanks, as the file has no decoder."""
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text the ids as little-endian 32-bit integers."""
         cut = [self.words(t) for t in texts]
         self.learn(chain.from_iterable(cut))
-        ids, text = self.ids.__getitem__, self.text.__getitem__
+        ids = self.ids.__getitem__
         for words in cut:
-            yield b"".join(map(ids, words)), b" ".join(map(text, words))
+            yield b"".join(map(ids, words))
 
 
 _LIVE: dict[str, Any] = {}
@@ -273,14 +265,15 @@ def _encode_rows(shipped, texts: bool):
         sha = hashlib.sha256
         for batch in batches:
             ids, n, first, second, whole, decoded = batch.column(0), [], [], [], [], []
-            for a, b in chain.from_iterable(map(coder.encode_all, together(batch.column(1)))):
+            for a in chain.from_iterable(map(coder.encode_all, together(batch.column(1)))):
+                b = decode(a, coder.model)
                 n.append(len(a) // 4)
                 if texts:
                     whole.append(a)
-                    decoded.append(b.decode())
+                    decoded.append(b)
                 else:
                     first.append(sha(a).hexdigest())
-                    second.append(sha(b).hexdigest())
+                    second.append(sha(b.encode()).hexdigest())
             out = [ids, pa.array(n, pa.int64())]
             out += [pa.array(whole, pa.binary()), pa.array(decoded, pa.string())] if texts else [pa.array(first, pa.string()), pa.array(second, pa.string())]
             yield pa.record_batch(out, ["doc_id", "n_tokens", "x", "y"])
@@ -293,7 +286,8 @@ def encode(docs: DataFrame, path: str, *, texts: bool = True) -> DataFrame:
 
     With texts: (doc_id, n_tokens, ids binary: little-endian unsigned 32-bit, decoded string); else the digests
     ids_sha256 and decoded_sha256 of these, made without keeping them. A null text is empty: no ids, decoded to ''.
-    The special strings of the file become their ids wherever they stand. Rows are kept as they are.
+    The special strings of the file become their ids wherever they stand. Of pairs of the same rank in a word the first is
+    merged first. Texts are read whole however long. Rows are kept as they are, repeated or not; an empty table gives none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(Model(path))  # bounded by the vocabulary file
     kinds = "ids binary, decoded string" if texts else "ids_sha256 string, decoded_sha256 string"
@@ -308,5 +302,5 @@ def encode(docs: DataFrame, path: str, *, texts: bool = True) -> DataFrame:
 
 
 def decode(ids: bytes, model: Model) -> str:
-    """The text of packed ids: their tokens joined by blanks, special ones included."""
-    return " ".join(model.tokens[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+    """The text of packed ids: their tokens joined by blanks, special ones included, as the file has no decoder."""
+    return " ".join(map(model.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

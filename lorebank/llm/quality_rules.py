@@ -58,7 +58,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed) of each row of ``docs``.
 
     failed holds bit i if rule i of RULES fails. A null text has no words and no lines. Windows are compared by 64-bit
-    hashes of their words. Rows are kept as they are, repeated or not; other columns are not read.
+    hashes of their words. Texts are read whole however long. Rows are kept as they are, repeated or not; an empty table gives
+    none; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -89,21 +90,28 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:
-    """Adds base_failed (a rule of version 1) and kept (no rule of version 1 or of ``version``) to a ledger."""
+    """Adds base_failed (a rule of version 1) and kept (no rule of version 1 or of ``version``) to a ledger.
+
+    Every row of the ledger is judged by its own bits, repeated or not, whatever its id; an empty ledger stays empty.
+    """
     base = F.col("failed").bitwiseAND(F.lit(mask(1))) != 0
     return rows.withColumns({"base_failed": base, "kept": F.col("failed").bitwiseAND(F.lit(mask(1) | mask(version))) == 0})
 
 
 def ablations(rows: DataFrame, version: int = CURRENT) -> DataFrame:
-    """(rule, n_failed, n_only, n_kept_without) for each rule of a policy: documents that fail it, that fail nothing else, and that stay without it."""
+    """(rule, n_failed, n_only, n_kept_without) for each rule of a policy: documents that fail it, that fail nothing else of the policy, and that stay without it.
+
+    Rows of the ledger count one by one, repeated or not, whatever their ids; with an empty ledger all counts are 0.
+    """
     active = F.col("failed").bitwiseAND(F.lit(mask(version)))
     patterns = rows.groupBy(active.alias("failed")).agg(F.count("*").alias("n"))  # at most 2 ** len(RULES) rows
+    total_of = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
     total = [
         F.struct(
             F.lit(r).alias("rule"),
-            F.sum(F.when(F.col("failed").bitwiseAND(F.lit(bit)) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
-            F.sum(F.when(F.col("failed") == bit, F.col("n")).otherwise(0)).alias("n_only"),
-            F.sum(F.when(F.col("failed").bitwiseAND(F.lit(~bit)) == 0, F.col("n")).otherwise(0)).alias("n_kept_without"),
+            total_of(F.col("failed").bitwiseAND(F.lit(bit)) != 0).alias("n_failed"),
+            total_of(F.col("failed") == bit).alias("n_only"),
+            total_of(F.col("failed").bitwiseAND(F.lit(~bit)) == 0).alias("n_kept_without"),
         )
         for r, bit in ((r, 1 << RULES.index(r)) for r in POLICIES[version])
     ]

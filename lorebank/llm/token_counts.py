@@ -23,11 +23,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Counter:
-    """Tokens of pre-tokens: ``known`` starts with the proven shortcuts, each 1, and takes what has been merged."""
+    """Tokens of pre-tokens: ``known`` starts with the proven shortcuts of the model, each 1, and takes what has been merged."""
 
     def __init__(self, model: Model):
         self.model, self.special = model, model.splitter()
-        self.one = dict.fromkeys([*shortcuts(model), *model.special], 1)
+        self.one = dict.fromkeys([*model.proven, *model.special], 1)
         self.find = regex.compile(PATTERN).findall
         self.quick = re.compile(rf" ?[{QUICK}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{QUICK}]+|\s+(?!\S)|\s+").findall
         self.known = dict(self.one)
@@ -84,10 +84,12 @@ def _count_rows(shipped):
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of ``docs`` (doc_id, text) with the byte-level file at ``path``.
 
-    A null text is empty: no bytes, no tokens. Special strings inside a text count as their one token. Rows are kept as
-    they are. The driver reads the file; what is sent to the executors is bounded by it.
+    A null text is empty: no bytes, no tokens. Special strings inside a text count as their one token. Texts are read whole
+    however long. Rows are kept as they are, repeated or not; an empty table gives none. The driver reads the file; what is sent to the executors is bounded by it.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(Model(path))
+    model = Model(path)
+    model.proven = shortcuts(model)  # proven once, before any text is read
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     counted = rows.mapInArrow(_count_rows(shipped), "doc_id long, n_bytes long, n_tokens long")

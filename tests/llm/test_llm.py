@@ -360,7 +360,12 @@ def test_quality(spark, docs, odd):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover))
         assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r.kept and r.base_failed)
     rules = {r.rule: r for r in quality_rules.ablations(quality_rules.ledger(both)).collect()}
-    assert set(rules) == set(quality_rules.POLICIES[quality_rules.CURRENT]) and all(r.n_only <= r.n_failed for r in rules.values())
+    for version, names in quality_rules.POLICIES.items():
+        some = {r.rule: r for r in quality_rules.ablations(quality_rules.ledger(both), version).collect()}
+        failed = [{n for n in names if r.failed >> quality_rules.RULES.index(n) & 1} for r in quality_rules.ledger(both).collect()]
+        assert {n: (r.n_failed, r.n_only, r.n_kept_without) for n, r in some.items()} == {n: (sum(n in f for f in failed), sum(f == {n} for f in failed), sum(f <= {n} for f in failed)) for n in names}
+    assert set(rules) == set(quality_rules.POLICIES[quality_rules.CURRENT])
+    assert {(r.n_failed, r.n_only, r.n_kept_without) for r in quality_rules.ablations(quality_rules.ledger(both.limit(0))).collect()} == {(0, 0, 0)}
 
 
 def test_toxicity(spark):
@@ -572,6 +577,30 @@ def test_pipeline_judges_rows_one_by_one(spark):
     assert kept == {(1, f"see {item}".lower()): 1, (1, "nothing of it"): 1, (2, "nothing of it either"): 1, (5, mine + " more"): 1, (5, "another text"): 1, (None, "x y z"): 1, (None, ""): 2}
 
 
+def test_registered_queries(spark, docs):
+    """The columns of the registered queries on the whole table, beside those that other tests look at."""
+    q = queries()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in q["op1_ngram_jaccard"](spark, DIR).collect()} == brute_components(rows, 4, 85)
+    a, b = (Tokenizer.from_file(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    counts = {r.doc_id: r for r in q["op2_token_counts"](spark, DIR).collect()}
+    coded = {r.doc_id: r for r in q["op6_bpe"](spark, DIR).collect()}
+    quality = {r.doc_id: r for r in q["op8_quality_rules"](spark, DIR).collect()}
+    for i, text in rows:
+        text = text or ""
+        n = len(a.encode(text, add_special_tokens=False).ids)
+        assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len(text.encode()), n, n > 512)
+        ids = b.encode(text, add_special_tokens=False).ids
+        assert coded[i].n_tokens == len(ids) and coded[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert coded[i].decoded_sha256 == hashlib.sha256(b.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        w, r = re.findall(r"[^ \t-\r]+", text), quality[i]
+        assert r.base_failed == (len(w) < 10 or 100 * r.n_repeat_words > 20 * len(w)) and not (r.kept and r.base_failed)
+    hits = {r.doc_id: r for r in q["op10_decontamination"](spark, DIR).collect()}
+    assert len(hits) == len(rows) and all(r.contaminated == (r.n_hit > 0) == (r.n_items > 0) and r.n_near >= r.n_items for r in hits.values())
+    pages = {r.page_id: r for r in q["op4_html_extraction"](spark, DIR).collect()}
+    assert all(r.n_chars == len(r.text) > 0 for r in pages.values())
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
@@ -583,6 +612,14 @@ def test_pipeline(spark, docs):
     windows = {tuple(w[s : s + 10]) for w in map(words, items) for s in range(max(len(w) - 9, 1))}
     dirty = {i for i, t in rows for w in [words(t)] if any(tuple(w[s : s + 10]) in windows for s in range(len(w)))}
     assert sorted(out) == sorted(keep - dirty)
+    coded = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, DIR).collect()}
+    clean = pii.find(docs.where(F.col("doc_id").isin(out)), model=pii.train(docs.where(F.col("doc_id").isin(out))))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in clean.collect():
+        ids = tokenizer.encode(r.redacted, add_special_tokens=False).ids
+        text = tokenizer.decode(ids, skip_special_tokens=False)
+        assert coded[r.doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert not r.spans or r.redacted != docs.where(F.col("doc_id") == r.doc_id).first().text
 
 
 def test_names():
