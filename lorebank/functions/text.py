@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from . import wordlists as L
 
 W = r"[\p{L}\p{N}_]"
+#: A word boundary: a change between word characters and others. Vowel signs are no word characters.
+EDGE = rf"(?:(?<!{W})(?={W})|(?<={W})(?!{W}))"
 
 
 def rnd(x: Column, n: int) -> Column:
@@ -47,9 +50,8 @@ def mixed_tokens(text: Column) -> Column:
 
 
 def has_word(text: Column, words: Iterable[str]) -> Column:
-    """Whether any of these words or phrases occurs as whole words."""
-    line = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    return let(line, lambda x: _any(x.contains(f" {w} ") for w in words))
+    """Whether any of these words or phrases occurs between word boundaries, without regard to case."""
+    return F.lower(text).rlike(EDGE + "(?:" + "|".join(map(re.escape, words)) + ")" + EDGE)
 
 
 def has_part(text: Column, parts: Iterable[str]) -> Column:
@@ -179,7 +181,7 @@ def extract_entities(text: Column) -> Column:
 
 
 def extract_time_hints(text: Column) -> Column:
-    years = F.regexp_extract_all(text, F.lit(rf"(?<!{W})(1[89]\d{{2}}|2[01]\d{{2}})(?!{W})"), F.lit(1))
+    years = F.regexp_extract_all(text, F.lit(rf"(?<!{W})(1[89]\p{{Nd}}{{2}}|2[01]\p{{Nd}}{{2}})(?!{W})"), F.lit(1))
     bangla = F.transform(F.regexp_extract_all(text, F.lit(r"(১[৮৯]\p{Nd}\p{Nd}|২[০১]\p{Nd}\p{Nd})"), F.lit(1)), lambda y: bn_digits(y))
     months = F.filter(F.array(*[F.lit(m) for m in L.MONTHS]), lambda m: F.lower(text).contains(m))
     bangla_months = F.filter(F.array(*[F.lit(m) for m in L.BANGLA_MONTHS]), lambda m: text.contains(m))
@@ -266,7 +268,7 @@ def refine_text(text: Column) -> Column:
 
 
 def date_primary(text: Column) -> Column:
-    return ~has_part(text, L.PERSON) & ~has_part(text, L.MEASURE)
+    return ~has_part(text, L.PERSON) & ~has_part(text, L.MEASURE) & ~F.lower(text).rlike(L.SQUARE_KM)
 
 
 def location_primary(text: Column) -> Column:

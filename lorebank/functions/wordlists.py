@@ -30,6 +30,8 @@ QUESTION_TYPES = (
 )
 ENTITY_STOPS = ("who", "what", "when", "where", "why", "how", "which", "the", "and", "for", "bcs", "bangladesh")
 KNOWN_ENTITIES = ("বাংলাদেশ", "ঢাকা", "চট্টগ্রাম", "রাজশাহী", "খুলনা", "বরিশাল", "সিলেট", "রংপুর", "ময়মনসিংহ", "শেখ মুজিবুর রহমান", "বঙ্গবন্ধু", "জিয়াউর রহমান", "পদ্মা", "মেঘনা", "যমুনা", "সুন্দরবন", "কক্সবাজার")
+#: What a search in English adds to the keywords.
+ENGLISH_SUFFIX = " Bangladesh BCS"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 BANGLA_MONTHS = ("জানুয়ারি", "ফেব্রুয়ারি", "মার্চ", "এপ্রিল", "মে", "জুন", "জুলাই", "আগস্ট", "সেপ্টেম্বর", "অক্টোবর", "নভেম্বর", "ডিসেম্বর")
 KEYWORD_STOPS = ("কি", "কী", "কে", "কোন", "কোথায়", "কখন", "কেন", "কীভাবে", "এবং", "বা", "ও", "তার", "তাদের", "এই", "সেই", "একটি", "the", "a", "an", "is", "are", "was", "were", "of", "in", "for", "and", "or", "to", "at", "by", "with")
@@ -43,7 +45,8 @@ NUMERIC_TAGS = ("largest", "smallest", "highest", "lowest", "most", "least", "fi
 WHERE_TAGS = ("where", "কোথায়", "কোন জায়গায়", "located", "situated", "capital", "city", "district", "division", "country", "অবস্থিত", "রাজধানী", "শহর", "জেলা", "বিভাগ", "দেশ")
 #: Substrings that make a person, a measure or a place the subject of a fact.
 PERSON = ("রাষ্ট্রপতি", "প্রধানমন্ত্রী", "মন্ত্রী", "নেতা", "প্রতিষ্ঠাতা", "জনক", "সভাপতি", "সদস্য", "চেয়ারম্যান", "পরিচালক", "সম্পাদক", "সেনাপতি", "গভর্নর", "বিচারপতি", "president", "minister", "founder", "chairman", "director", "secretary", "commander", "governor", "chief")
-MEASURE = ("কিলোমিটার", "মিটার", "হেক্টর", "বর্গ", "শতাংশ", "কোটি", "লক্ষ", "হাজার", "অনুচ্ছেদ", "ধারা", "উপধারা", "দফা", "km²", "sq km", "sq. km", "percent", "%", "mw", "gw", "মেগাওয়াট", "গিগাওয়াট")
+MEASURE = ("কিলোমিটার", "মিটার", "হেক্টর", "বর্গ", "শতাংশ", "কোটি", "লক্ষ", "হাজার", "অনুচ্ছেদ", "ধারা", "উপধারা", "দফা", "km²", "percent", "%", "mw", "gw", "মেগাওয়াট", "গিগাওয়াট")
+SQUARE_KM = r"sq\.?\s*km"
 PLACE = ("রাজধানী", "সদর দপ্তর", "অবস্থিত", "সীমানা", "সীমান্ত", "capital", "headquarters", "located in", "situated in", "border")
 
 BLOCKED_DOMAINS = ("facebook.com", "twitter.com", "instagram.com", "youtube.com", "reddit.com", "tiktok.com", "pinterest.com")

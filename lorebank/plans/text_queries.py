@@ -15,7 +15,10 @@ def lit(s: str) -> str:
 
 
 def words(ws) -> str:
-    return "(" + " OR ".join(f"contains(line, {lit(' ' + w + ' ')})" for w in ws) + ")"
+    """Whole words: between characters of other kinds, but one that ends in a vowel sign, which is no word character, before one."""
+    whole, signed = [w for w in ws if w[-1].isalnum()], [w for w in ws if not w[-1].isalnum()]
+    some = [r"(^|[^\p{L}\p{N}_])(" + "|".join(g) + ")" + end for g, end in ((whole, r"([^\p{L}\p{N}_]|$)"), (signed, r"[\p{L}\p{N}_]")) if g]
+    return f"regexp_matches(low, {lit('|'.join(some))})"
 
 
 def parts(ws, col: str = "low") -> str:
@@ -23,9 +26,9 @@ def parts(ws, col: str = "low") -> str:
 
 
 TOK = r""",
-tok AS (SELECT *, lower(text) AS low, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS line, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS cased FROM facts)
+tok AS (SELECT *, lower(text) AS low, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS cased FROM facts)
 """
-YEAR = r"len(list_filter(cased, lambda x: regexp_matches(x, '^[0-9]{4}$'))) > 0"
+YEAR = r"len(list_filter(cased, lambda x: regexp_matches(x, '^\p{Nd}{4}$'))) > 0"
 
 
 def over_facts(name: str, of, oracle: str, out: str = "value") -> None:
@@ -71,8 +74,12 @@ over_facts("topic_classify", T.topic_classify, TOPIC)
 INTENT = f"CASE ({QTYPE}) WHEN 'why_how_question' THEN 'explanation' WHEN 'numeric_ranking' THEN 'enumeration' ELSE CASE WHEN {parts(('তুলনা', 'পার্থক্য', 'compare'))} THEN 'comparison' WHEN {parts(('কি', 'কী', 'what is'))} THEN 'definition' ELSE 'factual_recall' END END"
 over_facts("intent_classify", lambda t: T.intent_classify(t, T.question_type(t)), INTENT)
 MONTHS = f"list_filter([{', '.join(map(lit, L.MONTHS))}], lambda m: contains(low, m))"
-HINTS = f"list_filter(cased, lambda x: regexp_matches(x, '^(1[89][0-9]{{2}}|2[01][0-9]{{2}})$'))"
-over_facts("extract_time_hints", lambda t: F.array_join(T.extract_time_hints(t), "|"), f"coalesce(array_to_string(list_concat(list_sort(list_distinct({HINTS})), {MONTHS})[1:5], '|'), '')")
+YEARS = r"list_concat(list_filter(cased, lambda x: regexp_matches(x, '^(1[89]\p{Nd}{2}|2[01]\p{Nd}{2})$')), list_transform(regexp_extract_all(text, '১[৮৯]\p{Nd}\p{Nd}|২[০১]\p{Nd}\p{Nd}'), lambda x: translate(x, 'DIGITS', '0123456789')))".replace("DIGITS", L.BANGLA_DIGITS)
+MONTHS = f"list_concat({MONTHS}, list_filter([{', '.join(map(lit, L.BANGLA_MONTHS))}], lambda m: contains(text, m)))"
+#: Years in the order of their places, then months, each once: a list is made distinct by the place of its first like.
+EVERY = f"list_concat({YEARS}, {MONTHS})"
+HINTS = f"list_filter({EVERY}, lambda x, i: list_position({EVERY}, x) = i)[1:5]"
+over_facts("extract_time_hints", lambda t: F.array_join(T.extract_time_hints(t), "|"), f"coalesce(array_to_string({HINTS}, '|'), '')")
 
 # entities: runs of capitalised Latin tokens that are parted by blanks alone
 RUNS = r""",
@@ -80,9 +87,11 @@ split AS (SELECT fact_id, text, generate_subscripts(x, 1) AS i, unnest(x) AS w F
 caps AS (SELECT *, regexp_matches(w, '^[A-Z][a-zA-Z]+$') AS c, regexp_matches(w, '^[A-Z][a-z]+$') AS tc FROM split),
 grp AS (SELECT *, i - row_number() OVER (PARTITION BY fact_id, c ORDER BY i) AS g FROM caps),
 runs AS (SELECT fact_id, min(i) AS i, string_agg(w, ' ' ORDER BY i) AS e FROM grp WHERE c GROUP BY fact_id, g),
-kept AS (SELECT fact_id, e, row_number() OVER (PARTITION BY fact_id ORDER BY i) AS n FROM runs WHERE length(e) > 2 AND lower(e) NOT IN ('who','what','when','where','why','how','which','the','and','for','bcs','bangladesh')),
+latin AS (SELECT fact_id, e, row_number() OVER (PARTITION BY fact_id ORDER BY i) AS n FROM runs WHERE length(e) > 2 AND lower(e) NOT IN ('who','what','when','where','why','how','which','the','and','for','bcs','bangladesh')),
+known AS (SELECT f.fact_id, k.e, coalesce(m.c, 0) + row_number() OVER (PARTITION BY f.fact_id ORDER BY k.i) AS n FROM facts f JOIN (VALUES KNOWN) k(i, e) ON contains(f.text, k.e) LEFT JOIN (SELECT fact_id, count(*) AS c FROM latin GROUP BY 1) m USING (fact_id)),
+kept AS (SELECT fact_id, e, n FROM latin UNION ALL SELECT fact_id, e, n FROM known),
 ents AS (SELECT fact_id, string_agg(e, '|' ORDER BY n) AS value FROM kept WHERE n <= 8 GROUP BY fact_id)
-"""
+""".replace("KNOWN", ", ".join(f"({i}, '{e}')" for i, e in enumerate(L.KNOWN_ENTITIES)))
 
 
 @query("extract_entities", D.sql(RUNS + "SELECT f.fact_id, coalesce(regexp_replace(value, '\\s+', ' ', 'g'), '') AS value FROM facts f LEFT JOIN ents USING (fact_id)", "parts"))
@@ -92,10 +101,10 @@ def extract_entities(spark, sf_dir):
 
 STOPS = ", ".join(map(lit, L.KEYWORD_STOPS))
 KEYS = r""",
-lead AS (SELECT f.fact_id, f.text, list_concat(coalesce(string_split(e.value, '|'), []), list_concat(H, M)[1:5]) AS l FROM tok f LEFT JOIN ents e USING (fact_id)),
+lead AS (SELECT f.fact_id, f.text, list_concat(coalesce(string_split(e.value, '|'), []), H) AS l FROM tok f LEFT JOIN ents e USING (fact_id)),
 toks AS (SELECT fact_id, l, list_filter(list_transform(regexp_extract_all(text, '\S+'), lambda x: regexp_replace(x, '^[.,?!।]+|[.,?!।]+$', '', 'g')), lambda x: length(x) >= 3 AND NOT list_contains([S], lower(x)) AND NOT list_contains(l, x)) AS w FROM lead)
 SELECT fact_id, array_to_string(list_concat(l, list_filter(w, lambda x, i: list_position(w, x) = i))[1:10], '|') AS value FROM toks
-""".replace("H,", f"list_sort(list_distinct({HINTS})),").replace(" M)", f" {MONTHS})").replace("[S]", f"[{STOPS}]")
+""".replace(" H)", f" {HINTS})").replace("[S]", f"[{STOPS}]")
 
 
 @query("extract_keywords", D.sql(TOK + RUNS + KEYS, "parts"))
@@ -109,8 +118,8 @@ def blueprints(spark, sf_dir):
     rows = D.facts(spark, sf_dir).select("fact_id", "text", T.question_type(F.col("text")).alias("question_type"), T.topic_classify(F.col("text")).alias("topic"), T.extract_entities(F.col("text")).alias("entities"), T.extract_time_hints(F.col("text")).alias("hints"))
     rows = rows.withColumns({"intent": T.intent_classify(F.col("text"), F.col("question_type")), "sub_topic": T.sub_topic(F.col("text"), F.col("topic")), "keywords": T.extract_keywords(F.col("text"), F.col("entities"), F.col("hints")), "confidence": F.lit(0.75)})
     return rows.withColumns({
-        "bangla_query": F.concat(F.regexp_replace(F.trim("text"), "[?.।]+$", ""), F.lit(" বাংলাদেশ")),
-        "english_query": F.concat(F.array_join(F.slice("keywords", 1, 5), " "), F.lit(" Bangladesh")),
+        "bangla_query": F.concat(F.trim(F.regexp_replace(F.trim("text"), "[?.।]+$", "")), F.lit(" বাংলাদেশ")),
+        "english_query": F.concat(F.array_join(F.slice("keywords", 1, 5), " "), F.lit(L.ENGLISH_SUFFIX)),
     })
 
 
@@ -120,8 +129,8 @@ def intent_blueprint(spark, sf_dir):
 
 
 BUILT = KEYS.replace("SELECT fact_id, array_to_string(", ", keys AS (SELECT fact_id, array_to_string(").rstrip() + f"""),
-shown AS (SELECT fact_id, regexp_replace(regexp_replace(array_to_string(string_split(value, '|')[1:5], ' '), '\\s+', ' ', 'g'), '^ $', '') || ' Bangladesh' AS english_query FROM keys)
-SELECT t.fact_id, {QTYPE} AS question_type, {TOPIC} AS topic, {INTENT} AS intent, regexp_replace(trim(t.text), '[?.।]+$', '') || ' বাংলাদেশ' AS bangla_query, english_query FROM tok t JOIN shown USING (fact_id)"""
+shown AS (SELECT fact_id, regexp_replace(regexp_replace(array_to_string(string_split(value, '|')[1:5], ' '), '\\s+', ' ', 'g'), '^ $', '') || '{L.ENGLISH_SUFFIX}' AS english_query FROM keys)
+SELECT t.fact_id, {QTYPE} AS question_type, {TOPIC} AS topic, {INTENT} AS intent, trim(regexp_replace(trim(t.text), '[?.।]+$', '')) || ' বাংলাদেশ' AS bangla_query, english_query FROM tok t JOIN shown USING (fact_id)"""
 
 
 @query("build_blueprint", D.sql(TOK + RUNS + BUILT, "parts"))
@@ -150,13 +159,14 @@ CLARITY = r"""CASE WHEN length(text) < 10 THEN 0.1::DOUBLE ELSE greatest(0::DOUB
  + CASE WHEN length(regexp_replace(text, '[a-zA-Z0-9\s\x{0980}-\x{09FF}.,;:!?''\"-]', '', 'g')) > 0.15 * length(text) THEN -0.2::DOUBLE ELSE 0::DOUBLE END
  + CASE WHEN upper(text) = text AND lower(text) <> text THEN -0.15::DOUBLE ELSE 0::DOUBLE END)) END"""
 NAMED = r"(len(list_filter(range(1, len(tt) + 1), lambda i: regexp_matches(tt[i], '^[A-Z][a-z]+$') AND NOT coalesce(regexp_matches(tt[i - 1], '^[A-Z][a-z]+$'), false))))"
+BANGLA = r"len(regexp_extract_all(text, '[\x{0980}-\x{09FF}]{3,}'))"
 STRUCTURE = rf"""CASE WHEN length(text) < 10 THEN 0.1::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + CASE WHEN {words(L.ASSERTION_VERBS)} OR {parts(L.BANGLA_ASSERTIONS, 'text')} THEN 0.2::DOUBLE ELSE 0::DOUBLE END
- + 0::DOUBLE + 0::DOUBLE + CASE WHEN {NAMED} >= 1 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN {NAMED} >= 2 THEN 0.1::DOUBLE ELSE 0::DOUBLE END
+ + CASE WHEN {BANGLA} >= 1 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN {BANGLA} >= 3 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN {NAMED} >= 1 THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN {NAMED} >= 2 THEN 0.1::DOUBLE ELSE 0::DOUBLE END
  + CASE WHEN regexp_matches(text, '\?$|^(?:Who|What|When|Where|How|Why)') THEN -0.3::DOUBLE ELSE 0::DOUBLE END
  + CASE WHEN regexp_matches(text, '^(?:Do|Please|Tell|Find|List)') THEN -0.2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(text, '\p{{Nd}}') THEN 0.05::DOUBLE ELSE 0::DOUBLE END)) END"""
 RELIABLE = f"CASE WHEN source_url = '' THEN least(CASE WHEN {parts(L.RELIABLE_PUBLISHERS, 'lower(publisher)')} THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END, 0.3::DOUBLE) ELSE greatest(CASE WHEN {parts(L.RELIABLE_PUBLISHERS, 'lower(publisher)')} THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END, CASE WHEN contains(source_url, '.gov.bd') THEN 0.85::DOUBLE ELSE 0::DOUBLE END, CASE WHEN contains(source_url, '.edu') THEN 0.8::DOUBLE ELSE 0::DOUBLE END, CASE WHEN contains(source_url, 'wikipedia.org') THEN 0.7::DOUBLE ELSE 0::DOUBLE END) END"
-NUM = r"len(list_filter(cased, lambda x: regexp_matches(x, '^[0-9]+$'))) > 0"
-DATEP = f"NOT {parts(L.PERSON)} AND NOT {parts(L.MEASURE)}"
+NUM = r"len(list_filter(cased, lambda x: regexp_matches(x, '^\p{Nd}+$'))) > 0"
+DATEP = f"NOT {parts(L.PERSON)} AND NOT {parts(L.MEASURE)} AND NOT regexp_matches(low, {lit(L.SQUARE_KM)})"
 TAGS = f"list_filter([CASE WHEN {words(L.WHO_TAGS)} THEN 'who_question' END, CASE WHEN ({words(L.WHEN_TAGS)} OR {YEAR}) AND {DATEP} THEN 'when_question' END, CASE WHEN {words(L.WHERE_TAGS)} AND {parts(L.PLACE)} AND {DATEP} THEN 'where_question' END, CASE WHEN {NUM} OR {words(L.NUMERIC_TAGS)} THEN 'numeric_ranking' END], lambda x: x IS NOT NULL)"
 #: facts with every part of their quality, as ``scored``.
 SCORED = (
