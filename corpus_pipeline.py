@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorebank.llm import bpe, decontamination, language_id, ngram_jaccard, pii
 from lorebank.llm.queries import held_out
+from lorebank.sources import domain
 from lorebank.sources.scratch import folder, written
 
 #: SQL cannot express the stages; tests hold them against brute-force versions. The driver's contract reads this name.
@@ -93,7 +94,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; what each but the last gives is written in the shared folder and read again."""
     folder(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = domain.spread(domain.table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

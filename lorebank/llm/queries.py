@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import domain
 from . import bpe, decontamination, html_extract, language_id, ngram_jaccard, pii, quality_rules, token_counts, toxicity, url_filters
 
 #: The url rules of the contract.
@@ -17,10 +18,7 @@ TOXIC = 0.3
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table; one of fewer files than the session has cores is dealt over these."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return domain.spread(domain.table(spark, sf_dir, table))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
