@@ -336,6 +336,11 @@ def name_to_id(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), " ", "_")
 
 
+def new_id(prefix: str, *parts: Column) -> Column:
+    """An id that the same parts always give: a prefix and twelve hexadecimal digits."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
+
+
 def decay(age_days: Column, accepted: Column, score: Column) -> Column:
     d = F.exp(F.lit(-0.05) * age_days) * F.when(accepted == 0, 0.6).otherwise(1.0) * F.when(score < 0.5, 0.7).otherwise(1.0)
     return rnd(clamp(d), 6)

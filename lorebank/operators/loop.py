@@ -189,7 +189,7 @@ def one_round(facts: DataFrame, seen: DataFrame, asked: Round, caller: Caller) -
     columns = ("chunk", "fact_id", "question", "options", "correct_answer", "difficulty", "question_type", "explanation")
     rank = F.min_by(F.struct(*columns), F.struct("chunk", "fact_id", "question", F.to_json("options"), *columns[4:]))
     first = made.groupBy("h").agg(rank.alias("x")).select("h", "x.*").join(seen.select("h"), "h", "left_anti")
-    name = F.concat(F.lit("MCQ_"), F.substring(F.sha2(F.concat_ws("|", "h", F.lit(str(asked.no)), "difficulty"), 256), 1, 16))
+    name = T.new_id("MCQ_", F.col("h"), F.lit(str(asked.no)), F.col("difficulty"))
     fresh = written(first.withColumn("mcq_id", name), "fresh")
     known = facts.select("chunk", F.col("fact_id").cast("string").alias("fact_id"), "text")
     judged = written(judge(fresh.join(known, ["chunk", "fact_id"], "left"), caller).dropDuplicates(["mcq_id"]), "judged")

@@ -16,7 +16,6 @@ from .registry import query
 from .text_queries import REFINED, RUNS, SCORED
 
 FS = D.scored_facts
-GOOD = "verdict IN ('ACCEPT', 'REFINE', 'SALVAGEABLE')"
 
 
 def q(name: str, body: str):
@@ -28,11 +27,6 @@ def facts_quality_topk(s, d):
     return FS(s, d).where("verdict <> 'REJECT'").groupBy("topic").agg(F.count("*").alias("n"), T.rnd(F.avg("composite"), 6).alias("avg_composite"), T.rnd(F.max("composite"), 6).alias("best")).orderBy("topic")
 
 
-@q("facts_by_topic_ready", f"SELECT fact_id, text, readiness FROM scored WHERE topic = 'en' AND {GOOD} AND readiness >= 0.5")
-def facts_by_topic_ready(s, d):
-    return FS(s, d).where(f"topic = 'en' AND {GOOD} AND readiness >= 0.5").select("fact_id", "text", "readiness")
-
-
 @q("fact_fallback_all", "SELECT fact_id, upper(coalesce(topic, 'general')[1:1]) || lower(coalesce(topic, 'general')[2:]) AS topic FROM scored")
 def fact_fallback_all(s, d):
     return D.facts(s, d).select("fact_id", F.initcap(F.coalesce("topic", F.lit("general"))).alias("topic"))
@@ -176,13 +170,33 @@ TAG_NAMES = ("who_question", "when_question", "where_question", "numeric_ranking
 
 
 def acted(s, d):
+    """Scored facts with what becomes of each: the refined text is scored once more."""
     f = FS(s, d).withColumn("refined", T.refine_text(F.col("text")))
     again = T.fact_composite(T.linguistic_clarity(F.col("refined")), T.factual_structure(F.col("refined")), F.col("reliability"), F.col("freshness"))
-    changed = F.when(again >= 0.40, "REFINED_ACCEPT").otherwise("REJECT_AFTER_REFINE")
+    f = f.select("*", F.inline(F.array(F.struct(again.alias("again")))))  # computed once, as in scored_facts
+    changed = F.when(F.col("again") >= 0.40, "REFINED_ACCEPT").otherwise("REJECT_AFTER_REFINE")
     action = F.when(F.col("verdict").isin("ACCEPT", "REJECT"), F.col("verdict")).when(F.col("refined") != F.col("text"), changed).otherwise("SALVAGEABLE_ACCEPT")
     return f.withColumn("action", action)
 
 
+ACCEPTED = ("ACCEPT", "REFINED_ACCEPT", "SALVAGEABLE_ACCEPT")
+
+
+def usable(s, d):
+    """fact_id, text, topic, composite, readiness of the facts that stay, as they are after refinement."""
+    new = F.col("action") == "REFINED_ACCEPT"
+    now = lambda a, b: F.when(new, F.col(a)).otherwise(F.col(b))
+    f = acted(s, d).where(F.col("action").isin(*ACCEPTED)).select("fact_id", "topic", now("refined", "text").alias("text"), now("again", "composite").alias("composite"))
+    return f.withColumn("readiness", T.mcq_readiness(F.col("composite"), T.mcq_tags(F.col("text"))))
+
+
+@q("facts_by_topic_ready", ACT + """, now AS (SELECT a.fact_id, s.topic, CASE WHEN action = 'REFINED_ACCEPT' THEN b.text ELSE s.text END AS text, CASE WHEN action = 'REFINED_ACCEPT' THEN b.readiness ELSE s.readiness END AS readiness
+FROM act a JOIN scored s USING (fact_id) JOIN scoredb b USING (fact_id) WHERE action IN ('ACCEPT', 'REFINED_ACCEPT', 'SALVAGEABLE_ACCEPT'))
+SELECT fact_id, text, readiness FROM now WHERE topic = 'en' AND readiness >= 0.5""")
+def facts_by_topic_ready(s, d):
+    return usable(s, d).where("topic = 'en' and readiness >= 0.5").select("fact_id", "text", "readiness")
+
+
 @q("fact_action", ACT + "SELECT fact_id, verdict, action FROM act")
 def fact_action(s, d):
     return acted(s, d).select("fact_id", "verdict", "action")
@@ -259,9 +273,9 @@ def best_corpus_match(s, d):
     return matched(s, d).select("id", T.rnd(F.col("best"), 6).alias("best"))
 
 
-@query("corpus_alignment", BEST + "SELECT count(*) AS total, round(avg(best) * 1e6) / 1e6 AS mean_best, round(avg(CAST(best > 0.3 AS INT)) * 1e6) / 1e6 AS share FROM best")
+@query("corpus_alignment", BEST + "SELECT count(*) AS total, round(avg(best) * 1e3) / 1e3 AS mean_best, round(avg(CAST(best > 0.3 AS INT)) * 1e3) / 1e3 AS share FROM best")
 def corpus_alignment(s, d):
-    return matched(s, d).agg(F.count("*").alias("total"), T.rnd(F.avg("best"), 6).alias("mean_best"), T.rnd(F.avg((F.col("best") > 0.3).cast("int")), 6).alias("share"))
+    return matched(s, d).agg(F.count("*").alias("total"), T.rnd(F.avg("best"), 3).alias("mean_best"), T.rnd(F.avg((F.col("best") > 0.3).cast("int")), 3).alias("share"))
 
 
 @query("m_qss", BEST + "SELECT round(avg(best) * 1e4) / 1e4 AS value FROM best")

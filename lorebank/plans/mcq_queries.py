@@ -62,9 +62,9 @@ def mcq_pass(s, d):
     return graded(s, d).select("mcq_id", "passed")
 
 
-@q("batch_quality_report", GRADED + "SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(avg(quality) * 1e9) / 1e9 AS avg_composite, round(avg(grounding) * 1e9) / 1e9 AS avg_grounding, round(avg(distractor) * 1e9) / 1e9 AS avg_distractor, round(avg(CAST(passed AS INT)) * 1e3) / 1e3 AS pass_rate FROM g")
+@q("batch_quality_report", GRADED + "SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(avg(quality) * 1e3) / 1e3 AS avg_composite, round(avg(grounding) * 1e3) / 1e3 AS avg_grounding, round(avg(distractor) * 1e3) / 1e3 AS avg_distractor, round(avg(CAST(passed AS INT)) * 1e3) / 1e3 AS pass_rate FROM g")
 def batch_quality_report(s, d):
-    a = lambda c: T.rnd(F.avg(c), 9).alias(f"avg_{'composite' if c == 'quality' else c}")
+    a = lambda c: T.rnd(F.avg(c), 3).alias(f"avg_{'composite' if c == 'quality' else c}")
     return graded(s, d).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), a("quality"), a("grounding"), a("distractor"), T.rnd(F.avg(F.col("passed").cast("int")), 3).alias("pass_rate"))
 
 
@@ -116,8 +116,8 @@ def pending_facts(s, d):
 # metrics
 agg("m_msv", "SELECT round(coalesce(avg(CAST(format >= 0.5 AS INT)), 0) * 1e4) / 1e4 AS value FROM mcqs", metrics.structural_validity)
 agg("m_ga", "SELECT round(coalesce(avg(CAST(grounding >= 0.80 AS INT)), 0) * 1e4) / 1e4 AS value FROM mcqs", metrics.grounding_accuracy)
-agg("m_dqs", "SELECT round(avg(distractor) * 1e9) / 1e9 AS value FROM mcqs", lambda x: metrics.mean(x, "distractor", 9))
-agg("m_cs", "SELECT round(avg(clarity) * 1e9) / 1e9 AS value FROM mcqs", lambda x: metrics.mean(x, "clarity", 9))
+agg("m_dqs", "SELECT round(avg(distractor) * 1e4) / 1e4 AS value FROM mcqs", lambda x: metrics.mean(x, "distractor"))
+agg("m_cs", "SELECT round(avg(clarity) * 1e4) / 1e4 AS value FROM mcqs", lambda x: metrics.mean(x, "clarity"))
 
 
 def levels(name: str, target: dict[str, float]) -> None:
@@ -237,7 +237,9 @@ def json_repair(s, d):
 # the loop, with a stand-in for the model
 def topk(s, d):
     """Facts that are ready for questions, of all topics."""
-    return D.scored_facts(s, d).where("verdict in ('ACCEPT', 'REFINE')").select("fact_id", "text", "composite")
+    from . import curation as C
+
+    return C.usable(s, d).where("readiness >= 0.5").select("fact_id", "text", "composite")
 
 
 def no_seen(s):

@@ -195,12 +195,12 @@ def dataset_stats(s, d):
     return x.groupingSets([[], ["topic"], ["difficulty"]], "topic", "difficulty").agg(F.count("*").alias("n"), T.rnd(F.avg("quality"), 4).alias("avg_quality"))
 
 
-@q("generation_result", ("mcqs",), "SELECT episode_id, coalesce(round(avg(quality) FILTER (quality >= 0.7) * 1e9) / 1e9, 0) AS mean_quality, count(*) FILTER (quality >= 0.7) AS n_accepted, coalesce(avg(quality) FILTER (quality >= 0.7), 0) >= 0.7 AS accepted, round(avg(grounding) * 1e9) / 1e9 AS mean_grounding, round(avg(clarity) * 1e9) / 1e9 AS mean_clarity, count(DISTINCT difficulty) AS n_levels FROM mcqs GROUP BY episode_id")
+@q("generation_result", ("mcqs",), "SELECT episode_id, coalesce(round(avg(quality) FILTER (quality >= 0.7) * 1e9) / 1e9, 0) AS mean_quality, count(*) FILTER (quality >= 0.7) AS n_accepted, coalesce(avg(quality) FILTER (quality >= 0.7), 0) >= 0.7 AS accepted, round(round(avg(grounding) * 1e9) / 1e9 * 1e4) / 1e4 AS mean_grounding, round(round(avg(distractor) * 1e9) / 1e9 * 1e4) / 1e4 AS mean_distractor, round(round(avg(clarity) * 1e9) / 1e9 * 1e4) / 1e4 AS mean_clarity, count(DISTINCT difficulty) AS n_levels FROM mcqs GROUP BY episode_id")
 def generation_result(s, d):
     good = F.when(F.col("quality") >= 0.7, F.col("quality"))
     return Q(s, d).groupBy("episode_id").agg(
         F.coalesce(T.rnd(F.avg(good), 9), F.lit(0.0)).alias("mean_quality"), F.count(good).alias("n_accepted"), (F.coalesce(F.avg(good), F.lit(0.0)) >= 0.7).alias("accepted"),
-        T.rnd(F.avg("grounding"), 9).alias("mean_grounding"), T.rnd(F.avg("clarity"), 9).alias("mean_clarity"), F.size(F.collect_set("difficulty")).cast("bigint").alias("n_levels"),
+        T.rnd(T.rnd(F.avg("grounding"), 9), 4).alias("mean_grounding"), T.rnd(T.rnd(F.avg("distractor"), 9), 4).alias("mean_distractor"), T.rnd(T.rnd(F.avg("clarity"), 9), 4).alias("mean_clarity"), F.size(F.collect_set("difficulty")).cast("bigint").alias("n_levels"),
     )
 
 

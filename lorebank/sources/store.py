@@ -51,7 +51,9 @@ class Store:
                 self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/{name}/v0")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/v{self._version(name)}")
+        """A table; columns that files of an older layout lack have their defaults."""
+        rows = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/v{self._version(name)}")
+        return rows.fillna({c: v for c, v in DEFAULTS.items() if c in rows.columns})
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Adds rows; columns that they lack, and nulls, get their defaults, other columns are left out."""

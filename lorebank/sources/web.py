@@ -5,20 +5,45 @@ An engine is a function of (query, language) that gives urls, a fetcher one of a
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.model import Limited
 from . import html
 
-#: Fixed value: urls taken of one query.
-PER_QUERY = 5
-
-
-def search(queries: DataFrame, engine: Callable[[str, str], Iterable[str]]) -> DataFrame:
+#: Urls taken of one query, tries of an engine, and its first pauses after a refusal and after another error.
+PER_QUERY, TRIES, REFUSED, FAILED = 5, 3, 3.0, 2.0
+Engine = Callable[[str, str], Iterable[str]]
+
+
+def found(query: str, lang: str, engines: tuple[Engine, ...], sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """The first PER_QUERY urls of the first engine that gives any. Each is tried TRIES times, with doubled pauses; the error
+    of the last one is raised if all failed."""
+    error: Exception | None = None
+    for engine in engines:
+        for k in range(TRIES):
+            try:
+                urls = list(islice(engine(query, lang), PER_QUERY))
+                error = None
+                break
+            except Exception as e:
+                urls, error = [], e
+                if k < TRIES - 1:
+                    sleep((REFUSED if isinstance(e, Limited) else FAILED) * 2**k)
+        if urls:
+            return urls
+    if error is not None:
+        raise error
+    return []
+
+
+def search(queries: DataFrame, *engines: Engine, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(query, lang, rank, url, error) of queries (q, lang): the first PER_QUERY urls of each; a query that fails has one row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,7 +51,7 @@ def search(queries: DataFrame, engine: Callable[[str, str], Iterable[str]]) -> D
             rows = []
             for q, lang in zip(frame["q"], frame["lang"], strict=True):
                 try:
-                    rows += [(q, lang, i, u, None) for i, u in zip(range(PER_QUERY), engine(q, lang), strict=False)]
+                    rows += [(q, lang, i, u, None) for i, u in enumerate(found(q, lang, engines, sleep))]
                 except Exception as e:
                     rows.append((q, lang, 0, None, str(e)))
             yield pd.DataFrame(rows, columns=["query", "lang", "rank", "url", "error"])
@@ -51,7 +76,7 @@ def fetch(urls: DataFrame, fetcher: Callable[[str], str]) -> DataFrame:
     return some.mapInPandas(run, "url string, html string, error string")
 
 
-def facts_of(queries: DataFrame, engine: Callable[[str, str], Iterable[str]], fetcher: Callable[[str], str]) -> DataFrame:
+def facts_of(queries: DataFrame, fetcher: Callable[[str], str], *engines: Engine, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(url, pos, sentence, hash) of all that a search finds, each sentence once, at its first url and place."""
-    pages = fetch(search(queries, engine).select("url"), fetcher).select(F.col("url").alias("page_id"), "url", "html")
+    pages = fetch(search(queries, *engines, sleep=sleep).select("url"), fetcher).select(F.col("url").alias("page_id"), "url", "html")
     return html.page_sentences(pages).select(F.col("page_id").alias("url"), "pos", "sentence", "hash")

@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorebank.operators import graph, render
+from lorebank.operators.model import Limited
 from lorebank.plans import registry
 from lorebank.sources import config, web
 from lorebank.sources import domain as D
@@ -14,6 +16,10 @@ DIR = "/root/testdata/sf0.001"
 PAGE = "<article><p>One two three four five six seven. {} and so on to the end of it.</p></article>"
 
 
+def quiet(seconds):
+    pass
+
+
 def engine(query, lang):
     if query == "broken":
         raise OSError("no answer")
@@ -28,15 +34,33 @@ def fetcher(url):
 
 def test_search_and_fetch(spark):
     queries = spark.createDataFrame([("a", "en"), ("a", "en"), ("b", "bn"), ("broken", "en")], "q string, lang string")
-    found = web.search(queries, engine).collect()
+    found = web.search(queries, engine, sleep=quiet).collect()
     assert sorted((r.query, r.rank) for r in found if r.error is None) == [(q, i) for q in "ab" for i in range(5)]
     assert [(r.query, r.error) for r in found if r.error] == [("broken", "no answer")]
     urls = spark.createDataFrame([(f"http://a.org/{i}",) for i in range(4)] + [("http://m.youtube.com/x",), (None,)], "url string")
     assert {(r.url[-1], r.error) for r in web.fetch(urls, fetcher).collect()} == {("0", None), ("1", None), ("2", None), ("3", "gone")}
-    facts = web.facts_of(queries, engine, fetcher).collect()
+    facts = web.facts_of(queries, fetcher, engine, sleep=quiet).collect()
     assert len({r.hash for r in facts}) == len(facts) == 5 and {r.url[:12] for r in facts} == {"http://a.org"}
 
 
+def test_engines_are_tried_again_and_then_the_next_one():
+    slept, asked = [], []
+
+    def refuses(q, lang):
+        asked.append(1)
+        if len(asked) < 3:
+            raise Limited(9)
+        return []
+
+    def fails(q, lang):
+        raise OSError("down")
+
+    assert web.found("q", "en", (refuses, lambda q, lang: ["u"] * 9), slept.append) == ["u"] * 5 and slept == [3, 6]
+    assert web.found("q", "en", (fails, refuses), slept.append) == [] and slept == [3, 6, 2, 4]
+    with pytest.raises(OSError):
+        web.found("q", "en", (fails,), slept.append)
+
+
 def test_settings(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"model": {"name": "x", "none": None}}))
     s = config.load(str(tmp_path / "a.json"))

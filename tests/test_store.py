@@ -64,6 +64,15 @@ def test_a_half_written_version_is_not_read(memory, tmp_path):
     assert memory.read("episodes").count() == 5 and memory.forget(now()) == 2 and memory.read("episodes").count() == 3
 
 
+def test_older_tables_get_the_columns_they_lack(spark, tmp_path):
+    old = spark.createDataFrame([("m1", "a", 0.5)], "mcq_id string, episode_id string, quality_score double")
+    old.write.parquet(f"{tmp_path}/old/episode_mcqs/v0")
+    s = store.Store(spark, f"file://{tmp_path}/old")
+    s.create()
+    one = s.read("episode_mcqs").first()
+    assert (one.quality_score, one.format_score, one.grounding_score, one.regeneration_round) == (0.5, 0.0, 0.0, 0)
+
+
 def test_feedback(spark, memory):
     rows = spark.createDataFrame([("a", "m1", 5, ["1"]), ("a", "m1", 3, None), ("a", "m1", 6, None), ("b", "m2", None, None)], "episode_id string, mcq_id string, rating int, fact_ids array<string>")
     assert memory.write_feedback(rows) == 1
