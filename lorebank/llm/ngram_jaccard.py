@@ -279,7 +279,10 @@ def _renamed_rows(names: Names):
 
 
 def _signature_rows(width: int, names: Names, bands: Bands, wide: np.ndarray):
-    """(sig, grp, node) rows; one of a ``wide`` signature has it as its group, and spreads by its node."""
+    """(sig, grp, node) rows. A bucket is sig with its lowest bit set; that bit is 0 for probes, so they come first in it.
+
+    A row of a ``wide`` bucket has that as its group, and spreads by its node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -297,12 +300,10 @@ def _signature_rows(width: int, names: Names, bands: Bands, wide: np.ndarray):
                 keep = np.repeat(new, n)
                 node, sets, n = node[new], sets[keep], n[new]
                 which, key, probe = signatures(sets, n, bands)
-                # the lowest bit of a node is always 1; here it is 0 for probes, which so come first
-                member = np.where(probe, node[which] - 1, node[which])
-                key = key.view(np.int64)
-                apart = np.isin(key, wide) if len(wide) else np.zeros(len(key), bool)
-                spread = np.where(apart, mix(member.view(U)).view(np.int64), key)
-                yield pa.record_batch([pa.array(spread), pa.array(key, mask=~apart), pa.array(member)], ["sig", "grp", "node"])
+                bucket = key.view(np.int64) | 1
+                apart = np.isin(bucket, wide) if len(wide) else np.zeros(len(bucket), bool)
+                spread = np.where(apart, mix(node[which].view(U)).view(np.int64) | 1, bucket) - probe
+                yield pa.record_batch([pa.array(spread), pa.array(bucket, mask=~apart), pa.array(node[which])], ["sig", "grp", "node"])
 
     return run
 
@@ -325,11 +326,12 @@ def _pairs(probe: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
 
 def _closed(sig: np.ndarray, node: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
     """What comes of whole buckets."""
-    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    bucket = sig | 1
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     size = np.diff(np.append(first, len(sig)))
     for s in np.unique(size[size > 1]).tolist():
-        x = node[first[size == s][:, None] + np.arange(s)]
-        probe, base = (x & 1) == 0, x | 1
+        at = first[size == s][:, None] + np.arange(s)
+        probe, base = (sig[at] & 1) == 0, node[at]
         live = (base != base[:, :1]).any(1) & probe.any(1)
         base, probe = base[live], probe[live]
         if not len(base):
@@ -348,19 +350,19 @@ def _closed(sig: np.ndarray, node: np.ndarray, probes: int) -> Iterator[pa.Recor
 class _Open:
     """A bucket that is too long to be held: its probes are known, as they come first, unless there are too many."""
 
-    def __init__(self, sig: int, node: np.ndarray, probes: int):
-        self.sig, self.probe, self.leader = sig, node[(node & 1) == 0] | 1, int((node | 1).min())
+    def __init__(self, sig: np.ndarray, node: np.ndarray, probes: int):
+        self.bucket, self.probe, self.leader = sig[0] | 1, node[(sig & 1) == 0], int(node.min())
         self.hot = len(self.probe) > probes
 
-    def rows(self, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(self, sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.hot:
-            yield _found(node | 1, None, np.full(len(node), self.leader), (node & 1) == 0)
+            yield _found(node, None, np.full(len(node), self.leader), (sig & 1) == 0)
         elif len(self.probe):
-            yield _pairs(self.probe, node | 1)
+            yield _pairs(self.probe, node)
 
 
 def _candidates(most: int, probes: int):
-    """From (sig, grp, node) rows by sig, probes first: candidate pairs, each with a probe, and members of hot groups.
+    """From (sig, grp, node) rows by sig: candidate pairs, each with a probe, and members of hot groups.
 
     ``most`` rows of a bucket are held at once; more than ``probes`` probes make it hot.
     """
@@ -373,25 +375,27 @@ def _candidates(most: int, probes: int):
             sig, node = sig.to_numpy(), node.to_numpy()
             if grp.null_count < len(grp):
                 wide = grp.is_valid().to_numpy(zero_copy_only=False)
-                yield _found(node[wide] | 1, None, grp.drop_null().to_numpy(), (node[wide] & 1) == 0)
+                yield _found(node[wide], None, grp.drop_null().to_numpy(), (sig[wide] & 1) == 0)
                 sig, node = sig[~wide], node[~wide]
             sig, node = np.append(held_sig, sig), np.append(held, node)
             held_sig, held = sig[:0], node[:0]
             if passing is not None and len(sig):
-                k = int(np.flatnonzero(sig != passing.sig)[0]) if sig[-1] != passing.sig else len(sig)
-                yield from passing.rows(node[:k])
+                other = np.flatnonzero((sig | 1) != passing.bucket)
+                k = int(other[0]) if len(other) else len(sig)
+                yield from passing.rows(sig[:k], node[:k])
                 if k == len(sig):
                     continue
                 sig, node, passing = sig[k:], node[k:], None
             if not len(sig):
                 continue
-            last = int(np.flatnonzero(sig != sig[-1])[-1]) + 1 if sig[0] != sig[-1] else 0
+            other = np.flatnonzero((sig | 1) != (sig[-1] | 1))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
                 yield from _closed(sig[:last], node[:last], probes)
             held_sig, held = sig[last:], node[last:]
             if len(held) > max(most, probes + 1):
-                passing = _Open(held_sig[0], held, probes)
-                yield from passing.rows(held)
+                passing = _Open(held_sig, held, probes)
+                yield from passing.rows(held_sig, held)
                 held_sig, held = held_sig[:0], held[:0]
         if len(held):
             yield from _closed(held_sig, held, probes)
@@ -587,7 +591,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _wide(docs: DataFrame, width: int, names: Names, bands: Bands) -> np.ndarray:
     """Signatures in a large share of all sets, by one in SAMPLED texts: at most SHARE."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
-    sig = some.select("text").mapInArrow(_signature_rows(width, names, bands, np.empty(0, np.int64)), "sig long, grp long, node long").select("sig")
+    sig = some.select("text").mapInArrow(_signature_rows(width, names, bands, np.empty(0, np.int64)), "sig long, grp long, node long").select(F.col("sig").bitwiseOR(F.lit(1)).alias("sig"))
     size = written(sig.groupBy("sig").agg(F.count("*").alias("k")), "sample")
     total = size.agg(F.sum("k")).first()[0] or 0
     return np.array([r.sig for r in size.where(F.col("k") >= max(LEAST, total // SHARE)).select("sig").collect()], np.int64)
@@ -596,7 +600,7 @@ def _wide(docs: DataFrame, width: int, names: Names, bands: Bands) -> np.ndarray
 def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, names: Names, bands: Bands) -> DataFrame:
     wide = _wide(docs, width, names, bands)
     sig = docs.select("text").mapInArrow(_signature_rows(width, names, bands, wide), "sig long, grp long, node long")
-    shuffled = sig.repartition("sig").sortWithinPartitions("sig", F.col("node").bitwiseAND(F.lit(1)), "node")
+    shuffled = sig.repartition(F.col("sig").bitwiseOR(F.lit(1))).sortWithinPartitions("sig")
     found = written(shuffled.mapInArrow(_candidates(HELD, PROBES), FOUND).distinct(), "candidates")
     pairs = found.where("grp is null").select("a", "b")
     # written before it is joined by group, so that the join may deal the rows of one group over many tasks
