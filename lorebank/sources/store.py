@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import memory as M
+from .scratch import written
 
 #: The five tables and their columns.
 TABLES = {
@@ -97,11 +98,13 @@ class Store:
         decay = F.when(F.col("is_new"), T.decay(age, accepted, score)).otherwise(F.col("decay_score"))
         names = [c.split(" ")[0] for c in TABLES["episodes"].split(", ")]
         changed = changed.withColumns({"decay_score": decay, "overall_score": score, "accepted": accepted.cast("int")}).select(*names)
-        rounds = new.where("new_round is not null").select("episode_id", "new_round")
-        mcqs = self.read("episode_mcqs").join(rounds, "episode_id", "left").withColumn("regeneration_round", F.coalesce("new_round", "regeneration_round").cast("int"))
         told = new.where("rejection_reason is not null or judge_feedback is not null")
-        self.append("rejection_logs", told.select("episode_id", F.col("rejection_reason").alias("reason"), "judge_feedback", now.alias("timestamp")))
-        self.replace("episode_mcqs", mcqs.select(*[c.split(" ")[0] for c in TABLES["episode_mcqs"].split(", ")]))
+        if told.limit(1).count():
+            self.append("rejection_logs", told.select("episode_id", F.col("rejection_reason").alias("reason"), "judge_feedback", now.alias("timestamp")))
+        rounds = new.where("new_round is not null").select("episode_id", "new_round")
+        if rounds.limit(1).count():
+            mcqs = self.read("episode_mcqs").join(rounds, "episode_id", "left").withColumn("regeneration_round", F.coalesce("new_round", "regeneration_round").cast("int"))
+            self.replace("episode_mcqs", mcqs.select(*[c.split(" ")[0] for c in TABLES["episode_mcqs"].split(", ")]))
         self.replace("episodes", changed)
 
     def doomed(self, now, threshold: float = 0.1, max_age: int = 90) -> DataFrame:
@@ -112,7 +115,7 @@ class Store:
 
     def forget(self, now, threshold: float = 0.1, max_age: int = 90, dry_run: bool = False) -> int:
         """Deletes the episodes that are to be forgotten, with all that hangs on them but feedback; how many. A dry run only counts."""
-        gone = self.doomed(now, threshold, max_age)
+        gone = written(self.doomed(now, threshold, max_age), "doomed")
         n = gone.count()
         if not dry_run and n:
             for name in ("rejection_logs", "episode_mcqs", "episode_facts", "episodes"):
