@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` of a table with fewer files than the session has cores, dealt over these; a larger table as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    files = len(rows._jdf.inputFiles())  # counted where they are listed: their names stay in the JVM
+    return rows.repartition(cores) if files < cores else rows
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
