@@ -79,10 +79,14 @@ class Texts:
         """For each text the first and the past-the-last index of its words."""
         return np.searchsorted(starts, self.lo), np.searchsorted(starts, self.hi)
 
+    def eights(self, fold: np.ndarray | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes with A-Z as a-z unless fold is None, and the eight from each place on as a number."""
+        data = np.append(self.data if fold is None else fold[self.data], np.zeros(8, np.uint8))
+        return data, np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = LOWER, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word, with A-Z as a-z unless fold is None."""
-        data = np.append(self.data if fold is None else fold[self.data], np.zeros(8, np.uint8))
-        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        data, eight = self.eights(fold)
         size = ends - starts
         h = mix(size.astype(U) * _STEP ^ U(seed))
         short = size <= LONG
@@ -137,6 +141,12 @@ class Vocabulary:
         self.size = np.fromiter(map(len, words), np.int64, len(words))
         self.first = np.cumsum(self.size) - self.size
         self.data = np.frombuffer(b"".join(words), np.uint8)
+        self.head = np.frombuffer(b"".join(w[:8].ljust(8, b"\0") for w in words), "<u8")
+        # the first code with these highest bits; few have the same
+        self.bits = max(8, (8 * len(words)).bit_length())
+        top = self.codes >> U(64 - self.bits)
+        self.slot = np.searchsorted(top, np.arange(1 << self.bits, dtype=U)).astype(np.int32)
+        self.deep = int(np.bincount(top.astype(np.int64)).max()) if len(words) else 0
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The places of words that are in the vocabulary."""
@@ -147,15 +157,20 @@ class Vocabulary:
         if not len(self.codes) or not len(starts):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         h = t.hashes(starts, ends, seed=self.seed)
-        at = np.minimum(np.searchsorted(self.codes, h), len(self.codes) - 1)
-        place = np.flatnonzero((self.codes[at] == h) & (self.size[at] == ends - starts))
-        word = at[place]
-        item, i = ragged(self.size[word])
-        wrong = LOWER[t.data[starts[place][item] + i]] != self.data[self.first[word][item] + i]
+        at = np.minimum(self.slot[(h >> U(64 - self.bits)).astype(np.int64)], len(self.codes) - 1)
+        for _ in range(self.deep - 1):
+            at += (self.codes[at] != h) & (at < len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[at] == h)
+        word, size = at[place].astype(np.int64), (ends - starts)[place]
+        good = self.size[word] == size
+        _, eight = t.eights()
+        good &= eight[starts[place]] & _FIRST[np.minimum(size, 8)] == self.head[word]
+        long = np.flatnonzero(good & (size > 8))
+        item, i = ragged(size[long])
+        wrong = LOWER[t.data[starts[place[long]][item] + i]] != self.data[self.first[word[long]][item] + i]
         if wrong.any():
-            good = np.bincount(item[wrong], minlength=len(place)) == 0
-            place, word = place[good], word[good]
-        return place, word
+            good[long[np.unique(item[wrong])]] = False
+        return (place, word) if good.all() else (place[good], word[good])
 
 
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[Texts]:

@@ -131,7 +131,7 @@ def _starts(lists: dict[int, np.ndarray], codes: list[int], order: list[int], do
         elif len(places) < 8 * len(at):
             at = np.intersect1d(at, places - k, assume_unique=True)
         else:
-            i = np.searchsorted(places, at + k)
+            i = places.searchsorted(at + k)
             at = at[(i < len(places)) & (places[np.minimum(i, len(places) - 1)] == at + k)]
         if not len(at):
             return at
@@ -149,23 +149,23 @@ def _close(lists: dict[int, np.ndarray], need: list[tuple[int, int]], doc: np.nd
         places = lists.get(term)
         if places is None:
             return np.empty(0, np.int64)
-        i = np.searchsorted(places, at)
-        ok = np.zeros(len(at), bool)
-        for p in (places[np.maximum(i - 1, 0)], places[np.minimum(i, len(places) - 1)]):
-            ok |= (np.abs(p - at) < reach) & (doc[p] == doc[at])
-        at = at[ok]
+        i = places.searchsorted(at)
+        above, below = places[np.minimum(i, len(places) - 1)], places[np.maximum(i - 1, 0)]
+        mine = doc[at]
+        at = at[((np.abs(above - at) < reach) & (doc[above] == mine)) | ((at - below < reach) & (below <= at) & (doc[below] == mine))]
         if not len(at):
             return at
     return at
 
 
-def _spans(lists: dict[int, np.ndarray], need: list[tuple[int, int]], doc: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of spans of at most ``reach`` words of one document that hold each term as often as needed: for each end the latest start."""
-    for p in _close(lists, need, doc, reach).tolist():
+def _spans(close: np.ndarray, lists: dict[int, np.ndarray], need: list[tuple[int, int]], doc: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of spans of at most ``reach`` words of one document, around places that are ``close``, that hold each
+    term as often as needed: for each end the latest start."""
+    for p in close.tolist():
         around = []
         for term, _ in need:
             places = lists[term]
-            lo, hi = np.searchsorted(places, [p - reach + 1, p + reach])
+            lo, hi = places.searchsorted([p - reach + 1, p + reach])
             around += [(x, term) for x in places[lo:hi].tolist() if doc[x] == doc[p]]
         around.sort()
         left, have, lacking = 0, dict.fromkeys((t for t, _ in need), 0), len(need)
@@ -190,6 +190,7 @@ def _match(shipped, last: bool = True):
         for w, (c, o) in enumerate(zip(windows.codes, orders, strict=True)):
             if o and all(x in rarity for x in c):
                 by_rarest.setdefault(c[o[0]], []).append(w)
+        wanted = [frozenset(c) for c in windows.codes]
         needs = [sorted(Counter(c).items(), key=lambda x: (rarity.get(x[0], 0), x[0])) for c in windows.codes]
         for batch in batches:
             for row in range(len(batch)):
@@ -203,14 +204,20 @@ def _match(shipped, last: bool = True):
                 items: dict[int, set[int]] = {}
                 for t in terms:
                     for w in by_rarest.get(t, ()):
+                        if not lists.keys() >= wanted[w]:
+                            continue
+                        reach = len(windows.codes[w]) + (slop or 0)
+                        close = _close(lists, needs[w], doc, reach) if slop is not None else None
+                        if close is not None and not len(close):
+                            continue  # what is not even near is no phrase
                         at = _starts(lists, windows.codes[w], orders[w], doc)
                         if len(at):
                             np.add.at(hit, at, 1)
                             np.add.at(hit, at + len(windows.codes[w]), -1)
                             for d in np.unique(doc[at]).tolist():
                                 items.setdefault(d, set()).update(windows.items[w])
-                        if slop is not None and windows.items[w]:
-                            for start, length in _spans(lists, needs[w], doc, len(windows.codes[w]) + slop):
+                        if close is not None and windows.items[w]:
+                            for start, length in _spans(close, lists, needs[w], doc, reach):
                                 d = int(doc[start])
                                 for k in windows.items[w]:
                                     _shorter(near.setdefault(d, {}), windows.ids[k], length, start - int(first[d]))
