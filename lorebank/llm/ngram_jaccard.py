@@ -48,6 +48,8 @@ SAMPLED, LEAST, SHARE = 64, 64, 10_000
 #: Sets in a block of a hot group, and members from which a group is first compared with a block of pivots.
 BLOCK = 1024
 PIVOTED = 4096
+#: Shingles in a block, about: sets of long texts make smaller blocks.
+ITEMS = 1 << 20
 #: Digests that may be shared by different sets: about 500 are at 10**11 sets. Each is sent to all tasks.
 SHARED = 1_000_000
 #: Texts already seen in a task, by their sets, whose signatures are not sent again.
@@ -604,10 +606,11 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, names: N
     found = written(shuffled.mapInArrow(_candidates(HELD, PROBES), FOUND).distinct(), "candidates")
     pairs = found.where("grp is null").select("a", "b")
     # written before it is joined by group, so that the join may deal the rows of one group over many tasks
-    hot = written(found.where("grp is not null").groupBy("grp", F.col("a").alias("node")).agg(F.max("probe").alias("probe")), "members")
+    hot = found.where("grp is not null").groupBy("grp", F.col("a").alias("node")).agg(F.max("probe").alias("probe"))
+    hot = written(hot.join(nodes.select("node", "n"), "node"), "members")
     # a group is worth comparing if something in it probes, and something else is there
-    size = hot.groupBy("grp").agg(F.count("*").alias("k"), F.count_if("probe").alias("p")).where("p > 0 and k > 1")
-    hot = written(hot.join(size, "grp"), "hot")
+    size = hot.groupBy("grp").agg(F.count("*").alias("k"), F.count_if("probe").alias("p"), F.sum("n").alias("w")).where("p > 0 and k > 1")
+    hot = written(hot.drop("n").join(size, "grp"), "hot")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
     ids = nodes.join(wanted, "node").where("least is not null").select(F.col("least").alias("doc_id"))
     texts = docs.join(ids.distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
@@ -621,13 +624,13 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, names: N
 
 
 def _dealt(hot: DataFrame, sets: DataFrame, percent: int, width: int, seed: int) -> DataFrame:
-    """Links inside groups (grp, node, probe, k members, p probes), as forests of pairs of blocks of about BLOCK sets.
+    """Links inside groups (grp, node, probe, k members, p probes, w shingles), as forests of pairs of blocks of about BLOCK sets and ITEMS shingles at most.
 
     Where most members probe, all blocks meet each other; else the blocks of probes meet the blocks of all members.
     """
 
     def cut(n: str, salt: int) -> tuple[Column, Column]:
-        blocks = F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+        blocks = F.ceil(F.greatest(F.col(n) / F.lit(BLOCK), F.col("w") / F.col("k") * F.col(n) / F.lit(ITEMS))).cast("int")
         return blocks, F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
 
     (all_blocks, mine), (probe_blocks, asking) = cut("k", 1), cut("p", 2)
@@ -654,8 +657,8 @@ def _hot_links(hot: DataFrame, sets: DataFrame, percent: int, width: int, seed:
     pivot = F.xxhash64("node", F.lit(3)) / F.lit(2.0**63) < 2.0 * BLOCK / F.col("p") - 1.0
     first = hot.where(large).withColumns({"probe": pivot & F.col("probe"), "p": F.lit(BLOCK)})
     seen = written(_dealt(first.withColumn("k", F.greatest("k", F.lit(2 * BLOCK))), sets, percent, width, seed), "pivots")
-    rooted = hot.where(large).join(components(seen), "node", "left").select("grp", "node", "k", F.coalesce("root", "node").alias("root"))
+    rooted = hot.where(large).join(components(seen), "node", "left").select("grp", "node", "k", "w", F.coalesce("root", "node").alias("root"))
     main = rooted.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n"))
-    outside = rooted.join(main, "grp").select("grp", "node", (F.col("root") != F.col("main")).alias("probe"), "k", (F.col("k") - F.col("n")).alias("p")).where("p > 0")
-    rest = hot.where(~large).select("grp", "node", "probe", "k", "p").unionByName(outside)
+    outside = rooted.join(main, "grp").select("grp", "node", (F.col("root") != F.col("main")).alias("probe"), "k", (F.col("k") - F.col("n")).alias("p"), "w").where("p > 0")
+    rest = hot.where(~large).select("grp", "node", "probe", "k", "p", "w").unionByName(outside)
     return seen.unionByName(_dealt(written(rest, "outside"), sets, percent, width, seed))

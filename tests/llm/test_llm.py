@@ -72,7 +72,7 @@ def test_jaccard(spark, k, percent, bits, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == brute_components(rows, k, percent)
 
 
-@pytest.mark.parametrize("limits", [{"HELD": 16, "PROBES": 3}, {"HELD": 9, "PROBES": 0, "PIVOTED": 20}, {"SAMPLED": 1, "LEAST": 4, "SHARE": 10**9, "PIVOTED": 30}, {"PROBES": 1, "PIVOTED": 10, "BLOCK": 5}])
+@pytest.mark.parametrize("limits", [{"HELD": 16, "PROBES": 3}, {"HELD": 9, "PROBES": 0, "PIVOTED": 20}, {"SAMPLED": 1, "LEAST": 4, "SHARE": 10**9, "PIVOTED": 30}, {"PROBES": 1, "PIVOTED": 10, "BLOCK": 5}, {"PROBES": 2, "ITEMS": 150, "BLOCK": 1024}, {"PROBES": 2, "ITEMS": 150, "PIVOTED": 20}])
 def test_jaccard_of_long_buckets_and_wide_signatures(spark, limits, monkeypatch):
     """The ways for large tables, at limits low enough for a small one."""
     r = random.Random(8)
