@@ -20,7 +20,10 @@ ROW = "__row"
 
 
 def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The columns of documents with a key for each row, written, so that the keys stay as they are: doc_id may be null or repeated."""
+    """The columns of documents with a key for each row: doc_id where it is one; else a number, in a written copy, so that it stays."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if not odd.limit(1).count():
+        return docs.select(*COLUMNS, F.col("doc_id").cast("long").alias(ROW))
     return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), name)
 
 
