@@ -66,6 +66,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
 PART = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
+CLOSED = re.compile(r"</(?:script|style)\s*>\Z", re.I)
 
 
 class Piece(NamedTuple):
@@ -131,9 +132,12 @@ def read(page: str) -> tuple[list[Piece | str], dict[int, str]]:
             if tag == name:
                 return
 
+    rest = page[last_close + 1 :]
     for m in TOKEN.finditer(page, 0, last_close + 1):
-        _, closing, name, attributes, text = m.groups()
+        script, closing, name, attributes, text = m.groups()
         tag, mask, raw, link = stack[-1]
+        if m.end() == last_close + 1 and (script and not CLOSED.search(m.group()) or m.group().startswith("<!--") and not m.group().endswith("-->")):
+            rest = ""  # a script or remark without an end reaches to the end of the page
         if text is not None:
             if not raw:
                 out.append(Piece(block, mask, text, link))
@@ -178,7 +182,7 @@ def read(page: str) -> tuple[list[Piece | str], dict[int, str]]:
         elif name == "br":
             out.append(Piece(block, stack[-1][1], " ", False))
         out.append(f"{'/' if closing else ''}{name}")
-    rest = page[last_close + 1 :]
+    rest = rest.partition("<!--")[0]
     if rest and not stack[-1][2]:
         out.append(Piece(block, stack[-1][1], rest, stack[-1][3]))
     return out, kinds
@@ -350,6 +354,8 @@ def labelled(n: int, seed: int) -> Iterator[str]:
         return f'<div{named("teaser", "item", "card", "box") if r.random() < 0.5 else ""}><h{k}>{link(2, 7)}</h{k}><p>{words(4, 22, False)}{pick(("", " " + link(1, 2)))}</p></div>'
 
     def article() -> str:
+        if r.random() < 0.06:  # bare text
+            return pick(("{}", "<div>{}</div>")).format(pick(("<br>", "<br><br>", " ")).join(words(8, 60, True) for _ in range(r.randint(1, 6))))
         body = [f"<h1>{words(2, 10, True, '')}</h1>" if r.random() < 0.75 else f"<h2>{words(2, 10, True, '')}</h2>"]
         if r.random() < 0.2:
             body[0] = f"<header>{body[0]}</header>"

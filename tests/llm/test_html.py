@@ -53,6 +53,16 @@ def test_plain_page():
     assert html_extract.main_text(None, w) == html_extract.main_text("", w) == html_extract.main_text("<nav>a b c</nav>", w) == ""
 
 
+def test_pages_that_end_early():
+    """What a page leaves open at its end: a script, a remark, a tag, or plain text without any tag."""
+    w = html_extract.learned()
+    body = f"<article><h1>Flood</h1><p>{A}</p><p>{B}"
+    whole = "\n".join(["Flood", A, B])
+    for end in ("", "<script>if (a > b) { go()", "<script>go()", "<!-- a > remark", "<!-- a remark", "<style>p > b {", "</p"):
+        assert html_extract.main_text(body + end, w).removesuffix("</p") == whole, end
+    assert html_extract.main_text(f"{A} {B}", w) == f"{A} {B}"
+
+
 def test_labelled_pages_that_were_not_learned():
     """Of the words of generated pages at most one in a hundred is missed or taken too much."""
     w, mine, missed, extra = html_extract.learned(), 0, 0, 0
