@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import domain
-from . import bpe, decontamination, html_extract, language_id, ngram_jaccard, pii, quality_rules, token_counts, toxicity, url_filters
+from ..sources.scratch import place
+from . import bpe, decontamination, html_extract, id_files, language_id, lexical_search, ngram_jaccard, pii, quality_rules, resampling, token_counts, toxicity, url_filters
 
 #: The url rules of the contract.
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -75,6 +76,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), buckets=10_000, low=1, high=1, percent=10, least_words=20, seed=2024)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    store = id_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), place(spark, "id-files"), end=1)
+    return id_files.read_digests(store, docs.select(F.col("doc_id").cast("long").alias("key")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,10 +98,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_ngram_jaccard, op2_token_counts, op3_url_filters, op4_html_extraction, op5_language_id, op6_bpe, op7_pii, op8_quality_rules, op9_toxicity, op10_decontamination, pipeline)
+    ops = (
+        op1_ngram_jaccard, op2_token_counts, op3_url_filters, op4_html_extraction, op5_language_id, op6_bpe, op7_pii, op8_quality_rules, op9_toxicity, op10_decontamination,
+        op11_importance_resampling, op12_lexical_search, op13_id_files, pipeline,
+    )
     return {f.__name__: f for f in ops}
 
 
+#: Words of letters, digits and non-ASCII characters, A-Z as a-z.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
 ORACLE = {
@@ -119,6 +140,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 50 * n_words OR (n_dup_lines >= 3 AND 100 * n_repeat_words > 15 * n_words)
             OR word_chars > 20 * n_words OR 100 * n_upper > 60 * word_chars) AS kept
 FROM m
+""",
+    "op11_importance_resampling": f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+source AS (SELECT r, unnest(ws) AS w FROM d),
+target AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+vocabulary AS (SELECT w, hex(w) AS h FROM (SELECT w FROM source UNION SELECT w FROM target)),
+bytes AS (SELECT w, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM vocabulary),
+hashed AS (SELECT w, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS n FROM source JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN hashed USING (w) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM source) + 10000 AS s, (SELECT count(*) FROM target) + 10000 AS t),
+gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * sums.s::DOUBLE / ((s.n + 1)::DOUBLE * sums.t::DOUBLE)))::BIGINT AS g FROM s LEFT JOIN t USING (bucket), sums),
+weights AS (SELECT r, sum(g)::BIGINT AS weight FROM source JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY r),
+noise AS (SELECT r, floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS g FROM d),
+scored AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + g AS score FROM d JOIN noise USING (r) LEFT JOIN weights USING (r)),
+ranked AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM ranked
+""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+sizes AS (SELECT r, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+total AS (SELECT count(*)::BIGINT AS n, coalesce(sum(n), 0)::BIGINT AS l FROM sizes),
+postings AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+df AS (SELECT w, floor(1000 * ln((2 * total.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM postings, total GROUP BY w, total.n),
+items AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS ws FROM benchmark),
+asked AS (SELECT q, w, count(*) AS times FROM (SELECT q, unnest(ws) AS w FROM items) GROUP BY ALL),
+scores AS (
+  SELECT q, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * sizes.n * total.n) // total.l))))::BIGINT AS score
+  FROM asked JOIN postings USING (w) JOIN df USING (w) JOIN sizes USING (r), total GROUP BY q, r),
+best AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank FROM scores JOIN sizes USING (r) JOIN items USING (q) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10
 """,
 }
 
