@@ -43,8 +43,10 @@ def composite(fmt: Column, grounding: Column, clarity: Column, distractor: Colum
     return F.lit(0.20) * fmt + F.lit(0.35) * grounding + F.lit(0.25) * clarity + F.lit(0.20) * distractor
 
 
-def codes(grounding: Column, distractor: Column) -> Column:
-    return F.array_compact(F.array(F.when(grounding < 0.80, "WRONG_GROUNDING"), F.when(distractor < 0.55, "WEAK_DISTRACTORS")))
+def codes(grounding: Column, distractor: Column, rules: Column | None = None) -> Column:
+    """The failure codes of a question: those that its ``rules`` (an array) gave, and those of scores below their bounds."""
+    found = F.array_compact(F.array(F.when(grounding < 0.80, "WRONG_GROUNDING"), F.when(distractor < 0.55, "WEAK_DISTRACTORS")))
+    return found if rules is None else F.array_union(rules, found)
 
 
 def passed(total: Column, grounding: Column, found: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators import metrics
 from ..operators import similarity as S
 from ..sources import bank
 from ..sources import domain as D
+from ..sources.scratch import written
 from .registry import query
 from .text_queries import REFINED, RUNS, SCORED
 
@@ -37,9 +38,9 @@ def unmapped_facts(s, d):
     return D.facts(s, d).where("source_url = ''").select("fact_id")
 
 
-@q("fact_lookup", "SELECT fact_id, text, verdict FROM scored WHERE fact_id = 200000001")
+@q("fact_lookup", "SELECT fact_id, text, verdict FROM scored WHERE fact_id = '1-1'")
 def fact_lookup(s, d):
-    return FS(s, d).where("fact_id = 200000001").select("fact_id", "text", "verdict")
+    return FS(s, d).where("fact_id = '1-1'").select("fact_id", "text", "verdict")
 
 
 @q("web_quality_gate", "SELECT fact_id, round(composite * 1e6) / 1e6 AS composite FROM scored WHERE composite >= 0.5")
@@ -85,10 +86,14 @@ def graph(s, d):
     return G.build(D.facts(s, d))
 
 
-@g("graph_build", "SELECT relation, count(*) AS n, count(DISTINCT dst) AS n_dst FROM edges GROUP BY relation")
+@g("graph_build", "SELECT src, dst, relation FROM edges")
 def graph_build(s, d):
-    e = graph(s, d)[1].groupBy("relation", "dst").agg(F.count("*").alias("k"))
-    return e.groupBy("relation").agg(F.sum("k").alias("n"), F.count("*").alias("n_dst"))
+    return graph(s, d)[1].select("src", "dst", "relation")
+
+
+@g("graph_nodes", "SELECT node_id, type FROM nodes")
+def graph_nodes(s, d):
+    return graph(s, d)[0].select("node_id", "type")
 
 
 @g("node_type_counts", "SELECT type, count(*) AS n FROM nodes GROUP BY type")
@@ -115,32 +120,80 @@ def scan_json_bank(s, d):
 
 
 @g("add_questions", """, qs AS (SELECT conv_id * 1000 + turn AS question_id, role, conv_id, turn FROM conversations),
-asks AS (SELECT DISTINCT question_id, fact_id FROM (SELECT question_id, unnest([conv_id * 200000000 + 1, conv_id * 200000000 + turn + 1]) AS fact_id FROM qs) WHERE fact_id IN (SELECT fact_id FROM facts))
-SELECT 'ABOUT' AS relation, count(*) AS n FROM qs UNION ALL SELECT 'ASKS_FOR', count(*) FROM asks UNION ALL SELECT CASE WHEN role = 'user' THEN 'REFINES' ELSE 'DERIVED_FROM' END, count(*) FROM qs WHERE turn > 0 GROUP BY 1
-UNION ALL SELECT 'unmapped', count(*) FROM qs WHERE question_id NOT IN (SELECT question_id FROM asks)""")
+asks AS (SELECT DISTINCT question_id, fact_id FROM (SELECT question_id, unnest([conv_id || '-1', conv_id || '-' || (turn + 1)]) AS fact_id FROM qs) WHERE fact_id IN (SELECT fact_id FROM facts))
+SELECT 'QUESTION_' || question_id AS src, 'TOPIC_' || upper(role) AS dst, 'ABOUT' AS relation FROM qs
+UNION ALL SELECT 'QUESTION_' || question_id, 'FACT_' || fact_id, 'ASKS_FOR' FROM asks
+UNION ALL SELECT 'QUESTION_' || question_id, 'QUESTION_' || (question_id - 1), CASE WHEN role = 'user' THEN 'REFINES' ELSE 'DERIVED_FROM' END FROM qs WHERE turn > 0
+UNION ALL SELECT 'QUESTION_' || question_id, NULL, 'unmapped' FROM qs WHERE question_id NOT IN (SELECT question_id FROM asks)""")
 def add_questions(s, d):
-    """Edges of questions by relation, and questions of which no fact exists; here turns, which ask for facts of the document with their number."""
+    """Edges of questions, and those of which no fact exists; here turns, which ask for facts of the document with their number."""
     c = D.table(s, d, "conversations")
-    ask = F.array(F.col("conv_id") * D.ROOM + 1, F.col("conv_id") * D.ROOM + F.col("turn") + 1)
+    ask = F.array(D.fact_id(F.col("conv_id"), F.lit(1)), D.fact_id(F.col("conv_id"), F.col("turn") + 1))
     number = F.col("conv_id") * 1000 + F.col("turn")
-    questions = c.select(number.alias("question_id"), F.col("role").alias("topic"), ask.alias("fact_ids"), F.when(F.col("turn") > 0, number - 1).alias("parent_id"), (F.col("role") == "user").alias("refines"))
+    questions = c.select(
+        number.alias("question_id"), F.col("role").alias("topic"), ask.alias("fact_ids"), F.when(F.col("turn") > 0, number - 1).alias("parent_id"), (F.col("role") == "user").alias("refines")
+    )
     nodes, edges = G.add_questions(graph(s, d)[0], questions)
-    lost = nodes.agg(F.count_if("unmapped").alias("n")).select(F.lit("unmapped").alias("relation"), "n")
-    return edges.groupBy("relation").agg(F.count("*").alias("n")).unionByName(lost)
+    lost = nodes.where("unmapped").select(F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit("unmapped").alias("relation"))
+    return edges.select("src", "dst", "relation").unionByName(lost)
 
 
-@g("remove_fact", "SELECT relation, count(*) AS n FROM edges WHERE src NOT IN (SELECT 'FACT_' || fact_id FROM scored WHERE verdict = 'REJECT') AND dst NOT IN (SELECT 'FACT_' || fact_id FROM scored WHERE verdict = 'REJECT') GROUP BY relation")
+@g("remove_fact", """, gone AS (SELECT 'FACT_' || fact_id AS node_id FROM scored WHERE verdict = 'REJECT')
+SELECT src, dst, relation FROM edges WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone)""")
 def remove_fact(s, d):
     gone = FS(s, d).where("verdict = 'REJECT'").select(F.concat(F.lit("FACT_"), "fact_id").alias("node_id"))
-    return G.remove(*graph(s, d), gone)[1].groupBy("relation").agg(F.count("*").alias("n"))
+    return G.remove(*graph(s, d), gone)[1].select("src", "dst", "relation")
 
 
-@g("merge_nodes", ", p AS (SELECT 'FACT_' || fact_id AS removed, 'FACT_' || min(fact_id) OVER (PARTITION BY text) AS kept FROM facts), pp AS (SELECT * FROM p WHERE removed <> kept), e AS (SELECT DISTINCT coalesce(a.kept, src) AS src, coalesce(b.kept, dst) AS dst FROM edges LEFT JOIN pp a ON a.removed = src LEFT JOIN pp b ON b.removed = dst) SELECT count(*) AS n_edges FROM e WHERE src <> dst")
+@g("merge_nodes", """,
+p AS (SELECT fact_id, 'FACT_' || fact_id AS removed, 'FACT_' || min(fact_id) OVER (PARTITION BY text) AS kept FROM facts),
+m AS (SELECT * FROM p WHERE removed <> kept),
+still AS (SELECT src, dst, relation FROM edges WHERE src NOT IN (SELECT removed FROM m) AND dst NOT IN (SELECT removed FROM m)),
+moved AS (SELECT coalesce(a.kept, src) AS src, coalesce(b.kept, dst) AS dst, relation, coalesce(a.fact_id, b.fact_id) AS w
+          FROM edges LEFT JOIN m a ON a.removed = src LEFT JOIN m b ON b.removed = dst WHERE a.kept IS NOT NULL OR b.kept IS NOT NULL),
+new AS (SELECT src, dst, relation FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY w, relation) AS n FROM moved ANTI JOIN still USING (src, dst)) WHERE n = 1)
+FROM still UNION ALL FROM new""")
 def merge_nodes(s, d):
+    """Edges of the graph when each fact is merged into the first one with its text, in order of the ids."""
     f = D.facts(s, d)
     first = f.groupBy("text").agg(F.min("fact_id").alias("first"))
-    pairs = f.join(first, "text").where("fact_id <> first").select(F.concat(F.lit("FACT_"), "first").alias("kept"), F.concat(F.lit("FACT_"), "fact_id").alias("removed"))
-    return G.merge(graph(s, d)[1], pairs).agg(F.count("*").alias("n_edges"))
+    node = lambda c: F.concat(F.lit("FACT_"), F.col(c))
+    pairs = f.join(first, "text").where("fact_id <> first").select(node("first").alias("kept"), node("fact_id").alias("removed"), F.col("fact_id").alias("at"))
+    return G.merge(*graph(s, d), pairs)[1].select("src", "dst", "relation")
+
+
+def near_facts(s, d):
+    """(kept, removed, similarity, found): the merges of near duplicate facts, the better one kept, and how many pairs there are."""
+    f = written(FS(s, d).where("fact_id is not null").select(F.col("fact_id").alias("id"), "text", F.col("composite").alias("score")), "facts")
+    members, near = S.near_classes(f)
+    merges = S.merge_classes(members, near, f.select("id", "score"))
+    return written(S.with_similarity(merges, members, near), "merges"), S.count_pairs(members, near)
+
+
+@query("deduplicate_graph")
+def deduplicate_graph(s, d):
+    """The edges of the graph after all near duplicate facts were merged, pair by pair in order of the pairs' ids."""
+    merges, _ = near_facts(s, d)
+    node = lambda c: F.concat(F.lit("FACT_"), F.col(c))
+    # pairs in order of their first and then their second id; a character before all of those of ids parts the two
+    at = F.concat_ws(" ", F.least("kept", "removed"), F.greatest("kept", "removed"))
+    return G.merge(*graph(s, d), merges.select(node("kept").alias("kept"), node("removed").alias("removed"), at.alias("at")))[1].select("src", "dst", "relation")
+
+
+@query("deduplication_details")
+def deduplication_details(s, d):
+    """Each merge with the similarity of its pair."""
+    return near_facts(s, d)[0]
+
+
+@query("deduplication_report")
+def deduplication_report(s, d):
+    """How many pairs of near duplicate facts were found and merged, and how many facts remain."""
+    merges, found = near_facts(s, d)
+    merged = merges.agg(F.count("*").alias("pairs_merged"))
+    facts = D.facts(s, d).where("fact_id is not null").agg(F.count("*").alias("n"))
+    every = found.select(F.col("f").cast("long").alias("duplicates_found")).crossJoin(merged).crossJoin(facts)  # one row each
+    return every.select("duplicates_found", "pairs_merged", (F.col("n") - F.col("pairs_merged")).alias("facts_remaining"))
 
 
 @g("well_linked", "SELECT 'FACT_' || fact_id AS node_id, fact_id IN (SELECT fact_id FROM ent) AS ok FROM facts")
@@ -294,7 +347,7 @@ def targets(s):
 
 def used(facts):
     """The facts of accepted questions: here the first two sentences of each document."""
-    return facts.where(F.col("fact_id") % D.ROOM <= 2).select("fact_id")
+    return facts.where(D.place_of(F.col("fact_id")) <= 2).select("fact_id")
 
 
 @q("m_tcs", ", n AS (SELECT topic, count(*) AS n FROM scored WHERE verdict <> 'REJECT' GROUP BY topic), t AS (SELECT unnest(['en', 'fr', 'de', 'es', 'xx']) AS topic) SELECT round(avg(CAST(coalesce(n, 0) >= 3 AS INT)) * 1e4) / 1e4 AS value FROM t LEFT JOIN n USING (topic)")
@@ -302,7 +355,7 @@ def m_tcs(s, d):
     return metrics.topic_coverage(FS(s, d), targets(s))
 
 
-@q("m_fus", "SELECT round(avg(CAST(fact_id % 200000000 <= 2 AS INT)) * 1e4) / 1e4 AS value FROM scored WHERE verdict <> 'REJECT'")
+@q("m_fus", "SELECT round(avg(CAST(CAST(split_part(fact_id, '-', -1) AS BIGINT) <= 2 AS INT)) * 1e4) / 1e4 AS value FROM scored WHERE verdict <> 'REJECT'")
 def m_fus(s, d):
     f = FS(s, d)
     return metrics.fact_utilisation(f, used(f))

@@ -49,11 +49,13 @@ def mcq_composite(s, d):
     return Q(s, d).select("mcq_id", T.rnd(x, 6).alias("quality"))
 
 
-GRADED = ", g AS (SELECT *, round(quality * 1e9) / 1e9 >= 0.70 AND grounding >= 0.80 AS passed FROM mcqs)\n"
+GRADED = ", g AS (SELECT *, round(quality * 1e9) / 1e9 >= 0.70 AND grounding >= 0.80 AND rules <> 'FORMAT_ERROR' AS passed FROM mcqs)\n"
 
 
 def graded(s, d):
-    x = Q(s, d).withColumn("codes", mcq.codes(F.col("grounding"), F.col("distractor")))
+    """Questions with their failure codes and whether they pass."""
+    rules = F.filter(F.array("rules"), lambda x: x != "")
+    x = Q(s, d).withColumn("codes", mcq.codes(F.col("grounding"), F.col("distractor"), rules))
     return x.withColumn("passed", mcq.passed(T.rnd(F.col("quality"), 9), F.col("grounding"), F.col("codes")))
 
 
@@ -62,6 +64,14 @@ def mcq_pass(s, d):
     return graded(s, d).select("mcq_id", "passed")
 
 
+@q("failure_codes", GRADED + """, c AS (SELECT unnest([nullif(rules, ''), CASE WHEN grounding < 0.80 THEN 'WRONG_GROUNDING' END, CASE WHEN distractor < 0.55 THEN 'WEAK_DISTRACTORS' END]) AS code, passed FROM g)
+SELECT code, count(*) AS n, count(*) FILTER (passed) AS passed FROM c WHERE code IS NOT NULL GROUP BY code""")
+def failure_codes(s, d):
+    """How many questions have each code, and how many of these pass all the same."""
+    each = graded(s, d).select("passed", F.explode("codes").alias("code"))
+    return each.groupBy("code").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+
+
 @q("batch_quality_report", GRADED + "SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(avg(quality) * 1e3) / 1e3 AS avg_composite, round(avg(grounding) * 1e3) / 1e3 AS avg_grounding, round(avg(distractor) * 1e3) / 1e3 AS avg_distractor, round(avg(CAST(passed AS INT)) * 1e3) / 1e3 AS pass_rate FROM g")
 def batch_quality_report(s, d):
     a = lambda c: T.rnd(F.avg(c), 3).alias(f"avg_{'composite' if c == 'quality' else c}")
@@ -153,7 +163,7 @@ def m_ggle(s, d):
     return metrics.graph_grounded_efficiency(Q(s, d), D.telemetry(s, d))
 
 
-@query("m_jas", D.sql(SCORED + """, machine AS (SELECT CAST(floor(fact_id / 200000000) AS BIGINT) AS doc_id, round(avg(composite) * 1e6) / 1e6 >= 0.55 AS yes FROM scored GROUP BY 1)
+@query("m_jas", D.sql(SCORED + """, machine AS (SELECT CAST(regexp_extract(fact_id, '^(.*)-[0-9]+$', 1) AS BIGINT) AS doc_id, round(avg(composite) * 1e6) / 1e6 >= 0.55 AS yes FROM scored GROUP BY 1)
 SELECT round(avg(CAST((quality = 1) = yes AS INT)) * 1e4) / 1e4 AS value FROM labels JOIN machine USING (doc_id)""", "parts"))
 def m_jas(s, d):
     """The labels of documents against the mean composite of their sentences, which accepts or refines from .55 on."""
@@ -162,7 +172,7 @@ def m_jas(s, d):
 
 
 def machine_verdicts(scored):
-    mean = scored.groupBy(F.expr(f"fact_id div {D.ROOM}").alias("case_id")).agg(T.rnd(F.avg("composite"), 6).alias("x"))
+    mean = scored.groupBy(D.document_of(F.col("fact_id")).alias("case_id")).agg(T.rnd(F.avg("composite"), 6).alias("x"))
     return mean.select("case_id", T.fact_verdict(F.col("x")).isin("ACCEPT", "REFINE").alias("yes"))
 
 

@@ -12,11 +12,13 @@ import pytest
 from lorebank.functions import wordlists as L
 from lorebank.operators import loop
 from lorebank.plans import registry
-from lorebank.plans.curation import clarity
+from lorebank.plans.curation import clarity, graph
 from lorebank.plans.mcq_queries import topk
 from lorebank.plans.text_queries import blueprints
+from lorebank.sources import domain as D
 from lorebank.sources import html
 
+from .test_graph import walk as merge_walk
 from .test_model import walk
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -131,6 +133,47 @@ def test_query_m_rrr(spark):
     assert Q["m_rrr"](spark, DIR).first().value == round(len(out) / len(pairs), 4)
 
 
+def merged_facts(spark):
+    """Near duplicate facts: the pairs, and the merges of the walk with their similarities."""
+    facts = sorted((r.fact_id, frozenset(re.findall(r"[^\W]+", r.text.lower())), r.composite) for r in D.scored_facts(spark, DIR).select("fact_id", "text", "composite").collect())
+    by_size, pairs = {}, []
+    for i, a, _ in facts:
+        by_size.setdefault(len(a), []).append((i, a))
+    for n, small in by_size.items():
+        for m, large in by_size.items():
+            if n <= m and n >= 0.85 * m:
+                for i, a in small:
+                    for j, b in large:
+                        k = len(a & b)
+                        if (n < m or i < j) and k >= 0.85 * (n + m - k):
+                            pairs.append((min(i, j), max(i, j), round(k / (n + m - k), 4)))
+    score, gone, out = {i: c for i, _, c in facts}, set(), []
+    for i, j, x in sorted(pairs):
+        if i not in gone and j not in gone:
+            lost = i if score[j] > score[i] else j
+            gone.add(lost)
+            out.append((j if lost == i else i, lost, x))
+    return pairs, out
+
+
+def test_query_deduplication_details(spark):
+    assert sorted(map(tuple, Q["deduplication_details"](spark, DIR).collect())) == sorted(merged_facts(spark)[1])
+
+
+def test_query_deduplication_report(spark):
+    pairs, out = merged_facts(spark)
+    r = Q["deduplication_report"](spark, DIR).first()
+    assert pairs and (r.duplicates_found, r.pairs_merged, r.facts_remaining) == (len(pairs), len(out), D.facts(spark, DIR).count() - len(out))
+
+
+def test_query_deduplicate_graph(spark):
+    nodes, edges = graph(spark, DIR)
+    edges = [(r.src, r.dst, r.relation) for r in sorted(edges.collect(), key=lambda r: (r.seq, r.relation))]
+    merges = [(f"FACT_{a}", f"FACT_{b}") for a, b, _ in merged_facts(spark)[1]]
+    want = merge_walk([r.node_id for r in nodes.collect()], edges, merges)[0]
+    assert sorted(map(tuple, Q["deduplicate_graph"](spark, DIR).collect())) == want
+
+
 def test_query_full_report(spark):
     con = duckdb.connect()
     for t in os.listdir(DIR):
@@ -163,7 +206,7 @@ def test_query_crj_loop(spark):
 def test_query_all_difficulties(spark):
     best = sorted(topk(spark, DIR).collect(), key=lambda r: (-r.composite, r.fact_id))[:5]
     got = Q["all_difficulties"](spark, DIR).collect()
-    assert {int(r.fact_id) for r in got} <= {r.fact_id for r in best} and {r.difficulty for r in got} <= {"easy", "medium", "hard"}
+    assert {r.fact_id for r in got} <= {r.fact_id for r in best} and {r.difficulty for r in got} <= {"easy", "medium", "hard"}
     easy = sorted((r.fact_id, r.round, r.quality) for r in got if r.difficulty == "easy")
     assert easy == sorted((i, k, q) for i, k, _, q in walk([(r.fact_id, r.text) for r in best], set()))
 

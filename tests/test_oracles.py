@@ -100,3 +100,44 @@ def test_streams(spark, tmp_path):
         q = make(spark, str(tmp_path / name), schema).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).agg({"n": "sum"}).first()[0] == df.count()
+
+
+def test_the_questions_decide_something(spark, duck):
+    """Each code, and scores below, on and above each bound, occur; and a bound that moves changes what the queries give."""
+    from pyspark.sql import functions as F
+
+    from lorebank.plans.mcq_queries import graded
+    from lorebank.sources import domain as D
+
+    rows = graded(spark, DIR.replace("sf0.001", "sf0.01")).select("*", F.round("quality", 9).alias("q")).collect()
+    assert {c for r in rows for c in r.codes} == {"FORMAT_ERROR", "DUPLICATE_OPTIONS", "WRONG_GROUNDING", "WEAK_DISTRACTORS"}
+    for name, bound in (("q", 0.70), ("grounding", 0.80), ("distractor", 0.55), ("format", 0.50)):
+        assert {(r[name] > bound) - (r[name] < bound) for r in rows} == {-1, 0, 1}, name
+    assert {r.passed for r in rows} == {True, False} and any(r.passed and r.q == 0.70 for r in rows)
+    for name, a, b in (
+        ("mcq_pass", "0.70", "0.701"), ("mcq_pass", "grounding >= 0.80", "grounding > 0.80"), ("failed_fact_ids", "0.70", "0.72"), ("batch_quality_report", "0.70", "0.72"), ("topic_pass_rate", "0.70", "0.75"),
+        ("difficulty_pass_rate", "0.70", "0.75"), ("m_ga", "0.80", "0.801"), ("m_msv", "0.5", "0.501"), ("failure_codes", "< 0.55", "<= 0.55"), ("generation_result", "0.7", "0.72"), ("pending_facts", "0.70", "0.75"),
+    ):
+        body = registry.ORACLES[name].removeprefix("WITH ")
+        tables = [D.CTE[t] for t in ("episodes", "mcqs") if D.CTE[t] in body]
+        rest = body[len(",\n".join(tables)) :]
+        moved = "WITH " + ",\n".join(tables) + rest.replace(a, b)
+        assert rest.replace(a, b) != rest and sorted(map(repr, duck.execute(moved).fetchall())) != sorted(map(repr, duck.execute(registry.ORACLES[name]).fetchall())), name
+
+
+def test_facts_of_documents_with_64_bit_ids(spark, tmp_path):
+    """Every query over facts runs over documents whose ids are hashes, and gives as many rows as over small ids."""
+    from pyspark.sql import functions as F
+
+    from lorebank.sources import domain as D
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(30)
+    for t in TABLES:
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs.withColumn("doc_id", F.xxhash64("doc_id")).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/small/documents.parquet")
+    ids = D.facts(spark, str(tmp_path)).select("fact_id", D.document_of(F.col("fact_id")).alias("d"), D.place_of(F.col("fact_id")).alias("p"))
+    assert {r.d for r in ids.collect()} <= {r.x for r in docs.select(F.xxhash64("doc_id").alias("x")).collect()} and ids.agg(F.min("p")).first()[0] == 1
+    assert min(r.d for r in ids.collect()) < -(2**60) and ids.count() == D.facts(spark, f"{tmp_path}/small").count()
+    for name in ("facts_quality_topk", "graph_build", "add_questions", "merge_nodes", "deduplication_report", "m_fus", "m_jas", "topk_facts", "dedup_exact", "crj_round"):
+        assert registry.QUERIES[name](spark, str(tmp_path)).collect(), name
