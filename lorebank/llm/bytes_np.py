@@ -115,10 +115,14 @@ class Texts:
         return bool((LOWER[self.data[starts[a][pair] + i]] == LOWER[self.data[starts[b][pair] + i]]).all())
 
 
-def hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
+def hash_words(words: list[bytes] | pa.StringArray, seed: int = 0) -> np.ndarray:
     """The hashes that Texts.hashes gives for these words, as they are."""
-    if not words:
+    if not len(words):
         return np.empty(0, U)
+    if isinstance(words, pa.StringArray):
+        _, at, raw = words.buffers()
+        hi = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        return Texts(np.frombuffer(raw, np.uint8), hi[:-1], hi[1:], 0).hashes(hi[:-1], hi[1:], None, seed)
     size = np.fromiter(map(len, words), np.int64, len(words))
     hi = np.cumsum(size)
     t = Texts(np.frombuffer(b"".join(words), np.uint8), hi - size, hi, 0)

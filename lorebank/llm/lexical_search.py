@@ -3,8 +3,8 @@
 Index: a shard (some consecutive documents of a partition, about SHARD bytes of text) has its own dictionary, and for each
 term its documents in groups of exactly equal impact, the highest first. The impact of a term in a document is the whole
 number (10**9 * tf) div (1000 * tf + 8 * m), where m weighs the document's length against the average. As it needs the
-length of all documents, texts are first counted into plain postings, which the second pass turns into the index. Shards
-cut lists by documents, so that no task holds a whole list, however frequent a term is.
+length of all documents, a first pass over the texts counts their words. Shards cut lists by documents, so that no task
+holds a whole list, however frequent a term is.
 
 Search: in a shard the groups of a query's terms are taken in falling order of what they add to a score. Once the sum of
 what each term can still add is less than the k-th best score, no other document can come in; when few enough documents
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytes_np import ALNUM, SLICE, Texts, hash_words, slices
+from .bytes_np import ALNUM, LOWER, SLICE, Texts, hash_words, ragged, slices
 from .decontamination import item_words
 from ..sources.scratch import written
 
 #: Bytes of text of a shard, as long as the task has more; a longer text is a shard of its own.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Most bytes of query texts that are sent to the executors at once.
 PART = 8 << 20
 #: Documents that may be left when scores are completed, besides k; and by how much the level falls from round to round.
@@ -38,8 +38,8 @@ FALL = 0.7
 #: Keys over which the best of all tasks are dealt before the last ranking, so that it reads k of each.
 SALTS = 32
 
-_POSTINGS = "doc_ids array<long>, lengths array<long>, seed int, hashes array<long>, terms array<string>, ends array<int>, docs array<int>, tfs array<int>"
-_INDEX = "doc_ids array<long>, seed int, hashes array<long>, terms array<string>, ends array<int>, groups array<int>, impacts array<long>, upto array<int>, docs array<int>"
+#: terms in the order of their hashes under the seed; for each the end of its documents and of its groups; for each group its impact and its end.
+_INDEX = "seed int, doc_ids array<long>, terms array<string>, ends array<int>, groups array<int>, impacts array<int>, upto array<int>, docs array<int>"
 _HITS = "item int, doc_id long, score long"
 
 
@@ -52,18 +52,6 @@ class Index:
     n_terms: int
 
 
-def _row(names: str, values: list) -> pa.RecordBatch:
-    """One row of arrays; a plain number stays one."""
-    columns = []
-    for x in values:
-        if isinstance(x, int):
-            columns.append(pa.array([x], pa.int32()))
-        else:
-            x = x if isinstance(x, pa.Array) else pa.array(x)
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
-    return pa.record_batch(columns, [f.split()[0] for f in names.split(", ")])
-
-
 def _joined(parts: list[Texts]) -> Texts:
     """The texts of some slices as one."""
     base = np.cumsum([0] + [len(t.data) for t in parts])
@@ -72,8 +60,8 @@ def _joined(parts: list[Texts]) -> Texts:
     return Texts(np.concatenate([t.data for t in parts]), lo, hi, 0)
 
 
-def _postings(t: Texts, ids: pa.Array) -> pa.RecordBatch:
-    """Dictionary and postings of the texts of one shard."""
+def _index_row(t: Texts, ids: pa.Array, n_docs: int, n_terms: int) -> pa.RecordBatch:
+    """Dictionary and impact-ordered lists of the texts of one shard."""
     starts, ends = t.words(ALNUM)
     lo, hi = t.bounds(starts)
     doc = np.repeat(np.arange(len(t), dtype=np.int32), hi - lo)
@@ -87,35 +75,55 @@ def _postings(t: Texts, ids: pa.Array) -> pa.RecordBatch:
     h, doc = h[by], doc[by]
     new_term = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
     new = np.flatnonzero(new_term | np.append(True, doc[1:] != doc[:-1])) if len(h) else np.empty(0, np.int64)
-    tf = np.diff(np.append(new, len(h)))
-    first = np.flatnonzero(new_term)  # of each term, an occurrence
-    end = np.append(np.flatnonzero(new_term[new])[1:], len(new)) if len(h) else first
-    at, to = starts[by[first]], ends[by[first]]
-    data, _ = t.eights()
-    words = [data[a:b].tobytes().decode() for a, b in zip(at.tolist(), to.tolist(), strict=True)]
-    return _row(_POSTINGS, [ids, pa.array(hi - lo, pa.int64()), seed, h[first].view(np.int64), pa.array(words, pa.string()), end.astype(np.int32), doc[new], tf.astype(np.int32)])
-
-
-def _count(most: int):
-    """Postings of the texts of a partition, in shards of about ``most`` bytes."""
+    first = by[new_term]  # an occurrence of each term
+    tf, doc, of = np.diff(np.append(new, len(h))), doc[new], np.cumsum(new_term[new]) - 1
+    value = impact(tf, length_weight(hi - lo, n_docs, n_terms)[doc])
+    order = np.lexsort((-value, of))  # stable: documents stay in order within a group
+    doc, value, of = doc[order], value[order], of[order]
+    group = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
+    upto = np.append(group[1:], len(of))[: len(group)]
+    end = np.searchsorted(of, np.arange(len(first)), "right")
+    size = ends[first] - starts[first]
+    item, i = ragged(size)
+    letters = LOWER[t.data[starts[first][item] + i]]
+    terms = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(letters))
+    columns = [ids, terms, end, np.searchsorted(group, end), value[group], upto, doc]
+    lists = [x if isinstance(x, pa.Array) else pa.array(x.astype(np.int32)) for x in columns]  # an impact is below 10**6
+    row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+    return pa.record_batch([pa.array([seed], pa.int32()), *row], [f.split()[0] for f in _INDEX.split(", ")])
+
+
+def _index(most: int, n_docs: int, n_terms: int):
+    """The index of the texts of a partition, in shards of about ``most`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ids, size = [], [], 0
         for batch in batches:
             for t in slices(batch.column(1), min(most, SLICE)):
                 if parts and size + len(t.data) > most:
-                    yield _postings(_joined(parts), pa.concat_arrays(ids))
+                    yield _index_row(_joined(parts), pa.concat_arrays(ids), n_docs, n_terms)
                     parts, ids, size = [], [], 0
                 # copied: the batch's own buffers go with it
                 parts.append(Texts(t.data.copy(), t.lo, t.hi, 0))
                 ids.append(pa.array(batch.column(0).slice(t.first, len(t)).to_pylist(), pa.int64()))
                 size += len(t.data)
         if parts:
-            yield _postings(_joined(parts), pa.concat_arrays(ids))
+            yield _index_row(_joined(parts), pa.concat_arrays(ids), n_docs, n_terms)
 
     return run
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: the documents with a term, and all terms."""
+    n_docs = n_terms = 0
+    for batch in batches:
+        for t in slices(batch.column(0)):
+            starts, _ = t.words(ALNUM)
+            lo, hi = t.bounds(starts)
+            n_docs, n_terms = n_docs + int((hi > lo).sum()), n_terms + len(starts)
+    yield pa.record_batch([pa.array([n_docs]), pa.array([n_terms])], ["n", "l"])
+
+
 def length_weight(n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     """m of documents of ``n`` terms: 25, and 75 for each average length; exact where the product leaves 64 bits."""
     if 75 * int(n.max(initial=0)) * n_docs < 1 << 63:
@@ -128,27 +136,6 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * tf // (1000 * tf + 8 * m)
 
 
-def _order(n_docs: int, n_terms: int):
-    """Turns the postings of a shard into groups of equal impact."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                ids, n, _, hashes, terms, ends, docs, tfs = (batch.column(c)[i].values if c != 2 else None for c in range(8))
-                ends, docs = ends.to_numpy(), docs.to_numpy()
-                m = length_weight(n.to_numpy(), n_docs, n_terms)
-                value = impact(tfs.to_numpy(), m[docs])
-                term = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-                by = np.lexsort((-value, term))  # stable: documents stay in order within a group
-                docs, value = docs[by], value[by]
-                new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (term[1:] != term[:-1]))) if len(docs) else np.empty(0, np.int64)
-                upto = np.append(new[1:], len(docs))[: len(new)]
-                groups = np.searchsorted(new, ends)
-                yield _row(_INDEX, [ids, batch.column(2)[i].as_py(), hashes, terms, ends, groups.astype(np.int32), value[new], upto.astype(np.int32), docs])
-
-    return run
-
-
 def build_index(docs: DataFrame) -> Index:
     """The impact-ordered index of all ``docs`` (doc_id, text), one row a shard, written in the shared folder.
 
@@ -156,10 +143,9 @@ def build_index(docs: DataFrame) -> Index:
     are indexed; each row is a document of its own, whether its id is null or repeated. An empty table gives an empty index.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    postings = written(rows.mapInArrow(_count(SHARD), _POSTINGS), "postings")
-    size = postings.agg(F.sum(F.size(F.filter("lengths", lambda x: x > 0))).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("l")).first()
+    size = rows.select("text").mapInArrow(_lengths, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
     n_docs, n_terms = size.n or 0, size.l or 0
-    return Index(written(postings.mapInArrow(_order(n_docs, n_terms), _INDEX), "impacts"), n_docs, n_terms)
+    return Index(written(rows.mapInArrow(_index(SHARD, n_docs, n_terms), _INDEX), "impacts"), n_docs, n_terms)
 
 
 class Queries:
@@ -177,15 +163,16 @@ class Queries:
         self.weight = [math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df.get(i, 0) + 1))) for i in range(len(self.terms))]
         return self
 
-    def places(self, seed: int, hashes: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, seed: int, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(term, place): which terms the dictionary of a shard has, and where. Hashes look up, words decide."""
         if seed not in self._by_seed:
             h = hash_words(self.terms, seed)
             by = np.argsort(h)
             self._by_seed[seed] = h[by], by
         h, number = self._by_seed[seed]
-        if not len(hashes) or not len(h):
+        if not len(terms) or not len(h):
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        hashes = hash_words(terms, seed)
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         some = np.flatnonzero(hashes[at] == h)
         words = terms.take(pa.array(at[some])).to_pylist()
@@ -200,8 +187,8 @@ def _df(shipped):
         for batch in batches:
             for i in range(len(batch)):
                 seed = batch.column(0)[i].as_py()
-                hashes, terms, ends = (batch.column(c)[i].values for c in (1, 2, 3))
-                number, at = queries.places(seed, hashes.to_numpy().view(np.uint64), terms)
+                terms, ends = (batch.column(c)[i].values for c in (1, 2))
+                number, at = queries.places(seed, terms)
                 total[number] += np.diff(ends.to_numpy(), prepend=0)[at]
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], ["term", "n"])
@@ -255,9 +242,9 @@ def _search(shipped, k: int):
         best: list[list[tuple[int, bool, int]]] = [[] for _ in queries.bags]  # (-score, no id, id), the best first
         for batch in batches:
             for i in range(len(batch)):
-                seed = batch.column(1)[i].as_py()
-                ids, hashes, terms, ends, groups, impacts, upto, docs = (batch.column(c)[i].values for c in (0, 2, 3, 4, 5, 6, 7, 8))
-                number, at = queries.places(seed, hashes.to_numpy().view(np.uint64), terms)
+                seed = batch.column(0)[i].as_py()
+                ids, terms, ends, groups, impacts, upto, docs = (batch.column(c)[i].values for c in range(1, 8))
+                number, at = queries.places(seed, terms)
                 place = dict(zip(number.tolist(), at.tolist(), strict=True))
                 ends, groups, impacts, upto, docs = (x.to_numpy() for x in (ends, groups, impacts, upto, docs))
                 for q, bag in enumerate(queries.bags):
@@ -266,7 +253,7 @@ def _search(shipped, k: int):
                         p, w = place.get(term), queries.weight[term] * times
                         if p is not None and w:
                             a, g = (int(ends[p - 1]), int(groups[p - 1])) if p else (0, 0)
-                            lists.append((impacts[g : groups[p]] * w, upto[g : groups[p]] - a, docs[a : ends[p]]))
+                            lists.append((impacts[g : groups[p]].astype(np.int64) * w, upto[g : groups[p]] - a, docs[a : ends[p]]))
                     if not lists:
                         continue
                     mine = best[q]
@@ -314,7 +301,7 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     kind = items.schema["item_id"].dataType
     for part in _parts(items.select("item_id", F.col("text").cast("string").alias("text"))):
         queries = Queries([r.text for r in part])
-        counted = index.table.select("seed", "hashes", "terms", "ends").mapInArrow(_df(context.broadcast(queries)), "term int, n long")
+        counted = index.table.select("seed", "terms", "ends").mapInArrow(_df(context.broadcast(queries)), "term int, n long")
         df = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most a row for each term of the part
         hits = index.table.mapInArrow(_search(context.broadcast(queries.weighted(df, index.n_docs)), k), _HITS)
         hits = _top(hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), k, "item", "salt").drop("salt")

@@ -206,7 +206,7 @@ def test_search_where_hashes_collide(monkeypatch):
     few = bytes_np.Texts.hashes
     monkeypatch.setattr(bytes_np.Texts, "hashes", lambda self, *a, seed=0, **b: few(self, *a, seed=seed, **b) >> np.uint64(54 if seed < 3 else 0))
     (t,) = bytes_np.slices(pa.array([" ".join(f"w{i}" for i in range(300)), "w1 w2 w2"]))
-    row = lexical_search._postings(t, pa.array([1, 2]))
+    row = lexical_search._index_row(t, pa.array([1, 2]), 2, 303)
     assert row.column("seed")[0].as_py() == 3 and sorted(row.column("terms")[0].as_py()) == sorted(f"w{i}" for i in range(300))
 
 
