@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Parts beyond which a word is merged with a heap.
 LONG = 192
-#: Words whose result a worker remembers.
-REMEMBERED = 400_000
+#: Words whose result a worker remembers, and the characters of the longest of them: longer ones are merged each time they come.
+REMEMBERED, KEPT = 400_000, 64
 #: Characters of text that are worked on together.
 TOGETHER = 2 << 20
 
@@ -209,6 +209,7 @@ class Encoder:
         self.find = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.quick = re.compile(rf"[{QUICK}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{QUICK}]+").findall
         self.ids: dict[str, bytes] = {}
+        self.passing: list[str] = []
         # a special string is kept as it stands, which no word can be, as words hold no letters next to signs
         self.marks = {s: i.to_bytes(4, "little") for s, i in model.special.items()}
 
@@ -225,8 +226,10 @@ class Encoder:
         return self.find(text) if ODD(text) else self.quick(text)
 
     def learn(self, words: Iterable[str]) -> None:
-        """Merges the words that are not known yet."""
+        """Merges the words that are not known yet; those of more than KEPT characters are known until the next call."""
         words = set(words)
+        for w in self.passing:
+            self.ids.pop(w, None)
         fresh = list(words.difference(self.ids))
         if len(self.ids) + len(fresh) > REMEMBERED:
             self.ids.clear()
@@ -237,6 +240,7 @@ class Encoder:
         raw = flat.astype("<u4").tobytes()
         self.ids.update(zip(fresh, [raw[4 * i : 4 * j] for i, j in zip(first, last, strict=True)], strict=True))
         self.ids.update(self.marks)
+        self.passing = [w for w in fresh if len(w) > KEPT]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """For each text the ids as little-endian 32-bit integers."""

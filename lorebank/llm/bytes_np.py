@@ -177,8 +177,8 @@ class Vocabulary:
         return (place, word) if good.all() else (place[good], word[good])
 
 
-def slices(column: pa.Array, most: int = SLICE) -> Iterator[Texts]:
-    """The texts of a string column in slices of about ``most`` bytes; a null is an empty text."""
+def slices(column: pa.Array, most: int = SLICE, texts: int = 1 << 62) -> Iterator[Texts]:
+    """The texts of a string column in slices of about ``most`` bytes, and of at most ``texts``; a null is an empty text."""
     n = len(column)
     if not n:
         return
@@ -195,6 +195,6 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[Texts]:
         hi = np.where(column.is_valid().to_numpy(zero_copy_only=False), hi, lo)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1), i + texts)
         yield Texts(data[offsets[i] : offsets[j]], lo[i:j] - offsets[i], hi[i:j] - offsets[i], i)
         i = j

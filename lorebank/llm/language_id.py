@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytes_np import LOWER, Texts, slices
 from .samples import least_hashed
+from ..sources.scratch import written
 
 #: Dimensions of a vector, centroids of a language, and (a bound) the different training texts of a language.
 DIM = 4096
@@ -30,6 +31,8 @@ REJECT = 0.01
 FOLDS = 4
 #: Languages that are learned, at most; a table with more is refused.
 LANGUAGES = 500
+#: Bytes and texts that are worked on together: a text takes a row of DIM numbers, however short it is.
+SLICE, ROWS = 1 << 18, 512
 
 UNKNOWN = "und"
 
@@ -110,7 +113,7 @@ def _cut(t: Texts, most: int) -> Texts:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text the places and values of its counts, then those of it cut to each of LENGTHS that it has."""
     for batch in batches:
-        for t in slices(batch.column(1), 1 << 18):
+        for t in slices(batch.column(1), SLICE, ROWS):
             found = [[v] for v in counts(t)]
             for most in LENGTHS:
                 long = np.flatnonzero(t.hi - t.lo >= most)
@@ -148,34 +151,53 @@ def thresholds(rows: list, v: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.array(least[1:])
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, n): how many texts have a count at each place, and at -1 how many there are."""
+    seen = np.zeros(DIM + 1, np.int64)
+    for batch in batches:
+        for x in batch.column(1):
+            seen[np.frombuffer(x[0].as_py(), np.int32)] += 1
+            seen[DIM] += 1
+    at = np.append(np.arange(DIM), -1)
+    yield pa.record_batch([pa.array(at[seen > 0], pa.int32()), pa.array(seen[seen > 0])], ["at", "n"])
+
+
+def _fitted(idf: np.ndarray):
+    """Centroids and thresholds of one language from its sampled texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["at"], r["tf"]))
+        v = vectors(_dense(rows), idf)
+        centroids = clustered(v, CENTROIDS).astype(np.float32)
+        columns = [[rows[0]["lang"]], [len(centroids)], [centroids.tobytes()], [thresholds(rows, v, idf).tolist()]]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["lang", "k", "centroids", "reject"])
+
+    return run
+
+
 def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> dict[str, Any]:
     """A model from the text and non-null lang of rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds.
 
-    Of each language the ``sample`` different texts with the least hashes are read by the driver, as hashed counts, so
-    copies count once and every run learns the same. More than LANGUAGES languages are refused. Texts labelled with two
-    languages are examples of both. Without any labelled text the model knows no language, and calls every text und.
+    Of each language the ``sample`` different texts with the least hashes are taken, as hashed counts, so copies count once
+    and every run learns the same. Each language is clustered in a task of its own; the driver gets how many texts have a
+    count at each place, and the centroids and thresholds. More than LANGUAGES languages are refused. Texts labelled with
+    two languages are examples of both. Without any labelled text the model knows no language, and calls every text und.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if usable is None else usable))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
     chosen = least_hashed(rows, "lang", "hash", sample, LANGUAGES)
-    by: dict[str, list] = {}
-    for r in chosen.select("lang", "text").mapInArrow(_sampled, "lang string, at array<binary>, tf array<binary>").collect():  # at most LANGUAGES * sample
-        by.setdefault(r.lang, []).append(r)
-    if not by:
+    sampled = written(chosen.select("lang", "text").mapInArrow(_sampled, "lang string, at array<binary>, tf array<binary>"), "sampled")
+    seen = np.zeros(DIM + 1)
+    for r in sampled.select("lang", "at").mapInArrow(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most DIM + 1
+        seen[r["at"]] = r.n
+    if not seen[DIM]:
         return {"languages": [], "idf": np.ones(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "of": np.zeros(0, np.int64), "reject": np.zeros((0, len(LENGTHS)))}
-    for rows_ in by.values():
-        rows_.sort(key=lambda r: (r["at"], r["tf"]))
-    languages = sorted(by)
-    seen = sum(((_dense(by[k]) > 0).sum(0) for k in languages), np.zeros(DIM))
-    idf = (np.log((1 + sum(map(len, by.values()))) / (1 + seen)) + 1).astype(np.float32)
-    centroids, reject = [], []
-    for k in languages:
-        v = vectors(_dense(by[k]), idf)
-        centroids.append(clustered(v, CENTROIDS))
-        reject.append(thresholds(by[k], v, idf))
-    of = np.repeat(np.arange(len(languages)), [len(c) for c in centroids])
-    all_of = np.concatenate(centroids).astype(np.float32)
-    return {"languages": languages, "idf": idf, "centroids": all_of, "of": of, "reject": np.array(reject)}
+    idf = (np.log((1 + seen[DIM]) / (1 + seen[:DIM])) + 1).astype(np.float32)
+    fit = sampled.groupBy("lang").applyInArrow(_fitted(idf), "lang string, k int, centroids binary, reject array<double>")
+    found = sorted(fit.collect(), key=lambda r: r.lang)  # at most LANGUAGES rows of CENTROIDS vectors
+    of = np.repeat(np.arange(len(found)), [r.k for r in found])
+    all_of = np.frombuffer(b"".join(r.centroids for r in found), np.float32).reshape(-1, DIM)
+    return {"languages": [r.lang for r in found], "idf": idf, "centroids": all_of, "of": of, "reject": np.array([r.reject for r in found])}
 
 
 def _predicted(shipped):
@@ -184,7 +206,7 @@ def _predicted(shipped):
         names = np.array([*model["languages"], UNKNOWN], object)
         for batch in batches:
             keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            for t in slices(batch.column("__text"), 1 << 18):
+            for t in slices(batch.column("__text"), SLICE, ROWS):
                 cosine = vectors(counts(t), model["idf"]) @ model["centroids"].T if len(model["of"]) else np.zeros((len(t), 1), np.float32)
                 best = cosine.argmax(1)
                 score = np.clip(cosine[np.arange(len(t)), best].astype(np.float64), 0, 1)

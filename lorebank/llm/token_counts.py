@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ODD, QUICK, REMEMBERED, SPACE, Model, byte_letters, live, together
+from .bpe import KEPT, ODD, QUICK, REMEMBERED, SPACE, Model, byte_letters, live, together
 
 # Fixed value of the byte-level format: its pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
@@ -51,7 +51,11 @@ class Counter:
         _, count = self.model.merge_many([p.encode() for p in rest])
         self.known.update(zip(rest, count.tolist(), strict=True))
         look = self.known.__getitem__
-        return [sum(map(look, c)) for c in cut]
+        n = [sum(map(look, c)) for c in cut]
+        for p in rest:
+            if len(p) > KEPT:
+                del self.known[p]
+        return n
 
 
 def shortcuts(model: Model) -> list[str]:
