@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,28 +47,59 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some items as numbers of words, and for each the numbers of the items that hold it.
+    """The distinct windows of some items as numbers of words, one after the other, and for each the numbers of the items that hold it.
 
-    An item without an id has windows too, but is no item in a result.
+    Window w is codes[at[w]:at[w + 1]], its items are items[of[w]:of[w + 1]]. An item without an id has windows too, but is
+    no item in a result.
     """
 
     def __init__(self, items: list[tuple[object, str | None]], width: int):
-        at: dict[tuple[bytes, ...], set[int]] = {}
         self.ids = [None if i is None else str(i) for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            w = item_words(text)
-            for s in range(max(len(w) - width + 1, min(len(w), 1))):
-                at.setdefault(tuple(w[s : s + width]), set()).add(k)
-        self.words, self.items = list(at), [sorted(k for k in x if self.ids[k] is not None) for x in at.values()]
-        self.terms = sorted({x for w in self.words for x in w})
-        self.codes: list[list[int]] = []
+        words = [item_words(text) for _, text in items]
+        self.terms = sorted(set(chain.from_iterable(words)))
+        number = {w: i for i, w in enumerate(self.terms)}
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for k, w in enumerate(words):
+            if w:
+                n = min(width, len(w))
+                rows.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(np.array([number[x] for x in w], np.int32), n))
+                owners.setdefault(n, []).append(np.full(len(w) - n + 1, k, np.int32))
+        codes, sizes, held, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        named = np.array([i is not None for i in self.ids], bool)
+        for n in sorted(rows):
+            different, which = np.unique(np.concatenate(rows[n]), axis=0, return_inverse=True)
+            owner = np.concatenate(owners[n])
+            pairs = np.unique(np.stack([which.ravel(), owner], 1)[named[owner]], axis=0)
+            codes.append(different.ravel())
+            sizes.append(np.full(len(different), n))
+            held.append(pairs[:, 1].astype(np.int32))
+            counts.append(np.bincount(pairs[:, 0], minlength=len(different)))
+        self.codes, self.items = np.concatenate(codes), np.concatenate(held)
+        self.at = np.append(0, np.cumsum(np.concatenate(sizes)))
+        self.of = np.append(0, np.cumsum(np.concatenate(counts)))
 
     def numbered(self, vocabulary: Vocabulary) -> Windows:
-        """Sets ``codes``, the words of each window as places in the vocabulary, which has all of them."""
-        code = dict(zip(self.terms, vocabulary.numbers(self.terms).tolist(), strict=True))
-        self.codes = [[code[x] for x in w] for w in self.words]
+        """Makes ``codes`` places in the vocabulary, which has all words; these themselves are not needed any more."""
+        if self.terms:
+            self.codes = vocabulary.numbers(self.terms).astype(np.int32)[self.codes]
+        self.terms = []
         return self
 
+    def by_rarest(self, rarity: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+        """The windows of which all terms occur, in order of their rarest term, the first of equal ones; and the range of each such term."""
+        if len(self.at) == 1:
+            return np.empty(0, np.int64), {}
+        size = np.diff(self.at)
+        place = np.arange(len(self.codes)) - np.repeat(self.at[:-1], size)
+        least = np.minimum.reduceat(rarity[self.codes] << 20 | np.minimum(place, (1 << 20) - 1), self.at[:-1])
+        able = np.flatnonzero(least >> 20)
+        rarest = self.codes[self.at[:-1][able] + (least[able] & (1 << 20) - 1)]
+        by = np.argsort(rarest, kind="stable")
+        term, first = np.unique(rarest[by], return_index=True)
+        last = np.append(first, len(by))[1:]
+        return able[by], {t: (a, b) for t, a, b in zip(term.tolist(), first.tolist(), last.tolist(), strict=True)}
+
 
 def _index(shipped):
     """Postings of the words of a vocabulary, in shards."""
@@ -185,13 +217,8 @@ def _match(shipped, last: bool = True):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, rarity, slop = shipped.value
-        orders = [sorted(range(len(c)), key=lambda k, c=c: (rarity.get(c[k], 0), k)) for c in windows.codes]
-        by_rarest: dict[int, list[int]] = {}
-        for w, (c, o) in enumerate(zip(windows.codes, orders, strict=True)):
-            if o and all(x in rarity for x in c):
-                by_rarest.setdefault(c[o[0]], []).append(w)
-        wanted = [frozenset(c) for c in windows.codes]
-        needs = [sorted(Counter(c).items(), key=lambda x: (rarity.get(x[0], 0), x[0])) for c in windows.codes]
+        order, ranges = windows.by_rarest(rarity)
+        rare = rarity.item
         for batch in batches:
             for row in range(len(batch)):
                 ids, n, terms, ends, places = (batch.column(c)[row].values for c in range(5))
@@ -203,23 +230,27 @@ def _match(shipped, last: bool = True):
                 near: dict[int, dict[str, tuple[int, int]]] = {}
                 items: dict[int, set[int]] = {}
                 for t in terms:
-                    for w in by_rarest.get(t, ()):
-                        if not lists.keys() >= wanted[w]:
+                    for w in order[slice(*ranges.get(t, (0, 0)))].tolist():
+                        # what is needed of a window is made when a shard has all its terms: kept for all, it would be large
+                        codes = windows.codes[windows.at[w] : windows.at[w + 1]].tolist()
+                        if not lists.keys() >= set(codes):
                             continue
-                        reach = len(windows.codes[w]) + (slop or 0)
-                        close = _close(lists, needs[w], doc, reach) if slop is not None else None
+                        need = sorted(Counter(codes).items(), key=lambda x: (rare(x[0]), x[0]))
+                        reach = len(codes) + (slop or 0)
+                        close = _close(lists, need, doc, reach) if slop is not None else None
                         if close is not None and not len(close):
                             continue  # what is not even near is no phrase
-                        at = _starts(lists, windows.codes[w], orders[w], doc)
+                        at = _starts(lists, codes, sorted(range(len(codes)), key=lambda k, c=codes: (rare(c[k]), k)), doc)
+                        mine = windows.items[windows.of[w] : windows.of[w + 1]].tolist()
                         if len(at):
                             np.add.at(hit, at, 1)
-                            np.add.at(hit, at + len(windows.codes[w]), -1)
+                            np.add.at(hit, at + len(codes), -1)
                             for d in np.unique(doc[at]).tolist():
-                                items.setdefault(d, set()).update(windows.items[w])
-                        if close is not None and windows.items[w]:
-                            for start, length in _spans(close, lists, needs[w], doc, reach):
+                                items.setdefault(d, set()).update(mine)
+                        if close is not None and mine:
+                            for start, length in _spans(close, lists, need, doc, reach):
                                 d = int(doc[start])
-                                for k in windows.items[w]:
+                                for k in mine:
                                     _shorter(near.setdefault(d, {}), windows.ids[k], length, start - int(first[d]))
                 inside = np.cumsum(hit[:-1]) > 0
                 found = [sorted(windows.ids[k] for k in items[d]) if d in items else [] for d in range(len(n))]
@@ -283,7 +314,7 @@ def find(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int | None
         windows = Windows([(r.item_id, r.text) for r in items.collect()], width)
         vocabulary = Vocabulary(windows.terms)
         index = build_index(docs, vocabulary)
-        rarity = {r.term: r.n for r in frequencies(index).collect()}  # at most a row for each test term
+        rarity = _rarity(index, vocabulary)
         return index.mapInArrow(_match(context.broadcast((windows.numbered(vocabulary), rarity, slop))), out)
     items = written(items, "items")
     words: set[bytes] = set()
@@ -291,12 +322,19 @@ def find(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int | None
         words.update(x for _, text in part for x in item_words(text))
     vocabulary = Vocabulary(list(words))
     shards = build_index(docs, vocabulary)
-    rarity = {r.term: r.n for r in frequencies(shards).collect()}
+    rarity = _rarity(shards, vocabulary)
     for part in _parts(items):
         windows = Windows(part, width).numbered(vocabulary)
-        mine = {t: rarity[t] for w in windows.codes for t in w if t in rarity}
-        shards = written(shards.mapInArrow(_match(context.broadcast((windows, mine, slop)), last=False), CARRIED), "part")
-    return shards.mapInArrow(_match(context.broadcast((Windows([], width), {}, None))), out)
+        shards = written(shards.mapInArrow(_match(context.broadcast((windows, rarity, slop)), last=False), CARRIED), "part")
+    return shards.mapInArrow(_match(context.broadcast((Windows([], width), rarity, None))), out)
+
+
+def _rarity(index: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often each word of the vocabulary occurs, 0 for those that do not."""
+    out = np.zeros(len(vocabulary.codes), np.int64)
+    for r in frequencies(index).collect():  # at most a row for each test term
+        out[r.term] = r.n
+    return out
 
 
 def digest(ids: list[str]) -> str:

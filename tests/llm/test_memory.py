@@ -53,3 +53,32 @@ def test_learning_is_the_same_as_on_the_driver():
     v = language_id.vectors(language_id._dense(rows), idf)
     assert np.frombuffer(got["centroids"], np.float32).reshape(-1, language_id.DIM).tolist() == language_id.clustered(v, language_id.CENTROIDS).astype(np.float32).tolist()
     assert got["reject"] == language_id.thresholds(rows, v, idf).tolist()
+
+
+PARTED = """
+import random, resource, pickle, numpy as np, pyarrow as pa
+from lorebank.llm import decontamination as D
+from lorebank.llm.bytes_np import Vocabulary
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300000)]
+items = [(i, " ".join(rng.choice(words) for _ in range(1000))) for i in range(D.PART // 7000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+windows = D.Windows(items, 10)
+vocabulary = Vocabulary(windows.terms)
+class Shipped:
+    value = vocabulary
+docs = pa.record_batch([pa.array(range(300)), pa.array([" ".join(rng.choice(words) for _ in range(900)) + " " + items[i][1][:200] for i in range(300)])], ["doc_id", "text"])
+shards = list(D._index(Shipped)([docs]))
+class Sent:
+    value = (windows.numbered(vocabulary), np.full(len(vocabulary.codes), 5), 2)
+rows = [b for b in D._match(Sent)(iter(shards))]
+assert sum(len(b) for b in rows) == 300 and min(x for b in rows for x in b.column("n_hit").to_pylist()) > 10
+print(len(windows.at) - 1, len(pickle.dumps(Sent.value)) >> 20, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_the_largest_part_of_test_texts_takes_little_memory():
+    out = subprocess.run([sys.executable, "-c", PARTED], capture_output=True, text=True, check=True, timeout=600)
+    windows, sent, most = map(int, out.stdout.split()[-3:])
+    assert windows > 1_000_000 and sent < 100, out.stdout
+    assert most < 600, out.stdout  # the driver's part, which makes the windows, and a worker's, which reads them, in one process
