@@ -156,6 +156,17 @@ def merge(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFr
     return nodes.join(gone, "node_id", "left_anti"), still.select("src", "dst", "relation", "seq").unionByName(new), kept
 
 
+def topic_counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, fact_count, question_count, unmapped_facts, unmapped_questions) of each topic, from the nodes that are ABOUT
+    it; what is unmapped is not known from the graph, and counted as 0."""
+    kinds = nodes.select(F.col("node_id").alias("src"), "type")
+    about = edges.where("relation = 'ABOUT'").join(kinds, "src").groupBy(F.col("dst").alias("node_id"))
+    counts = about.agg(F.count_if(F.col("type") == "FACT").alias("fact_count"), F.count_if(F.col("type") == "QUESTION").alias("question_count"))
+    none = F.lit(0).cast("long")
+    of = nodes.where("type = 'TOPIC'").select("node_id").join(counts, "node_id", "left")
+    return of.select("node_id", F.coalesce("fact_count", none).alias("fact_count"), F.coalesce("question_count", none).alias("question_count"), none.alias("unmapped_facts"), none.alias("unmapped_questions"))
+
+
 def well_linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, ok: facts with at least one entity, a topic and a source."""
     out = edges.where("relation in ('ABOUT', 'SUPPORTED_BY')").select(F.col("src").alias("node_id"), "relation")

@@ -10,9 +10,9 @@ from ..functions import text as T
 from ..operators import graph as G
 from ..operators import metrics
 from ..operators import similarity as S
-from ..sources import bank
+from ..sources import bank, store
 from ..sources import domain as D
-from ..sources.scratch import written
+from ..sources.scratch import place, written
 from .registry import query
 from .text_queries import REFINED, RUNS, SCORED
 
@@ -266,6 +266,51 @@ def quality_report_groups(s, d):
     return FS(s, d).select("verdict", F.explode("tags").alias("tag")).groupBy("verdict", "tag").agg(F.count("*").alias("n"))
 
 
+#: The order of the sections of the report.
+SECTIONS = ("ACCEPT", "REFINED_ACCEPT", "SALVAGEABLE_ACCEPT", "REFINE", "SALVAGEABLE", "REJECT", "UNSCORED")
+
+
+@q("quality_report", ACT + """, told AS (SELECT fact_id, CASE WHEN action = 'REJECT_AFTER_REFINE' THEN 'REJECT' ELSE action END AS verdict FROM act)
+SELECT list_position(['ACCEPT', 'REFINED_ACCEPT', 'SALVAGEABLE_ACCEPT', 'REFINE', 'SALVAGEABLE', 'REJECT', 'UNSCORED'], t.verdict)::INT AS section, t.verdict, t.fact_id,
+       CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END AS text, round(composite * 1e6) / 1e6 AS score, array_to_string(tags, ',') AS tags
+FROM told t JOIN scored USING (fact_id)""")
+def quality_report(s, d):
+    """A line for each fact, in sections by verdict: its text, cut to 80 characters, its score and its tags."""
+    verdict = F.when(F.col("action") == "REJECT_AFTER_REFINE", "REJECT").otherwise(F.coalesce("action", F.lit("UNSCORED")))
+    rows = acted(s, d).withColumn("verdict", verdict)
+    short = F.when(F.length("text") > 80, F.concat(F.substring("text", 1, 80), F.lit("..."))).otherwise(F.col("text"))
+    section = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("verdict")).cast("int")
+    out = rows.select(section.alias("section"), "verdict", "fact_id", short.alias("text"), T.rnd(F.col("composite"), 6).alias("score"), F.array_join("tags", ",").alias("tags"))
+    return out.orderBy("section", "fact_id")
+
+
+@g("snapshot_nodes", ", ids AS (SELECT 'FACT_' || fact_id AS node_id, fact_id AS seq FROM facts UNION ALL SELECT 'TOPIC_' || upper(topic), fact_id FROM facts UNION ALL SELECT 'SOURCE_' || sha256(source_url)[1:12], fact_id FROM facts UNION ALL SELECT ename, fact_id FROM ent) SELECT node_id, type, min(seq) AS first_fact FROM nodes JOIN ids USING (node_id) GROUP BY ALL")
+def snapshot_nodes(s, d):
+    """The nodes of a month that was saved twice, with an attribute of theirs."""
+    nodes, edges = graph(s, d)
+    path = place(s, "snapshots")
+    for _ in range(2):
+        bank.save_snapshot(nodes, edges, path, "2026-01")
+    return bank.load_snapshot(s, path, "2026-01")[0].select("node_id", "type", bank.attribute("seq", "string").alias("first_fact"))
+
+
+@g("snapshot_topics", "SELECT 'TOPIC_' || upper(topic) AS node_id, count(*) AS fact_count FROM facts GROUP BY ALL")
+def snapshot_topics(s, d):
+    """The counters of topics of a snapshot that was saved without them."""
+    nodes, edges = graph(s, d)
+    path = place(s, "snapshots")
+    bank.save_snapshot(nodes, edges, path, "2026-01")
+    return bank.load_snapshot(s, path, "2026-01")[2].select("node_id", "fact_count")
+
+
+@query("unseen_questions", "WITH f AS (SELECT conv_id, turn, role, sha256(lower(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))) AS h FROM conversations) SELECT conv_id, turn FROM f WHERE role <> 'system' AND h NOT IN (SELECT h FROM f WHERE role = 'system' AND h IS NOT NULL)")
+def unseen_questions(s, d):
+    """The turns of users and assistants that no turn of the system repeats; what a filter calls new is not looked up."""
+    c = D.table(s, d, "conversations").select("conv_id", "turn", "role", T.fingerprint(F.col("text")).alias("h"))
+    seen = c.where("role = 'system'").select("h").distinct()
+    return store.unseen(c.where("role <> 'system'").select("conv_id", "turn", "h"), seen, store.build_filter(seen)).select("conv_id", "turn")
+
+
 @q("dedup_exact", "SELECT fact_id FROM (SELECT fact_id, row_number() OVER (PARTITION BY md5(text)[1:12] ORDER BY fact_id) AS n FROM scored) WHERE n = 1")
 def dedup_exact(s, d):
     return S.first_by(D.facts(s, d).withColumn("h", F.substring(F.md5("text"), 1, 12)), "h", "fact_id").where("is_first").select("fact_id")
@@ -294,8 +339,12 @@ def near_dup_pairs(s, d):
     return S.near_pairs(doc_rows(s, d))
 
 
+def clear(rows):
+    return rows.select("id", T.linguistic_clarity(F.col("text")).alias("score"))
+
+
 def clarity(s, d):
-    return doc_rows(s, d).select("id", T.linguistic_clarity(F.col("text")).alias("score"))
+    return clear(doc_rows(s, d))
 
 
 @query("dedup_near")
@@ -305,10 +354,14 @@ def dedup_near(s, d):
 
 @query("m_rrr")
 def m_rrr(s, d):
-    """Merged pairs over found pairs; 1 if none is found."""
-    members, near = S.near_classes(doc_rows(s, d))
+    return merged_share(doc_rows(s, d))
+
+
+def merged_share(rows):
+    """(value): merged pairs over found pairs of rows (id, text); 1 if none is found."""
+    members, near = S.near_classes(rows)
     found = S.count_pairs(members, near)
-    return S.merge_classes(members, near, clarity(s, d)).agg(F.count("*").alias("m")).crossJoin(found).select(F.when(F.col("f") == 0, 1.0).otherwise(T.rnd(F.col("m") / F.nullif("f", F.lit(0)), 4)).alias("value"))
+    return S.merge_classes(members, near, clear(rows)).agg(F.count("*").alias("m")).crossJoin(found).select(F.when(F.col("f") == 0, 1.0).otherwise(T.rnd(F.col("m") / F.nullif("f", F.lit(0)), 4)).alias("value"))
 
 
 BEST = r"""WITH q AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\s\p{P}\p{S}]+'), lambda x: x <> '')) AS w FROM documents),
@@ -341,8 +394,11 @@ def m_fqs(s, d):
     return metrics.mean(FS(s, d), "composite")
 
 
+TARGETS = ("en", "fr", "de", "es", "xx")
+
+
 def targets(s):
-    return s.createDataFrame([(t,) for t in ("en", "fr", "de", "es", "xx")], "topic string")
+    return s.createDataFrame([(t,) for t in TARGETS], "topic string")
 
 
 def used(facts):

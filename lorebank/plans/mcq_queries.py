@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.wordlists import HISTORICAL
 from ..operators import loop, mcq, metrics, model
+from ..operators import similarity as S
 from ..operators.model import Caller, Throttle
 from ..sources import domain as D
 from ..sources.scratch import written
@@ -142,8 +146,10 @@ def levels(name: str, target: dict[str, float]) -> None:
         return w.join(share, "difficulty", "full").agg(T.rnd(F.avg(F.abs(F.coalesce("t", F.lit(0.0)) - F.coalesce("share", F.lit(0.0)))), 4).alias("value"))
 
 
-levels("m_dce", {"easy": 0.33, "medium": 0.34, "hard": 0.33})
-levels("m_ddms", {"easy": 0.25, "medium": 0.50, "hard": 0.25})
+#: The shares of the levels that are aimed at.
+LEVELS = {"m_dce": {"easy": 0.33, "medium": 0.34, "hard": 0.33}, "m_ddms": {"easy": 0.25, "medium": 0.50, "hard": 0.25}}
+for _metric, _target in LEVELS.items():
+    levels(_metric, _target)
 
 for _name, (_over, _under, _n) in metrics.RATIOS.items():
 
@@ -188,26 +194,80 @@ def m_chp(s, d):
     return metrics.historical_patterns(D.table(s, d, "conversations"))
 
 
+def rows_of(one, values):
+    """(metric, value) of one row of aggregates."""
+    cells = [F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in values.items()]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def share(over, under, n):
+    return T.rnd(over / F.nullif(under, F.lit(0)), n)
+
+
 @query("full_report")
 def full_report(s, d):
-    """(metric, value) of the whole family; what several metrics read is scored or counted once and written."""
+    """(metric, value) of the whole family; each table is read once, and its metrics come from one row of aggregates.
+
+    Documents are written once, as facts, near duplicates and matches all read them; facts are added up by document.
+    """
     from . import curation as C
-    from .registry import QUERIES
 
-    scored = written(D.scored_facts(s, d).select("fact_id", "topic", "composite", "verdict"))
-    told = written(D.telemetry(s, d))
-    asked = Q(s, d)
+    docs = written(D.spread(D.table(s, d, "documents").select("doc_id", "lang", "source", "text")), "documents")
+    scored = D.scored(D.facts_of(docs))
+    n, c = F.count("*"), F.col
+    usable, linked = c("verdict") != "REJECT", F.size(T.extract_entities(c("text"))) > 0
+    by_document = written(
+        scored.groupBy(D.document_of(c("fact_id")).alias("case_id"), "topic").agg(
+            n.alias("n"), F.sum("composite").alias("composite"), F.count_if(usable).alias("usable"),
+            F.count_if(usable & (D.place_of(c("fact_id")) <= 2)).alias("used"), F.count_if(linked).alias("linked"),
+        ), "by-document",
+    )
+    by_topic = by_document.groupBy("topic").agg(*[F.sum(x).alias(x) for x in ("n", "composite", "usable", "used", "linked")])
+    covered = F.size(F.array_intersect(F.collect_list(F.when(c("usable") >= 3, c("topic"))), F.array(*map(F.lit, C.TARGETS))))
+    facts = by_topic.agg(covered.alias("covered"), *[F.sum(x).alias(x) for x in ("n", "composite", "usable", "used", "linked")])
+    out = [
+        rows_of(facts, {
+            "m_fqs": share(c("composite"), c("n"), 4), "m_gcs": F.coalesce(share(c("linked"), c("n"), 4), F.lit(0.0)),
+            "m_tcs": T.rnd(c("covered") / F.lit(float(len(C.TARGETS))), 4), "m_fus": F.coalesce(share(c("used"), c("usable"), 4), F.lit(0.0)),
+        })
+    ]
     human = D.table(s, d, "labels").select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("yes"))
-    given = {
-        "m_fqs": metrics.mean(scored, "composite"), "m_tcs": metrics.topic_coverage(scored, C.targets(s)), "m_fus": metrics.fact_utilisation(scored, C.used(scored)),
-        "m_jas": metrics.judge_agreement(human, machine_verdicts(scored)), "m_as": metrics.adaptation_speed(told), "m_ggle": metrics.graph_grounded_efficiency(asked, told),
-        **{name: metrics.ratio(told, name) for name in metrics.RATIOS},
-    }
-    out = None
-    for name in sorted(n for n in QUERIES if n.startswith("m_")):
-        row = (given.get(name) or QUERIES[name](s, d)).select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    machine = by_document.groupBy("case_id").agg(T.rnd(F.sum("composite") / F.sum("n"), 6).alias("x"))
+    out.append(rows_of(metrics.judge_agreement(human, machine.select("case_id", T.fact_verdict(c("x")).isin("ACCEPT", "REFINE").alias("yes"))), {"m_jas": c("value")}))
+
+    # questions by level, of which there are few
+    levels_ = written(
+        Q(s, d).groupBy("difficulty").agg(
+            n.alias("n"), F.count_if(c("format") >= metrics.VALID).alias("valid"), F.count_if(c("grounding") >= metrics.GROUNDED).alias("grounded"),
+            F.sum("distractor").alias("distractor"), F.sum("clarity").alias("clarity"),
+        ), "levels",
+    )
+    counted = F.map_from_entries(F.collect_list(F.struct("difficulty", "n")))
+    asked = levels_.agg(counted.alias("level"), *[F.sum(x).alias(x) for x in ("n", "valid", "grounded", "distractor", "clarity")])
+    each = lambda target: F.aggregate(
+        F.array_union(F.map_keys("level"), F.array(*map(F.lit, target))), F.lit(0.0),
+        lambda a, k: a + F.abs(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in target.items() for x in kv]), k), F.lit(0.0)) - F.coalesce(F.try_element_at("level", k) / c("n"), F.lit(0.0))),
+    ) / F.size(F.array_union(F.map_keys("level"), F.array(*map(F.lit, target))))
+    grounded = F.coalesce(share(c("grounded"), c("n"), 4), F.lit(0.0))
+    out.append(rows_of(asked, {
+        "m_msv": F.coalesce(share(c("valid"), c("n"), 4), F.lit(0.0)), "m_ga": grounded, "m_dqs": share(c("distractor"), c("n"), 4), "m_cs": share(c("clarity"), c("n"), 4),
+        **{name: T.rnd(each(target), 4) for name, target in LEVELS.items()},
+    }))
+    columns = sorted({x for over, under, _ in metrics.RATIOS.values() for x in (over, under)})
+    told = written(D.telemetry(s, d).agg(*[F.sum(x).alias(x) for x in columns], F.max("iterations_to_target").alias("most")), "told")
+    out.append(rows_of(told, {
+        "m_as": F.nullif(c("most"), F.lit(0)), **{name: share(c(over), c(under), k) for name, (over, under, k) in metrics.RATIOS.items()},
+    }))
+    both = asked.select(grounded.alias("ga")).crossJoin(told)  # one row each
+    spent = c("cost_usd") * F.greatest(c("most"), F.lit(1))
+    out.append(rows_of(both, {"m_ggle": F.when(c("cost_usd") > 0, T.rnd(c("accepted_mcqs") * c("ga") / spent, 6))}))
+
+    out.append(rows_of(m_tas(s, d), {"m_tas": c("value")}))
+    out.append(rows_of(m_chp(s, d), {"m_chp": c("value")}))
+    rows = docs.select(c("doc_id").alias("id"), "text")
+    out.append(rows_of(C.merged_share(rows), {"m_rrr": c("value")}))
+    out.append(rows_of(metrics.mean(S.best_match(rows, D.table(s, d, "benchmark")), "best"), {"m_qss": c("value")}))
+    return reduce(DataFrame.unionByName, out)
 
 
 # keyed state

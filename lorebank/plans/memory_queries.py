@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import counters
 from ..operators import memory as M
 from ..sources import domain as D
 from ..sources import scratch
 from ..sources.store import Store
-from ..streaming import limits
+from ..streaming import limits, runs
 from .registry import query
 
 E, EF, Q, FB, RL = D.episodes, D.episode_facts, D.episode_mcqs, D.feedback, D.run_log
@@ -58,7 +59,7 @@ def write_episode(s, d):
 
 def remembered(s, d) -> Store:
     """A new memory on disk with all episodes, their facts and their questions."""
-    memory = Store(s, scratch.place(s, "memory"))
+    memory = Store(s, scratch.place(s, "memory"), buckets=2, period="yyyy")  # months of these tables are small
     memory.create()
     asked = E(s, d).select("episode_id", F.col("topic").alias("input_question"), "topic", F.col("ts").alias("timestamp"), F.col("score").alias("overall_score"), "accepted")
     made = Q(s, d).select("mcq_id", "episode_id", "difficulty", F.col("quality").alias("quality_score"), F.col("format").alias("format_score"), F.col("grounding").alias("grounding_score"), F.col("clarity").alias("clarity_score"), F.col("distractor").alias("distractor_score"))
@@ -111,9 +112,35 @@ def write_feedback(s, d):
     return memory.read("feedback").select(F.col("mcq_id").cast("long").alias("id"), F.col("episode_id").cast("long").alias("episode_id"), "rating", "category")
 
 
-@q("feedback_penalty", ("feedback",), "SELECT fact_id, round(greatest(0::DOUBLE, 0.5::DOUBLE - 0.1::DOUBLE * sum(3 - rating)) * 1e6) / 1e6 AS composite, max(3 - rating) AS user_feedback_low FROM feedback WHERE rating <= 2 AND fact_id IS NOT NULL GROUP BY fact_id")
+PENALTY = """, own AS (SELECT fact_id, round(avg(quality) * 1e6) / 1e6 AS c FROM mcqs GROUP BY fact_id),
+low AS (SELECT id // 4 AS fact_id, sum(3 - rating) AS points, arg_max(rating, (created_at, id)) AS last FROM feedback WHERE rating <= 2 GROUP BY ALL)
+SELECT fact_id, round(greatest(0::DOUBLE, coalesce(c, 0.5::DOUBLE) - 0.1::DOUBLE * points) * 1e6) / 1e6 AS composite, last AS user_feedback_low FROM low LEFT JOIN own USING (fact_id)"""
+
+
+def own_composites(s, d):
+    """The composite of each fact, here the mean quality of its questions."""
+    return Q(s, d).groupBy("fact_id").agg(T.rnd(F.avg("quality"), 6).alias("composite"))
+
+
+def rated(s, d):
+    """The ratings, here four for each fact."""
+    return FB(s, d).select("id", F.expr("id div 4").alias("fact_id"), "rating", "created_at")
+
+
+@q("feedback_penalty", ("feedback", "mcqs"), PENALTY)
 def feedback_penalty(s, d):
-    return M.penalties(FB(s, d))
+    return M.penalties(rated(s, d), own_composites(s, d))
+
+
+@q("penalty_stream", ("feedback", "mcqs"), PENALTY)
+def penalty_stream(s, d):
+    """The same from a stream over files of ratings."""
+    path, rows = scratch.place(s, "ratings"), rated(s, d)
+    rows.repartition(3).write.parquet(path)
+    ratings = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    kept = scratch.place(s, "penalties")
+    runs.penalty_stream(ratings, kept, scratch.place(s, "penalties-checkpoint")).awaitTermination()
+    return runs.penalised(s, kept, own_composites(s, d))
 
 
 @q("time_range", ("episodes",), "SELECT episode_id, topic FROM episodes WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-06-30'")
@@ -131,6 +158,15 @@ def feedback_for_fact(s, d):
     return FB(s, d).where(F.concat(F.lit('["'), F.col("fact_id").cast("string"), F.lit('"]')).contains("12")).orderBy(F.desc("created_at"), "id").select("id", "rating")
 
 
+@q("feedback_for_facts", ("feedback",), "SELECT p_partkey::VARCHAR AS needle, id, rating FROM feedback JOIN part ON contains('[\"' || fact_id || '\"]', p_partkey::VARCHAR)")
+def feedback_for_facts(s, d):
+    """The ratings whose list of facts contains an id, for a whole table of ids."""
+    f = FB(s, d)
+    listed = F.concat(F.lit('["'), F.col("fact_id").cast("string"), F.lit('"]'))
+    ids = D.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("needle"))
+    return M.containing(f.select("id", listed.alias("text")), ids).join(f.select("id", "rating"), "id").select("needle", "id", "rating")
+
+
 @query("user_lookup", "SELECT c_custkey AS user_id, c_name AS display_name FROM customer WHERE c_custkey = 42")
 def user_lookup(s, d):
     return D.table(s, d, "customer").where("c_custkey = 42").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("display_name"))
@@ -211,13 +247,30 @@ def run_rollup(s, d):
     return RL(s, d).groupBy("run_id").agg(F.count("*").alias("n_stages"), F.size(F.collect_set("stage")).cast("bigint").alias("n_kinds"), T.rnd(F.avg("seconds"), 4).alias("avg_seconds"), F.bool_or(F.col("stage") == "error").alias("partial_output"))
 
 
-BUCKETS = (1, 5, 10, 30, 60, 120, 300)
-
-
 @q("prom_histogram", ("run_log",), "SELECT unnest(['1', '5', '10', '30', '60', '120', '300', '+Inf']) AS le, unnest([count(*) FILTER (seconds <= 1), count(*) FILTER (seconds <= 5), count(*) FILTER (seconds <= 10), count(*) FILTER (seconds <= 30), count(*) FILTER (seconds <= 60), count(*) FILTER (seconds <= 120), count(*) FILTER (seconds <= 300), count(*)]) AS n FROM run_log")
 def prom_histogram(s, d):
-    bars = [F.struct(F.lit(str(b)).alias("le"), F.count_if(F.col("seconds") <= b).alias("n")) for b in BUCKETS] + [F.struct(F.lit("+Inf").alias("le"), F.count("*").alias("n"))]
-    return RL(s, d).agg(F.array(*bars).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    state = counters.histogram(RL(s, d), "pipeline_duration_seconds", F.col("seconds")).where("name like '%bucket'")
+    return state.select(F.regexp_extract("label", '"(.*)"', 1).alias("le"), F.col("value").cast("long").alias("n"))
+
+
+@q("prom_metrics", ("run_log", "mcqs", "feedback"), """, h AS (SELECT unnest(['1', '5', '10', '30', '60', '120', '300', '+Inf']) AS le, unnest([1, 5, 10, 30, 60, 120, 300, 1e300]) AS b)
+SELECT 'mcq_generated_total' AS name, '' AS label, count(*)::DOUBLE AS value FROM mcqs UNION ALL SELECT 'mcq_accepted_total', '', count(*) FILTER (quality >= 0.7) FROM mcqs
+UNION ALL SELECT 'feedback_received_total', 'rating="' || rating || '"', count(*) FROM feedback GROUP BY rating
+UNION ALL SELECT 'pipeline_duration_seconds_bucket', 'le="' || le || '"', count(*) FILTER (seconds <= b) FROM run_log, h GROUP BY le
+UNION ALL SELECT 'pipeline_duration_seconds_count', '', count(seconds) FROM run_log UNION ALL SELECT 'pipeline_duration_seconds_sum', '', round(sum(seconds) * 1e4) / 1e4 FROM run_log""")
+def prom_metrics(s, d):
+    """The counters and the histogram of the metrics page, merged from the states of three parts of each table."""
+    part = lambda rows, key, k: rows.where(F.pmod(F.xxhash64(key), F.lit(3)) == k)
+    states = []
+    for k in range(3):
+        asked, runs_, ratings = part(Q(s, d), "mcq_id", k), part(RL(s, d), "seq", k), part(FB(s, d), "id", k)
+        states += [
+            counters.counter(asked, "mcq_generated_total"),
+            counters.counter(asked, "mcq_accepted_total", (F.col("quality") >= 0.7).cast("int")),
+            counters.labelled(ratings, "feedback_received_total", "rating", F.col("rating")),
+            counters.histogram(runs_, "pipeline_duration_seconds", F.col("seconds")),
+        ]
+    return counters.merged(*states).select("name", "label", T.rnd(F.col("value"), 4).alias("value"))
 
 
 @q("cache_stats", ("run_log",), ", a AS (SELECT *, row_number() OVER (PARTITION BY run_id, stage, CAST(ts AS DATE) ORDER BY ts, seq) > 1 AS hit FROM run_log) SELECT stage, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(avg(CAST(hit AS INT)) * 1e4) / 1e4 AS hit_rate FROM a GROUP BY stage")
@@ -235,6 +288,12 @@ def retrieve_similar(s, d):
     return M.similar(E(s, d), EF(s, d), "2-HIGH", [10, 20, 30], 0.4, 20)
 
 
+@q("retrieve_newest", ("episodes",), "SELECT episode_id, score, 0 AS rank, '' AS matched_facts FROM episodes WHERE score >= 0.4 ORDER BY ts DESC, episode_id LIMIT 20")
+def retrieve_newest(s, d):
+    """The same without a topic and facts."""
+    return M.similar(E(s, d), EF(s, d), None, [], 0.4, 20)
+
+
 @q("recent_episodes", ("episodes",), "SELECT episode_id, topic FROM episodes ORDER BY ts DESC, episode_id LIMIT 25")
 def recent_episodes(s, d):
     return E(s, d).orderBy(F.desc("ts"), "episode_id").limit(25).select("episode_id", "topic")
@@ -252,6 +311,34 @@ def stage_latency(s, d):
     return RL(s, d).select("stage", ms.alias("ms")).groupBy("stage").agg(F.count("ms").alias("n"), F.sum("ms").alias("total_ms"))
 
 
+ELAPSED = ", r AS (SELECT run_id, seq, epoch_us(ts) // 1000 AS ms FROM run_log) SELECT run_id::VARCHAR AS run_id, seq, ms - min(ms) OVER (PARTITION BY run_id) AS elapsed_ms FROM r"
+
+
+@q("run_elapsed", ("run_log",), ELAPSED)
+def run_elapsed(s, d):
+    """The time of each line since the start of its run."""
+    return runs.elapsed(RL(s, d))
+
+
+@q("run_elapsed_stream", ("run_log",), ELAPSED)
+def run_elapsed_stream(s, d):
+    """The same from a stream over files that hold the lines in order of their time."""
+    path, out, rows = scratch.place(s, "lines"), scratch.place(s, "elapsed"), RL(s, d).select("run_id", "seq", "ts")
+    bounds = rows.agg(F.percentile_approx(F.col("ts").cast("timestamp"), F.array(F.lit(0.33), F.lit(0.67))).alias("x")).first().x or []
+    number = sum(((F.col("ts").cast("timestamp") > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    for k in range(len(bounds) + 1):
+        rows.where(number == k).coalesce(1).write.mode("append").parquet(path)
+    key, before = "spark.sql.streaming.stateStore.providerClass", s.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    s.conf.set(key, runs.ROCKSDB)
+    try:
+        lines = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        writer = runs.elapsed_stream(lines).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.place(s, "elapsed-checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(key, before) if before else s.conf.unset(key)
+    return s.read.schema("run_id string, seq long, elapsed_ms long").parquet(out)
+
+
 @query("zone_routing", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'generate' WHEN 'click' THEN 'feedback' ELSE 'default' END AS zone FROM events")
 def zone_routing(s, d):
     e = D.table(s, d, "events")

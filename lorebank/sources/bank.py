@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+from ..operators.graph import topic_counters
+
 ENTRY = "struct<id:string,fact_text:string,text:string,fact:string,question_bn:string,question:string,topic:string,correct_answer:string,explanation:string,options:map<string,string>,difficulty:string>"
 
 
@@ -38,10 +41,18 @@ def scan_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:
-    """Adds lines. Where ``execution_time_ms`` is null it becomes the time since the run's first line among ``rows``, 0 for the start."""
-    first = F.min("timestamp").over(Window.partitionBy("pipeline_run_id"))
-    elapsed = F.unix_millis("timestamp") - F.unix_millis(first)
-    rows.withColumn("execution_time_ms", F.coalesce("execution_time_ms", elapsed)).write.mode("append").json(path)
+    """Adds lines. Where ``execution_time_ms`` is null it becomes the time since the run's first line, in the log or among ``rows``; 0 for the start."""
+    spark = rows.sparkSession
+    first = rows.select("pipeline_run_id", "timestamp")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        before = scan_run_log(spark, path).select("pipeline_run_id", "timestamp")
+        first = first.unionByName(before.join(rows.select("pipeline_run_id").distinct(), "pipeline_run_id", "left_semi"))
+    started = first.groupBy("pipeline_run_id").agg(F.min("timestamp").alias("started"))
+    same = F.col("pipeline_run_id").eqNullSafe(F.col("run"))
+    timed = rows.join(started.withColumnRenamed("pipeline_run_id", "run"), same, "left")
+    elapsed = F.coalesce("execution_time_ms", F.unix_millis("timestamp") - F.unix_millis("started"))
+    timed.select(*[elapsed.alias(c) if c == "execution_time_ms" else c for c in rows.columns]).write.mode("append").json(path)
 
 
 def run_lines(runs: DataFrame, stage: str, failure: str = "none") -> DataFrame:
@@ -68,10 +79,36 @@ def export_csv(rows: DataFrame, path: str) -> None:
     rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str, month: str) -> None:
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.withColumn("snapshot_month", F.lit(month)).write.mode("append").partitionBy("snapshot_month").parquet(f"{path}/{name}")
+#: Columns of a node that stand by themselves in a snapshot; all others are its attributes, as open as JSON.
+NODE = ("node_id", "type")
+
 
+def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str, month: str, topics: DataFrame | None = None) -> None:
+    """The graph of a month, in place of what was saved for the month before; other months stay.
 
-def load_snapshot(spark: SparkSession, path: str, month: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{n}").where(F.col("snapshot_month") == month).drop("snapshot_month") for n in ("nodes", "edges"))
+    Nodes (node_id, type and any others) keep the others as one VARIANT column, so nodes of different kinds and months may
+    have different ones. topics: the counters of topics, see ``operators.graph.topic_counters``.
+    """
+    others = [c for c in nodes.columns if c not in NODE]
+    open_ = F.to_variant_object(F.struct(*others)) if others else F.parse_json(F.lit("{}"))
+    tables = {"nodes": nodes.select(*NODE, open_.alias("attributes")), "edges": edges}
+    if topics is not None:
+        tables["topics"] = topics
+    made = {name: written(rows, name) for name, rows in tables.items()}  # what is saved may read what is saved over
+    for name, rows in made.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/snapshot_month={month}")
+
+
+def load_snapshot(spark: SparkSession, path: str, month: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, topics) of a month: nodes with their attributes as a VARIANT, see ``attribute``. A snapshot without
+    counters of topics gets them from its edges."""
+    nodes, edges = (spark.read.parquet(f"{path}/{n}/snapshot_month={month}") for n in ("nodes", "edges"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/topics/snapshot_month={month}")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return nodes, edges, spark.read.parquet(str(at.toString()))
+    return nodes, edges, topic_counters(nodes, edges)
+
+
+def attribute(name: str, kind: str) -> Column:
+    """An attribute of the nodes of a snapshot; null where a node has none of this name."""
+    return F.try_variant_get("attributes", f"$.{name}", kind)

@@ -25,7 +25,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     A fact_id is the document's id, a hyphen and the place of the sentence, so documents may have any 64-bit id. A null
     doc_id gives a null fact_id.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return facts_of(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))
+
+
+def facts_of(docs: DataFrame) -> DataFrame:
+    """The same of documents (doc_id, lang, source, text)."""
     n = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     site = F.when(n < 5, ".gov.bd/").when(n < 10, ".edu/").when(n < 15, ".wikipedia.org/")
     url = F.coalesce(F.concat(F.lit("https://"), F.col("source"), site), F.lit(""))
@@ -48,14 +52,19 @@ def place_of(fact: Column) -> Column:
 
 def scored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facts with the parts of their quality, composite, verdict, tags and readiness."""
+    return scored(facts(spark, sf_dir))
+
+
+def scored(facts: DataFrame) -> DataFrame:
+    """The same of a table of facts."""
     t = F.col("text")
     part = F.struct(
         T.linguistic_clarity(t).alias("clarity"), T.factual_structure(t).alias("structure"), T.source_reliability(F.col("source_url"), F.col("publisher")).alias("reliability"), F.lit(0.7).alias("freshness")
     )
     # a generator of one row keeps filters on the scores from being pushed below them, where each use would compute them anew
-    parts = facts(spark, sf_dir).select("*", F.inline(F.array(part)))
-    scored = parts.withColumn("composite", T.fact_composite(F.col("clarity"), F.col("structure"), F.col("reliability"), F.col("freshness")))
-    tagged = scored.withColumns({"verdict": T.fact_verdict(F.col("composite")), "tags": T.mcq_tags(t)})
+    parts = facts.select("*", F.inline(F.array(part)))
+    found = parts.withColumn("composite", T.fact_composite(F.col("clarity"), F.col("structure"), F.col("reliability"), F.col("freshness")))
+    tagged = found.withColumns({"verdict": T.fact_verdict(F.col("composite")), "tags": T.mcq_tags(t)})
     return tagged.withColumn("readiness", T.mcq_readiness(F.col("composite"), F.col("tags")))
 
 

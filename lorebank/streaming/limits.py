@@ -32,6 +32,7 @@ def decide(times: list[float], kept: list[float], limit: int, window: float) ->
 
 def _in_order(rows: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
     """``step(state, frame)`` over the rows of each key, which come sorted, a batch at a time; state starts as None for each key.
+    A null is a key like any other.
 
     Only the state of one key and one batch of rows are held, however long the log of a key is. What a step decides
     depends on all rows of the key before it, so those of one key stay in one task.
@@ -41,6 +42,7 @@ def _in_order(rows: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
         now, state = None, None
         for frame in frames:
             for key, part in frame.groupby(keys, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)  # a null key arrives as NaN, which never equals itself
                 if key != now:
                     now, state = key, None
                 state, out = step(state, key, part)

@@ -59,18 +59,89 @@ def test_forget(memory):
     assert memory.forget(now()) == 0
 
 
-def test_a_half_written_version_is_not_read(memory, tmp_path):
-    (tmp_path / "memory/episodes/v1").mkdir()
-    assert memory.read("episodes").count() == 5 and memory.forget(now()) == 2 and memory.read("episodes").count() == 3
+def files(memory, tmp_path, name):
+    return {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "memory" / name).rglob("*.parquet")}
+
+
+def changes(spark, *ids):
+    rows = [(i, 1, 0.9, 1, None, None) for i in ids]
+    return spark.createDataFrame(rows, "episode_id string, accepted int, overall_score double, regeneration_round int, rejection_reason string, judge_feedback string")
+
+
+def test_an_update_writes_the_months_it_touches(spark, memory, tmp_path):
+    before = {n: files(memory, tmp_path, n) for n in store.TABLES}
+    memory.update_episodes(changes(spark, "a"), now())
+    for n in store.TABLES:
+        after = files(memory, tmp_path, n)
+        touched = {str(p) for p in before[n].items() ^ after.items() for p in [p[0]]}
+        assert all("period=2025-12" in p for p in touched) and bool(touched) == (n in ("episodes", "episode_mcqs")), n
+    assert memory.read("episodes").count() == 5
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_plans_of_lookups(spark, memory):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = memory.read("episodes").join(memory.read("episode_facts").drop("period"), "episode_id").join(memory.read("episode_mcqs").drop("period"), "episode_id", "left")
+        assert joined.count() == 3 and "Exchange" not in plan(joined) and "Join" in plan(joined)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    some = memory.between("2025-06-01", "2025-07-01")
+    assert ids(some) == ["c", "d", "e"] and "PartitionFilters: [isnotnull(period" in plan(some)
+    fact = memory.read("episode_facts").where("fact_id = '2'")
+    assert fact.count() == 1 and "EqualTo(fact_id,2)" in plan(fact)
+
+
+def test_another_session_reads_the_same_files(spark, memory):
+    want = {n: sorted(map(str, memory.read(n).collect())) for n in store.TABLES}
+    for n in store.TABLES:
+        spark.sql(f"DROP TABLE {memory.table(n)}")  # the catalog of a new application knows none
+    again = store.Store(spark, memory.path)
+    again.create()
+    assert {n: sorted(map(str, again.read(n).collect())) for n in store.TABLES} == want
+    assert again.forget(now()) == 2 and ids(again.read("episodes")) == ["a", "b", "c"]
+    for n in store.TABLES:
+        spark.sql(f"DROP TABLE {memory.table(n)}")
+    memory.create()
+    assert ids(memory.read("episodes")) == ["a", "b", "c"]  # a month that lost all its rows does not come back
+
+
+def test_forgetting_that_breaks_off_leaves_nothing_dangling(memory, monkeypatch):
+    def breaks(self, name, *more, keep=store.Store._keep):
+        if name != "episodes":
+            raise OSError("lost")
+        keep(self, name, *more)
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_keep", breaks)
+        with pytest.raises(OSError):
+            memory.forget(now())
+    assert ids(memory.read("episodes")) == ["a", "b", "c"] and ids(memory.read("episode_facts")) == ["a", "a", "d"]
+    memory.sweep()
+    assert ids(memory.read("episode_facts")) == ["a", "a"] and ids(memory.read("episode_mcqs")) == ["a"]
+
+
+def test_of_several_changes_the_greatest_counts(spark, memory):
+    memory.update_episodes(changes(spark, "a").unionByName(changes(spark, "a").withColumn("accepted", F.lit(0))), now())
+    memory.update_episodes(changes(spark, "nobody"), now())
+    e = {r.episode_id: r for r in memory.read("episodes").collect()}
+    assert len(e) == 5 and (e["a"].accepted, e["a"].overall_score) == (1, 0.9)
 
 
-def test_older_tables_get_the_columns_they_lack(spark, tmp_path):
-    old = spark.createDataFrame([("m1", "a", 0.5)], "mcq_id string, episode_id string, quality_score double")
-    old.write.parquet(f"{tmp_path}/old/episode_mcqs/v0")
+def test_older_tables_get_the_columns_they_lack(spark, tmp_path, monkeypatch):
     s = store.Store(spark, f"file://{tmp_path}/old")
+    with monkeypatch.context() as m:
+        m.setitem(store.TABLES, "episode_mcqs", "mcq_id string, episode_id string, quality_score double")
+        s.create()
+        s.append("episode_mcqs", spark.createDataFrame([("m1", "a", 0.5, "2025-01")], "mcq_id string, episode_id string, quality_score double, period string"))
     s.create()
     one = s.read("episode_mcqs").first()
     assert (one.quality_score, one.format_score, one.grounding_score, one.regeneration_round) == (0.5, 0.0, 0.0, 0)
+    s.append("episode_mcqs", spark.createDataFrame([("m2", "b", 0.7, "2025-02")], "mcq_id string, episode_id string, format_score double, period string"))
+    assert {r.mcq_id: (r.quality_score, r.format_score) for r in s.read("episode_mcqs").collect()} == {"m1": (0.5, 0.0), "m2": (0.0, 0.7)}
 
 
 def test_feedback(spark, memory):
@@ -112,7 +183,7 @@ def test_run_log(spark, tmp_path):
     assert bank.scan_run_log(spark, at).count() == 0
 
 
-def test_exports_and_snapshots(spark, tmp_path):
+def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([("m1", "T", "easy", 0.8, {"a": "x"}), ("m2", "T", None, 0.9, None)], "mcq_id string, topic string, difficulty string, quality double, options map<string,string>")
     bank.export_json(rows, f"{tmp_path}/json")
     bank.export_csv(rows, f"{tmp_path}/csv")
@@ -120,7 +191,3 @@ def test_exports_and_snapshots(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv").where("mcq_id = 'm1'").first().options == '{"a":"x"}'
     stats = {(r.kind, r.key): (r.n, r.avg_quality) for r in store.export_stats(rows).collect()}
     assert stats == {("total", "all"): (2, 0.85), ("topic", "T"): (2, None), ("difficulty", "easy"): (1, None), ("difficulty", "unknown"): (1, None)}
-    bank.save_snapshot(rows, rows.limit(1), f"{tmp_path}/snap", "2026-01")
-    bank.save_snapshot(rows.limit(1), rows, f"{tmp_path}/snap", "2026-02")
-    nodes, edges = bank.load_snapshot(spark, f"{tmp_path}/snap", "2026-01")
-    assert (nodes.count(), edges.count()) == (2, 1) and nodes.columns == rows.columns
