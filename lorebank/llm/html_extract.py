@@ -66,6 +66,9 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
 PART = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
+#: Elements whose last end tag is sought by itself; others could be as many as a page has tags.
+KNOWN = BLOCKS | RAW | LINES | SCOPES | {*AROUND, "a"}
+END_TAG = re.compile(r"</([a-z][a-z0-9:-]*)")
 CLOSED = re.compile(r"</(?:script|style)\s*>\Z", re.I)
 
 
@@ -125,13 +128,29 @@ def read(page: str) -> tuple[list[Piece | str], dict[int, str]]:
     last_end: dict[str, int] = {}
     last_close = page.rfind(">")
 
+    paragraphs: list[int] = []  # places in the stack of open paragraphs, and of what a tag inside does not end one across
+    scopes: list[int] = []
+    ends: dict[str, int] = {}
+
     def pop(name: str) -> None:
         while True:
             tag = stack.pop()[0]
             open_[tag] -= 1
+            for places in (paragraphs, scopes):
+                if places and places[-1] == len(stack):
+                    places.pop()
             if tag == name:
                 return
 
+    def last(name: str) -> int:
+        """Where the last end tag of an element starts; those of all unknown elements are found together."""
+        if name in KNOWN:
+            return low.rfind(f"</{name}")
+        if not ends:
+            ends[""] = -1
+            ends.update((x.group(1), x.start()) for x in END_TAG.finditer(low))
+        return ends.get(name, -1)
+
     rest = page[last_close + 1 :]
     for m in TOKEN.finditer(page, 0, last_close + 1):
         script, closing, name, attributes, text = m.groups()
@@ -149,13 +168,8 @@ def read(page: str) -> tuple[list[Piece | str], dict[int, str]]:
             if open_[name]:
                 pop(name)
         else:
-            if name in ENDS_P and open_["p"]:
-                for above in reversed(stack):
-                    if above[0] == "p":
-                        pop("p")
-                        break
-                    if above[0] in SCOPES:
-                        break
+            if name in ENDS_P and paragraphs and (not scopes or scopes[-1] < paragraphs[-1]):
+                pop("p")
             like = ITEMS.get(name, ())
             while like and stack[-1][0] not in SCOPES - {"td", "th"} and any(open_[x] for x in like):
                 top = stack[-1][0]
@@ -164,7 +178,7 @@ def read(page: str) -> tuple[list[Piece | str], dict[int, str]]:
                     break
             if name not in VOID and not attributes.rstrip().endswith("/"):
                 if name not in last_end:
-                    last_end[name] = low.rfind(f"</{name}")
+                    last_end[name] = last(name)
                 closed = last_end[name] > m.start()
                 _, mask, raw, link = stack[-1]
                 if closed and not raw:
@@ -173,6 +187,10 @@ def read(page: str) -> tuple[list[Piece | str], dict[int, str]]:
                         inner = name in ("header", "footer") and mask & (bit("in article") | bit("in main"))
                         mask |= bit(f"{name} of article") if inner else bit(f"in {name}")
                 open_[name] += 1
+                if name == "p":
+                    paragraphs.append(len(stack))
+                elif name in SCOPES:
+                    scopes.append(len(stack))
                 stack.append((name, mask, raw or (closed and name in RAW), link or (closed and name == "a" and "href" in attributes.lower())))
         if raw or stack[-1][2]:
             continue

@@ -97,3 +97,22 @@ def test_very_long_page(spark):
     page = f"<nav><a href='/'>Home</a></nav><article>{body}</article><footer>end of it</footer>"
     got = html_extract.extract(spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string")).collect()
     assert [len(r.text.split()) for r in got] == [1_000_000] * 2 and got[0] == got[1]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p><button>" + "<h2>" * 100_000, "".join(f"<x{i} class=a>" for i in range(100_000)) + "t", "<p>" * 100_000, "<ul>" + "<li><p>a" * 50_000, "<button><p>" * 50_000, "<table><tr><td>" * 33_000],
+    ids=["headings", "unknown", "paragraphs", "items", "buttons", "cells"],
+)
+def test_time_grows_with_the_page(page):
+    """A hundred thousand tags of any mix; a look back over the open elements for each would take minutes."""
+    began = time.process_time()
+    html_extract.read(page)
+    assert time.process_time() - began < 10
+
+
+def test_a_button_holds_a_paragraph_of_its_own():
+    blocks = lambda page: {x.text: x.block for x in html_extract.read(page)[0] if not isinstance(x, str)}
+    first = blocks("<p>a<div>b</div>c</p>d")
+    assert len({first["a"], first["b"], first["c"]}) == 3  # the paragraph ended before the div
+    assert "b" not in blocks("<p>a<button>b<p>c</button>d") and len(set(blocks("<p>a<p>b").values())) == 2
