@@ -339,6 +339,14 @@ def near_dup_pairs(s, d):
     return S.near_pairs(doc_rows(s, d))
 
 
+@query("near_dup_classes", PAIRS + """, m AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY list_sort(w)) AS cls FROM s WHERE len(w) > 0),
+l AS (SELECT id, count(*) AS n FROM (SELECT i AS id FROM pairs UNION ALL SELECT j FROM pairs) GROUP BY id)
+SELECT id, cls, coalesce(n, 0) AS n_links FROM m LEFT JOIN l USING (id)""")
+def near_dup_classes(s, d):
+    """One row for each document with words: the least id with the same token set, and how many documents it is near to."""
+    return S.link_counts(*S.near_classes(doc_rows(s, d)))
+
+
 def clear(rows):
     return rows.select("id", T.linguistic_clarity(F.col("text")).alias("score"))
 
