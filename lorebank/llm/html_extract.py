@@ -136,9 +136,10 @@ def read(page: str) -> tuple[list[Piece | str], dict[int, str]]:
         while True:
             tag = stack.pop()[0]
             open_[tag] -= 1
-            for places in (paragraphs, scopes):
-                if places and places[-1] == len(stack):
-                    places.pop()
+            if tag == "p":
+                paragraphs.pop()
+            elif tag in SCOPES:
+                scopes.pop()
             if tag == name:
                 return
 
