@@ -16,6 +16,9 @@ import pyarrow as pa
 #: Bytes of text handled at once; one longer text makes a slice of its own.
 SLICE = 1 << 20
 
+#: Pairs of words that are compared at once.
+PAIRS = 1 << 15
+
 #: Bytes of a word that are hashed in steps of eight; longer words are hashed one by one.
 LONG = 64
 
@@ -102,17 +105,21 @@ class Texts:
             h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
         return h
 
-    def same_words(self, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> bool:
-        """Whether all words with the same hash are the same, A-Z being a-z."""
-        by = np.argsort(h, kind="stable")
+    def same_words(self, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, by: np.ndarray | None = None) -> bool:
+        """Whether all words with the same hash are the same, A-Z being a-z; ``by`` is the order of the hashes, if it is known."""
+        by = np.argsort(h, kind="stable") if by is None else by
         a, b = by[:-1], by[1:]
         twin = h[a] == h[b]
         a, b = a[twin], b[twin]
         size = ends[a] - starts[a]
         if (size != ends[b] - starts[b]).any():
             return False
-        pair, i = ragged(size)
-        return bool((LOWER[self.data[starts[a][pair] + i]] == LOWER[self.data[starts[b][pair] + i]]).all())
+        for k in range(0, len(a), PAIRS):  # some at a time: each byte takes several numbers
+            first, second = starts[a[k : k + PAIRS]], starts[b[k : k + PAIRS]]
+            pair, i = ragged(size[k : k + PAIRS])
+            if (LOWER[self.data[first[pair] + i]] != LOWER[self.data[second[pair] + i]]).any():
+                return False
+        return True
 
 
 def hash_words(words: list[bytes] | pa.StringArray, seed: int = 0) -> np.ndarray:

@@ -68,10 +68,10 @@ def _index_row(t: Texts, ids: pa.Array, n_docs: int, n_terms: int) -> pa.RecordB
     seed = 0
     while True:
         h = t.hashes(starts, ends, seed=seed)
-        if t.same_words(starts, ends, h):
+        by = np.argsort(h, kind="stable")
+        if t.same_words(starts, ends, h, by):
             break
         seed += 1  # two words of the shard share a hash
-    by = np.argsort(h, kind="stable")
     h, doc = h[by], doc[by]
     new_term = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
     new = np.flatnonzero(new_term | np.append(True, doc[1:] != doc[:-1])) if len(h) else np.empty(0, np.int64)
