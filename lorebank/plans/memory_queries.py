@@ -59,7 +59,7 @@ def write_episode(s, d):
 
 def remembered(s, d) -> Store:
     """A new memory on disk with all episodes, their facts and their questions."""
-    memory = Store(s, scratch.place(s, "memory"), buckets=2, period="yyyy")  # months of these tables are small
+    memory = Store(s, scratch.place(s, "memory"), buckets=4, period="yyyy")  # months of these tables are small
     memory.create()
     asked = E(s, d).select("episode_id", F.col("topic").alias("input_question"), "topic", F.col("ts").alias("timestamp"), F.col("score").alias("overall_score"), "accepted")
     made = Q(s, d).select("mcq_id", "episode_id", "difficulty", F.col("quality").alias("quality_score"), F.col("format").alias("format_score"), F.col("grounding").alias("grounding_score"), F.col("clarity").alias("clarity_score"), F.col("distractor").alias("distractor_score"))

@@ -35,7 +35,7 @@ DEFAULTS = {
 #: What rows of a bucket are sorted by, beside their episode: the other columns that are looked up.
 SORTED = {"episode_facts": "fact_id", "feedback": "rating"}
 #: Buckets of a period of a table, and the period that a partition holds: a month, or a year ("yyyy") where months are small. Files
-#: follow both, so a folder keeps what it was made with.
+#: follow both, so a folder keeps what it was made with. A bucket is written by one task, so take as many as tasks should write.
 BUCKETS, PERIOD = 8, "yyyy-MM"
 #: The period of rows without a time, and of those that hang on no episode.
 TIMELESS = "none"
@@ -92,8 +92,7 @@ class Store:
         """Appends rows, or overwrites the periods that they have; each task holds one bucket, so it writes one file a period."""
         columns = [c.split(" ")[0] for c in TABLES[name].split(", ")]
         session = self.spark.conf
-        tasks = self.buckets * max(1, int(session.get("spark.sql.shuffle.partitions")) // self.buckets)
-        dealt = rows.select(*columns, "period").repartition(tasks, "episode_id")
+        dealt = rows.select(*columns, "period").repartition(self.buckets, "episode_id")
         key, before = "spark.sql.sources.partitionOverwriteMode", session.get("spark.sql.sources.partitionOverwriteMode")
         session.set(key, "dynamic")
         try:
