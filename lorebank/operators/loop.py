@@ -221,16 +221,21 @@ def run_loop(facts: DataFrame, seen: DataFrame, caller: Caller, difficulty: str
     return accepted
 
 
+def best(facts: DataFrame, most: int) -> DataFrame:
+    return facts.orderBy(F.desc("composite"), "fact_id").limit(most)
+
+
 def generate(facts: DataFrame, seen: DataFrame, caller: Caller, difficulty: str = "medium", most: int = FACTS, **options) -> DataFrame:
     """run_loop over the ``most`` facts with the highest composite (fact_id, text, composite), of equal ones the first ids."""
-    return run_loop(facts.orderBy(F.desc("composite"), "fact_id").limit(most), seen, caller, difficulty, **options)
+    return run_loop(best(facts, most), seen, caller, difficulty, **options)
 
 
-def all_difficulties(facts: DataFrame, seen: DataFrame, caller: Caller, **options) -> DataFrame:
-    """generate() for every level; what one level has accepted, the next does not repeat."""
+def all_difficulties(facts: DataFrame, seen: DataFrame, caller: Caller, most: int = FACTS, **options) -> DataFrame:
+    """generate() for every level; what one level has accepted, the next does not repeat. The best facts are found once."""
     out: DataFrame | None = None
+    chosen = written(best(facts, most), "best")
     for level in LEVELS:
-        made = written(generate(facts, seen, caller, level, **options), level)
+        made = written(generate(chosen, seen, caller, level, most, **options), level)
         seen = seen.select("h").unionByName(made.select("h"))
         out = made if out is None else out.unionByName(made)
     return out
