@@ -50,3 +50,23 @@ def test_best_facts_are_found_once(spark):
     counted = facts.mapInArrow(seen_row, facts.schema)
     out = loop.all_difficulties(counted, spark.createDataFrame([], "h string"), Caller(loop.by_rule, throttle=Throttle(calls=1 << 30)))
     assert out.count() and read.value == 40
+
+
+def test_a_shared_token_alone_makes_no_candidate(spark):
+    """60 sets with a rare token in common and nothing else, beside near ones of many sizes: only these leave the join."""
+    import random
+
+    from lorebank.operators import similarity as S
+
+    rng = random.Random(5)
+    rows = [[f"r{k}x{i}" for i in range(30)] + ["rare"] + [f"often{i}" for i in range(10)] for k in range(60)]
+    for size in (6, 7, 20, 80, 900, 3000):
+        one = [f"w{size}x{i}" for i in range(size)]
+        for cut in (0, 1, size // 13, size // 7, size // 5):
+            rows.append(rng.sample(one, size - cut) + [f"new{size}y{cut}"] * (cut == 1))
+    rows = [sorted(set(r)) for r in rows]
+    sets = spark.createDataFrame(list(enumerate(rows)), "id long, s array<string>")
+    want = {(i, j) for i in range(len(rows)) for j in range(i) if len(set(rows[i]) & set(rows[j])) >= 0.85 * len(set(rows[i]) | set(rows[j]))}
+    found = {(r.j, r.i) for r in S._candidates(sets, 0.85).collect()}
+    assert want <= found and not any(i < 60 for i, _ in found)
+    assert {(r.j, r.i) for r in S._near_sets(sets, 0.85).collect()} == want
