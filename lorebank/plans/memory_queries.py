@@ -57,9 +57,15 @@ def write_episode(s, d):
     return rows.select(F.col("episode_id").cast("long").alias("episode_id"), F.coalesce("n_facts", none).alias("n_facts"), F.coalesce("n_mcqs", none).alias("n_mcqs"))
 
 
+#: Lines that one bucket of a memory holds.
+ROWS = 200_000
+
+
 def remembered(s, d) -> Store:
     """A new memory on disk with all episodes, their facts and their questions."""
-    memory = Store(s, scratch.place(s, "memory"), buckets=4, period="yyyy")  # months of these tables are small
+    # a task writes one bucket, so buckets grow with the rows; months of these tables are small
+    buckets = max(4, -(-D.table(s, d, "lineitem").count() // ROWS))
+    memory = Store(s, scratch.place(s, "memory"), buckets=buckets, period="yyyy")
     memory.create()
     asked = E(s, d).select("episode_id", F.col("topic").alias("input_question"), "topic", F.col("ts").alias("timestamp"), F.col("score").alias("overall_score"), "accepted")
     made = Q(s, d).select("mcq_id", "episode_id", "difficulty", F.col("quality").alias("quality_score"), F.col("format").alias("format_score"), F.col("grounding").alias("grounding_score"), F.col("clarity").alias("clarity_score"), F.col("distractor").alias("distractor_score"))

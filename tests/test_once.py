@@ -70,3 +70,17 @@ def test_a_shared_token_alone_makes_no_candidate(spark):
     found = {(r.j, r.i) for r in S._candidates(sets, 0.85).collect()}
     assert want <= found and not any(i < 60 for i, _ in found)
     assert {(r.j, r.i) for r in S._near_sets(sets, 0.85).collect()} == want
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    from lorebank.plans import memory_queries as M
+
+    monkeypatch.setattr(M, "ROWS", 1000)
+    memory = M.remembered(spark, DIR)
+    assert memory.buckets == -(-M.D.table(spark, DIR, "lineitem").count() // 1000) > 4
+
+
+def test_graph_splits_texts_once(spark):
+    from lorebank.plans import curation
+
+    assert "posexplode" not in plan(curation.graph(spark, DIR)[1])
