@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 LONG = 192
 #: Words whose result a worker remembers, and the characters of the longest of them: longer ones are merged each time they come.
 REMEMBERED, KEPT = 400_000, 64
+#: The same of an encoder, whose results are ids.
+ENCODED = 100_000
 #: Characters of text that are worked on together.
-TOGETHER = 2 << 20
+TOGETHER = 512 << 10
 
 _NONE = 1 << 62
 _ID = (1 << 20) - 1
@@ -69,6 +71,7 @@ class Model:
         letters = byte_letters()
         self.first = [vocab[c] for c in letters]
         self.last = [vocab[c + self.suffix] for c in letters]
+        del spec["model"]  # each worker holds what is left
 
     def merge(self, word: bytes) -> list[int]:
         """The token ids of one pre-token."""
@@ -231,7 +234,7 @@ class Encoder:
         for w in self.passing:
             self.ids.pop(w, None)
         fresh = list(words.difference(self.ids))
-        if len(self.ids) + len(fresh) > REMEMBERED:
+        if len(self.ids) + len(fresh) > ENCODED:
             self.ids.clear()
             fresh = list(words)
         flat, count = self.model.merge_many([w.encode() for w in fresh])

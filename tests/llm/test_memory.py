@@ -43,6 +43,27 @@ def test_long_unbroken_strings_are_not_remembered():
     assert counter.count_all(texts[::-1]) == n[::-1] and max(map(len, counter.known)) <= max(bpe.KEPT, max(map(len, counter.one)))
 
 
+ENCODED = """
+import pickle, random, resource, sys, pyarrow as pa
+from lorebank.llm import bpe
+coder = bpe.Encoder(pickle.loads(pickle.dumps(bpe.Model(sys.argv[1]))))
+rng, most = random.Random(1), 0
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in range(6):
+    batch = pa.array([" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(2000)) for _ in range(40)])
+    for some in bpe.together(batch):
+        list(coder.encode_all(some))
+        most = max(most, len(coder.ids))
+print(most, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_an_encoder_of_ever_new_words_takes_little_memory():
+    out = subprocess.run([sys.executable, "-c", ENCODED, VOCABULARY], capture_output=True, text=True, check=True, timeout=300)
+    words, most = map(int, out.stdout.split()[-2:])
+    assert words <= 1.1 * bpe.ENCODED and most < 90, out.stdout
+
+
 def test_learning_is_the_same_as_on_the_driver():
     """Centroids of one language, fitted in a task, against the same steps by hand."""
     texts = [f"der die das {i} und noch {'viele' if i % 2 else 'wenige'} worte mehr davon" for i in range(40)]
