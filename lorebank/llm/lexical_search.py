@@ -145,7 +145,7 @@ def build_index(docs: DataFrame) -> Index:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.select("text").mapInArrow(_lengths, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
     n_docs, n_terms = size.n or 0, size.l or 0
-    return Index(written(rows.mapInArrow(_index(SHARD, n_docs, n_terms), _INDEX), "impacts"), n_docs, n_terms)
+    return Index(written(rows.mapInArrow(_index(SHARD, n_docs, n_terms), _INDEX), "impacts", group=1), n_docs, n_terms)
 
 
 class Queries:

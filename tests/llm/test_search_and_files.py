@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -210,6 +211,13 @@ def test_search_where_hashes_collide(monkeypatch):
     assert row.column("seed")[0].as_py() == 3 and sorted(row.column("terms")[0].as_py()) == sorted(f"w{i}" for i in range(300))
 
 
+def test_a_shard_is_written_and_read_alone(spark, docs, monkeypatch):
+    monkeypatch.setattr(lexical_search, "SHARD", 20_000)
+    index = lexical_search.build_index(docs.select("doc_id", "text").coalesce(1))
+    (file,) = [pq.ParquetFile(x.removeprefix("file://")) for x in index.table.inputFiles()]
+    assert file.metadata.num_row_groups == file.metadata.num_rows > 5
+
+
 def test_lengths_beyond_64_bits():
     got = lexical_search.length_weight(np.array([10**12, 5]), 10**10, 10**13)
     assert got.tolist() == [25 + 75 * 10**12 * 10**10 // 10**13, 25 + 75 * 5 * 10**10 // 10**13]
