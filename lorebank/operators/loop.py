@@ -25,6 +25,8 @@ ROUNDS, CHUNK, FACTS, EACH, SHOWN = 3, 10, 5, 2, 20
 SHARES = {"numeric_or_analytical": 0.75, "who": 0.15, "when_or_where": 0.10}
 #: Score from which a judged question passes, with grounding of at least .80; the score of a question that nobody judged.
 PASS, GROUNDED, UNJUDGED = 0.70, 0.80, 0.80
+#: Tasks a core that the chunks of a round are dealt over.
+TASKS = 2
 REASONS = ("WRONG_GROUNDING", "AMBIGUOUS_QUESTION", "WEAK_DISTRACTORS", "FORMAT_ERROR", "REASONER_WRONG", "DUPLICATE_OPTIONS", "UNKNOWN")
 LEVELS = ("easy", "medium", "hard")
 
@@ -109,6 +111,12 @@ MADE = "chunk long, fact_id string, question string, options map<string,string>,
 JUDGED = "chunk long, mcq_id string, answer string, quality double, format double, grounding double, clarity double, distractor double, passed boolean, reasons array<string>"
 
 
+def by_chunk(rows: DataFrame):
+    """Rows grouped by chunk for calls. Chunks are small in bytes and long in calls, so they are dealt over so many tasks that
+    is not lowered by their size."""
+    return rows.repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism, "chunk").groupBy("chunk")
+
+
 def challenge(facts: DataFrame, asked: Round, caller: Caller) -> DataFrame:
     """Questions of facts (chunk, fact_id, text), each chunk in one call; a chunk whose call fails has none."""
 
@@ -120,7 +128,7 @@ def challenge(facts: DataFrame, asked: Round, caller: Caller) -> DataFrame:
             rows = []
         return pd.DataFrame([(pdf["chunk"].iloc[0], *r) for r in rows], columns=names)
 
-    return facts.select("chunk", F.col("fact_id").cast("string").alias("fact_id"), "text").groupBy("chunk").applyInPandas(run, MADE)
+    return by_chunk(facts.select("chunk", F.col("fact_id").cast("string").alias("fact_id"), "text")).applyInPandas(run, MADE)
 
 
 def _facts_of(pdf: pd.DataFrame) -> str:
@@ -168,7 +176,7 @@ def judge(questions: DataFrame, caller: Caller) -> DataFrame:
             rows.append((pdf["chunk"].iloc[0], key, str(said.get(key, {}).get("chosen_answer", "N/A")), number(e.get("overall_score")), *scores, bool(e.get("passed", False)), reasons))
         return pd.DataFrame(rows, columns=names)
 
-    return questions.groupBy("chunk").applyInPandas(run, JUDGED)
+    return by_chunk(questions).applyInPandas(run, JUDGED)
 
 
 def chunked(facts: DataFrame, size: int = CHUNK) -> DataFrame:

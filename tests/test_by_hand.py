@@ -8,12 +8,13 @@ from collections import OrderedDict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lorebank.functions import wordlists as L
 from lorebank.operators import loop
 from lorebank.plans import registry
-from lorebank.plans.curation import clarity, graph
-from lorebank.plans.mcq_queries import topk
+from lorebank.plans.curation import acted, clarity, graph
+from lorebank.plans.mcq_queries import caller, topk
 from lorebank.plans.text_queries import blueprints
 from lorebank.sources import domain as D
 from lorebank.sources import html
@@ -203,6 +204,18 @@ def test_query_crj_loop(spark):
     assert got == sorted((i, k, q) for i, k, _, q in walk(in_order(spark), set())) and {k for _, k, _ in got} == {0, 1, 2}
 
 
+def test_chunks_are_dealt_over_tasks_whatever_their_bytes(spark):
+    facts = spark.range(400).select(F.floor(F.col("id") / 10).alias("chunk"), F.col("id").cast("string").alias("fact_id"), F.lit("a fact of few words").alias("text"))
+    made = loop.challenge(facts, loop.Round(), caller()).withColumn("task", F.spark_partition_id())
+    assert made.count() == 800 and made.select("task").distinct().count() > 4
+
+
+def test_only_changed_facts_without_a_verdict_are_scored_again(spark):
+    f = acted(spark, DIR)
+    asked = ~F.col("verdict").isin("ACCEPT", "REJECT") & (F.col("refined") != F.col("text"))
+    assert f.where(F.col("again").isNotNull() != asked).count() == 0 and f.where(asked).count() > 0
+
+
 def test_query_all_difficulties(spark):
     best = sorted(topk(spark, DIR).collect(), key=lambda r: (-r.composite, r.fact_id))[:5]
     got = Q["all_difficulties"](spark, DIR).collect()
