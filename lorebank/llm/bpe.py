@@ -2,9 +2,9 @@
 
 A word is held as two short arrays: its parts (token ids, each ending at a boundary) and the rank of each pair of
 neighbours. The least rank is found by a scan, its right part is deleted and the ranks of the two new neighbours are
-looked up again, until no pair has a rank. Words that a worker has not met are merged together: their arrays are the rows of
-two matrices, and each round deletes one boundary in every row that still has a rank. Only words of more than LONG
-parts go through a heap, which gives the same merges in n log n steps.
+looked up again, until no pair has a rank. Words that a worker has not met are merged together: their arrays are the columns
+of matrices, with links to the next parts that are left, and each round deletes one boundary in every column that still has a
+rank. Only words of more than LONG parts go through a heap, which gives the same merges in n log n steps.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ TOGETHER = 512 << 10
 
 _NONE = 1 << 62
 _ID = (1 << 20) - 1
+#: In matrices a rank stands with its place in the low bits, so the least of a column tells both; no rank, no key; words of a matrix.
+_PLACES = 6
+_LAST = np.int32((1 << 31) - 1)
+_FREE = -1 << 62
+_BLOCK = 8192
 
 #: Characters outside those that the quick patterns know: ASCII and the letters from U+00C0 to U+024F.
 ODD = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]").search
@@ -119,69 +124,115 @@ class Model:
 
     def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of many words, one after the other, and the number of each word's ids."""
-        if not hasattr(self, "_keys"):
-            self._keys = np.array(sorted(self.pairs), np.int64)
-            self._values = np.array([self.pairs[k] for k in self._keys.tolist()], np.int64)
-            self._first, self._last = np.array(self.first, np.int64), np.array(self.last, np.int64)
+        if not hasattr(self, "_held"):
+            self._tabulate()
         size = np.fromiter(map(len, words), np.int64, len(words))
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        raw, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in ((0, 4), (4, 8), (8, 12), (12, 16), (16, 24), (24, 48)):
             some = np.flatnonzero((size > lo) & (size <= hi))
-            for k in range(0, len(some), 8192):
-                kept += self._merge_rows(some[k : k + 8192], words, size, hi)
+            for k in range(0, len(some), _BLOCK):
+                which = some[k : k + _BLOCK]
+                kept += self._merge_columns(which, raw, start[which], size[which], hi)
         for i in np.flatnonzero(size > 48).tolist():
-            kept.append((np.array([i]), np.array([self.merge(words[i])], np.int64)))
+            ids = np.array(self.merge(words[i]), np.int32)
+            kept.append((np.array([i]), np.array([len(ids)]), ids))
         count = np.zeros(len(words), np.int64)
-        for rows, parts in kept:
-            count[rows] = parts.shape[1]
+        for which, n, _ in kept:
+            count[which] = n
         start = np.cumsum(count) - count
-        flat = np.empty(int(count.sum()), np.int64)
-        for rows, parts in kept:
-            flat[start[rows][:, None] + np.arange(parts.shape[1])] = parts
+        flat = np.empty(int(count.sum()), np.int32)
+        for which, n, ids in kept:
+            flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return flat, count
 
+    def _tabulate(self) -> None:
+        """The pairs in a hash table with open addressing, and the ranks of all pairs of bytes, within a word and at its end."""
+        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        values = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+        rank = values >> 20
+        self._new = np.zeros(int(rank.max(initial=0)) + 1, np.int32)
+        self._new[rank] = values & _ID
+        bits = (4 * len(keys) + 15).bit_length()
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._held, self._rank = np.full(1 << bits, _FREE), np.full(1 << bits, _LAST)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            first = np.zeros(len(left), bool)
+            first[np.unique(slot[left], return_index=True)[1]] = True
+            first &= self._held[slot[left]] == _FREE
+            put = left[first]
+            self._held[slot[put]], self._rank[slot[put]] = keys[put], rank[put] << _PLACES
+            left = left[~first]
+            slot[left] = slot[left] + 1 & self._mask
+        self._first, self._last = np.array(self.first, np.int32), np.array(self.last, np.int32)
+        self._inner = self._ranks(np.repeat(self._first, 256), np.tile(self._first, 256))
+        self._outer = self._ranks(np.repeat(self._first, 256), np.tile(self._last, 256))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).view(np.int64)
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 20 | b
-        at = np.searchsorted(self._keys, key)
-        at[at == len(self._keys)] = 0
-        return np.where((self._keys[at] == key) & (a >= 0) & (b >= 0), self._values[at], _NONE)
-
-    def _merge_rows(self, which: np.ndarray, words: list[bytes], size: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Merges words of at most ``width`` bytes; (words, their ids) for each number of ids."""
-        n = size[which]
-        raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in which.tolist()), np.uint8).reshape(-1, width)
-        at = np.arange(width)
-        parts = np.where(at < n[:, None], self._first[raw], -1)
-        row = np.arange(len(which))
-        parts[row, n - 1] = self._last[raw[row, n - 1]]
-        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        """The ranks of pairs, above their places; parts of -1 make none."""
+        key = a.astype(np.int64) << 20 | b
+        slot = self._slot(key)
+        out, held = self._rank[slot], self._held[slot]
+        other = np.flatnonzero(held != key)
+        out[other] = _LAST
+        other = other[held[other] != _FREE]
+        while len(other):
+            slot[other] = at = slot[other] + 1 & self._mask
+            held = self._held[at]
+            same = held == key[other]
+            out[other[same]] = self._rank[at[same]]
+            other = other[~same & (held != _FREE)]
+        return out
+
+    def _merge_columns(self, which: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Merges words of at most ``width`` bytes; (words, number of ids of each, their ids) as they are done.
+
+        A part stands in the row of its first byte, from 1 on, with the rank of it and the next part; the outer rows stay empty.
+        """
+        n = len(which)
+        at = np.arange(width)[:, None]
+        bytes_ = raw[np.minimum(start + at, len(raw) - 1)]
+        parts, ranks = np.full((width + 2, n), -1, np.int32), np.full((width + 2, n), _LAST)
+        parts[1:-1] = np.where(at < size, self._first[bytes_], -1)
+        parts[size, np.arange(n)] = self._last[bytes_[size - 1, np.arange(n)]]
+        two = bytes_[:-1].astype(np.int32) << 8 | bytes_[1:]
+        ranks[1:width] = np.where(at[:-1] < size - 2, self._inner[two], _LAST)
+        some = np.flatnonzero(size > 1)
+        ranks[size[some] - 1, some] = self._outer[two[size[some] - 2, some]]
+        place = np.arange(width + 2, dtype=np.int8)[:, None]
+        ranks |= place
+        after, before = np.repeat(place + np.int8(1), n, 1), np.repeat(place - np.int8(1), n, 1)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while True:
-            row = np.arange(len(which))
-            i = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(which), np.int64)
-            least = ranks[row, i] if ranks.shape[1] else np.full(len(which), _NONE)
-            done = least == _NONE
-            if done.any():
-                for k in np.unique(n[done]).tolist():
-                    rows = np.flatnonzero(done & (n == k))
-                    out.append((which[rows], parts[rows, :k]))
-                go = ~done
-                which, n, parts, ranks, i, least = which[go], n[go], parts[go], ranks[go], i[go], least[go]
-                row = np.arange(len(which))
-            if not len(which):
-                return out
-            new = least & _ID
-            parts[row, i] = new
-            left = np.arange(parts.shape[1] - 1)
-            parts = np.take_along_axis(parts, left + (left > i[:, None]), 1)
-            left = left[:-1]
-            ranks = np.take_along_axis(ranks, left + (left >= i[:, None]), 1)
-            n = n - 1
-            some = np.flatnonzero(i > 0)
-            if ranks.shape[1]:
-                ranks[some, i[some] - 1] = self._ranks(parts[some, i[some] - 1], new[some])
-                some = np.flatnonzero(i < ranks.shape[1])
-                ranks[some, i[some]] = self._ranks(new[some], parts[some, i[some] + 1])
+            least = ranks[1:-1].min(0)
+            go = np.flatnonzero(least != _LAST)
+            if len(go) < 0.6 * n or not n:  # what is done leaves the matrices, not in every round
+                done = np.flatnonzero(least == _LAST)
+                left = parts[1:-1, done].T
+                out.append((which[done], (left >= 0).sum(1), left[left >= 0]))
+                if not len(go):
+                    return out
+                which, least, n = which[go], least[go], len(go)
+                parts, ranks, after, before = (x.take(go, 1) for x in (parts, ranks, after, before))
+                go = np.arange(n)
+            else:
+                least = least[go]
+            part, rank, following, preceding = (x.reshape(-1) for x in (parts, ranks, after, before))  # no copies
+            here, new = least & (1 << _PLACES) - 1, self._new[least >> _PLACES]
+            i = here.astype(np.int64) * n + go
+            j = following[i].astype(np.int64) * n + go
+            next_ = following[j]
+            k = next_.astype(np.int64) * n + go
+            last = preceding[i]
+            h = last.astype(np.int64) * n + go
+            part[i], part[j], rank[j] = new, -1, _LAST
+            following[i], preceding[k] = next_, here
+            both = self._ranks(np.concatenate([part[h], new]), np.concatenate([new, part[k]]))
+            rank[h], rank[i] = both[: len(go)] | last, both[len(go) :] | here
 
     def splitter(self) -> regex.Pattern | None:
         """Finds the special strings in a text; the longest at a place wins, as they are matched as they stand."""

@@ -1,7 +1,9 @@
 """Memory of workers on inputs that are large in one way only: many short texts, long unbroken strings."""
 
+import random
 import subprocess
 import sys
+import time
 
 import numpy as np
 import public_tokenizers
@@ -103,3 +105,24 @@ def test_the_largest_part_of_test_texts_takes_little_memory():
     windows, sent, most = map(int, out.stdout.split()[-3:])
     assert windows > 1_000_000 and sent < 100, out.stdout
     assert most < 600, out.stdout  # the driver's part, which makes the windows, and a worker's, which reads them, in one process
+
+
+def test_merging_words_together_takes_a_fraction_of_merging_each():
+    """CPU time of new words, of all lengths up to and beyond the matrices' widths, against the plain merge of each."""
+    rng = random.Random(3)
+    parts = "en er de the tion and ing ß ü ñ é keit that ly ble wh qu eau que la ge ver ción los".split()
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        model = bpe.Model(public_tokenizers.path(name))
+        words = sorted({"".join(rng.choices(parts, k=rng.randint(2, 5))).encode() for _ in range(30_000)})
+        odd = [b"", b"e", *(b"the" * n for n in range(1, 20)), *(rng.randbytes(n) for n in range(60) for _ in range(20))]
+        model.merge_many(odd)
+        t = time.process_time()
+        flat, count = model.merge_many(words)
+        many = time.process_time() - t
+        t = time.process_time()
+        each = [model.merge(w) for w in words]
+        one = time.process_time() - t
+        assert count.tolist() == list(map(len, each)) and flat.tolist() == [i for ids in each for i in ids]
+        flat, count = model.merge_many(odd)
+        assert count.tolist() == [len(model.merge(w)) for w in odd] and flat.tolist() == [i for w in odd for i in model.merge(w)]
+        assert many < 0.22 * one, (many, one)
