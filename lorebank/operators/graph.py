@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from ..functions import text as T
-from ..sources.scratch import written
+from ..sources.scratch import dealt, written
 
 
 def build(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,8 +60,8 @@ def remove(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFra
 NUMBERED = 1 << 20
 
 
-def _number_tree(t: pa.Table) -> pa.Table:
-    """(node, top, pre, moves) of the merges (kept, removed, at, asked) of one tree: who stands for a node in the end, its
+def _number_trees(t: pa.Table) -> pa.Table:
+    """(node, top, pre, moves) of the merges (kept, removed, at, asked) of some trees: who stands for a node in the end, its
     place if each node stands before those merged into it, these in order, and for asked nodes when they moved, the last first."""
     kept, removed, at = (t.column(c).to_pylist() for c in ("kept", "removed", "at"))
     asked = {n for n, x in zip(removed, t.column("asked").to_pylist(), strict=True) if x}
@@ -69,24 +69,25 @@ def _number_tree(t: pa.Table) -> pa.Table:
     below: dict[str, list[str]] = {}
     for _, r, k in sorted(zip(at, removed, kept, strict=True), key=lambda x: x[0]):
         below.setdefault(k, []).append(r)
-    (top,) = set(kept) - set(removed)
     pre: dict[str, int] = {}
-    stack = [top]
-    while stack:
-        n = stack.pop()
-        pre[n] = len(pre)
-        stack.extend(reversed(below.get(n, [])))
+    top: dict[str, str] = {}
+    for root in set(kept) - set(removed):
+        stack = [root]
+        while stack:
+            n = stack.pop()
+            pre[n], top[n] = len(pre), root
+            stack.extend(reversed(below.get(n, [])))
 
     def moves(n: str) -> list[int]:
         out = []
-        while n != top:
+        while n in parent:
             n, when = parent[n]
             out.append(when)
         return out[::-1]
 
-    rows = [(n, top, pre[n], moves(n) if n in asked else None) for n in removed]
+    rows = [(n, top[n], pre[n], moves(n) if n in asked else None) for n in removed]
     kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(t.schema.field("at").type))
-    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "top", "pre", "moves"])
+    return pa.table([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["node", "top", "pre", "moves"])
 
 
 def _number_rounds(merges: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def merge(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFr
     forest = written(forest.join(tree, "removed"), "forest")
     large = forest.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") > NUMBERED).select("tree")
     small, large = forest.join(large, "tree", "left_anti"), forest.join(large, "tree", "left_semi")
-    number = lambda rows: rows.groupBy("tree").applyInArrow(_number_tree, f"node string, top string, pre long, moves array<{kind_of_at}>")
+    number = lambda rows: dealt(rows, "tree", forest).applyInArrow(_number_trees, f"node string, top string, pre long, moves array<{kind_of_at}>")
     placed = written(number(small.withColumn("asked", F.lit(False))), "numbered")
     if large.limit(1).count():
         placed = written(placed.unionByName(_number_rounds(large)), "numbered")
